@@ -1,0 +1 @@
+"""Empty on purpose: the analysed work has no stream, so no streaming operator is offered."""
