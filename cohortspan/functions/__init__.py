@@ -1,14 +1,15 @@
 from cohortspan.functions.finance import (
     discount_factor,
+    discount_factor_sql,
     hazard,
     linear_ramp,
-    payment_at,
+    linear_ramp_sql,
+    payment_sql,
     ratio,
 )
 from cohortspan.functions.scalars import (
     arm_label,
     is_number_list,
-    let,
     plus_zero,
     to_number,
     two_decimals,
@@ -17,11 +18,12 @@ from cohortspan.functions.scalars import (
 __all__ = [
     "arm_label",
     "discount_factor",
+    "discount_factor_sql",
     "hazard",
     "is_number_list",
-    "let",
     "linear_ramp",
-    "payment_at",
+    "linear_ramp_sql",
+    "payment_sql",
     "plus_zero",
     "ratio",
     "to_number",

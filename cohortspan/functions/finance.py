@@ -1,4 +1,8 @@
-"""Discounting, hazards, ramps and instalment schedules as column expressions."""
+"""Discounting, hazards, ramps and instalment schedules as column expressions.
+
+Formulas used inside other expressions come as SQL text (``*_sql``): nested lambdas stay
+readable and cost one parse instead of one call per operand.
+"""
 
 from __future__ import annotations
 
@@ -6,6 +10,10 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def discount_factor_sql(rate: str, period: str) -> str:
+    return f"power(1D + {rate}, -CAST({period} - 1 AS DOUBLE))"
+
+
 def discount_factor(rate: Column, period: Column) -> Column:
     """Present value in period 1 of one unit paid in ``period`` (1-based)."""
     return F.pow(F.lit(1.0) + rate, -(period - F.lit(1)).cast("double"))
@@ -21,13 +29,14 @@ def hazard(surviving: Column, periods: Column) -> Column:
     )
 
 
-def linear_ramp(first: Column, last: Column, count: Column) -> Column:
-    """ARRAY of ``count`` evenly spaced values from ``first`` to ``last``."""
-    step = (last - first) / F.greatest(count - F.lit(1), F.lit(1))
-    return F.transform(
-        F.sequence(F.lit(0), F.greatest(count, F.lit(1)) - F.lit(1)),
-        lambda i: first + step * i,
-    )
+def linear_ramp_sql(first: str, last: str, count: str) -> str:
+    step = f"({last} - {first}) / greatest({count} - 1, 1)"
+    return f"transform(sequence(0, greatest({count}, 1) - 1), i -> {first} + {step} * i)"
+
+
+def linear_ramp(first: str, last: str, count: str) -> Column:
+    """ARRAY of ``count`` evenly spaced values from ``first`` to ``last`` (SQL operands)."""
+    return F.expr(linear_ramp_sql(first, last, count))
 
 
 def ratio(numerator: Column, denominator: Column) -> Column:
@@ -35,20 +44,21 @@ def ratio(numerator: Column, denominator: Column) -> Column:
     return F.try_divide(numerator, denominator)
 
 
-def payment_at(
-    plan,
-    period: Column,
-    discount: Column,
-    firm_discount: Column,
+def payment_sql(
+    period: str,
+    plan: str = "",
     *,
-    start: Column | None = None,
+    fields: dict[str, str] | None = None,
+    discount: str = "discount",
+    firm_discount: str = "firm_discount",
+    start: str | None = None,
     firm_on_continuous: bool = False,
-    undiscounted: bool = False,
-) -> Column:
+) -> str:
     """Amount a payment plan asks for in a 1-based ``period``.
 
-    ``plan`` is anything that gives a column by name (a struct column, ``F.col``-like lookup),
-    with ``tot_payment, cont_payment, cost_trend, contract_length, initial_payment``.
+    ``plan`` prefixes the field names (``"s."`` for a struct ``s``); ``fields`` gives other SQL
+    for single fields: ``tot_payment, cont_payment, cost_trend, contract_length,
+    initial_payment``.
 
     A plan with a total is paid in ``contract_length`` instalments from ``start`` on; an initial
     share moves that part to the first instalment and spreads the rest over the others, so with
@@ -56,26 +66,30 @@ def payment_at(
     each period, falling by ``cost_trend``. Totals grow with the firm's rate; continuous plans
     do so only when ``firm_on_continuous``.
     """
-    one = F.lit(1.0)
-    total, length = plan["tot_payment"], plan["contract_length"]
-    initial = plan["initial_payment"]
-    elapsed = (period - F.lit(1)).cast("double")
-    position = period if start is None else period - start + F.lit(1)
-
-    later = total * (one - initial) / F.greatest(length - one, one)
-    level = F.when(
-        initial > 0, F.when(position == 1, total * initial).otherwise(later)
-    ).otherwise(total / F.greatest(length, one))
-    fixed = F.when((position >= 1) & (position <= length), level).otherwise(F.lit(0.0))
-    trend = plan["cost_trend"]
-    ongoing = plan["cont_payment"] * F.when(trend == 0, one).otherwise(
-        F.pow(one + trend, -elapsed)
-    )
-    if undiscounted:
-        return F.when(total > 0, fixed).otherwise(ongoing)
-
-    grown = F.pow((one + firm_discount) / (one + discount), elapsed)
-    shrunk = F.pow(one + discount, -elapsed)
-    return F.when(total > 0, fixed * grown).otherwise(
-        ongoing * (grown if firm_on_continuous else shrunk)
-    )
+    named = {
+        name: (fields or {}).get(name, plan + name)
+        for name in (
+            "tot_payment",
+            "cont_payment",
+            "cost_trend",
+            "contract_length",
+            "initial_payment",
+        )
+    }
+    total, ongoing, trend, length, initial = named.values()
+    position = period if start is None else f"({period} - {start} + 1)"
+    elapsed = f"CAST({period} - 1 AS DOUBLE)"
+    grown = f"power((1D + {firm_discount}) / (1D + {discount}), {elapsed})"
+    shrunk = f"power(1D + {discount}, -{elapsed})"
+    return f"""
+        CASE WHEN {total} > 0 THEN
+            CASE WHEN {position} >= 1 AND {position} <= {length} THEN
+                CASE WHEN {initial} > 0 AND {position} = 1 THEN {total} * {initial}
+                     WHEN {initial} > 0
+                     THEN {total} * (1D - {initial}) / greatest({length} - 1D, 1D)
+                     ELSE {total} / greatest({length}, 1D) END * {grown}
+            ELSE 0D END
+        ELSE {ongoing}
+            * CASE WHEN {trend} = 0 THEN 1D ELSE power(1D + {trend}, -{elapsed}) END
+            * {grown if firm_on_continuous else shrunk}
+        END"""

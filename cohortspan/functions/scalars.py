@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -31,11 +29,3 @@ def arm_label(active: Column, control: Column) -> Column:
     """``"active - control"``; null when either part is null."""
     return F.concat(active, F.lit(" - "), control)
 
-
-def let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """Bind ``value`` once and use it many times inside ``body``.
-
-    Catalyst may inline a projection into the lambda of a higher-order function, which would
-    evaluate it again for each element. A one-element ``transform`` keeps it evaluated once.
-    """
-    return F.get(F.transform(F.array(value), body), F.lit(0))

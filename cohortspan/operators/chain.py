@@ -7,76 +7,89 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cohortspan.functions import let
 
-EDGE = "struct<from_state:int,to_state:int,p:double>"
-
-
-def _edge(source: Column, target: Column, p: Column) -> Column:
-    return F.struct(
-        source.cast("int").alias("from_state"),
-        target.cast("int").alias("to_state"),
-        p.cast("double").alias("p"),
-    )
-
-
-def progressive_edges(states: Column) -> Column:
-    """Edges of an ordered state array with fields ``p_prog`` and ``p_death``.
+def progressive_edges(states: str = "states") -> str:
+    """SQL for the edges of an ordered state array with fields ``p_prog`` and ``p_death``.
 
     Each state but the last is kept, left for the next one, or left for death (the last state),
     which absorbs. Two edges may share their ends; they add up.
     """
-    count = F.size(states)
 
-    def leave(state: Column, index: Column) -> Column:
-        here = index + F.lit(1)
-        lives = F.lit(1.0) - state["p_death"]
-        moving = F.array(
-            _edge(here, here, (F.lit(1.0) - state["p_prog"]) * lives),
-            _edge(here, here + F.lit(1), state["p_prog"] * lives),
-            _edge(here, count, state["p_death"]),
-        )
-        absorbed = F.array(_edge(here, here, F.lit(1.0)))
-        return F.when(here < count, moving).otherwise(absorbed)
+    def edge(target: str, p: str) -> str:
+        return f"named_struct('from_state', i + 1, 'to_state', {target}, 'p', {p})"
 
-    return F.flatten(F.transform(states, leave))
+    return f"""flatten(transform({states}, (s, i) -> IF(i + 1 < size({states}),
+        array({edge("i + 1", "(1D - s.p_prog) * (1D - s.p_death)")},
+              {edge("i + 2", "s.p_prog * (1D - s.p_death)")},
+              {edge(f"size({states})", "s.p_death")}),
+        array({edge("i + 1", "1D")}))))"""
 
 
-def project_shares(edges: Column, count: Column, horizon: Column) -> Column:
-    """ARRAY<ARRAY<DOUBLE>>: share of a cohort by period and state.
+def project_shares(edges: str, count: str, horizon: str) -> str:
+    """SQL for ARRAY<ARRAY<DOUBLE>>: share of a cohort by period and state.
 
     Everybody is in state 1 in period 1; each later period moves the shares along the edges.
     The chain of one treatment is a short array, so the recurrence runs inside its row.
+
+    The one-element ``transform`` binds the edges, sorted by where they lead, once for all
+    periods: written inside the recurrence they would be evaluated in each.
     """
-    start = F.transform(
-        F.sequence(F.lit(1), count),
-        lambda s: F.when(s == 1, F.lit(1.0)).otherwise(F.lit(0.0)),
-    )
-    into = F.transform(
-        F.sequence(F.lit(1), count),
-        lambda s: F.filter(edges, lambda e: e["to_state"] == s),
-    )
+    start = f"transform(sequence(1, {count}), s -> IF(s = 1, 1D, 0D))"
+    arrivals = f"transform(sequence(1, {count}), s -> filter({edges}, e -> e.to_state = s))"
+    moved = """transform(inflow, arriving -> aggregate(arriving, 0D,
+        (total, e) -> total + get(element_at(done, -1), e.from_state - 1) * e.p))"""
+    later = f"""aggregate(sequence(2, greatest({horizon}, 2)), array({start}),
+        (done, t) -> concat(done, array({moved})))"""
+    return f"""transform(array({arrivals}), inflow ->
+        IF({horizon} >= 2, {later}, array({start})))[0]"""
 
-    def fold(inflow: Column) -> Column:
-        def move(shares: Column) -> Column:
-            return F.transform(
-                inflow,
-                lambda arriving: F.aggregate(
-                    arriving,
-                    F.lit(0.0),
-                    lambda total, e: total
-                    + F.get(shares, e["from_state"] - F.lit(1)) * e["p"],
-                ),
-            )
 
-        later = F.aggregate(
-            F.sequence(F.lit(2), F.greatest(horizon, F.lit(2))),
-            F.array(start),
-            lambda done, _: F.concat(done, F.array(move(F.element_at(done, -1)))),
-        )
-        return F.when(horizon >= 2, later).otherwise(F.array(start))
+# One knot to the states it stands for. ``o`` runs over the knots of the same chain.
+_GIVEN = "filter(knots, o -> o.QoL IS NOT NULL AND o.state <= k.state)"
+_LATER = "filter(knots, o -> o.QoL IS NOT NULL AND o.state > k.state)"
+_SEGMENT = f"get({_GIVEN}, size({_GIVEN}) - 1)"
+_SEGMENT_END = f"coalesce(get({_LATER}, 0).state, element_at(knots, -1).state + 1)"
 
-    return let(into, fold)
+
+def expanded_states(fields: Sequence[str]) -> str:
+    """SQL for the states of a chain from its sorted array ``knots``, numbered from 1.
+
+    The same rule as ``expand_knots`` on rows, for chains already gathered in one row: as knots
+    are sorted, each sum of periods is a difference of two state numbers. ``fields`` are passed
+    on from the knot.
+    """
+    facts = f"""named_struct(
+        'k', k,
+        'until', coalesce(get(knots, j + 1).state, k.state + 1),
+        'target', coalesce(get(knots, j + 1).QoL, 0D),
+        'since', {_SEGMENT}.state,
+        'ends', {_SEGMENT_END},
+        'filled', {_SEGMENT}.QoL)"""
+    passed = ", ".join(f"'{f}', f.k.{f}" for f in fields)
+    state = f"""named_struct(
+        'state', n - knots[0].state + 1,
+        'QoL', f.filled - (f.filled - f.target) * (n - f.since) / (f.ends - f.since),
+        {passed})"""
+    return f"""flatten(transform(
+        filter(transform(knots, (k, j) -> {facts}), f -> f.until > f.k.state),
+        f -> transform(sequence(f.k.state, f.until - 1), n -> {state})))"""
+
+
+def gather_chains(
+    states: DataFrame,
+    keys: Sequence[str],
+    fields: Sequence[str],
+    extra: Sequence[Column] = (),
+    name: str = "knots",
+) -> DataFrame:
+    """One row per treatment with its states as an array sorted by state.
+
+    A chain is as long as the states of one treatment, which the horizon bounds, so the array
+    is short whatever the number of treatments.
+    """
+    return states.groupBy(*keys, "treatment").agg(
+        F.array_sort(F.collect_list(F.struct("state", *fields))).alias(name), *extra
+    )
 
 
 def transition_edges(states: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -84,9 +97,9 @@ def transition_edges(states: DataFrame, keys: Sequence[str]) -> DataFrame:
 
     ``states`` has a row per state (see ``expand_states``).
     """
-    rows = chain_rows(states, keys, ["p_prog", "p_death"])
+    rows = gather_chains(states, keys, ["p_prog", "p_death"], name="states")
     edges = rows.select(
-        *keys, "treatment", F.inline(progressive_edges(F.col("states")))
+        *keys, "treatment", F.expr(f"inline({progressive_edges()})")
     )
     return edges.groupBy(*keys, "treatment", "from_state", "to_state").agg(
         F.sum("p").alias("p")
@@ -107,19 +120,3 @@ def transition_table(edges: DataFrame, keys: Sequence[str], count: int) -> DataF
         .withColumn("st", label)
         .select(*keys, "treatment", "from_state", "st", *names)
     )
-
-
-def chain_rows(
-    states: DataFrame,
-    keys: Sequence[str],
-    columns: Sequence[str],
-    extra: Sequence[Column] = (),
-) -> DataFrame:
-    """One row per treatment with its states as an ordered array.
-
-    A chain has at most as many states as can be reached within the horizon plus death, so the
-    array is short whatever the number of treatments.
-    """
-    return states.groupBy(*keys, "treatment").agg(
-        F.array_sort(F.collect_list(F.struct("state", *columns))).alias("states"), *extra
-    )

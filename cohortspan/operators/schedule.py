@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cohortspan.functions import payment_at
+from cohortspan.functions import payment_sql
 
 PLAN_FIELDS = (
     "tot_payment",
@@ -20,12 +20,12 @@ PLAN_FIELDS = (
 
 def payment_schedule(
     plans: DataFrame,
-    horizon: Column,
+    horizon: str,
     *,
-    columns: dict[str, Column] | None = None,
-    discount: Column | None = None,
-    firm_discount: Column | None = None,
-    start: Column | None = None,
+    columns: dict[str, str] | None = None,
+    discount: str = "0D",
+    firm_discount: str = "0D",
+    start: str | None = None,
     only_due: bool = False,
     mode: str = "current",
     time: str = "time",
@@ -34,37 +34,34 @@ def payment_schedule(
 ) -> DataFrame:
     """One row per contract and period with the amount due.
 
-    Works on any table: ``columns`` names the plan fields that are not columns of ``plans``; a
-    field named nowhere counts as 0. ``only_due`` leaves out the periods after the last
-    instalment of plans with a total. ``mode="legacy"`` applies the firm's rate to continuous
-    plans too and starts in period 1.
+    Works on any table. ``horizon``, ``start``, the rates and the values of ``columns`` are SQL
+    over ``plans``; ``columns`` names the plan fields that are not columns of ``plans`` (a field
+    named nowhere counts as 0). ``only_due`` leaves out the periods after the last instalment of
+    plans with a total. ``mode="legacy"`` applies the firm's rate to continuous plans too and
+    starts in period 1.
     """
-    given = dict(columns or {})
+    given = columns or {}
     fields = {
-        name: given.get(name, F.col(name) if name in plans.columns else F.lit(0.0)).cast("double")
+        name: f"CAST({given.get(name, name if name in plans.columns else '0')} AS DOUBLE)"
         for name in PLAN_FIELDS
     }
-    zero = F.lit(0.0)
     begin = None if mode == "legacy" else start
-    last = horizon
+    last = f"CAST({horizon} AS INT)"
     if only_due:
-        first = F.lit(1) if begin is None else begin
-        due = first + fields["contract_length"].cast("int") - F.lit(1)
-        last = F.when(fields["tot_payment"] > 0, F.least(horizon, due)).otherwise(horizon)
-    last = last.cast("int")
-    amount = payment_at(
-        fields,
-        F.col(time),
-        zero if discount is None else discount,
-        zero if firm_discount is None else firm_discount,
+        due = f"{begin or 1} + CAST({fields['contract_length']} AS INT) - 1"
+        last = f"IF({fields['tot_payment']} > 0, least({last}, {due}), {last})"
+    amount = payment_sql(
+        time,
+        fields=fields,
+        discount=discount,
+        firm_discount=firm_discount,
         start=begin,
         firm_on_continuous=mode == "legacy",
     )
+    kept = [c for c in (plans.columns if keep is None else keep) if c != payment]
     # sequence() would count down for a last period below 1.
-    periods = F.explode(F.sequence(F.lit(1), F.greatest(last, F.lit(1))))
-    out = plans.columns if keep is None else list(keep)
     return (
-        plans.where(last >= 1)
-        .select("*", periods.alias(time))
-        .select(*[c for c in out if c != payment], time, amount.alias(payment))
+        plans.where(f"{last} >= 1")
+        .selectExpr("*", f"explode(sequence(1, greatest({last}, 1))) AS {time}")
+        .select(*kept, time, F.expr(amount).alias(payment))
     )

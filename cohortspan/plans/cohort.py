@@ -1,8 +1,8 @@
 """Cost and quality-adjusted life years of cohorts moving through priced health states.
 
-Shuffles of the pipeline: knots by treatment, expanded states by plan, and states by treatment
-once more into an explicit number of partitions. All that multiplies rows (periods x states)
-comes after the last of them and stays inside its partition.
+Shuffles of the pipeline: knots by treatment into an explicit number of partitions, and the few
+plans each treatment uses by plan and back. All that multiplies rows (periods x states) comes
+after the last of them and stays inside its partition.
 """
 
 from __future__ import annotations
@@ -12,10 +12,15 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cohortspan.functions import arm_label, discount_factor, payment_at, ratio
-from cohortspan.operators.chain import chain_rows, progressive_edges, project_shares
+from cohortspan.functions import arm_label, discount_factor_sql, payment_sql, ratio
+from cohortspan.operators.chain import (
+    expanded_states,
+    gather_chains,
+    progressive_edges,
+    project_shares,
+)
 from cohortspan.operators.columns import fill_defaults, parameters
-from cohortspan.operators.expand import expand_states, plan_spans
+from cohortspan.operators.expand import expand_states
 from cohortspan.operators.filters import top_by_group
 from cohortspan.operators.schedule import payment_schedule
 from cohortspan.session import spread
@@ -33,91 +38,100 @@ def global_record(bundle: ModelBundle) -> DataFrame:
     return parameters(bundle.globals, bundle.keys, GLOBAL_DEFAULTS)
 
 
-def plan_terms(bundle: ModelBundle, spans: DataFrame) -> DataFrame:
-    """One row per plan (and one for "no plan") with terms, span and the scenario's rates.
+def plan_terms(bundle: ModelBundle) -> DataFrame:
+    """One row per plan, and one for "no plan", with terms and the scenario's rates.
 
     The row without a plan lets states without one receive their rates by the same join.
     """
     keys = list(bundle.keys)
-    rates = global_record(bundle)
+    rates = global_record(bundle).select(*keys, *_RATES)
     plans = fill_defaults(bundle.payments, PAYMENT_DEFAULTS).select(
         *keys, "payment", *PAYMENT_DEFAULTS
     )
     none = rates.select(*keys, F.lit(None).cast("string").alias("payment"))
-    named = plans.unionByName(none, allowMissingColumns=True).join(rates, keys, "left")
-    same = [F.col(f"n.{k}") == F.col(f"s.{k}") for k in keys]
-    same.append(F.col("n.payment").eqNullSafe(F.col("s.payment")))
-    by_treatment = ["s.treatment"] if "treatment" in spans.columns else []
-    return (
-        spans.alias("s")
-        .join(named.alias("n"), same, "left")
-        .select(
-            *[f"s.{k}" for k in keys],
-            *by_treatment,
-            "s.payment",
-            *[F.coalesce(f"n.{c}", F.lit(0.0)).alias(c) for c in PAYMENT_DEFAULTS],
-            "s.pstart",
-            "s.pend",
-            *[f"n.{c}" for c in _RATES],
-        )
-    )
+    return plans.unionByName(none, allowMissingColumns=True).join(rates, keys, "left")
+
+
+def _same_plan(keys: Sequence[str]) -> list[Column]:
+    return [
+        *[F.col(f"u.{k}") == F.col(f"t.{k}") for k in keys],
+        F.col("u.payment").eqNullSafe(F.col("t.payment")),
+    ]
 
 
 def cohort_rows(
     bundle: ModelBundle,
     span_scope: str = "model",
     partitions: int | None = None,
-    arms: tuple[DataFrame, str] | None = None,
+    arms: DataFrame | None = None,
 ) -> DataFrame:
     """One row per treatment: its priced states, the rates and the projected shares.
 
-    ``arms`` restricts the treatments before the projection: a frame of ``(keys, treatment)``
-    and ``"left_semi"`` to keep them or ``"left_anti"`` to leave them out.
+    ``span_scope`` tells whether a plan spans its states in the whole model or in each treatment.
+    ``arms`` adds its columns by ``(keys, treatment)`` before the projection, so that a later
+    filter on them reaches below it.
+
+    Knots are shuffled once. Only the plans that a treatment uses, not its states, are joined
+    with their terms and brought back.
     """
     keys = list(bundle.keys)
-    expanded = expand_states(bundle.states, keys)
-    terms = plan_terms(bundle, plan_spans(expanded, keys, span_scope))
-    by = [*keys, "treatment"] if span_scope == "treatment" else keys
-    same = [F.col(f"e.{k}") == F.col(f"t.{k}") for k in by]
-    same.append(F.col("e.payment").eqNullSafe(F.col("t.payment")))
-    priced = (
-        expanded.alias("e")
-        .join(terms.alias("t"), same, "left")
+    named = [*keys, "treatment"]
+    knots = gather_chains(
+        spread(bundle.states, named, partitions), keys, ["p_prog", "QoL", "p_death", "payment"]
+    )
+    fields = ["p_prog", "p_death", "payment"]
+    chains = knots.select(*named, F.expr(expanded_states(fields)).alias("states"))
+    uses = chains.selectExpr(
+        *named,
+        """inline_outer(transform(array_distinct(states.payment), p -> named_struct(
+            'payment', p,
+            'pstart', array_min(filter(states, s -> s.payment <=> p).state),
+            'pend', array_max(filter(states, s -> s.payment <=> p).state))))""",
+    )
+    terms = plan_terms(bundle)
+    if span_scope == "model":
+        spans = uses.groupBy(*keys, "payment").agg(
+            F.min("pstart").alias("pstart"), F.max("pend").alias("pend")
+        )
+        terms = (
+            spans.alias("u")
+            .join(terms.alias("t"), _same_plan(keys), "left")
+            .select("u.*", *[f"t.{c}" for c in (*PAYMENT_DEFAULTS, *_RATES)])
+        )
+        uses = uses.drop("pstart", "pend")
+    joined = (
+        uses.alias("u")
+        .join(terms.alias("t"), _same_plan(keys), "left")
         .select(
-            *[f"e.{k}" for k in keys],
-            *[f"e.{c}" for c in ("treatment", "state", "p_prog", "QoL", "p_death", "payment")],
-            *[f"t.{c}" for c in (*_TERMS, *_RATES)],
+            *[f"u.{c}" for c in (*named, "payment")],
+            *[F.expr(f"coalesce({c}, 0D) AS {c}") for c in PAYMENT_DEFAULTS],
+            "pstart",
+            "pend",
+            *_RATES,
         )
     )
-    chains = chain_rows(
-        spread(priced, [*keys, "treatment"], partitions),
-        keys,
-        ["p_prog", "p_death", "QoL", "payment", *_TERMS],
-        [
-            F.max("time_horizon").cast("int").alias("time_horizon"),
-            F.max("discount").alias("discount"),
-            F.max("firm_discount").alias("firm_discount"),
-        ],
+    # Spread like the knots, so that whichever side is streamed keeps its partitions.
+    offered = spread(joined, named, partitions).groupBy(*named).agg(
+        F.collect_list(F.struct("payment", *_TERMS)).alias("plans"),
+        F.expr("CAST(max(time_horizon) AS INT)").alias("time_horizon"),
+        F.max("discount").alias("discount"),
+        F.max("firm_discount").alias("firm_discount"),
     )
+    copied = ", ".join(f"'{t}', p.{t}" for t in _TERMS)
+    priced = f"""transform(states, s -> transform(
+        filter(plans, p -> p.payment <=> s.payment), p -> named_struct('state', s.state,
+            'p_prog', s.p_prog, 'QoL', s.QoL, 'p_death', s.p_death, 'payment', s.payment,
+            {copied}))[0])"""
+    ready = chains.join(offered, named)
     if arms is not None:
-        names, how = arms
-        chains = chains.join(names, [*keys, "treatment"], how)
-    states = F.col("states")
-    return chains.withColumn(
-        "shares",
-        project_shares(progressive_edges(states), F.size(states), F.col("time_horizon")),
-    )
+        ready = ready.join(arms, named, "left")
+    ready = ready.withColumn("states", F.expr(priced))
+    shares = project_shares(progressive_edges(), "size(states)", "time_horizon")
+    return ready.withColumn("shares", F.expr(shares))
 
 
-def _span_share(shares: Column, plan: Column) -> Column:
-    inside = F.slice(shares, plan["pstart"], plan["pend"] - plan["pstart"] + F.lit(1))
-    return F.aggregate(inside, F.lit(0.0), lambda total, share: total + share)
-
-
-def _amount(plan: Column, period: Column) -> Column:
-    return payment_at(
-        plan, period, F.col("discount"), F.col("firm_discount"), start=plan["pstart"]
-    )
+_SUM = "0D, (total, part) -> total + part"
+_SPAN = "plan.pstart, plan.pend - plan.pstart + 1"
 
 
 def _with_conditions(rows: DataFrame) -> DataFrame:
@@ -127,77 +141,42 @@ def _with_conditions(rows: DataFrame) -> DataFrame:
     than the agreed share has left the plan's states. ``refunds`` (null unless the plan refunds)
     holds the payment back by period, negative.
     """
-    fixed = F.get(F.filter("states", lambda s: s["tot_payment"] > 0), F.lit(0))
-    rows = rows.withColumn("plan", fixed)
-    plan, shares, periods = F.col("plan"), F.col("shares"), F.col("time_horizon")
+    planned = rows.withColumn("plan", F.expr("get(filter(states, s -> s.tot_payment > 0), 0)"))
 
-    stops = plan["aggregate_failure"] > 0
-    entered = F.get(F.get(shares, plan["pstart"] - F.lit(1)), plan["pstart"] - F.lit(1))
-    rows = rows.withColumn(
+    entered = "get(get(shares, plan.pstart - 1), plan.pstart - 1)"
+    inside = f"aggregate(slice(x, {_SPAN}), {_SUM})"
+    stopped = planned.withColumn(
         "stopped",
-        F.when(
-            stops,
-            F.transform(
-                shares,
-                lambda at: entered - _span_share(at, plan) > plan["aggregate_failure"],
-            ),
-        ),
+        F.expr(f"""IF(plan.aggregate_failure > 0,
+            transform(shares, x -> {entered} - {inside} > plan.aggregate_failure), NULL)"""),
     )
 
-    def span_payment(at: Column, index: Column) -> Column:
-        """What the states of the plan's span pay in one period."""
-        due = F.transform(
-            F.slice("states", plan["pstart"], plan["pend"] - plan["pstart"] + F.lit(1)),
-            lambda s: F.get(at, s["state"] - F.lit(1)) * _amount(s, index + F.lit(1)),
-        )
-        paid = F.aggregate(due, F.lit(0.0), lambda total, value: total + value)
-        return F.when(F.get("stopped", index), F.lit(0.0)).otherwise(paid)
-
-    rows = rows.withColumn(
+    # Stop rule: what the span paid while running comes back each time the rule turns.
+    due = f"get(x, s.state - 1) * {payment_sql('(i + 1)', 's.', start='s.pstart')}"
+    span_paid = f"""aggregate(transform(shares, (x, i) -> IF(get(stopped, i), 0D,
+        aggregate(transform(slice(states, {_SPAN}), s -> {due}), {_SUM}))), {_SUM})"""
+    claimed = stopped.withColumn(
         "clawback",
-        F.when(
-            stops & (plan["refund"] > 0),
-            F.aggregate(
-                F.transform(shares, span_payment),
-                F.lit(0.0),
-                lambda total, value: total + value,
-            ),
-        ),
-    )
-    turned = F.transform(
-        "stopped",
-        lambda now, index: F.when(
-            (index > 0) & (now != F.get("stopped", index - F.lit(1))),
-            -(F.col("clawback") * plan["refund"]),
-        ).otherwise(F.lit(0.0)),
+        F.expr(f"""IF(plan.aggregate_failure > 0 AND plan.refund > 0,
+            {span_paid} * plan.refund, NULL)"""),
     )
+    turned = """transform(stopped, (now, i) ->
+        IF(i > 0 AND now != get(stopped, i - 1), -clawback, 0D))"""
 
-    count = F.size("states")
-    last = F.get("states", plan["pend"] - F.lit(1))
-    lives = F.lit(1.0) - last["p_death"]
+    # Individual refund: those who leave the plan's last state get back what was paid before.
     # Moving on from the state before death and dying there end in the same state.
-    leaving = last["p_prog"] * lives + F.when(
-        plan["pend"] + F.lit(1) == count, last["p_death"]
-    ).otherwise(F.lit(0.0))
-    length = plan["contract_length"]
-
-    def paid_back(at: Column, index: Column) -> Column:
-        period = index + F.lit(1)
-        before = F.aggregate(
-            F.sequence(F.lit(1), F.greatest(index, F.lit(1))),
-            F.lit(0.0),
-            lambda total, past: total + _amount(plan, past),
-        )
-        counted = (index > 0) & ((period <= length) | (length >= periods))
-        owed = F.when(counted, before).otherwise(F.lit(0.0))
-        failing = F.get(at, plan["pend"] - F.lit(1)) * leaving
-        return F.coalesce(-(failing * plan["refund"] * owed), F.lit(0.0))
-
-    return rows.withColumn(
+    leaving = """(get(states, plan.pend - 1).p_prog * (1D - get(states, plan.pend - 1).p_death)
+        + IF(plan.pend + 1 = size(states), get(states, plan.pend - 1).p_death, 0D))"""
+    before = f"""aggregate(sequence(1, greatest(i, 1)), 0D,
+        (total, past) -> total + {payment_sql("past", "plan.", start="plan.pstart")})"""
+    counted = """i > 0
+        AND (i + 1 <= plan.contract_length OR plan.contract_length >= time_horizon)"""
+    paid_back = f"""transform(shares, (x, i) -> IF({counted},
+        coalesce(-(get(x, plan.pend - 1) * {leaving} * plan.refund * {before}), 0D), 0D))"""
+    return claimed.withColumn(
         "refunds",
-        F.when(stops & (plan["refund"] > 0), turned).when(
-            plan["refund"] > 0, F.transform(shares, paid_back)
-        ),
+        F.expr(f"""CASE WHEN clawback IS NOT NULL THEN {turned}
+            WHEN plan.refund > 0 THEN {paid_back} END"""),
     )
 
 
@@ -205,60 +184,52 @@ def cells(
     bundle: ModelBundle,
     span_scope: str = "model",
     partitions: int | None = None,
-    arms: tuple[DataFrame, str] | None = None,
+    arms: DataFrame | None = None,
 ) -> DataFrame:
     """One row per treatment, period and state with share, cost, refund and QALY.
 
     The refund of a period stands on the row of state 1, null where no refund was agreed.
-    ``cost`` is null in states without a plan.
+    ``cost`` is null in states without a plan. Columns of ``arms`` are passed on.
     """
     keys = list(bundle.keys)
+    passed = [] if arms is None else [c for c in arms.columns if c not in (*keys, "treatment")]
+    named = [*keys, "treatment", *passed]
     rows = _with_conditions(cohort_rows(bundle, span_scope, partitions, arms))
-    by_period = rows.select(
-        *keys,
-        "treatment",
+    by_period = rows.selectExpr(
+        *named,
         "states",
         "discount",
         "firm_discount",
-        F.col("plan.pstart").alias("__from"),
-        F.col("plan.pend").alias("__to"),
+        "plan.pstart AS first_paid",
+        "plan.pend AS last_paid",
         "stopped",
         "refunds",
-        F.posexplode("shares").alias("__t", "__shares"),
-    ).select(
-        "*",
-        (F.col("__t") + 1).alias("time"),
-        F.get("stopped", F.col("__t")).alias("__off"),
-        F.get("refunds", F.col("__t")).alias("__refund"),
+        "posexplode_outer(shares) AS (elapsed, reached)",
     )
-    flat = by_period.select(
-        *keys,
-        "treatment",
-        "time",
+    by_state = by_period.selectExpr(
+        *named,
+        "elapsed + 1 AS time",
         "discount",
         "firm_discount",
-        "__from",
-        "__to",
-        "__off",
-        "__refund",
-        "__shares",
-        F.explode("states").alias("s"),
+        "first_paid",
+        "last_paid",
+        "get(stopped, elapsed) AS off",
+        "get(refunds, elapsed) AS refund",
+        "reached",
+        "explode_outer(states) AS s",
     )
-    state = F.col("s.state")
-    share = F.get("__shares", state - F.lit(1))
-    off = F.coalesce(F.col("__off") & state.between(F.col("__from"), F.col("__to")), F.lit(False))
-    cost = F.when(off, F.lit(0.0)).otherwise(share * _amount(F.col("s"), F.col("time")))
-    weight = discount_factor(F.col("discount"), F.col("time"))
-    return flat.select(
-        *keys,
-        "treatment",
+    halted = "coalesce(off AND s.state BETWEEN first_paid AND last_paid, false)"
+    share = "get(reached, s.state - 1)"
+    return by_state.selectExpr(
+        *named,
         "time",
-        state.alias("state"),
-        F.col("s.payment").alias("payment"),
-        share.alias("share"),
-        F.when(F.col("s.payment").isNotNull(), cost).alias("cost"),
-        F.when(state == 1, F.col("__refund")).alias("refund"),
-        (share * F.col("s.QoL") * weight).alias("qaly"),
+        "s.state AS state",
+        "s.payment AS payment",
+        f"{share} AS share",
+        f"""CASE WHEN s.payment IS NULL THEN NULL WHEN {halted} THEN 0D
+            ELSE {share} * {payment_sql("time", "s.", start="s.pstart")} END AS cost""",
+        "IF(s.state = 1, refund, NULL) AS refund",
+        f"{share} * s.QoL * {discount_factor_sql('discount', 'time')} AS qaly",
     )
 
 
@@ -323,17 +294,17 @@ def totals(
     bundle: ModelBundle,
     span_scope: str = "model",
     partitions: int | None = None,
-    arms: tuple[DataFrame, str] | None = None,
+    arms: DataFrame | None = None,
 ) -> DataFrame:
     """``treatment, Cost, QALY``; one aggregation straight from the cells."""
+    passed = [] if arms is None else [c for c in arms.columns if c not in bundle.keys]
+    by = dict.fromkeys([*bundle.keys, "treatment", *passed])
     return (
         cells(bundle, span_scope, partitions, arms)
-        .groupBy(*bundle.keys, "treatment")
+        .groupBy(*by)
         .agg(
-            (
-                F.coalesce(F.sum("cost"), F.lit(0.0)) + F.coalesce(F.sum("refund"), F.lit(0.0))
-            ).alias("Cost"),
-            F.coalesce(F.sum("qaly"), F.lit(0.0)).alias("QALY"),
+            F.expr("coalesce(sum(cost), 0D) + coalesce(sum(refund), 0D)").alias("Cost"),
+            F.expr("coalesce(sum(qaly), 0D)").alias("QALY"),
         )
     )
 
@@ -359,14 +330,13 @@ def incremental(
 ) -> DataFrame:
     """``Treatments, QALY, Cost, ICER`` of each active treatment against each control.
 
-    Who is a control depends on names alone, so it is settled before the projection: each side
-    projects only its own treatments, from the same shuffled states.
+    Who is a control depends on names alone, so it is settled before the projection: the filter
+    on either side of the comparison reaches below it, and each side projects only its own
+    treatments from the same shuffled states.
     """
-    keys = list(bundle.keys)
-    names = controls_of(bundle)
-    active = totals(bundle, span_scope, partitions, (names, "left_anti"))
-    control = totals(bundle, span_scope, partitions, (names, "left_semi"))
-    return compare(active, control, keys)
+    names = controls_of(bundle).withColumn("is_control", F.lit(True))
+    arms = totals(bundle, span_scope, partitions, names)
+    return compare(arms.where("is_control IS NULL"), arms.where("is_control"), bundle.keys)
 
 
 def controls_of(bundle: ModelBundle) -> DataFrame:
@@ -401,10 +371,10 @@ def plan_listing(bundle: ModelBundle) -> DataFrame:
     )
     return payment_schedule(
         starts,
-        F.col("time_horizon"),
-        discount=F.col("discount"),
-        firm_discount=F.col("firm_discount"),
-        start=F.col("start"),
+        "time_horizon",
+        discount="discount",
+        firm_discount="firm_discount",
+        start="start",
         keep=[*keys, "payment_plan", "start"],
     )
 
