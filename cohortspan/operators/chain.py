@@ -31,15 +31,16 @@ def project_shares(edges: str, count: str, horizon: str) -> str:
     Everybody is in state 1 in period 1; each later period moves the shares along the edges.
     The chain of one treatment is a short array, so the recurrence runs inside its row.
 
-    The one-element ``transform`` binds the edges, sorted by where they lead, once for all
-    periods: written inside the recurrence they would be evaluated in each.
+    A one-element ``transform`` binds its value once: the edges, sorted by where they lead, would
+    be evaluated again in each period if they were written inside the recurrence.
     """
     start = f"transform(sequence(1, {count}), s -> IF(s = 1, 1D, 0D))"
-    arrivals = f"transform(sequence(1, {count}), s -> filter({edges}, e -> e.to_state = s))"
+    arrivals = f"""transform(array({edges}), every ->
+        transform(sequence(1, {count}), s -> filter(every, e -> e.to_state = s)))[0]"""
     moved = """transform(inflow, arriving -> aggregate(arriving, 0D,
         (total, e) -> total + get(element_at(done, -1), e.from_state - 1) * e.p))"""
     later = f"""aggregate(sequence(2, greatest({horizon}, 2)), array({start}),
-        (done, t) -> concat(done, array({moved})))"""
+        (done, t) -> array_append(done, {moved}))"""
     return f"""transform(array({arrivals}), inflow ->
         IF({horizon} >= 2, {later}, array({start})))[0]"""
 
@@ -47,8 +48,6 @@ def project_shares(edges: str, count: str, horizon: str) -> str:
 # One knot to the states it stands for. ``o`` runs over the knots of the same chain.
 _GIVEN = "filter(knots, o -> o.QoL IS NOT NULL AND o.state <= k.state)"
 _LATER = "filter(knots, o -> o.QoL IS NOT NULL AND o.state > k.state)"
-_SEGMENT = f"get({_GIVEN}, size({_GIVEN}) - 1)"
-_SEGMENT_END = f"coalesce(get({_LATER}, 0).state, element_at(knots, -1).state + 1)"
 
 
 def expanded_states(fields: Sequence[str]) -> str:
@@ -62,13 +61,13 @@ def expanded_states(fields: Sequence[str]) -> str:
         'k', k,
         'until', coalesce(get(knots, j + 1).state, k.state + 1),
         'target', coalesce(get(knots, j + 1).QoL, 0D),
-        'since', {_SEGMENT}.state,
-        'ends', {_SEGMENT_END},
-        'filled', {_SEGMENT}.QoL)"""
+        'segment', try_element_at({_GIVEN}, -1),
+        'ends', coalesce(get({_LATER}, 0).state, element_at(knots, -1).state + 1))"""
     passed = ", ".join(f"'{f}', f.k.{f}" for f in fields)
     state = f"""named_struct(
         'state', n - knots[0].state + 1,
-        'QoL', f.filled - (f.filled - f.target) * (n - f.since) / (f.ends - f.since),
+        'QoL', f.segment.QoL - (f.segment.QoL - f.target)
+            * (n - f.segment.state) / (f.ends - f.segment.state),
         {passed})"""
     return f"""flatten(transform(
         filter(transform(knots, (k, j) -> {facts}), f -> f.until > f.k.state),

@@ -57,14 +57,21 @@ def split_cells(df: DataFrame, column: str, delimiter: str = " +") -> DataFrame:
 def matrix_cells(
     df: DataFrame, matrix: str, row: str = "time", column: str = "state", value: str = "value"
 ) -> DataFrame:
-    """ARRAY<ARRAY<..>> to 1-based coordinates."""
+    """ARRAY<ARRAY<..>> to 1-based coordinates; empty rows and null matrices give none.
+
+    The outer forms keep Spark from inferring a size filter on the matrix, which would evaluate
+    an expensive matrix expression a second time.
+    """
     rest = [c for c in df.columns if c != matrix]
-    rows = df.select(*rest, F.posexplode(matrix).alias("__row", "__line"))
-    return rows.select(
+    lines = df.select(*rest, F.posexplode_outer(matrix).alias("__row", "__line"))
+    cells = lines.select(
         *rest,
         (F.col("__row") + 1).alias(row),
-        F.posexplode("__line").alias("__column", value),
-    ).select(*rest, row, (F.col("__column") + 1).alias(column), value)
+        F.posexplode_outer("__line").alias("__column", value),
+    )
+    return cells.where("__column IS NOT NULL").select(
+        *rest, row, (F.col("__column") + 1).alias(column), value
+    )
 
 
 def flag_cells(

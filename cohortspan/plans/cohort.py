@@ -29,7 +29,6 @@ from cohortspan.tables import GLOBAL_DEFAULTS, PAYMENT_DEFAULTS, ModelBundle
 REFUND = "Refund"
 QALY = "QALY"
 
-_TERMS = [*PAYMENT_DEFAULTS, "pstart", "pend"]
 _RATES = ["time_horizon", "discount", "firm_discount"]
 
 
@@ -65,7 +64,7 @@ def cohort_rows(
     partitions: int | None = None,
     arms: DataFrame | None = None,
 ) -> DataFrame:
-    """One row per treatment: its priced states, the rates and the projected shares.
+    """One row per treatment: its states, the plans they use, rates and projected shares.
 
     ``span_scope`` tells whether a plan spans its states in the whole model or in each treatment.
     ``arms`` adds its columns by ``(keys, treatment)`` before the projection, so that a later
@@ -112,20 +111,16 @@ def cohort_rows(
     )
     # Spread like the knots, so that whichever side is streamed keeps its partitions.
     offered = spread(joined, named, partitions).groupBy(*named).agg(
-        F.collect_list(F.struct("payment", *_TERMS)).alias("plans"),
+        F.array_sort(F.collect_list(F.struct("pstart", "payment", "pend", *PAYMENT_DEFAULTS))).alias(
+            "plans"
+        ),
         F.expr("CAST(max(time_horizon) AS INT)").alias("time_horizon"),
         F.max("discount").alias("discount"),
         F.max("firm_discount").alias("firm_discount"),
     )
-    copied = ", ".join(f"'{t}', p.{t}" for t in _TERMS)
-    priced = f"""transform(states, s -> transform(
-        filter(plans, p -> p.payment <=> s.payment), p -> named_struct('state', s.state,
-            'p_prog', s.p_prog, 'QoL', s.QoL, 'p_death', s.p_death, 'payment', s.payment,
-            {copied}))[0])"""
     ready = chains.join(offered, named)
     if arms is not None:
         ready = ready.join(arms, named, "left")
-    ready = ready.withColumn("states", F.expr(priced))
     shares = project_shares(progressive_edges(), "size(states)", "time_horizon")
     return ready.withColumn("shares", F.expr(shares))
 
@@ -141,7 +136,7 @@ def _with_conditions(rows: DataFrame) -> DataFrame:
     than the agreed share has left the plan's states. ``refunds`` (null unless the plan refunds)
     holds the payment back by period, negative.
     """
-    planned = rows.withColumn("plan", F.expr("get(filter(states, s -> s.tot_payment > 0), 0)"))
+    planned = rows.withColumn("plan", F.expr("get(filter(plans, p -> p.tot_payment > 0), 0)"))
 
     entered = "get(get(shares, plan.pstart - 1), plan.pstart - 1)"
     inside = f"aggregate(slice(x, {_SPAN}), {_SUM})"
@@ -152,9 +147,11 @@ def _with_conditions(rows: DataFrame) -> DataFrame:
     )
 
     # Stop rule: what the span paid while running comes back each time the rule turns.
-    due = f"get(x, s.state - 1) * {payment_sql('(i + 1)', 's.', start='s.pstart')}"
+    members = """transform(filter(states, s -> s.payment <=> p.payment
+        AND s.state BETWEEN plan.pstart AND plan.pend), s -> get(x, s.state - 1))"""
+    due = f"aggregate({members}, {_SUM}) * {payment_sql('(i + 1)', 'p.', start='p.pstart')}"
     span_paid = f"""aggregate(transform(shares, (x, i) -> IF(get(stopped, i), 0D,
-        aggregate(transform(slice(states, {_SPAN}), s -> {due}), {_SUM}))), {_SUM})"""
+        aggregate(transform(plans, p -> {due}), {_SUM}))), {_SUM})"""
     claimed = stopped.withColumn(
         "clawback",
         F.expr(f"""IF(plan.aggregate_failure > 0 AND plan.refund > 0,
@@ -195,7 +192,14 @@ def cells(
     passed = [] if arms is None else [c for c in arms.columns if c not in (*keys, "treatment")]
     named = [*keys, "treatment", *passed]
     rows = _with_conditions(cohort_rows(bundle, span_scope, partitions, arms))
-    by_period = rows.selectExpr(
+    terms = ", ".join(f"'{t}', p.{t}" for t in (*PAYMENT_DEFAULTS, "pstart"))
+    priced = rows.withColumn(
+        "states",
+        F.expr(f"""transform(states, s -> transform(
+            filter(plans, p -> p.payment <=> s.payment), p -> named_struct('state', s.state,
+                'QoL', s.QoL, 'payment', s.payment, {terms}))[0])"""),
+    )
+    by_period = priced.selectExpr(
         *named,
         "states",
         "discount",
@@ -233,28 +237,77 @@ def cells(
     )
 
 
-def _lines(cell: DataFrame, by: Sequence[str]) -> DataFrame:
-    """Sum of cells as ``(by, costben, value)``: each plan, the refund and the QALY."""
+def lines(
+    bundle: ModelBundle,
+    span_scope: str = "model",
+    partitions: int | None = None,
+    arms: DataFrame | None = None,
+) -> DataFrame:
+    """``treatment, time, costben, value``: each plan, the refund and the QALY by period.
 
-    def line(name: Column, value: Column) -> Column:
-        return F.struct(name.alias("costben"), value.alias("value"))
+    A plan asks the same of all its states, so a line is one weighted sum of the period's shares
+    times one amount. Rows come out final: nothing is exploded by state or summed up again.
+    """
+    keys = list(bundle.keys)
+    passed = [] if arms is None else [c for c in arms.columns if c not in (*keys, "treatment")]
+    named = [*keys, "treatment", *passed]
+    rows = _with_conditions(cohort_rows(bundle, span_scope, partitions, arms))
 
-    parts = F.array(
-        F.when(F.col("payment").isNotNull(), line(F.col("payment"), F.col("cost"))),
-        F.when(F.col("refund").isNotNull(), line(F.lit(REFUND), F.col("refund"))),
-        line(F.lit(QALY), F.col("qaly")),
+    def line(kind: str, name: str, terms: str, weights: str, running: str) -> str:
+        return f"""named_struct('kind', '{kind}', 'costben', {name}, 'terms', {terms},
+            'weights', {weights}, 'stopped_weights', {running})"""
+
+    uses = "s.payment <=> p.payment"
+    free = f"{uses} AND NOT s.state BETWEEN plan.pstart AND plan.pend"
+    none, nothing = "get(plans, size(plans))", "CAST(NULL AS ARRAY<DOUBLE>)"
+    plan = line(
+        "plan",
+        "p.payment",
+        "p",
+        f"transform(states, s -> IF({uses}, 1D, 0D))",
+        f"IF(stopped IS NULL, NULL, transform(states, s -> IF({free}, 1D, 0D)))",
     )
-    # Summed per plan first: a third of the rows would otherwise be unpivoted for nothing.
-    summed = cell.groupBy(*by, "payment").agg(
-        F.sum("cost").alias("cost"),
-        F.sum("refund").alias("refund"),
-        F.sum("qaly").alias("qaly"),
+    health = line("qaly", f"'{QALY}'", none, "states.QoL", nothing)
+    refund = line("refund", f"'{REFUND}'", none, nothing, nothing)
+    listed = rows.selectExpr(
+        *named,
+        "discount",
+        "firm_discount",
+        "stopped",
+        "refunds",
+        "shares",
+        f"""concat(transform(filter(plans, p -> p.payment IS NOT NULL), p -> {plan}),
+            array({health}), IF(refunds IS NULL, array(), array({refund}))) AS listed""",
     )
-    long = summed.select(*by, F.explode(parts).alias("l")).where(F.col("l").isNotNull())
-    return (
-        long.select(*by, "l.costben", "l.value")
-        .groupBy(*by, "costben")
-        .agg(F.sum("value").alias("value"))
+    by_line = listed.selectExpr(
+        *named,
+        "discount",
+        "firm_discount",
+        "stopped",
+        "refunds",
+        "listed",
+        "posexplode_outer(shares) AS (elapsed, reached)",
+    ).selectExpr(
+        *named,
+        "elapsed + 1 AS time",
+        "discount",
+        "firm_discount",
+        "get(stopped, elapsed) AS off",
+        "get(refunds, elapsed) AS refund",
+        "reached",
+        "explode_outer(listed) AS l",
+    )
+    weights = "IF(l.kind = 'plan' AND off, l.stopped_weights, l.weights)"
+    dot = f"aggregate(zip_with(reached, {weights}, (share, w) -> share * w), {_SUM})"
+    return by_line.selectExpr(
+        *named,
+        "time",
+        "l.costben AS costben",
+        "l.kind AS kind",
+        f"""CASE l.kind WHEN 'refund' THEN refund
+            WHEN 'qaly' THEN {dot} * {discount_factor_sql('discount', 'time')}
+            ELSE {dot} * {payment_sql("time", "l.terms.", start="l.terms.pstart")}
+            END AS value""",
     )
 
 
@@ -262,9 +315,7 @@ def over_time(
     bundle: ModelBundle, span_scope: str = "model", partitions: int | None = None
 ) -> DataFrame:
     """``treatment, time, costben, value`` of every treatment."""
-    return _lines(
-        cells(bundle, span_scope, partitions), [*bundle.keys, "treatment", "time"]
-    )
+    return lines(bundle, span_scope, partitions).drop("kind")
 
 
 def cost_series(series: DataFrame) -> DataFrame:
@@ -279,14 +330,17 @@ def detail(
     bundle: ModelBundle, span_scope: str = "model", partitions: int | None = None
 ) -> DataFrame:
     """``treatment, payment, cost, QALY``: a row per plan and one, without a plan, for QALY."""
-    lines = _lines(cells(bundle, span_scope, partitions), [*bundle.keys, "treatment"])
-    health = F.col("costben") == QALY
-    return lines.select(
+    summed = (
+        lines(bundle, span_scope, partitions)
+        .groupBy(*bundle.keys, "treatment", "kind", "costben")
+        .agg(F.sum("value").alias("value"))
+    )
+    return summed.selectExpr(
         *bundle.keys,
         "treatment",
-        F.when(~health, F.col("costben")).alias("payment"),
-        F.when(~health, F.col("value")).alias("cost"),
-        F.when(health, F.col("value")).alias("QALY"),
+        "IF(kind = 'qaly', NULL, costben) AS payment",
+        "IF(kind = 'qaly', NULL, value) AS cost",
+        "IF(kind = 'qaly', value, NULL) AS QALY",
     )
 
 
@@ -296,15 +350,15 @@ def totals(
     partitions: int | None = None,
     arms: DataFrame | None = None,
 ) -> DataFrame:
-    """``treatment, Cost, QALY``; one aggregation straight from the cells."""
+    """``treatment, Cost, QALY``; one aggregation straight from the lines."""
     passed = [] if arms is None else [c for c in arms.columns if c not in bundle.keys]
     by = dict.fromkeys([*bundle.keys, "treatment", *passed])
     return (
-        cells(bundle, span_scope, partitions, arms)
+        lines(bundle, span_scope, partitions, arms)
         .groupBy(*by)
         .agg(
-            F.expr("coalesce(sum(cost), 0D) + coalesce(sum(refund), 0D)").alias("Cost"),
-            F.expr("coalesce(sum(qaly), 0D)").alias("QALY"),
+            F.expr("coalesce(sum(IF(kind != 'qaly', value, NULL)), 0D)").alias("Cost"),
+            F.expr("coalesce(sum(IF(kind = 'qaly', value, NULL)), 0D)").alias("QALY"),
         )
     )
 
