@@ -68,7 +68,7 @@ def _read_table(
         raise ModelReadError(f"no column {missing} in {path}")
     if fmt == "csv" and "present_columns" in df.columns:
         df = df.withColumn("present_columns", F.split("present_columns", ";"))
-    if "row_id" not in df.columns:
+    if "row_id" not in df.columns and columns is not GLOBAL_COLUMNS:
         # Order in the file; only ever compared within a table.
         df = df.withColumn("row_id", F.monotonically_increasing_id() + 1)
     return df
