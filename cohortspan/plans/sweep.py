@@ -75,34 +75,46 @@ def variation_rows(
     ).where("value IS NOT NULL")
 
 
-def variants(
-    scenarios: DataFrame, keys: Sequence[str], cells: Sequence[Cell]
-) -> DataFrame:
-    """``(keys, variant_id, one column per cell)``: all combinations, for each scenario.
+def _exploded(df: DataFrame, cells: Sequence[Cell]) -> DataFrame:
+    """A copy of each row per combination, with ``v0, v1, ...`` and the combination's number.
 
-    Each cell's values are exploded in turn inside the scenario's row.
+    Each cell's values are exploded in turn inside the row. The first cell varies slowest.
     """
-    grid = scenarios
-    number = F.lit(0)
+    kept, number = df.columns, "0"
     for at, cell in enumerate(cells):
-        grid = grid.selectExpr("*", f"posexplode({cell.values}) AS (i{at}, v{at})")
-        number = number * F.expr(f"size({cell.values})") + F.col(f"i{at}")
-    return grid.select(
-        *keys,
-        number.alias(VARIANT),
-        *[F.col(f"v{at}").alias(f"v{at}") for at in range(len(cells))],
+        df = df.selectExpr("*", f"posexplode({cell.values}) AS (i{at}, v{at})")
+        number = f"({number}) * size({cell.values}) + i{at}"
+    values = [f"v{at}" for at in range(len(cells))]
+    return df.select(*kept, F.expr(number).alias(VARIANT), *values)
+
+
+def variants(scenarios: DataFrame, keys: Sequence[str], cells: Sequence[Cell]) -> DataFrame:
+    """``(keys, variant_id, v0, v1, ...)``: all combinations for each scenario."""
+    return _exploded(scenarios, cells).select(
+        *keys, VARIANT, *[f"v{at}" for at in range(len(cells))]
     )
 
 
+def _value_at(cells: Sequence[Cell], at: int) -> Column:
+    """The value that constant cell ``at`` has in a variant, from the variant's number."""
+    behind = " * ".join([f"size({c.values})" for c in cells[at + 1 :]]) or "1"
+    return F.expr(f"{cells[at].values}[{VARIANT} DIV ({behind}) % size({cells[at].values})]")
+
+
 def _vary(
-    table: DataFrame, grid: DataFrame, keys: Sequence[str], cells: Sequence[tuple[int, Cell]],
+    table: DataFrame,
+    grid: DataFrame | None,
+    keys: Sequence[str],
+    cells: Sequence[Cell],
+    mine: Sequence[int],
     names: Sequence[str],
 ) -> DataFrame:
     """One copy of the table's rows per variant, with the named cells replaced."""
-    copies = table.join(grid, list(keys))
+    copies = _exploded(table, cells) if grid is None else table.join(grid, list(keys))
     label = F.concat_ws("/", *[F.col(n).cast("string") for n in names])
     changed: dict[str, Column] = {}
-    for at, cell in cells:
+    for at in mine:
+        cell = cells[at]
         kept = changed.get(cell.column, F.col(cell.column))
         kind = table.schema[cell.column].dataType
         changed[cell.column] = F.when(label == cell.row, F.col(f"v{at}").cast(kind)).otherwise(kept)
@@ -114,28 +126,30 @@ def _vary(
 
 
 def vary(
-    bundle: ModelBundle | LegacyBundle, grid: DataFrame, cells: Sequence[Cell]
+    bundle: ModelBundle | LegacyBundle, grid: DataFrame | None, cells: Sequence[Cell]
 ) -> ModelBundle | LegacyBundle:
-    """The bundle of all variants, keyed by scenario and variant."""
+    """The bundle of all variants, keyed by scenario and variant.
+
+    Without a ``grid`` the cells' values are constants and are exploded in the tables' own rows,
+    which takes no join.
+    """
     keys = list(bundle.keys)
-    by_field: dict[str, list[tuple[int, Cell]]] = {}
+    by_field: dict[str, list[int]] = {}
     for at, cell in enumerate(cells):
-        if cell.table not in TABLES:
-            raise ValueError(f"Could not find table: {cell.table}")
-        field, _ = TABLES[cell.table]
-        if not hasattr(bundle, field):
+        field, _ = TABLES.get(cell.table, (None, None))
+        if field is None or not hasattr(bundle, field):
             raise ValueError(f"Could not find table: {cell.table}")
         if cell.column not in getattr(bundle, field).columns:
-            raise ValueError(
-                f"Could not find column: {cell.column} in table: {cell.table}"
-            )
-        by_field.setdefault(field, []).append((at, cell))
+            raise ValueError(f"Could not find column: {cell.column} in table: {cell.table}")
+        by_field.setdefault(field, []).append(at)
     rows_of = {field: names for field, names in TABLES.values()}
     data = ["treatments", "contracts", "globals"]
     if isinstance(bundle, ModelBundle):
         data = ["states", "payments", "globals"]
     tables = {
-        field: _vary(getattr(bundle, field), grid, keys, by_field.get(field, []), rows_of[field])
+        field: _vary(
+            getattr(bundle, field), grid, keys, cells, by_field.get(field, []), rows_of[field]
+        )
         for field in data
     }
     return bundle.with_tables(keys=(*keys, VARIANT), **tables)
@@ -150,22 +164,23 @@ def sweep(
 ) -> DataFrame:
     """Run ``analyse`` once over every combination and label its rows with the values used.
 
-    ``scenarios`` gives the scenarios (and columns that cell values refer to); by default those
-    of the globals table. Labels are column names, with the row's name in front when
+    ``scenarios`` gives the scenarios with the columns that cell values refer to; without it the
+    values are constants. Labels are column names, with the row's name in front when
     ``add_row_names`` or when two cells share a column.
     """
     keys = list(bundle.keys)
-    if scenarios is None:
-        scenarios = bundle.globals.select(*keys).distinct()
-    grid = variants(scenarios, keys, cells)
     names = [c.name for c in cells]
     labels = [
         f"{c.row} {c.column}" if add_row_names or names.count(c.name) > 1 else c.name
         for c in cells
     ]
+    grid = None if scenarios is None else variants(scenarios, keys, cells)
     result = analyse(vary(bundle, grid, cells))
-    used = grid.select(
+    taken = [c for c in result.columns if c not in (*keys, VARIANT)]
+    if grid is None:
+        used = [_value_at(cells, at).alias(label) for at, label in enumerate(labels)]
+        return result.select(*keys, VARIANT, *used, *taken)
+    known = grid.select(
         *keys, VARIANT, *[F.col(f"v{at}").alias(label) for at, label in enumerate(labels)]
     )
-    taken = [c for c in result.columns if c not in (*keys, VARIANT)]
-    return used.join(result, [*keys, VARIANT]).select(*keys, VARIANT, *labels, *taken)
+    return known.join(result, [*keys, VARIANT]).select(*keys, VARIANT, *labels, *taken)

@@ -3,7 +3,7 @@ from pyspark.sql import functions as F
 
 from cohortspan.operators.chain import transition_edges, transition_table
 from cohortspan.operators.expand import expand_states, state_table
-from cohortspan.plans import cohort
+from cohortspan.plans import cohort, sweep
 from tests.models import COMP, GOLDEN, MODELS, TR, bundle_of
 
 PRICED = [name for name in MODELS if name != "errors-test"]
@@ -171,3 +171,29 @@ def test_series_split(bundle, series):
     costs, health = cohort.cost_series(every), cohort.qaly_series(every)
     assert costs.count() + health.count() == len(series)
     assert {r["costben"] for r in health.select("costben").distinct().collect()} == {"QALY"}
+
+
+def test_sweep_with_values_of_the_scenario(spark, bundle):
+    """Cells may take their values from scenario columns; other models stay as they are."""
+    scenarios = bundle.globals.select("scenario_id").distinct().withColumn(
+        "length", F.when(F.col("scenario_id") == "F", 10.0).otherwise(1.0)
+    )
+    cells = [
+        sweep.Cell("payment_table", "For ATMP tr. 1", "contract_length", "array(1D, length)"),
+        sweep.Cell("state_table", "ATMP/1", "p_prog", "array(0D, 0.05D)"),
+    ]
+    swept = sweep.sweep(bundle, cells, cohort.incremental, scenarios).where("scenario_id = 'F'")
+    rows = {
+        (r["contract_length"], r["p_prog"]): r["ICER"]
+        for r in swept.where("Treatments = 'ATMP - Comparison'").collect()
+    }
+    known = {key[1].split(" - ")[0]: v[2] for key, v in GOLDEN.items() if key[0] == "F"}
+    assert rows == pytest.approx(
+        {
+            (1.0, 0.05): known["ATMP"],
+            (10.0, 0.05): known["ATMP 10 yr"],
+            (1.0, 0.0): known["ATMP cert"],
+            (10.0, 0.0): known["ATMP cert 10 yr"],
+        },
+        abs=2e-6,
+    )
