@@ -58,6 +58,21 @@ def _same_plan(keys: Sequence[str]) -> list[Column]:
     ]
 
 
+def _plan_ranges() -> str:
+    """SQL for the plans of a chain's ``knots`` with their first and last state.
+
+    A knot covers the states up to the next one, so no state has to be expanded for this.
+    """
+    ranges = """filter(transform(knots, (k, j) -> named_struct('payment', k.payment,
+        'low', k.state - knots[0].state + 1,
+        'high', coalesce(get(knots, j + 1).state, k.state + 1) - knots[0].state)),
+        r -> r.high >= r.low)"""
+    return f"""transform(array({ranges}), every -> transform(array_distinct(every.payment),
+        p -> named_struct('payment', p,
+            'pstart', array_min(filter(every, r -> r.payment <=> p).low),
+            'pend', array_max(filter(every, r -> r.payment <=> p).high))))[0]"""
+
+
 def cohort_rows(
     bundle: ModelBundle,
     span_scope: str = "model",
@@ -80,13 +95,7 @@ def cohort_rows(
     )
     fields = ["p_prog", "p_death", "payment"]
     chains = knots.select(*named, F.expr(expanded_states(fields)).alias("states"))
-    uses = chains.selectExpr(
-        *named,
-        """inline_outer(transform(array_distinct(states.payment), p -> named_struct(
-            'payment', p,
-            'pstart', array_min(filter(states, s -> s.payment <=> p).state),
-            'pend', array_max(filter(states, s -> s.payment <=> p).state))))""",
-    )
+    uses = knots.selectExpr(*named, f"inline_outer({_plan_ranges()}) AS (payment, pstart, pend)")
     terms = plan_terms(bundle)
     if span_scope == "model":
         spans = uses.groupBy(*keys, "payment").agg(
