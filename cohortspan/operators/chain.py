@@ -92,7 +92,7 @@ def gather_chains(
 
 
 def transition_edges(states: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Long transition matrix ``(keys, treatment, from_state, to_state, p)`` without zeros.
+    """Long transition matrix ``(keys, treatment, from_state, to_state, p)``: a row per possible move.
 
     ``states`` has a row per state (see ``expand_states``).
     """

@@ -210,7 +210,10 @@ def _local(steps: dict[str, Step], group, order: Sequence[str]) -> dict[str, Col
     ordered = group.orderBy(*order)
     upto = ordered.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     before = ordered.rowsBetween(Window.unboundedPreceding, -1)
-    onward = ordered.rowsBetween(Window.currentRow, Window.unboundedFollowing)
+    # Looking ahead is a running frame in reverse order: a frame that reaches to the end of the
+    # group would be read again from every row.
+    reverse = group.orderBy(*[F.col(c).desc_nulls_last() for c in order])
+    onward = reverse.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     made = {}
     for name, step in steps.items():
         value = F.col(f"__in_{name}")
@@ -225,7 +228,7 @@ def _local(steps: dict[str, Step], group, order: Sequence[str]) -> dict[str, Col
         elif step.kind == "last_valid":
             made[name] = F.last(value, ignorenulls=True).over(upto)
         elif step.kind == "next_valid":
-            made[name] = F.first(value, ignorenulls=True).over(onward)
+            made[name] = F.last(value, ignorenulls=True).over(onward)
         elif step.kind == "previous":
             made[name] = F.lag(value).over(ordered)
         elif step.kind == "following":
@@ -260,7 +263,7 @@ def _carry(
     group = Window.partitionBy(*keys)
     ordered = group.orderBy(_BLOCK)
     before = ordered.rowsBetween(Window.unboundedPreceding, -1)
-    after = ordered.rowsBetween(1, Window.unboundedFollowing)
+    after = group.orderBy(F.desc(_BLOCK)).rowsBetween(Window.unboundedPreceding, -1)
     made = []
     for name, step in steps.items():
         value = F.col(name)
@@ -273,7 +276,7 @@ def _carry(
         elif step.kind == "last_valid":
             carried = F.last(value, ignorenulls=True).over(before)
         elif step.kind == "next_valid":
-            carried = F.first(value, ignorenulls=True).over(after)
+            carried = F.last(value, ignorenulls=True).over(after)
         elif step.kind == "previous":
             carried = F.lag(value).over(ordered)
         else:
