@@ -34,7 +34,7 @@ def steps():
         "total": scan.group_total(F.col("value")),
         "top": scan.running_max(F.col("value")),
         "filled": scan.last_valid(F.col("value")),
-        "ahead": scan.next_valid(F.col("word")),
+        "ahead": scan.next_valid(F.col("value")),
         "was": scan.previous(F.col("value")),
         "then": scan.following(F.col("word")),
     }
@@ -59,7 +59,7 @@ def brute(rows):
                 "total": sum(given) if given else None,
                 "top": max(upto) if upto else None,
                 "filled": upto[-1] if upto else None,
-                "ahead": r["word"],
+                "ahead": next((g["value"] for g in group[i:] if g["value"] is not None), None),
                 "was": group[i - 1]["value"] if i else None,
                 "then": group[i + 1]["word"] if i + 1 < len(group) else None,
             }
