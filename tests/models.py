@@ -10,7 +10,7 @@ from cohortspan.tables import (
 )
 
 COMP = "For comparator tr."
-TR = "For ATMP tr."
+TR = "For Active tr."
 G0 = {"discount": 0.0, "firm_discount": 0.0, "time_horizon": 20.0, "control_count": 1.0}
 G1 = {**G0, "discount": 0.03, "firm_discount": 0.1}
 
@@ -31,7 +31,7 @@ def plan(payment, **terms):
 # name -> (states, plans, columns present in the plan table, globals)
 MODELS = {
     "A-test": (
-        four("ATMP", 0.05, 0.67, 0.33, TR) + four("Comparison", 1.0, 0.67, 0.33, COMP),
+        four("Active", 0.05, 0.67, 0.33, TR) + four("Comparison", 1.0, 0.67, 0.33, COMP),
         [
             plan(TR, tot_payment=15.0, cont_payment=0.0, contract_length=10.0),
             plan(COMP, tot_payment=0.0, cont_payment=0.1),
@@ -40,7 +40,7 @@ MODELS = {
         G0,
     ),
     "A": (
-        four("ATMP", 0.04, 0.67, 0.33, TR) + four("Comparison", 1.0, 0.67, 0.33, COMP),
+        four("Active", 0.04, 0.67, 0.33, TR) + four("Comparison", 1.0, 0.67, 0.33, COMP),
         [
             plan(TR, tot_payment=15.0, cont_payment=0.0, contract_length=10.0),
             plan(COMP, tot_payment=0.0, cont_payment=0.1),
@@ -49,10 +49,10 @@ MODELS = {
         G0,
     ),
     "B": (
-        four("ATMP", 0.04, 0.67, 0.33, TR)
+        four("Active", 0.04, 0.67, 0.33, TR)
         + [
-            ("ATMP certain", 1, 0.0, 1.0, 0.01, TR),
-            ("ATMP certain", 4, 0.0, 0.0, 0.0, None),
+            ("Active certain", 1, 0.0, 1.0, 0.01, TR),
+            ("Active certain", 4, 0.0, 0.0, 0.0, None),
             ("Comparison", 1, 1.0, 1.0, 0.02, COMP),
             ("Comparison", 4, 0.0, 0.0, 0.0, None),
         ],
@@ -64,24 +64,24 @@ MODELS = {
         G0,
     ),
     "C": (
-        four("ATMP", 0.04, 0.8, 0.4, TR)
+        four("Active", 0.04, 0.8, 0.4, TR)
         + [
-            ("ATMP wait", 1, 1.0, 1.0, 0.01, COMP),
-            ("ATMP wait", 2, 0.04, 0.8, 0.01, "For ATMP tr. later"),
-            ("ATMP wait", 3, 1.0, 0.4, 0.02, COMP),
-            ("ATMP wait", 4, 0.0, 0.0, 0.0, None),
+            ("Active wait", 1, 1.0, 1.0, 0.01, COMP),
+            ("Active wait", 2, 0.04, 0.8, 0.01, "For Active tr. later"),
+            ("Active wait", 3, 1.0, 0.4, 0.02, COMP),
+            ("Active wait", 4, 0.0, 0.0, 0.0, None),
         ]
         + four("Comparison", 1.0, 0.8, 0.4, COMP),
         [
             plan(TR, tot_payment=15.0, cont_payment=0.0, contract_length=1.0),
-            plan("For ATMP tr. later", tot_payment=10.0, cont_payment=0.0, contract_length=1.0),
+            plan("For Active tr. later", tot_payment=10.0, cont_payment=0.0, contract_length=1.0),
             plan(COMP, tot_payment=0.0, cont_payment=0.5),
         ],
         ["tot_payment", "cont_payment", "contract_length"],
         G1,
     ),
     "D": (
-        four("ATMP", 0.04, 0.9, 0.4, TR) + four("Comparison", 1.0, 0.9, 0.4, COMP),
+        four("Active", 0.04, 0.9, 0.4, TR) + four("Comparison", 1.0, 0.9, 0.4, COMP),
         [
             plan(
                 TR,
@@ -106,15 +106,15 @@ MODELS = {
     ),
     "E": (
         [
-            ("ATMP", 1, 0.05, 0.8, 0.02, "ATMP"),
-            ("ATMP", 2, 0.0, 0.7, 0.02, "Comparison"),
-            ("ATMP", 3, 0.0, 0.0, 0.0, None),
+            ("Active", 1, 0.05, 0.8, 0.02, "Active"),
+            ("Active", 2, 0.0, 0.7, 0.02, "Comparison"),
+            ("Active", 3, 0.0, 0.0, 0.0, None),
             ("Comparison", 1, 0.0, 0.7, 0.02, "Comparison"),
             ("Comparison", 2, 0.0, 0.0, 0.0, None),
         ],
         [
             plan(
-                "ATMP", tot_payment=10.0, cont_payment=0.0, contract_length=10.0, cost_trend=0.05
+                "Active", tot_payment=10.0, cont_payment=0.0, contract_length=10.0, cost_trend=0.05
             ),
             plan("Comparison", tot_payment=0.0, cont_payment=0.5, cost_trend=0.05),
         ],
@@ -122,14 +122,14 @@ MODELS = {
         G1,
     ),
     "F": (
-        four("ATMP", 0.05, 0.67, 0.33, "For ATMP tr. 1")
-        + four("ATMP 10 yr", 0.05, 0.67, 0.33, "For ATMP tr. 10")
-        + four("ATMP cert", 0.0, 0.67, 0.33, "For ATMP tr. 1")
-        + four("ATMP cert 10 yr", 0.0, 0.67, 0.33, "For ATMP tr. 10")
+        four("Active", 0.05, 0.67, 0.33, "For Active tr. 1")
+        + four("Active 10 yr", 0.05, 0.67, 0.33, "For Active tr. 10")
+        + four("Active cert", 0.0, 0.67, 0.33, "For Active tr. 1")
+        + four("Active cert 10 yr", 0.0, 0.67, 0.33, "For Active tr. 10")
         + four("Comparison", 1.0, 0.67, 0.33, COMP),
         [
-            plan("For ATMP tr. 1", tot_payment=10.0, cont_payment=0.0, contract_length=1.0),
-            plan("For ATMP tr. 10", tot_payment=10.0, cont_payment=0.0, contract_length=10.0),
+            plan("For Active tr. 1", tot_payment=10.0, cont_payment=0.0, contract_length=1.0),
+            plan("For Active tr. 10", tot_payment=10.0, cont_payment=0.0, contract_length=10.0),
             plan(COMP, tot_payment=0.0, cont_payment=0.1),
         ],
         ["tot_payment", "cont_payment", "contract_length"],
@@ -137,9 +137,9 @@ MODELS = {
     ),
     "costs-test": (
         [
-            ("ATMP", 1, 0.05, 1.0, 0.0, TR),
-            ("ATMP", 2, 1.0, None, 0.0, COMP),
-            ("ATMP", 4, 0.0, 0.0, 0.0, None),
+            ("Active", 1, 0.05, 1.0, 0.0, TR),
+            ("Active", 2, 1.0, None, 0.0, COMP),
+            ("Active", 4, 0.0, 0.0, 0.0, None),
             ("Comparison", 1, 1.0, 1.0, 0.0, COMP),
             ("Comparison", 4, 0.0, 0.0, 0.0, None),
         ],
@@ -167,9 +167,9 @@ MODELS = {
     ),
     "errors-test": (
         [
-            ("ATMP", 1, -0.05, -1.0, 0.01, TR),
-            ("ATMP", 2, 1.0, None, 0.02, COMP),
-            ("ATMP", 6, 0.0, 0.0, 0.0, None),
+            ("Active", 1, -0.05, -1.0, 0.01, TR),
+            ("Active", 2, 1.0, None, 0.02, COMP),
+            ("Active", 6, 0.0, 0.0, 0.0, None),
             ("Comparison", 1, 1.0, 1.0, -0.02, COMP),
             ("Comparison", 6, 0.0, 0.0, 2.0, None),
         ],
@@ -184,19 +184,19 @@ MODELS = {
 
 # (model, comparison) -> QALY difference, cost difference, ICER
 GOLDEN = {
-    ("A-test", "ATMP - Comparison"): (10.458875, 11.374893, 1.087583),
-    ("A", "ATMP - Comparison"): (11.375481, 11.858963, 1.042502),
-    ("B", "ATMP - Comparison"): (11.385480, 7.050838, 0.619283),
-    ("B", "ATMP certain - Comparison"): (16.235840, 8.091592, 0.498378),
-    ("C", "ATMP - Comparison"): (8.671391, 13.937977, 1.607352),
-    ("C", "ATMP wait - Comparison"): (6.802940, 9.817856, 1.443178),
-    ("D", "ATMP - Comparison"): (8.614232, 6.437977, 0.747365),
-    ("E", "ATMP - Comparison"): (0.902540, 6.332550, 7.016365),
-    ("F", "ATMP - Comparison"): (8.138835, 9.800283, 1.204138),
-    ("F", "ATMP 10 yr - Comparison"): (8.138835, 10.001430, 1.228853),
-    ("F", "ATMP cert - Comparison"): (12.143210, 9.712433, 0.799824),
-    ("F", "ATMP cert 10 yr - Comparison"): (12.143210, 12.726160, 1.048006),
-    ("costs-test", "ATMP - Comparison"): (11.446308, 5.600085, 0.489248),
+    ("A-test", "Active - Comparison"): (10.458875, 11.374893, 1.087583),
+    ("A", "Active - Comparison"): (11.375481, 11.858963, 1.042502),
+    ("B", "Active - Comparison"): (11.385480, 7.050838, 0.619283),
+    ("B", "Active certain - Comparison"): (16.235840, 8.091592, 0.498378),
+    ("C", "Active - Comparison"): (8.671391, 13.937977, 1.607352),
+    ("C", "Active wait - Comparison"): (6.802940, 9.817856, 1.443178),
+    ("D", "Active - Comparison"): (8.614232, 6.437977, 0.747365),
+    ("E", "Active - Comparison"): (0.902540, 6.332550, 7.016365),
+    ("F", "Active - Comparison"): (8.138835, 9.800283, 1.204138),
+    ("F", "Active 10 yr - Comparison"): (8.138835, 10.001430, 1.228853),
+    ("F", "Active cert - Comparison"): (12.143210, 9.712433, 0.799824),
+    ("F", "Active cert 10 yr - Comparison"): (12.143210, 12.726160, 1.048006),
+    ("costs-test", "Active - Comparison"): (11.446308, 5.600085, 0.489248),
 }
 
 _PLAN_NUMBERS = [c for c in PAYMENT_COLUMNS if c != "payment"]

@@ -37,11 +37,11 @@ def test_detail(bundle):
     rows = cohort.detail(bundle).where("scenario_id = 'A-test'").collect()
     cost = {(r["treatment"], r["payment"]): r["cost"] for r in rows if r["payment"]}
     assert cost == pytest.approx(
-        {("ATMP", TR): 11.559152, ("ATMP", COMP): 0.111761, ("Comparison", COMP): 0.296020},
+        {("Active", TR): 11.559152, ("Active", COMP): 0.111761, ("Comparison", COMP): 0.296020},
         abs=2e-6,
     )
     health = {r["treatment"]: r["QALY"] for r in rows if r["payment"] is None}
-    assert health == pytest.approx({"ATMP": 12.442341, "Comparison": 1.983466}, abs=2e-6)
+    assert health == pytest.approx({"Active": 12.442341, "Comparison": 1.983466}, abs=2e-6)
 
 
 def test_stop_rule_pays_back_once(series):
@@ -68,7 +68,7 @@ def test_individual_refund(series):
 def test_gaps_are_interpolated(bundle):
     rows = (
         cohort.qol_profile(bundle)
-        .where("scenario_id = 'costs-test' and treatment = 'ATMP'")
+        .where("scenario_id = 'costs-test' and treatment = 'Active'")
         .orderBy("state")
         .collect()
     )
@@ -79,7 +79,7 @@ def test_gaps_are_interpolated(bundle):
 def test_spans_reach_over_treatments(bundle):
     only = bundle.states.where("scenario_id = 'costs-test'")
     model = state_table(only, bundle.keys).where("treatment = 'Comparison' and state = 2")
-    own = state_table(only, bundle.keys, "treatment").where("treatment = 'ATMP' and state = 2")
+    own = state_table(only, bundle.keys, "treatment").where("treatment = 'Active' and state = 2")
     assert (model.first()["pstart"], model.first()["pend"]) == (1, 3)
     assert (own.first()["pstart"], own.first()["pend"]) == (2, 3)
 
@@ -87,7 +87,7 @@ def test_spans_reach_over_treatments(bundle):
 def test_transition_matrix_of_model_a(bundle):
     states = expand_states(bundle.states.where("scenario_id = 'A'"), bundle.keys)
     table = transition_table(transition_edges(states, bundle.keys), bundle.keys, 4)
-    rows = table.where("treatment = 'ATMP'").orderBy("from_state").collect()
+    rows = table.where("treatment = 'Active'").orderBy("from_state").collect()
     found = [[round(r[c], 2) for c in ("S1", "S2", "S3", "D")] for r in rows]
     assert [r["st"] for r in rows] == ["S1", "S2", "S3", "D"]
     assert found == [[0.95, 0.04, 0, 0.01], [0, 0, 0.98, 0.02], [0, 0, 0, 1], [0, 0, 0, 1]]
@@ -150,7 +150,7 @@ def test_control_count(spark):
     )
     rows = cohort.incremental(bundle.with_tables(globals=two)).collect()
     controls = {r["Treatments"].split(" - ")[1] for r in rows}
-    assert len(rows) == 6 and controls == {"ATMP cert 10 yr", "Comparison"}
+    assert len(rows) == 6 and controls == {"Active cert 10 yr", "Comparison"}
     all_five = bundle.globals.withColumn(
         "value", F.when(F.col("name") == "control_count", 5.0).otherwise(F.col("value"))
     )
@@ -160,9 +160,9 @@ def test_control_count(spark):
 def test_plan_listing(bundle):
     rows = cohort.plan_listing(bundle).where("scenario_id = 'C'").collect()
     starts = {(r["payment_plan"], r["start"]) for r in rows}
-    assert starts == {(TR, 1), ("For ATMP tr. later", 2), (COMP, 1)}
+    assert starts == {(TR, 1), ("For Active tr. later", 2), (COMP, 1)}
     assert len(rows) == 60
-    paid = {r["time"]: r["payment"] for r in rows if r["payment_plan"] == "For ATMP tr. later"}
+    paid = {r["time"]: r["payment"] for r in rows if r["payment_plan"] == "For Active tr. later"}
     assert {t: v for t, v in paid.items() if v} == pytest.approx({2: 10 * 1.1 / 1.03})
 
 
@@ -179,21 +179,21 @@ def test_sweep_with_values_of_the_scenario(spark, bundle):
         "length", F.when(F.col("scenario_id") == "F", 10.0).otherwise(1.0)
     )
     cells = [
-        sweep.Cell("payment_table", "For ATMP tr. 1", "contract_length", "array(1D, length)"),
-        sweep.Cell("state_table", "ATMP/1", "p_prog", "array(0D, 0.05D)"),
+        sweep.Cell("payment_table", "For Active tr. 1", "contract_length", "array(1D, length)"),
+        sweep.Cell("state_table", "Active/1", "p_prog", "array(0D, 0.05D)"),
     ]
     swept = sweep.sweep(bundle, cells, cohort.incremental, scenarios).where("scenario_id = 'F'")
     rows = {
         (r["contract_length"], r["p_prog"]): r["ICER"]
-        for r in swept.where("Treatments = 'ATMP - Comparison'").collect()
+        for r in swept.where("Treatments = 'Active - Comparison'").collect()
     }
     known = {key[1].split(" - ")[0]: v[2] for key, v in GOLDEN.items() if key[0] == "F"}
     assert rows == pytest.approx(
         {
-            (1.0, 0.05): known["ATMP"],
-            (10.0, 0.05): known["ATMP 10 yr"],
-            (1.0, 0.0): known["ATMP cert"],
-            (10.0, 0.0): known["ATMP cert 10 yr"],
+            (1.0, 0.05): known["Active"],
+            (10.0, 0.05): known["Active 10 yr"],
+            (1.0, 0.0): known["Active cert"],
+            (10.0, 0.0): known["Active cert 10 yr"],
         },
         abs=2e-6,
     )
