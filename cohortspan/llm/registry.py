@@ -1,0 +1,22 @@
+"""Name -> (Spark query, SQL that gives the same rows where SQL can express it)."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+
+Query = Callable[[SparkSession, str], DataFrame]
+
+QUERIES: dict[str, Query] = {}
+ORACLES: dict[str, str] = {}
+
+
+def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
+    def register(run: Query) -> Query:
+        QUERIES[name] = run
+        if sql is not None:
+            ORACLES[name] = sql
+        return run
+
+    return register
