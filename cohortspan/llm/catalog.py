@@ -1,6 +1,6 @@
 """Registered queries of the subpackage; importing the operators registers them."""
 
-from cohortspan.llm import line_dedup  # noqa: F401
+from cohortspan.llm import byte_bpe, chat_format, line_dedup, quality_rules, token_counts  # noqa: F401
 from cohortspan.llm.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
