@@ -1,6 +1,15 @@
 """Registered queries of the subpackage; importing the operators registers them."""
 
-from cohortspan.llm import byte_bpe, chat_format, line_dedup, quality_rules, token_counts, warc  # noqa: F401
+from cohortspan.llm import (  # noqa: F401
+    byte_bpe,
+    chat_format,
+    decontamination,
+    line_dedup,
+    minhash_dedup,
+    quality_rules,
+    token_counts,
+    warc,
+)
 from cohortspan.llm.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
