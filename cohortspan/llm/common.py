@@ -52,3 +52,24 @@ def text_or_empty(name: str = "text") -> Column:
 def row_hash(name: str = "text") -> Column:
     """Tells apart rows that repeat a document id with another text."""
     return F.xxhash64(text_or_empty(name))
+
+
+def keyed_texts(documents: DataFrame) -> DataFrame:
+    """doc_id, row, text: a row is known by its id and a hash of its text."""
+    return documents.select(F.col("doc_id").cast("long"), row_hash().alias("row"), F.col("text").cast("string"))
+
+
+def as_text(df: DataFrame, *others: str) -> DataFrame:
+    """doc_id as text: pandas would turn a nullable number into a float."""
+    return df.select(F.col("doc_id").cast("string"), *others)
+
+
+def beside_documents(documents: DataFrame, lists: DataFrame, how: str) -> DataFrame:
+    """Documents beside what ``lists`` has for them (doc_id, row, ...).
+
+    Uses of the same documents exchange the texts alike, so one plan exchanges them once.
+    """
+    d, x = keyed_texts(documents).alias("d"), lists.alias("x")
+    same = F.col("d.doc_id").eqNullSafe(F.col("x.doc_id")) & (F.col("d.row") == F.col("x.row"))
+    listed = [F.col(f"x.{c}") for c in lists.columns if c not in ("doc_id", "row")]
+    return d.join(x, same, how).select("d.*", *listed)
