@@ -7,6 +7,8 @@ from cohortspan.llm import (  # noqa: F401
     line_dedup,
     minhash_dedup,
     quality_rules,
+    substring_dedup,
+    suffix_dedup,
     token_counts,
     warc,
 )
