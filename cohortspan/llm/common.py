@@ -4,9 +4,12 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: The white space of every operator here, [\x20\x09-\x0D].
 SPACE = " \t\n\x0b\f\r"
@@ -54,6 +57,12 @@ def row_hash(name: str = "text") -> Column:
     return F.xxhash64(text_or_empty(name))
 
 
+def without_listed(documents: DataFrame, listed: DataFrame) -> DataFrame:
+    """Documents that ``listed`` (doc_id, row) doesn't name; all columns are kept."""
+    same = F.col("d.doc_id").eqNullSafe(F.col("x.doc_id")) & (row_hash("d.text") == F.col("x.row"))
+    return unpacked_rows(packed_rows(documents).join(listed.alias("x"), same, "left_anti"), documents)
+
+
 def keyed_texts(documents: DataFrame) -> DataFrame:
     """doc_id, row, text: a row is known by its id and a hash of its text."""
     return documents.select(F.col("doc_id").cast("long"), row_hash().alias("row"), F.col("text").cast("string"))
@@ -73,3 +82,37 @@ def beside_documents(documents: DataFrame, lists: DataFrame, how: str) -> DataFr
     same = F.col("d.doc_id").eqNullSafe(F.col("x.doc_id")) & (F.col("d.row") == F.col("x.row"))
     listed = [F.col(f"x.{c}") for c in lists.columns if c not in ("doc_id", "row")]
     return d.join(x, same, how).select("d.*", *listed)
+
+
+def packed_rows(documents: DataFrame) -> DataFrame:
+    """Each row as one struct ``d``, so that names of helper columns cannot clash with any of its own."""
+    return documents.select(F.struct(*[F.col(f"`{c}`") for c in documents.columns]).alias("d"))
+
+
+def unpacked_rows(rows: DataFrame, documents: DataFrame, **replaced: Column) -> DataFrame:
+    """The columns of ``documents`` again, some of them replaced."""
+    return rows.select(*[replaced.get(c, F.col(f"d.`{c}`")).alias(c) for c in documents.columns])
+
+
+def mapped_column(
+    documents: DataFrame, source: str, made: T.StructField, kind: pa.DataType, of: Callable[[], Callable]
+) -> DataFrame:
+    """``documents`` with a column computed from ``source``, in Arrow batches.
+
+    ``of`` gives, once a task, a function from an Arrow array to one as long, of the given kind. A
+    column named like the new one is replaced.
+    """
+    schema = T.StructType([f for f in documents.schema if f.name != made.name] + [made])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        value = of()
+        for batch in batches:
+            # few rows at a time: what they become may be many times as large
+            for start in range(0, batch.num_rows, 512):
+                part = batch.slice(start, 512)
+                place = {n: part.column(i) for i, n in enumerate(part.schema.names)}
+                result = value(place[source]).cast(kind)
+                names = [n for n in place if n != made.name]
+                yield pa.RecordBatch.from_arrays([*[place[n] for n in names], result], [*names, made.name])
+
+    return documents.mapInArrow(run, schema)

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from cohortspan.llm.common import SPACE, partitions, row_hash, table, text_or_empty
+from cohortspan.llm.common import SPACE, packed_rows, partitions, row_hash, table, text_or_empty, unpacked_rows
 from cohortspan.llm.registry import query
 
 #: A-Z lower-cased, nothing else.
@@ -73,7 +73,8 @@ def dropped_lines(documents: DataFrame, min_chars: int = 20, min_docs: int = 3)
 
     A key in a third of all rows is spread: rows are ranged by key and a salt of the document (as
     many salts as shuffle partitions), each part is read in order and gives one row, and those rows
-    are added up. The rows then meet the shared keys in an equi-join that Spark may split.
+    are added up. The rows then meet the shared keys in an equi-join; ``split`` is a join key of its own, so
+    that both sides are exchanged for the join and Spark can split a hot key.
     """
     n = partitions(documents.sparkSession)
     lines = keyed_lines(documents, min_chars).withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(n)))
@@ -87,10 +88,11 @@ def dropped_lines(documents: DataFrame, min_chars: int = 20, min_docs: int = 3)
         .groupBy("k1", "k2")
         .agg(F.count(F.lit(1)).alias("docs"), F.max(F.struct("doc_id", "pos", "row")).alias("last"))
         .where(F.col("docs") >= min_docs)
-        .select("k1", "k2", F.col("last.doc_id").alias("stays"))
+        .select("k1", "k2", F.col("last.doc_id").alias("stays"), F.xxhash64("k1", "k2").alias("split"))
     )
     lost = (
-        ranged.join(totals, ["k1", "k2"])
+        ranged.withColumn("split", F.xxhash64("k1", "k2"))
+        .join(totals, ["k1", "k2", "split"])
         .where(~F.col("doc_id").eqNullSafe(F.col("stays")))
         .select("doc_id", "row", "pos")
     )
@@ -116,27 +118,21 @@ def is_dropped(dropped: Column, pos: Column) -> Column:
 
 
 def apply_dropped(documents: DataFrame, bitmaps: DataFrame) -> DataFrame:
-    """Documents with the kept lines as text; adds n_lines and n_dropped (``_lines``, ``_lost``)."""
-    marks = bitmaps.select(F.col("doc_id").alias("_id"), F.col("row").alias("_row"), F.col("dropped").alias("_dropped"))
-    same = documents["doc_id"].eqNullSafe(F.col("_id")) & (row_hash() == F.col("_row"))
-    lines = lines_of(text_or_empty())
-    kept = F.when(
-        F.col("_dropped").isNull(), lines
-    ).otherwise(F.filter(lines, lambda line, i: ~is_dropped(F.col("_dropped"), i)))
+    """d (the row as a struct), lines (all, an array) and kept (those whose bit is not set)."""
+    same = F.col("d.doc_id").eqNullSafe(F.col("x.doc_id")) & (row_hash("d.text") == F.col("x.row"))
+    lines = lines_of(text_or_empty("d.text"))
+    some = F.filter(lines, lambda line, i: ~is_dropped(F.col("x.dropped"), i))
     return (
-        documents.join(marks, same, "left")
-        .withColumn("_kept", kept)
-        .withColumn("_lines", F.size(lines).cast("long"))
-        .withColumn("_lost", F.col("_lines") - F.size("_kept"))
-        .withColumn("text", F.array_join("_kept", "\n"))
-        .drop("_id", "_row", "_dropped", "_kept")
+        packed_rows(documents)
+        .join(bitmaps.alias("x"), same, "left")
+        .select("d", lines.alias("lines"), F.when(F.col("x.dropped").isNull(), lines).otherwise(some).alias("kept"))
     )
 
 
 def line_dedup(documents: DataFrame, min_chars: int = 20, min_docs: int = 3) -> DataFrame:
     """Documents without the lines that ``dropped_lines`` marks; all columns and rows are kept."""
-    documents = documents.drop("_lines", "_lost")
-    return apply_dropped(documents, dropped_lines(documents, min_chars, min_docs)).drop("_lines", "_lost")
+    marked = apply_dropped(documents, dropped_lines(documents, min_chars, min_docs))
+    return unpacked_rows(marked, documents, text=F.array_join("kept", "\n"))
 
 
 SQL = """
@@ -162,9 +158,10 @@ FROM marked GROUP BY doc_id
 @query("op1_line_dedup", SQL)
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents").select("doc_id", "text")
+    n_lines = F.size("lines").cast("long")
     return apply_dropped(documents, dropped_lines(documents)).select(
-        "doc_id",
-        F.col("_lines").alias("n_lines"),
-        F.col("_lost").cast("long").alias("n_dropped"),
-        F.sha2("text", 256).alias("kept_sha256"),
+        "d.doc_id",
+        n_lines.alias("n_lines"),
+        (n_lines - F.size("kept")).alias("n_dropped"),
+        F.sha2(F.array_join("kept", "\n"), 256).alias("kept_sha256"),
     )
