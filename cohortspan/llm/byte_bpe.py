@@ -12,7 +12,6 @@ from __future__ import annotations
 
 import base64
 import re
-from collections.abc import Iterator
 from functools import cache
 
 import numpy as np
@@ -21,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cohortspan.llm.common import table, text_or_empty
+from cohortspan.llm.common import mapped_column, table, text_or_empty
 from cohortspan.llm.registry import query
 
 #: Characters (or tokens, when decoding) that a leaf holds at most.
@@ -109,24 +108,6 @@ def codec(path: str, pattern: str) -> Codec:
     return Codec(path, pattern)
 
 
-def _mapped(documents: DataFrame, source: str, made: T.StructField, kind: pa.DataType, of) -> DataFrame:
-    """``documents`` with a column computed value by value from ``source``."""
-    schema = T.StructType([f for f in documents.schema if f.name != made.name] + [made])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        value = of()
-        for batch in batches:
-            # few rows at a time: what they become may be many times as large
-            for start in range(0, batch.num_rows, 512):
-                part = batch.slice(start, 512)
-                result = value(part.column(part.schema.get_field_index(source)))
-                names = [n for n in part.schema.names if n != made.name]
-                columns = [part.column(part.schema.get_field_index(n)) for n in names]
-                yield pa.RecordBatch.from_arrays([*columns, result.cast(kind)], [*names, made.name])
-
-    return documents.mapInArrow(run, schema)
-
-
 def encode_documents(
     documents: DataFrame, path: str, pattern: str, text: str = "text", ids: str = "token_ids"
 ) -> DataFrame:
@@ -147,7 +128,7 @@ def encode_documents(
         return value
 
     made = T.StructField(ids, T.ArrayType(T.IntegerType()), True)
-    return _mapped(documents, text, made, pa.list_(pa.int32()), of)
+    return mapped_column(documents, text, made, pa.list_(pa.int32()), of)
 
 
 def decode_documents(
@@ -165,7 +146,7 @@ def decode_documents(
         return value
 
     made = T.StructField(decoded, T.BinaryType(), True)
-    return _mapped(documents, ids, made, pa.binary(), of)
+    return mapped_column(documents, ids, made, pa.binary(), of)
 
 
 def production_vocabulary() -> tuple[str, str]:

@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortspan.llm.common import row_hash, stored, table
+from cohortspan.llm.common import row_hash, stored, table, without_listed
 from cohortspan.llm.minhash_dedup import signature
 from cohortspan.llm.registry import query
 from cohortspan.llm.shingles import shingle_set, words_of
@@ -181,11 +181,8 @@ def contained_items(
 
 def decontaminate(documents: DataFrame, benchmark: DataFrame, percent: int = 80) -> DataFrame:
     """Documents that contain no benchmark item; all columns are kept."""
-    found = contained_items(documents, benchmark, percent).select(
-        F.col("doc_id").alias("_id"), F.col("row").alias("_row")
-    ).distinct()
-    same = documents["doc_id"].eqNullSafe(F.col("_id")) & (row_hash() == F.col("_row"))
-    return documents.join(found, same, "left_anti")
+    found = contained_items(documents, benchmark, percent).select("doc_id", "row").distinct()
+    return without_listed(documents, found)
 
 
 SQL = """

@@ -16,7 +16,6 @@ confirmed on the full shingle sets.
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 from functools import cache
 
@@ -25,7 +24,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortspan.llm.common import partitions, row_hash, stored, table
+from cohortspan.llm.common import partitions, row_hash, stored, table, without_listed
 from cohortspan.llm.components import connected_components
 from cohortspan.llm.registry import query
 from cohortspan.llm.shingles import mixed, row_hashes, shingle_set, words_of
@@ -259,8 +258,8 @@ def near_duplicates(
 
 def near_dedup(documents: DataFrame, percent: int = 80) -> DataFrame:
     """Documents without those that are not the first of their component; all columns are kept."""
-    gone = near_duplicates(documents, percent).where(~F.col("kept")).select(F.col("doc_id").alias("_gone")).distinct()
-    return documents.join(gone, documents["doc_id"] == F.col("_gone"), "left_anti")
+    gone = near_duplicates(documents, percent).where(~F.col("kept")).select("doc_id", "row").distinct()
+    return without_listed(documents, gone)
 
 
 SQL = """

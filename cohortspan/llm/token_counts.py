@@ -9,15 +9,14 @@ from __future__ import annotations
 
 import os
 import re
-from collections.abc import Iterator
 from functools import cache
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cohortspan.llm.common import table, text_or_empty
+from cohortspan.llm.common import mapped_column, table, text_or_empty
 from cohortspan.llm.registry import query
 
 #: Characters by which chunks advance, and the first overlap.
@@ -106,16 +105,12 @@ def count_tokens(documents: DataFrame, path: str, text: str = "text", count: str
     Null and empty texts have 0 tokens. Rows are taken one by one, so repeated rows, null ids and
     empty tables need no rule.
     """
-    schema = T.StructType([f for f in documents.schema if f.name != count] + [T.StructField(count, T.LongType())])
-    names = schema.names
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def of():
         own = counter(path)
-        for batch in batches:
-            texts = [x if isinstance(x, str) else "" for x in batch[text]]
-            yield batch.assign(**{count: pd.Series(own.counts(texts), index=batch.index, dtype="int64")})[names]
+        return lambda column: pa.array(own.counts([x.as_py() or "" for x in column]), pa.int64())
 
-    return documents.mapInPandas(run, schema)
+    return mapped_column(documents, text, T.StructField(count, T.LongType()), pa.int64(), of)
 
 
 def production_tokenizer() -> str:
