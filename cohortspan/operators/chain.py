@@ -105,9 +105,19 @@ def transition_edges(states: DataFrame, keys: Sequence[str]) -> DataFrame:
     )
 
 
-def transition_table(edges: DataFrame, keys: Sequence[str], count: int) -> DataFrame:
-    """Edges as one row per state with columns ``S1..S(count-1), D``, for chains of ``count``."""
-    names = [f"S{i}" for i in range(1, count)] + ["D"]
+def state_names(count: int, legacy: bool = False) -> list[str]:
+    """Fixed values: ``S1..S(count-1), D``, or in the older model form ``PF, P1.., D``."""
+    alive = [f"S{i}" for i in range(1, count)]
+    if legacy:
+        alive = ["PF", *[f"P{i}" for i in range(1, count - 1)]][: count - 1]
+    return [*alive, "D"]
+
+
+def transition_table(
+    edges: DataFrame, keys: Sequence[str], count: int, legacy: bool = False
+) -> DataFrame:
+    """Edges as one row per state with a column for each of ``state_names``, for chains of ``count``."""
+    names = state_names(count, legacy)
     cells = [
         F.coalesce(F.sum(F.when(F.col("to_state") == i, F.col("p"))), F.lit(0.0)).alias(name)
         for i, name in enumerate(names, start=1)

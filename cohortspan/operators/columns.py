@@ -29,20 +29,43 @@ def get_titles(df: DataFrame, fields: DataFrame) -> DataFrame:
 
 
 def parameters(
-    df: DataFrame, keys: Sequence[str], defaults: dict[str, float]
+    df: DataFrame,
+    keys: Sequence[str],
+    defaults: dict[str, float],
+    scenarios: DataFrame | None = None,
+    order: str | None = None,
 ) -> DataFrame:
-    """Key/value rows to one record per scenario; a missing or null value gets its default."""
-    wide = df.groupBy(*keys).agg(
-        *[
-            F.max(F.when(F.col("name") == name, F.col("value"))).alias(name)
-            for name in defaults
-        ]
-    )
+    """Key/value rows to one record per scenario; a missing or null value gets its default.
+
+    ``scenarios`` adds scenarios that may have no rows. Of several values the first along ``order``
+    counts (``row_id`` where there is one), without an order the largest.
+    """
+    if order is None and "row_id" in df.columns:
+        order = "row_id"
+    rows = df.select(*keys, "name", "value", *([order] if order else []))
+    if scenarios is not None:
+        rows = rows.unionByName(scenarios.select(*keys).distinct(), allowMissingColumns=True)
+
+    def picked(name: str) -> Column:
+        given = (F.col("name") == name) & F.col("value").isNotNull()
+        if order is None:
+            return F.max(F.when(given, F.col("value")))
+        return F.min_by("value", F.when(given, F.col(order)))
+
+    wide = rows.groupBy(*keys).agg(*[picked(name).alias(name) for name in defaults])
     return wide.select(
         *keys, *[F.coalesce(F.col(n), F.lit(v)).alias(n) for n, v in defaults.items()]
     )
 
 
+def with_parameters(
+    df: DataFrame, records: DataFrame, keys: Sequence[str], defaults: dict[str, float]
+) -> DataFrame:
+    """``df`` with the record of its scenario, or the defaults where it has none."""
+    joined = df.join(records, list(keys), "left")
+    return joined.withColumns({n: F.coalesce(F.col(n), F.lit(v)) for n, v in defaults.items()})
+
+
 def parameter(
     df: DataFrame, keys: Sequence[str], name: str, default: float
 ) -> DataFrame:
@@ -113,18 +136,22 @@ def override_cells(
     *,
     column: str = "column_name",
     value: str = "value",
+    order: str | None = None,
 ) -> DataFrame:
     """Replace single cells, found by row key and column name.
 
     ``overrides`` holds ``row_key``, a column name and a value. They are turned to one row per
-    key first, so the join never multiplies rows of ``df``.
+    key first, so the join never multiplies rows of ``df``. Of several values for a cell the last
+    along ``order`` counts, without an order the largest.
     """
-    per_row = overrides.groupBy(*row_key).agg(
-        *[
-            F.max(F.when(F.col(column) == c, F.col(value))).alias(f"__new_{c}")
-            for c in columns
-        ]
-    )
+
+    def picked(c: str) -> Column:
+        mine = F.col(column) == c
+        if order is None:
+            return F.max(F.when(mine, F.col(value)))
+        return F.max_by(value, F.when(mine, F.col(order)))
+
+    per_row = overrides.groupBy(*row_key).agg(*[picked(c).alias(f"__new_{c}") for c in columns])
     joined = df.join(per_row, list(row_key), "left")
     kinds = {f.name: f.dataType for f in df.schema.fields}
     return joined.select(

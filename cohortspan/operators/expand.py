@@ -26,7 +26,7 @@ def expand_knots(
     periods: Column | None = None,
     step: str = "step",
     *,
-    rows_per_task: int | None = None,
+    tasks: int | None = None,
     short_groups: bool = False,
 ) -> DataFrame:
     """Repeat each knot over its periods and interpolate ``value`` towards the next knot.
@@ -38,10 +38,10 @@ def expand_knots(
     when that is missing. ``step`` numbers the periods of a group from 1.
 
     All ordered work is done on knots; the repeated rows are never sorted or shuffled.
-    ``short_groups`` states that groups are small by their nature and need no size check.
+    ``short_groups`` states that groups are small by their nature and need no cuts.
     """
     at = order[0]
-    cuts = None if short_groups else find_cuts(df, keys, order, rows_per_task)
+    cuts = None if short_groups else find_cuts(df, keys, order, tasks)
     seen = ordered_scan(
         df,
         keys,
@@ -63,8 +63,9 @@ def expand_knots(
         order,
         __inside=sum_before(F.col("__periods")),
         __length=group_total(F.col("__periods")),
-        # A segment is part of a group: none is oversized when no group is.
-        **({"cuts": None} if cuts is None else {"rows_per_task": rows_per_task}),
+        # A segment is part of a group and is cut where the group is.
+        cuts=cuts,
+        cut_keys=keys,
     )
     repeated = repeat_rows(placed, F.col("__periods"), "__k")
     done = F.col("__inside") + F.col("__k")

@@ -77,13 +77,15 @@ def rows_between(
 
 
 def top_by_group(
-    df: DataFrame, keys: Sequence[str], by: str, count: Column, salts: int = 32
+    df: DataFrame, keys: Sequence[str], by: str, count: Column, salts: int | None = None
 ) -> DataFrame:
     """The last ``count`` rows of each group in order of ``by``; ``count`` is a column.
 
     Ranked twice: inside a salted part of the group first, then among the survivors, so that no
-    task sees more of a group than its part.
+    task sees more of a group than its part. Parts are as many as shuffle partitions by default.
     """
+    if salts is None:
+        salts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     salt = F.pmod(F.xxhash64(by), F.lit(salts))
     part = Window.partitionBy(*keys, "__salt").orderBy(F.desc(by))
     whole = Window.partitionBy(*keys).orderBy(F.desc(by))

@@ -45,14 +45,39 @@ def assign_buckets(
     draw: str,
     label: str,
     upper: str = "upper",
+    *,
+    many_labels: bool = False,
     **options,
 ) -> DataFrame:
     """Give each row the first label of its group whose cumulative share reaches ``draw``.
 
-    Bucket bounds and draws are laid on one axis and each draw takes the next bound at or above
-    it. No pair of draw and bucket is ever formed, and either side may be large. A draw above
-    the last bound gets null.
+    A draw above the last bound, or a null one, gets null. The bounds of a group travel as one
+    sorted array, in which each draw finds its own; draws are neither sorted nor paired with bounds.
+    ``many_labels`` is for groups whose labels don't fit one row: bounds and draws are then laid on
+    one axis and each draw takes the next bound at or above it.
     """
+    if many_labels:
+        return _assign_along_axis(draws, buckets, group, draw, label, upper, **options)
+    bound = F.struct(F.col(upper).alias("u"), F.col(label).alias("v"))
+    bounds = buckets.groupBy(*group).agg(F.array_sort(F.collect_list(bound)).alias("__bounds"))
+    same = [F.col(f"d.{g}").eqNullSafe(F.col(f"b.{g}")) for g in group]
+    fitting = F.filter("__bounds", lambda b: b["u"] >= F.col(f"d.{draw}"))
+    return (
+        draws.alias("d")
+        .join(bounds.alias("b"), same, "left")
+        .select("d.*", F.get(fitting, F.lit(0))["v"].alias(label))
+    )
+
+
+def _assign_along_axis(
+    draws: DataFrame,
+    buckets: DataFrame,
+    group: Sequence[str],
+    draw: str,
+    label: str,
+    upper: str,
+    **options,
+) -> DataFrame:
     marks = buckets.select(
         *group,
         F.col(upper).alias("__axis"),
@@ -67,7 +92,8 @@ def assign_buckets(
         F.lit(0).alias("__kind"),
         F.lit(None).cast(marks.schema["__label"].dataType).alias("__label"),
         F.struct(*draws.columns).alias("__row"),
-        F.lit(None).cast("string").alias("__tie"),
+        # Draws at one place differ by this, so that very many of them can be cut too.
+        F.xxhash64(*draws.columns).cast("string").alias("__tie"),
     )
     laid = ordered_scan(
         rows.unionByName(marks),
@@ -76,9 +102,8 @@ def assign_buckets(
         __next=next_valid(F.col("__label")),
         **options,
     )
-    return laid.where(F.col("__kind") == 0).select(
-        "__row.*", F.col("__next.v").alias(label)
-    )
+    found = F.when(F.col("__axis").isNotNull(), F.col("__next.v"))
+    return laid.where(F.col("__kind") == 0).select("__row.*", found.alias(label))
 
 
 def _row_type(df: DataFrame):

@@ -7,7 +7,14 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cohortspan.operators.scan import ordered_scan, position, previous, running_max
+from cohortspan.operators.scan import (
+    find_cuts,
+    group_min,
+    ordered_scan,
+    position,
+    previous,
+    running_max,
+)
 
 
 def absorbed_paths(
@@ -66,10 +73,12 @@ def transition_shares(
         .groupBy("from_state", F.col(state).alias("to_state"))
         .agg(F.count(F.lit(1)).alias("n"))
     )
-    # Counts are few (pairs of state names), so the totals come from them, not from the events.
-    totals = counts.groupBy("from_state").agg(F.sum("n").alias("all"))
-    return counts.join(totals, "from_state").select(
-        "from_state", "to_state", "n", (F.col("n") / F.col("all")).alias("share")
+    # Counts are few: pairs of state names.
+    pairs = counts.groupBy("from_state").agg(
+        F.collect_list(F.struct("to_state", "n")).alias("__to"), F.sum("n").alias("__all")
+    )
+    return pairs.select("from_state", "__all", F.inline("__to")).select(
+        "from_state", "to_state", "n", (F.col("n") / F.col("__all")).alias("share")
     )
 
 
@@ -95,12 +104,13 @@ def path_costs(
     period 1 unless the path leaves before ``reimburse_period``; nothing is paid while outside
     when ``terminate``.
     """
-    walked = ordered_scan(paths, keys, order, period=position(), **options)
+    cuts = find_cuts(paths, keys, order, **options)
+    walked = ordered_scan(paths, keys, order, period=position(), cuts=cuts)
     listed = F.array(*[F.lit(float(v)) for v in schedule])
     due = F.coalesce(F.get(listed, (F.col("period") - 1).cast("int")), F.lit(0.0))
     if reimburse_period >= 0:
-        left = walked.where(outside).groupBy(*keys).agg(F.min("period").alias("__left"))
-        walked = walked.join(left, list(keys), "left")
+        left = group_min(F.when(outside, F.col("period")))
+        walked = ordered_scan(walked, keys, order, __left=left, cuts=cuts)
         kept = F.col("__left").isNull() | (F.col("__left") >= reimburse_period)
         due = F.when(kept, due).otherwise(F.lit(0.0))
     cost = F.when(outside, F.lit(0.0)).otherwise(due) if terminate else due

@@ -35,10 +35,20 @@ def to_long(
 
 
 def to_wide(
-    df: DataFrame, ids: Sequence[str], name: str, value: str, names: Sequence[str]
+    df: DataFrame,
+    ids: Sequence[str],
+    name: str,
+    value: str,
+    names: Sequence[str],
+    order: str | None = None,
 ) -> DataFrame:
-    """One column per listed name. Naming them avoids a pass over the data to find them."""
-    return df.groupBy(*ids).pivot(name, list(names)).agg(F.first(value, ignorenulls=True))
+    """One column per listed name. Naming them avoids a pass over the data to find them.
+
+    Of several values the first along ``order`` counts, without an order the largest.
+    """
+    given = F.col(value).isNotNull()
+    one = F.max(value) if order is None else F.min_by(value, F.when(given, F.col(order)))
+    return df.groupBy(*ids).pivot(name, list(names)).agg(one)
 
 
 def repeat_rows(df: DataFrame, times: Column, index: str) -> DataFrame:

@@ -1,29 +1,23 @@
 """Ordered calculations per group that survive a group holding a large part of all rows.
 
-A plain window puts each group into one task. ``ordered_scan`` does that too while groups are
-ordinary, but cuts every oversized group into consecutive blocks along its order column: each
-block is scanned on its own, a small summary per block is carried from block to block, and the
-carry is joined back. Results are the same either way.
+A plain window puts each group into one task. ``ordered_scan`` cuts every group with more than its
+share of the rows into consecutive blocks along its order: each block is scanned on its own, a small
+summary per block is carried from block to block, and the carry is joined back. There is one plan
+for all sizes, and building it runs no job: the cut points come from a sample inside the plan.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from cohortspan.session import estimated_bytes
-
-# A group at or below this many rows is left to one task.
-ROWS_PER_TASK = 5_000_000
-# A whole frame below this estimate cannot hold an oversized group; no counting job is run.
-SMALL_BYTES = 64 * 1024 * 1024
-# A group is oversized only above a thousandth of all rows, so there are at most 1,000 of them.
-FAIR_SHARES = 1_000
+# Sampled rows for each task; a group with as many of them has a task's share and is cut.
+SAMPLED = 32
+# A cut after so many sampled rows of a group: blocks of about half a share.
+APART = SAMPLED // 2
 
 _BLOCK = "__block"
 
@@ -56,6 +50,11 @@ def group_total(value: Column) -> Step:
     return Step("total", value)
 
 
+def group_min(value: Column) -> Step:
+    """Smallest value of the whole group on every row."""
+    return Step("min", value)
+
+
 def running_max(value: Column) -> Step:
     return Step("max", value)
 
@@ -88,26 +87,27 @@ def ordered_scan(
     keys: Sequence[str],
     order: Sequence[str],
     *,
-    rows_per_task: int | None = None,
+    tasks: int | None = None,
     cuts: DataFrame | None | str = "find",
+    cut_keys: Sequence[str] | None = None,
     **steps: Step,
 ) -> DataFrame:
     """Add one column per step, computed over ``keys`` groups in ascending ``order``.
 
-    The order must be total within a group. The first order column carries the cuts of
-    oversized groups and must then be a number, date or timestamp. ``rows_per_task`` sets the
-    size above which a group is cut. ``cuts`` passes on what ``find_cuts`` returned for the same
-    groups, or None where groups are short by their nature.
+    The order must be total within a group; its columns may be of any sortable type. A group above
+    one of ``tasks`` shares of the rows (the shuffle partitions by default) is cut. ``cuts`` passes
+    on what ``find_cuts`` returned for groups of ``cut_keys`` (which ``keys`` extend), or None where
+    groups are short by their nature.
     """
     if isinstance(cuts, str):
-        cuts = find_cuts(df, keys, order, rows_per_task)
+        cuts = find_cuts(df, keys, order, tasks)
     inputs = {f"__in_{name}": step.value for name, step in steps.items()}
     df = df.withColumns(inputs)
     if cuts is None:
         local = df.withColumns(_local(steps, Window.partitionBy(*keys), order))
         return local.drop(*inputs)
 
-    blocks = _with_block(df, keys, order[0], cuts)
+    blocks = _with_block(df, cut_keys or keys, order, cuts)
     group = Window.partitionBy(*keys, _BLOCK)
     edges = {
         f"__edge_{name}": (F.lag if step.kind == "previous" else F.lead)(F.lit(True)).over(
@@ -118,7 +118,7 @@ def ordered_scan(
     }
     local = blocks.withColumns({**_local(steps, group, order), **edges})
     carry = _carry(blocks.where(F.col(_BLOCK).isNotNull()), keys, order, steps)
-    # One row per block of an oversized group: at most about two per fair share.
+    # Only groups in several blocks have a carry: at most two rows for each block edge.
     right = F.broadcast(carry).alias("c")
     match = [F.col(f"l.{k}").eqNullSafe(F.col(f"c.{k}")) for k in keys]
     match.append(F.col(f"l.{_BLOCK}") == F.col(f"c.{_BLOCK}"))
@@ -130,77 +130,35 @@ def ordered_scan(
 
 
 def find_cuts(
-    df: DataFrame,
-    keys: Sequence[str],
-    order: Sequence[str],
-    rows_per_task: int | None = None,
-) -> DataFrame | None:
-    """Cut points of the oversized groups, None when no group is oversized.
+    df: DataFrame, keys: Sequence[str], order: Sequence[str], tasks: int | None = None
+) -> DataFrame:
+    """Cut points of each group above a share of the rows: the keys and an array ``__cuts``.
 
-    A given ``rows_per_task`` forces the counting job whatever the size of the frame.
+    The sample is the rows with the smallest hashes of keys and order, ``SAMPLED`` for each task, so
+    that it has the same rows whenever and wherever it is drawn. The result is at most a row for
+    each task.
     """
-    if rows_per_task is None and estimated_bytes(df) <= SMALL_BYTES:
-        return None
-    return _oversized_groups(df, keys, order[0], rows_per_task or ROWS_PER_TASK)
-
-
-def _axis(df: DataFrame, column: str) -> Column:
-    """The order column as a double that never falls along the order."""
-    kind = df.schema[column].dataType
-    col = F.col(column)
-    if isinstance(kind, T.TimestampNTZType):
-        return col.cast("timestamp").cast("double")
-    if isinstance(kind, T.DateType):
-        return F.unix_date(col).cast("double")
-    if isinstance(kind, (T.NumericType, T.TimestampType)):
-        return col.cast("double")
-    raise ValueError(f"cannot cut an oversized group along {column}: {kind.simpleString()}")
-
-
-def _oversized_groups(
-    df: DataFrame, keys: Sequence[str], axis: str, rows_per_task: int
-) -> DataFrame | None:
-    """Cut points of each group above a fair share of all rows, or None when there is none."""
-    narrow = df.select(*keys, axis)
-    counts = narrow.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
-    fair = max(rows_per_task, narrow.count() // FAIR_SHARES)
-    large = counts.where(F.col("n") > fair)
-    found = large.collect()
-    if not found:
-        return None
-    spark = df.sparkSession
-    most = max(math.ceil(row["n"] / fair) for row in found)
-    marks = [i / most for i in range(1, most)]
-    hot = spark.createDataFrame(found, large.schema)
-    same = [F.col(f"d.{k}").eqNullSafe(F.col(f"h.{k}")) for k in keys]
-    spots = (
-        narrow.withColumn("__axis", _axis(df, axis))
-        .alias("d")
-        .join(F.broadcast(hot).alias("h"), same)
-        .groupBy(*[F.col(f"h.{k}") for k in keys], F.col("h.n"))
-        .agg(F.percentile_approx("__axis", marks, 10 * most).alias("marks"))
+    if tasks is None:
+        tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    columns = list(dict.fromkeys([*keys, *order]))
+    sample = (
+        df.select(*keys, F.struct(*order).alias("__at"), F.xxhash64(*columns).alias("__hash"))
+        .orderBy("__hash")
+        .limit(SAMPLED * tasks)
     )
-    schema = T.StructType(
-        [large.schema[k] for k in keys]
-        + [T.StructField("__cuts", T.ArrayType(T.DoubleType()))]
-    )
-    rows = []
-    for row in spots.collect():
-        wanted = math.ceil(row["n"] / fair)
-        picked = {row["marks"][round(i * most / wanted) - 1] for i in range(1, wanted)}
-        rows.append((*[row[k] for k in keys], sorted(picked)))
-    return spark.createDataFrame(rows, schema)
+    found = sample.groupBy(*keys).agg(F.array_sort(F.collect_list("__at")).alias("__seen"))
+    every = F.filter("__seen", lambda _, i: ((i + 1) % APART == 0) & (i + 1 < F.size("__seen")))
+    return found.where(F.size("__seen") >= SAMPLED).select(*keys, every.alias("__cuts"))
 
 
 def _with_block(
-    df: DataFrame, keys: Sequence[str], axis: str, cuts: DataFrame
+    df: DataFrame, keys: Sequence[str], order: Sequence[str], cuts: DataFrame
 ) -> DataFrame:
     same = [F.col(f"d.{k}").eqNullSafe(F.col(f"k.{k}")) for k in keys]
-    below = F.filter(F.col("__cuts"), lambda cut: cut < F.col("__axis"))
-    block = F.when(F.col("__cuts").isNotNull(), F.size(below))
+    at = F.struct(*[F.col(f"d.{c}") for c in order])
+    block = F.when(F.col("__cuts").isNotNull(), F.size(F.filter("__cuts", lambda cut: cut < at)))
     return (
-        df.withColumn("__axis", _axis(df, axis))
-        .alias("d")
+        df.alias("d")
         .join(F.broadcast(cuts).alias("k"), same, "left")
         .select(*[F.col(f"d.`{c}`") for c in df.columns], block.alias(_BLOCK))
     )
@@ -223,6 +181,8 @@ def _local(steps: dict[str, Step], group, order: Sequence[str]) -> dict[str, Col
             made[name] = F.coalesce(F.sum(value).over(before), F.lit(0))
         elif step.kind == "total":
             made[name] = F.sum(value).over(group)
+        elif step.kind == "min":
+            made[name] = F.min(value).over(group)
         elif step.kind == "max":
             made[name] = F.max(value).over(upto)
         elif step.kind == "last_valid":
@@ -241,7 +201,7 @@ def _local(steps: dict[str, Step], group, order: Sequence[str]) -> dict[str, Col
 def _carry(
     rows: DataFrame, keys: Sequence[str], order: Sequence[str], steps: dict[str, Step]
 ) -> DataFrame:
-    """What each block of an oversized group receives from the blocks before or after it."""
+    """What each block of a group in several receives from the blocks before or after it."""
     at = F.struct(*order)
     sums = []
     for name, step in steps.items():
@@ -252,6 +212,7 @@ def _carry(
             "sum": F.sum(value),
             "sum_before": F.sum(value),
             "total": F.sum(value),
+            "min": F.min(value),
             "max": F.max(value),
             "last_valid": F.max_by(value, some),
             "next_valid": F.min_by(value, some),
@@ -259,8 +220,13 @@ def _carry(
             "following": F.min_by(whole, at),
         }[step.kind]
         sums.append(fold.alias(name))
-    summary = rows.groupBy(*keys, _BLOCK).agg(*sums)
     group = Window.partitionBy(*keys)
+    summary = (
+        rows.groupBy(*keys, _BLOCK)
+        .agg(*sums)
+        .withColumn("__blocks", F.count(F.lit(1)).over(group))
+        .where("__blocks > 1")
+    )
     ordered = group.orderBy(_BLOCK)
     before = ordered.rowsBetween(Window.unboundedPreceding, -1)
     after = group.orderBy(F.desc(_BLOCK)).rowsBetween(Window.unboundedPreceding, -1)
@@ -271,6 +237,8 @@ def _carry(
             carried = F.sum(value).over(before)
         elif step.kind == "total":
             carried = F.sum(value).over(group)
+        elif step.kind == "min":
+            carried = F.min(value).over(group)
         elif step.kind == "max":
             carried = F.max(value).over(before)
         elif step.kind == "last_valid":
@@ -291,8 +259,8 @@ def _merge(name: str, step: Step) -> Column:
     if step.kind in ("sum", "sum_before"):
         both = F.coalesce(local, zero) + F.coalesce(carry, zero)
         return F.when(local.isNull() & carry.isNull(), local).otherwise(both)
-    if step.kind == "total":
-        return F.when(F.col(f"l.{_BLOCK}").isNull(), local).otherwise(carry)
+    if step.kind in ("total", "min"):
+        return F.coalesce(carry, local)
     if step.kind == "max":
         return F.greatest(local, carry)
     if step.kind in ("last_valid", "next_valid"):

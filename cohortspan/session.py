@@ -36,8 +36,3 @@ def spread(df: DataFrame, keys: Sequence[str], partitions: int | None = None) ->
     if partitions is None:
         partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return df.repartition(partitions, *keys)
-
-
-def estimated_bytes(df: DataFrame) -> int:
-    """The optimizer's own size estimate of a frame (file sizes for a scan)."""
-    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())

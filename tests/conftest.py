@@ -4,9 +4,7 @@ from cohortspan.session import local_session
 
 
 @pytest.fixture(scope="session")
-def spark(tmp_path_factory):
+def spark():
     session = local_session(4, "tests")
-    if not session.conf.get("spark.checkpoint.dir", ""):
-        session.sparkContext.setCheckpointDir(str(tmp_path_factory.mktemp("checkpoints")))
     yield session
     session.stop()

@@ -1,6 +1,7 @@
 """Cut groups must give what whole groups give, whatever the cuts."""
 
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -32,6 +33,7 @@ def steps():
         "run": scan.running_sum(F.col("value")),
         "before": scan.sum_before(F.col("value")),
         "total": scan.group_total(F.col("value")),
+        "least": scan.group_min(F.col("value")),
         "top": scan.running_max(F.col("value")),
         "filled": scan.last_valid(F.col("value")),
         "ahead": scan.next_valid(F.col("value")),
@@ -57,6 +59,7 @@ def brute(rows):
                 "run": sum(upto) if upto else None,
                 "before": sum(past),
                 "total": sum(given) if given else None,
+                "least": min(given) if given else None,
                 "top": max(upto) if upto else None,
                 "filled": upto[-1] if upto else None,
                 "ahead": next((g["value"] for g in group[i:] if g["value"] is not None), None),
@@ -66,25 +69,57 @@ def brute(rows):
     return found
 
 
-@pytest.mark.parametrize("limit", [None, 40, 200])
-def test_scan_against_brute_force(rows, limit):
+@pytest.mark.parametrize("tasks", [None, 2, 20])
+def test_scan_against_brute_force(rows, tasks):
     expected = brute(rows.collect())
-    scanned = scan.ordered_scan(rows, ["key"], ["at", "id"], rows_per_task=limit, **steps())
+    scanned = scan.ordered_scan(rows, ["key"], ["at", "id"], tasks=tasks, **steps())
     assert scanned.columns == [*rows.columns, *steps()]
     found = {r["id"]: {name: r[name] for name in steps()} for r in scanned.collect()}
     assert found == expected
 
 
-def test_only_large_groups_are_cut(rows):
-    cuts = scan.find_cuts(rows, ["key"], ["at"], 200)
-    assert [r["key"] for r in cuts.collect()] == [1]
-    assert scan.find_cuts(rows, ["key"], ["at"], 10_000) is None
-    assert scan.find_cuts(rows, ["key"], ["at"]) is None
+def test_only_large_groups_are_cut(spark):
+    df = spark.range(40_000).selectExpr("IF(id % 10 = 0, id, -1) AS key", "id AS at")
+    cuts = scan.find_cuts(df, ["key"], ["at"], 8).collect()
+    assert [r["key"] for r in cuts] == [-1]
+    found = [c["at"] for c in cuts[0]["__cuts"]]
+    assert found == sorted(found) and 10 <= len(found) <= 16
+    assert [r.asDict() for r in scan.find_cuts(df, ["key"], ["at"], 8).collect()] == [
+        r.asDict() for r in cuts
+    ]
+
+
+@pytest.mark.parametrize("order", [["at", "id"], ["word", "id"], ["same", "id"]])
+def test_hot_key_ties_and_text_orders(spark, order):
+    """One key has nine tenths of the rows; the first order column may be text or all alike."""
+    df = spark.range(6_000).selectExpr(
+        "IF(id % 10 = 0, id DIV 100, -1) AS key",
+        "id",
+        "hash(id) AS at",
+        "CAST(hash(id) % 50 AS STRING) AS word",
+        "7 AS same",
+    )
+    steps = {"nth": scan.position(), "was": scan.previous(F.col("id")), "size": scan.group_size()}
+    cut = scan.ordered_scan(df, ["key"], order, tasks=8, **steps)
+    whole = scan.ordered_scan(df, ["key"], order, cuts=None, **steps)
+    assert scan.find_cuts(df, ["key"], order, 8).count() == 1
+    assert cut.exceptAll(whole).count() == 0 and whole.exceptAll(cut).count() == 0
+
 
+def test_one_plan_for_all_sizes(spark):
+    """Building runs no job, and the plan of a small frame is that of a large one."""
+    def plan(rows):
+        df = spark.range(rows).selectExpr("id % 3 AS key", "id AS at")
+        done = scan.ordered_scan(df, ["key"], ["at"], nth=scan.position())
+        text = done._jdf.queryExecution().optimizedPlan().toString()
+        return [re.sub(r"[(#\[].*", "", line).strip(" :+-") for line in text.splitlines()]
 
-def test_cuts_need_a_measurable_order(rows):
-    with pytest.raises(ValueError, match="cannot cut"):
-        scan.ordered_scan(rows, ["key"], ["word", "id"], rows_per_task=10, nth=scan.position())
+    tracker = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("built", "no job is expected here")
+    small, large = plan(5_000), plan(50_000_000)
+    assert tracker.getJobIdsForGroup("built") == []
+    spark.sparkContext.setJobGroup("other", "")
+    assert small == large
 
 
 def test_order_by_time(spark):
@@ -94,7 +129,7 @@ def test_order_by_time(spark):
     )
     for column in ("ts", "day", "n"):
         done = scan.ordered_scan(
-            df, ["key"], [column, "id"], rows_per_task=50, nth=scan.position()
+            df, ["key"], [column, "id"], tasks=4, nth=scan.position()
         )
         assert done.where("nth != id + 1").count() == 0
 
@@ -103,8 +138,8 @@ def test_expansion_is_the_same_in_blocks(spark):
     rng = random.Random(1)
     data = [(k, i, rng.choice([None, 1.0 * i, 5.0]), rng.randrange(4)) for k in "ab" for i in range(80)]
     df = spark.createDataFrame(data, "key string, at int, v double, n int")
-    whole = expand_knots(df, ["key"], ["at"], "v", periods=F.col("n"))
-    parts = expand_knots(df, ["key"], ["at"], "v", periods=F.col("n"), rows_per_task=15)
+    whole = expand_knots(df, ["key"], ["at"], "v", periods=F.col("n"), short_groups=True)
+    parts = expand_knots(df, ["key"], ["at"], "v", periods=F.col("n"), tasks=4)
     order = ["key", "step"]
     assert parts.orderBy(*order).collect() == whole.orderBy(*order).collect()
     assert whole.count() == sum(r[3] for r in data)
@@ -114,7 +149,7 @@ def test_rows_between(rows):
     expected = {i for i, r in brute(rows.collect()).items() if 2 <= r["nth"] <= 3}
     first = rows_between(rows, ["key"], ["at", "id"], 2, 3)
     assert {r["id"] for r in first.collect()} == expected
-    rest = rows_between(rows, ["key"], ["at", "id"], 4, rows_per_task=60)
+    rest = rows_between(rows, ["key"], ["at", "id"], 4, tasks=20)
     expected = {i for i, r in brute(rows.collect()).items() if r["nth"] >= 4}
     assert {r["id"] for r in rest.collect()} == expected
 
@@ -127,8 +162,8 @@ def test_top_by_group(spark):
     }
 
 
-@pytest.mark.parametrize("limit", [None, 30])
-def test_buckets(spark, limit):
+@pytest.mark.parametrize("options", [{}, {"many_labels": True}, {"many_labels": True, "tasks": 4}])
+def test_buckets(spark, options):
     rng = random.Random(2)
     weights = {"x": {"a": 1, "b": 3, "c": 4}, "y": {"d": 2, "e": 2}}
     table = spark.createDataFrame(
@@ -136,17 +171,16 @@ def test_buckets(spark, limit):
         "g string, label string, w long",
     )
     draws = [(i, rng.choice("xxxy"), rng.choice([0.125, 0.5, 1.0, rng.random()])) for i in range(200)]
-    draws.append((200, "z", 0.5))
+    draws += [(200, "z", 0.5), (201, "x", None)]
     shares = cumulative_shares(table, ["g"], "label", "w")
     # The top bound is lowered to see draws beyond the last bucket.
     shares = shares.withColumn("upper", F.when(F.col("label") == "e", 0.9).otherwise(F.col("upper")))
     df = spark.createDataFrame(draws, "i int, g string, u double")
-    options = {} if limit is None else {"rows_per_task": limit}
     found = {
         r["i"]: r["label"]
         for r in assign_buckets(df, shares, ["g"], "u", "label", **options).collect()
     }
     bounds = {r["label"]: (r["g"], r["upper"]) for r in shares.collect()}
     for i, g, u in draws:
-        fitting = sorted((b, label) for label, (h, b) in bounds.items() if h == g and u <= b)
+        fitting = sorted((b, label) for label, (h, b) in bounds.items() if h == g and u is not None and u <= b)
         assert found[i] == (fitting[0][1] if fitting else None)
