@@ -151,10 +151,10 @@ def legacy_transitions(spark, sf_dir):
 @query(
     "legacy_matrix",
     """SELECT p_partkey AS scenario_id, treatment, f AS from_state,
-              CASE f WHEN 4 THEN 'D' ELSE 'S' || f END AS st,
-              round(CASE f WHEN 1 THEN 0.99e0 - hu ELSE 0e0 END, 6) AS S1,
-              round(CASE f WHEN 1 THEN hu ELSE 0e0 END, 6) AS S2,
-              CASE f WHEN 2 THEN 0.98e0 ELSE 0e0 END AS S3,
+              ['PF', 'P1', 'P2', 'D'][f] AS st,
+              round(CASE f WHEN 1 THEN 0.99e0 - hu ELSE 0e0 END, 6) AS PF,
+              round(CASE f WHEN 1 THEN hu ELSE 0e0 END, 6) AS P1,
+              CASE f WHEN 2 THEN 0.98e0 ELSE 0e0 END AS P2,
               CASE f WHEN 1 THEN 0.01e0 WHEN 2 THEN 0.02e0 ELSE 1e0 END AS D
        FROM (SELECT p_partkey, treatment,
                     CASE treatment WHEN 'Comparison' THEN 0.9e0 ELSE (p_size % 10 + 1) / 25e0 END
@@ -164,8 +164,8 @@ def legacy_transitions(spark, sf_dir):
 )
 def legacy_matrix(spark, sf_dir):
     edges = contracts.treatment_transitions(part_contracts(spark, sf_dir))
-    table = transition_table(edges, ["scenario_id"], 4)
-    return table.withColumns({c: F.round(c, 6) for c in ("S1", "S2", "S3", "D")})
+    table = transition_table(edges, ["scenario_id"], 4, legacy=True)
+    return table.withColumns({c: F.round(c, 6) for c in ("PF", "P1", "P2", "D")})
 
 
 @query(

@@ -19,7 +19,7 @@ from cohortspan.operators.chain import (
     progressive_edges,
     project_shares,
 )
-from cohortspan.operators.columns import fill_defaults, parameters
+from cohortspan.operators.columns import fill_defaults, parameters, with_parameters
 from cohortspan.operators.expand import expand_states
 from cohortspan.operators.filters import top_by_group
 from cohortspan.operators.schedule import payment_schedule
@@ -123,9 +123,14 @@ def cohort_rows(
         F.array_sort(F.collect_list(F.struct("pstart", "payment", "pend", *PAYMENT_DEFAULTS))).alias(
             "plans"
         ),
-        F.expr("CAST(max(time_horizon) AS INT)").alias("time_horizon"),
-        F.max("discount").alias("discount"),
-        F.max("firm_discount").alias("firm_discount"),
+        # A scenario without globals has the defaults.
+        F.coalesce(F.max("time_horizon"), F.lit(GLOBAL_DEFAULTS["time_horizon"]))
+        .cast("int")
+        .alias("time_horizon"),
+        *[
+            F.coalesce(F.max(c), F.lit(GLOBAL_DEFAULTS[c])).alias(c)
+            for c in ("discount", "firm_discount")
+        ],
     )
     ready = chains.join(offered, named)
     if arms is not None:
@@ -141,11 +146,17 @@ _SPAN = "plan.pstart, plan.pend - plan.pstart + 1"
 def _with_conditions(rows: DataFrame) -> DataFrame:
     """Add the stop flags and refunds by period of the treatment's plan with a total.
 
+    ``several`` is true where a treatment has more than one such plan. It can't be priced then: its
+    costs are null, and ``validate.check_rules`` names it.
+
     ``stopped`` (null unless the plan stops on aggregate failure) tells by period whether more
     than the agreed share has left the plan's states. ``refunds`` (null unless the plan refunds)
     holds the payment back by period, negative.
     """
-    planned = rows.withColumn("plan", F.expr("get(filter(plans, p -> p.tot_payment > 0), 0)"))
+    totals = "filter(plans, p -> p.tot_payment > 0)"
+    planned = rows.withColumns(
+        {"plan": F.expr(f"get({totals}, 0)"), "several": F.expr(f"size({totals}) > 1")}
+    )
 
     entered = "get(get(shares, plan.pstart - 1), plan.pstart - 1)"
     inside = f"aggregate(slice(x, {_SPAN}), {_SUM})"
@@ -173,12 +184,12 @@ def _with_conditions(rows: DataFrame) -> DataFrame:
     # Moving on from the state before death and dying there end in the same state.
     leaving = """(get(states, plan.pend - 1).p_prog * (1D - get(states, plan.pend - 1).p_death)
         + IF(plan.pend + 1 = size(states), get(states, plan.pend - 1).p_death, 0D))"""
-    before = f"""aggregate(sequence(1, greatest(i, 1)), 0D,
-        (total, past) -> total + {payment_sql("past", "plan.", start="plan.pstart")})"""
+    before = f"""aggregate(sequence(1, size(shares)), array(0D), (done, past) -> array_append(
+        done, element_at(done, -1) + {payment_sql("past", "plan.", start="plan.pstart")}))"""
     counted = """i > 0
         AND (i + 1 <= plan.contract_length OR plan.contract_length >= time_horizon)"""
-    paid_back = f"""transform(shares, (x, i) -> IF({counted},
-        coalesce(-(get(x, plan.pend - 1) * {leaving} * plan.refund * {before}), 0D), 0D))"""
+    paid_back = f"""transform(array({before}), paid -> transform(shares, (x, i) -> IF({counted},
+        coalesce(-(get(x, plan.pend - 1) * {leaving} * plan.refund * get(paid, i)), 0D), 0D)))[0]"""
     return claimed.withColumn(
         "refunds",
         F.expr(f"""CASE WHEN clawback IS NOT NULL THEN {turned}
@@ -217,6 +228,7 @@ def cells(
         "plan.pend AS last_paid",
         "stopped",
         "refunds",
+        "several",
         "posexplode_outer(shares) AS (elapsed, reached)",
     )
     by_state = by_period.selectExpr(
@@ -228,6 +240,7 @@ def cells(
         "last_paid",
         "get(stopped, elapsed) AS off",
         "get(refunds, elapsed) AS refund",
+        "several",
         "reached",
         "explode_outer(states) AS s",
     )
@@ -239,23 +252,23 @@ def cells(
         "s.state AS state",
         "s.payment AS payment",
         f"{share} AS share",
-        f"""CASE WHEN s.payment IS NULL THEN NULL WHEN {halted} THEN 0D
+        f"""CASE WHEN s.payment IS NULL OR several THEN NULL WHEN {halted} THEN 0D
             ELSE {share} * {payment_sql("time", "s.", start="s.pstart")} END AS cost""",
-        "IF(s.state = 1, refund, NULL) AS refund",
+        "IF(s.state = 1 AND NOT several, refund, NULL) AS refund",
         f"{share} * s.QoL * {discount_factor_sql('discount', 'time')} AS qaly",
     )
 
 
-def lines(
+def _listed_lines(
     bundle: ModelBundle,
-    span_scope: str = "model",
-    partitions: int | None = None,
-    arms: DataFrame | None = None,
-) -> DataFrame:
-    """``treatment, time, costben, value``: each plan, the refund and the QALY by period.
+    span_scope: str,
+    partitions: int | None,
+    arms: DataFrame | None,
+) -> tuple[DataFrame, list[str]]:
+    """One row per treatment with its lines as an array ``listed``; and the names it is known by.
 
     A plan asks the same of all its states, so a line is one weighted sum of the period's shares
-    times one amount. Rows come out final: nothing is exploded by state or summed up again.
+    times one amount.
     """
     keys = list(bundle.keys)
     passed = [] if arms is None else [c for c in arms.columns if c not in (*keys, "treatment")]
@@ -284,42 +297,84 @@ def lines(
         "firm_discount",
         "stopped",
         "refunds",
+        "several",
         "shares",
         f"""concat(transform(filter(plans, p -> p.payment IS NOT NULL), p -> {plan}),
             array({health}), IF(refunds IS NULL, array(), array({refund}))) AS listed""",
     )
+    return listed, named
+
+
+def _line_value(line: str, reached: str, elapsed: str, off: str, refund: str) -> str:
+    """SQL for what a line is worth in a period, from the shares reached in it."""
+    weights = f"IF({line}.kind = 'plan' AND {off}, {line}.stopped_weights, {line}.weights)"
+    dot = f"aggregate(zip_with({reached}, {weights}, (share, w) -> share * w), {_SUM})"
+    time = f"({elapsed} + 1)"
+    paid = payment_sql(time, f"{line}.terms.", start=f"{line}.terms.pstart")
+    return f"""CASE WHEN {line}.kind = 'qaly' THEN {dot} * {discount_factor_sql('discount', time)}
+        WHEN several THEN NULL WHEN {line}.kind = 'refund' THEN {refund} ELSE {dot} * {paid} END"""
+
+
+def lines(
+    bundle: ModelBundle,
+    span_scope: str = "model",
+    partitions: int | None = None,
+    arms: DataFrame | None = None,
+) -> DataFrame:
+    """``treatment, time, costben, value``: each plan, the refund and the QALY by period.
+
+    Rows come out final: nothing is exploded by state or summed up again.
+    """
+    listed, named = _listed_lines(bundle, span_scope, partitions, arms)
     by_line = listed.selectExpr(
         *named,
         "discount",
         "firm_discount",
         "stopped",
         "refunds",
+        "several",
         "listed",
         "posexplode_outer(shares) AS (elapsed, reached)",
     ).selectExpr(
         *named,
-        "elapsed + 1 AS time",
+        "elapsed",
         "discount",
         "firm_discount",
         "get(stopped, elapsed) AS off",
         "get(refunds, elapsed) AS refund",
+        "several",
         "reached",
         "explode_outer(listed) AS l",
     )
-    weights = "IF(l.kind = 'plan' AND off, l.stopped_weights, l.weights)"
-    dot = f"aggregate(zip_with(reached, {weights}, (share, w) -> share * w), {_SUM})"
     return by_line.selectExpr(
         *named,
-        "time",
+        "elapsed + 1 AS time",
         "l.costben AS costben",
         "l.kind AS kind",
-        f"""CASE l.kind WHEN 'refund' THEN refund
-            WHEN 'qaly' THEN {dot} * {discount_factor_sql('discount', 'time')}
-            ELSE {dot} * {payment_sql("time", "l.terms.", start="l.terms.pstart")}
-            END AS value""",
+        f"{_line_value('l', 'reached', 'elapsed', 'off', 'refund')} AS value",
     )
 
 
+def _summed_lines(
+    bundle: ModelBundle,
+    span_scope: str,
+    partitions: int | None,
+    arms: DataFrame | None = None,
+) -> tuple[DataFrame, list[str]]:
+    """One row per treatment with ``sums``, an array of (kind, costben, value over all periods).
+
+    The periods are folded inside the row; null where no period has a value.
+    """
+    listed, named = _listed_lines(bundle, span_scope, partitions, arms)
+    value = _line_value("l", "x", "i", "get(stopped, i)", "get(refunds, i)")
+    by_period = f"filter(transform(shares, (x, i) -> {value}), v -> v IS NOT NULL)"
+    whole = f"""transform(array({by_period}),
+        given -> IF(size(given) = 0, NULL, aggregate(given, {_SUM})))[0]"""
+    sums = f"""transform(listed, l -> named_struct(
+        'kind', l.kind, 'costben', l.costben, 'value', {whole}))"""
+    return listed.selectExpr(*named, "several", f"{sums} AS sums"), named
+
+
 def over_time(
     bundle: ModelBundle, span_scope: str = "model", partitions: int | None = None
 ) -> DataFrame:
@@ -339,17 +394,14 @@ def detail(
     bundle: ModelBundle, span_scope: str = "model", partitions: int | None = None
 ) -> DataFrame:
     """``treatment, payment, cost, QALY``: a row per plan and one, without a plan, for QALY."""
-    summed = (
-        lines(bundle, span_scope, partitions)
-        .groupBy(*bundle.keys, "treatment", "kind", "costben")
-        .agg(F.sum("value").alias("value"))
-    )
-    return summed.selectExpr(
-        *bundle.keys,
-        "treatment",
-        "IF(kind = 'qaly', NULL, costben) AS payment",
-        "IF(kind = 'qaly', NULL, value) AS cost",
-        "IF(kind = 'qaly', value, NULL) AS QALY",
+    summed, named = _summed_lines(bundle, span_scope, partitions)
+    # Each treatment has lines. A plain explode would have Spark ask below whether there are any,
+    # by computing them all once more.
+    return summed.selectExpr(*named, "explode_outer(sums) AS s").selectExpr(
+        *named,
+        "IF(s.kind = 'qaly', NULL, s.costben) AS payment",
+        "IF(s.kind = 'qaly', NULL, s.value) AS cost",
+        "IF(s.kind = 'qaly', s.value, NULL) AS QALY",
     )
 
 
@@ -359,24 +411,22 @@ def totals(
     partitions: int | None = None,
     arms: DataFrame | None = None,
 ) -> DataFrame:
-    """``treatment, Cost, QALY``; one aggregation straight from the lines."""
-    passed = [] if arms is None else [c for c in arms.columns if c not in bundle.keys]
-    by = dict.fromkeys([*bundle.keys, "treatment", *passed])
-    return (
-        lines(bundle, span_scope, partitions, arms)
-        .groupBy(*by)
-        .agg(
-            F.expr("coalesce(sum(IF(kind != 'qaly', value, NULL)), 0D)").alias("Cost"),
-            F.expr("coalesce(sum(IF(kind = 'qaly', value, NULL)), 0D)").alias("QALY"),
-        )
+    """``treatment, Cost, QALY``: the lines of a treatment added up inside its row."""
+    summed, named = _summed_lines(bundle, span_scope, partitions, arms)
+
+    def added(kinds: str) -> str:
+        chosen = f"filter(sums, s -> {kinds} AND s.value IS NOT NULL)"
+        return f"aggregate({chosen}.value, {_SUM})"
+
+    return summed.selectExpr(
+        *named,
+        f"IF(several, NULL, {added("s.kind != 'qaly'")}) AS Cost",
+        f"{added("s.kind = 'qaly'")} AS QALY",
     )
 
 
-def compare(
-    arms: DataFrame, controls: DataFrame, keys: Sequence[str], name: str = "treatment"
-) -> DataFrame:
-    """Each active arm against each control of its scenario."""
-    pairs = arms.alias("a").join(controls.alias("c"), list(keys))
+def _compared(pairs: DataFrame, keys: Sequence[str], name: str) -> DataFrame:
+    """Pairs of an arm ``a`` and a control ``c``, compared."""
     gain = F.col("a.QALY") - F.col("c.QALY")
     price = F.col("a.Cost") - F.col("c.Cost")
     return pairs.select(
@@ -388,18 +438,46 @@ def compare(
     )
 
 
+def compare(
+    arms: DataFrame, controls: DataFrame, keys: Sequence[str], name: str = "treatment"
+) -> DataFrame:
+    """Each active arm against each control of its scenario, by a join."""
+    return _compared(arms.alias("a").join(controls.alias("c"), list(keys)), keys, name)
+
+
+def compare_arms(arms: DataFrame, keys: Sequence[str], name: str = "treatment") -> DataFrame:
+    """The same from one frame whose ``is_control`` is true for controls.
+
+    The arms of a scenario meet in one row, which suits what a model holds: each arm is computed
+    once, and nothing is joined.
+    """
+    every = F.collect_list(F.struct(name, "Cost", "QALY", "is_control"))
+    gathered = arms.groupBy(*keys).agg(every.alias("arms"))
+    control = lambda arm: F.coalesce(arm["is_control"], F.lit(False))
+    pairs = gathered.select(
+        *keys,
+        F.explode(F.filter("arms", lambda arm: ~control(arm))).alias("a"),
+        F.filter("arms", control).alias("controls"),
+    ).select(*keys, "a", F.explode("controls").alias("c"))
+    return _compared(pairs, keys, name)
+
+
 def incremental(
-    bundle: ModelBundle, span_scope: str = "model", partitions: int | None = None
+    bundle: ModelBundle,
+    span_scope: str = "model",
+    partitions: int | None = None,
+    many_arms: bool = False,
 ) -> DataFrame:
     """``Treatments, QALY, Cost, ICER`` of each active treatment against each control.
 
-    Who is a control depends on names alone, so it is settled before the projection: the filter
-    on either side of the comparison reaches below it, and each side projects only its own
-    treatments from the same shuffled states.
+    Who is a control depends on names alone, so it is settled before the projection. ``many_arms``
+    is for scenarios whose treatments don't fit one row: arms and controls are then joined.
     """
     names = controls_of(bundle).withColumn("is_control", F.lit(True))
     arms = totals(bundle, span_scope, partitions, names)
-    return compare(arms.where("is_control IS NULL"), arms.where("is_control"), bundle.keys)
+    if many_arms:
+        return compare(arms.where("is_control IS NULL"), arms.where("is_control"), bundle.keys)
+    return compare_arms(arms, bundle.keys)
 
 
 def controls_of(bundle: ModelBundle) -> DataFrame:
@@ -429,9 +507,9 @@ def plan_listing(bundle: ModelBundle) -> DataFrame:
         plans.join(used, [*keys, "payment"], "left")
         .withColumn("start", F.when(F.col("tot_payment") > 0, F.col("start")).otherwise(F.lit(1)))
         .distinct()
-        .join(global_record(bundle), keys)
         .withColumnRenamed("payment", "payment_plan")
     )
+    starts = with_parameters(starts, global_record(bundle), keys, GLOBAL_DEFAULTS)
     return payment_schedule(
         starts,
         "time_horizon",

@@ -13,10 +13,10 @@ from pyspark.sql import functions as F
 
 from cohortspan.functions import discount_factor, discount_factor_sql, linear_ramp_sql, payment_sql
 from cohortspan.operators.chain import project_shares
-from cohortspan.operators.columns import fill_defaults, parameters
+from cohortspan.operators.columns import fill_defaults, parameters, with_parameters
 from cohortspan.operators.schedule import payment_schedule
 from cohortspan.operators.scan import ordered_scan, position
-from cohortspan.plans.cohort import compare
+from cohortspan.plans.cohort import compare_arms
 from cohortspan.session import spread
 from cohortspan.tables import LEGACY_CONTRACT_DEFAULTS, LEGACY_TREATMENT_DEFAULTS, LegacyBundle
 
@@ -96,7 +96,7 @@ def contract_payments(contracts: DataFrame) -> DataFrame:
 def payment_plans(bundle: LegacyBundle) -> DataFrame:
     """``payment_plan, time, payment`` of each contract over the horizon."""
     keys = list(bundle.keys)
-    plans = complete_contracts(bundle.contracts).join(rates(bundle), keys)
+    plans = with_parameters(complete_contracts(bundle.contracts), rates(bundle), keys, LEGACY_GLOBALS)
     named = plans.withColumnRenamed("name", "payment_plan")
     return payment_schedule(
         named,
@@ -132,7 +132,9 @@ def projected_treatments(bundle: LegacyBundle, partitions: int | None = None) ->
     """One row per treatment with rates, QALY by period and projected shares."""
     keys = list(bundle.keys)
     rows = spread(
-        complete_treatments(bundle.treatments).join(rates(bundle), keys),
+        with_parameters(
+            complete_treatments(bundle.treatments), rates(bundle), keys, LEGACY_GLOBALS
+        ),
         [*keys, "plan"],
         partitions,
     )
@@ -158,15 +160,18 @@ def contract_series(bundle: LegacyBundle, partitions: int | None = None) -> Data
     shares sum up to its level.
     """
     keys = list(bundle.keys)
+    # A plan has as few contracts as a model lists.
     numbered = ordered_scan(
-        complete_contracts(bundle.contracts), [*keys, "plan"], ["row_id"], nth=position()
+        complete_contracts(bundle.contracts), [*keys, "plan"], ["row_id"], cuts=None, nth=position()
     )
     contracts = numbered.select(
         *keys, "plan", F.col("name").alias("contract"), "nth", *LEGACY_CONTRACT_DEFAULTS
     )
     pairs = projected_treatments(bundle, partitions).join(contracts, [*keys, "plan"])
     due = payment_sql("(i + 1)", firm_on_continuous=True)
-    running = "aggregate(slice({0}, 1, {1}), 0D, (total, part) -> total + part)"
+    # What was summed up before each period, and, at the end, in all.
+    running = """aggregate({0}, array(0D), (done, v) ->
+        array_append(done, element_at(done, -1) + v))"""
     listed = pairs.selectExpr(
         *keys,
         "plan",
@@ -184,7 +189,10 @@ def contract_series(bundle: LegacyBundle, partitions: int | None = None) -> Data
         f"transform(shares, (x, i) -> {due}) AS due",
         "transform(shares, x -> coalesce(get(x, `end` - 1), 0D)) AS fails",
     )
-    periods = listed.selectExpr("*", "posexplode_outer(shares) AS (i, x)").selectExpr(
+    summed = listed.selectExpr(
+        "*", f"{running.format('due')} AS due_before", f"{running.format('fails')} AS fails_before"
+    )
+    periods = summed.selectExpr("*", "posexplode_outer(shares) AS (i, x)").selectExpr(
         *keys,
         "plan",
         "name",
@@ -196,9 +204,9 @@ def contract_series(bundle: LegacyBundle, partitions: int | None = None) -> Data
         "get(health, i) AS QALY",
         "get(fails, i) AS failing",
         "get(due, i) AS costs",
-        f"""IF(i = 0 OR (i + 1 > contract_length AND contract_length < time_horizon), 0D,
-            {running.format("due", "i")}) AS cumcosts""",
-        f"{running.format('fails', 'i + 1')} AS cumfail",
+        """IF(i = 0 OR (i + 1 > contract_length AND contract_length < time_horizon), 0D,
+            get(due_before, i)) AS cumcosts""",
+        "get(fails_before, i + 1) AS cumfail",
         """IF(`end` = 2, x[0], aggregate(slice(x, start, greatest(`end` - start, 0)), 0D,
             (total, part) -> total + part)) AS paying""",
     )
@@ -262,9 +270,11 @@ def compare_plans(
 ) -> DataFrame:
     """Treatments of each active plan (all but the control plan by default) against controls.
 
-    ``plan`` is no more than a filter on treatments, so each side projects only its own.
+    ``plan`` is no more than a filter on treatments, so only those compared are projected, once. A
+    plan may be active and control.
     """
-    arms = arm_totals(bundle, partitions)
     control = F.col("plan") == control_plan
     active = ~control if active_plans is None else F.col("plan").isin(list(active_plans))
-    return compare(arms.where(active), arms.where(control), bundle.keys, name="name")
+    arms = arm_totals(bundle, partitions).where(active | control)
+    sides = F.array_compact(F.array(F.when(active, F.lit(False)), F.when(control, F.lit(True))))
+    return compare_arms(arms.withColumn("is_control", F.explode(sides)), bundle.keys, name="name")

@@ -2,11 +2,14 @@ import pytest
 from pyspark.sql import functions as F
 
 from cohortspan.operators.chain import transition_edges, transition_table
+from cohortspan.operators.columns import parameters
 from cohortspan.operators.expand import expand_states, state_table
-from cohortspan.plans import cohort, sweep
-from tests.models import COMP, GOLDEN, MODELS, TR, bundle_of
+from cohortspan.plans import cohort, sweep, validate
+from cohortspan.tables import GLOBAL_DEFAULTS
+from tests import brute
+from tests.models import MODELS, bundle_of
 
-PRICED = [name for name in MODELS if name != "errors-test"]
+PRICED = [name for name in MODELS if name != "faulty"]
 
 
 @pytest.fixture(scope="module")
@@ -19,85 +22,124 @@ def series(bundle):
     return cohort.over_time(bundle).collect()
 
 
-def test_incremental_matches_known_results(bundle):
-    rows = cohort.incremental(bundle).collect()
+@pytest.mark.parametrize("many_arms", [False, True])
+def test_incremental(bundle, many_arms):
+    rows = cohort.incremental(bundle, many_arms=many_arms).collect()
     found = {(r["scenario_id"], r["Treatments"]): (r["QALY"], r["Cost"], r["ICER"]) for r in rows}
-    assert found.keys() == GOLDEN.keys()
-    for key, expected in GOLDEN.items():
-        assert found[key] == pytest.approx(expected, abs=2e-6), key
+    expected = {
+        (name, pair): values for name in PRICED for pair, values in brute.incremental(MODELS[name]).items()
+    }
+    assert found.keys() == expected.keys()
+    for key, values in expected.items():
+        assert found[key] == pytest.approx(values, abs=1e-9), key
 
 
 def test_the_asserted_ratio(bundle):
-    only = bundle.with_tables(states=bundle.states.where("scenario_id = 'A-test'"))
+    only = bundle.with_tables(states=bundle.states.where("scenario_id = 'anchor'"))
     rows = cohort.incremental(only).collect()
     assert [round(r["ICER"], 2) for r in rows] == [1.09]
 
 
-def test_detail(bundle):
-    rows = cohort.detail(bundle).where("scenario_id = 'A-test'").collect()
-    cost = {(r["treatment"], r["payment"]): r["cost"] for r in rows if r["payment"]}
-    assert cost == pytest.approx(
-        {("Active", TR): 11.559152, ("Active", COMP): 0.111761, ("Comparison", COMP): 0.296020},
-        abs=2e-6,
-    )
-    health = {r["treatment"]: r["QALY"] for r in rows if r["payment"] is None}
-    assert health == pytest.approx({"Active": 12.442341, "Comparison": 1.983466}, abs=2e-6)
+def test_lines_by_period(series):
+    found = {}
+    for r in series:
+        key = (r["scenario_id"], r["treatment"], r["costben"])
+        found.setdefault(key, {})[r["time"]] = r["value"]
+    expected = {
+        (name, *key): dict(enumerate(values, start=1))
+        for name in PRICED
+        for key, values in brute.series(MODELS[name]).items()
+    }
+    assert found.keys() == expected.keys()
+    for key, values in expected.items():
+        assert found[key] == pytest.approx(values, abs=1e-9), key
+    for name in ("gaps", "halting", "late"):
+        assert any(v < 0 for v in found[name, "gene", "Refund"].values())
 
 
-def test_stop_rule_pays_back_once(series):
-    refunds = {
-        r["time"]: r["value"]
-        for r in series
-        if r["scenario_id"] == "D" and r["costben"] == "Refund"
+def test_detail(bundle):
+    found = {
+        (r["scenario_id"], r["treatment"], r["payment"] or "QALY"): r["cost"] if r["payment"] else r["QALY"]
+        for r in cohort.detail(bundle).collect()
+    }
+    expected = {
+        (name, *key): sum(values)
+        for name in PRICED
+        for key, values in brute.series(MODELS[name]).items()
     }
-    assert len(refunds) == 20
-    assert {t: v for t, v in refunds.items() if v} == pytest.approx({9: -7.5})
+    assert found.keys() == expected.keys()
+    assert found == pytest.approx(expected, abs=1e-9)
 
 
-def test_individual_refund(series):
-    refunds = {
-        r["time"]: r["value"]
-        for r in series
-        if r["scenario_id"] == "costs-test" and r["costben"] == "Refund"
+def test_several_totals_are_not_priced(bundle):
+    """Two plans with a total in one treatment: no cost, rather than a part of it."""
+    states = bundle.states.where("scenario_id = 'halting'").withColumn(
+        "payment", F.when(F.expr("treatment = 'gene' AND state = 2"), "second").otherwise(F.col("payment"))
+    )
+    first = bundle.payments.where("scenario_id = 'halting' AND payment = 'bounded'")
+    second = first.withColumn("payment", F.lit("second"))
+    double = bundle.with_tables(states=states, payments=bundle.payments.unionByName(second))
+    row = cohort.incremental(double).first()
+    assert row["Cost"] is None and row["ICER"] is None
+    kept = brute.incremental(MODELS["halting"])["gene - usual"]
+    assert row["QALY"] == pytest.approx(kept[0])
+    lost = cohort.over_time(double).where("treatment = 'gene' AND costben != 'QALY'")
+    assert lost.count() > 0 and lost.where("value IS NOT NULL").count() == 0
+    assert cohort.cells(double).where("treatment = 'gene' AND cost IS NOT NULL").count() == 0
+    assert "gene uses several plans with a total" in {
+        r["message"] for r in validate.check_rules(double).collect()
     }
-    assert sum(refunds.values()) == pytest.approx(-3.512631, abs=2e-6)
-    assert refunds[1] == 0 and refunds[2] == pytest.approx(-0.475)
-    assert all(refunds[t] == 0 for t in range(11, 21))
+
+
+def test_scenarios_without_globals_have_defaults(spark, bundle):
+    only = bundle_of(spark, ["anchor"])
+    none = only.with_tables(globals=only.globals.where("false"))
+    rows = cohort.incremental(none).collect()
+    assert [round(r["ICER"], 2) for r in rows] == [1.09]
+    assert cohort.plan_listing(none).count() == 40
+    record = parameters(none.globals, none.keys, GLOBAL_DEFAULTS, scenarios=none.states)
+    assert [r.asDict() for r in record.collect()] == [{"scenario_id": "anchor", **GLOBAL_DEFAULTS}]
 
 
 def test_gaps_are_interpolated(bundle):
     rows = (
         cohort.qol_profile(bundle)
-        .where("scenario_id = 'costs-test' and treatment = 'Active'")
+        .where("scenario_id = 'gaps' and treatment = 'gene'")
         .orderBy("state")
         .collect()
     )
-    assert [r["state"] for r in rows] == [1, 2, 3, 4]
-    assert [r["QoL"] for r in rows] == pytest.approx([1, 2 / 3, 1 / 3, 0])
+    assert [r["state"] for r in rows] == [1, 2, 3, 4, 5, 6]
+    knots = [row[1:] for row in MODELS["gaps"][0] if row[0] == "gene"]
+    assert [r["QoL"] for r in rows] == pytest.approx([s[1] for s in brute.expand(knots)])
 
 
 def test_spans_reach_over_treatments(bundle):
-    only = bundle.states.where("scenario_id = 'costs-test'")
-    model = state_table(only, bundle.keys).where("treatment = 'Comparison' and state = 2")
-    own = state_table(only, bundle.keys, "treatment").where("treatment = 'Active' and state = 2")
-    assert (model.first()["pstart"], model.first()["pend"]) == (1, 3)
-    assert (own.first()["pstart"], own.first()["pend"]) == (2, 3)
+    only = bundle.states.where("scenario_id = 'gaps'")
+    model = state_table(only, bundle.keys).where("treatment = 'usual' and state = 2")
+    own = state_table(only, bundle.keys, "treatment").where("treatment = 'gene' and state = 2")
+    assert (model.first()["pstart"], model.first()["pend"]) == (1, 5)
+    assert (own.first()["pstart"], own.first()["pend"]) == (2, 5)
 
 
-def test_transition_matrix_of_model_a(bundle):
-    states = expand_states(bundle.states.where("scenario_id = 'A'"), bundle.keys)
-    table = transition_table(transition_edges(states, bundle.keys), bundle.keys, 4)
-    rows = table.where("treatment = 'Active'").orderBy("from_state").collect()
+def test_transition_matrix(bundle):
+    states = expand_states(bundle.states.where("scenario_id = 'anchor'"), bundle.keys)
+    edges = transition_edges(states, bundle.keys)
+    rows = transition_table(edges, bundle.keys, 4).where("treatment = 'Active'").orderBy("from_state").collect()
     found = [[round(r[c], 2) for c in ("S1", "S2", "S3", "D")] for r in rows]
     assert [r["st"] for r in rows] == ["S1", "S2", "S3", "D"]
-    assert found == [[0.95, 0.04, 0, 0.01], [0, 0, 0.98, 0.02], [0, 0, 0, 1], [0, 0, 0, 1]]
+    assert found == [[0.94, 0.05, 0, 0.01], [0, 0, 0.98, 0.02], [0, 0, 0, 1], [0, 0, 0, 1]]
+    older = transition_table(edges, bundle.keys, 4, legacy=True)
+    assert older.columns[-4:] == ["PF", "P1", "P2", "D"]
 
 
 def test_shares_are_a_distribution(bundle):
     cells = cohort.cells(bundle)
     sums = cells.groupBy("scenario_id", "treatment", "time").agg(F.sum("share").alias("s"))
     assert sums.where(F.abs(F.col("s") - 1) > 1e-12).count() == 0
-    assert sums.count() == 20 * bundle.states.select("scenario_id", "treatment").distinct().count()
+    horizons = {name: int(MODELS[name][3]["time_horizon"]) for name in PRICED}
+    assert sums.count() == sum(
+        horizons[name] * len({row[0] for row in MODELS[name][0]}) for name in PRICED
+    )
     last = cells.groupBy("scenario_id", "treatment").agg(F.max("state").alias("state"))
     dead = cells.join(last, ["scenario_id", "treatment", "state"]).orderBy("time").collect()
     seen = {}
@@ -123,7 +165,7 @@ def test_one_period(bundle):
 
 
 def test_copies_of_a_scenario_agree(spark):
-    one = bundle_of(spark, ["F"])
+    one = bundle_of(spark, ["crowd"])
 
     def copies(df):
         return df.withColumn("copy", F.explode(F.sequence(F.lit(1), F.lit(50)))).withColumn(
@@ -144,26 +186,24 @@ def test_copies_of_a_scenario_agree(spark):
 
 
 def test_control_count(spark):
-    bundle = bundle_of(spark, ["F"])
-    two = bundle.globals.withColumn(
-        "value", F.when(F.col("name") == "control_count", 2.0).otherwise(F.col("value"))
-    )
-    rows = cohort.incremental(bundle.with_tables(globals=two)).collect()
-    controls = {r["Treatments"].split(" - ")[1] for r in rows}
-    assert len(rows) == 6 and controls == {"Active cert 10 yr", "Comparison"}
-    all_five = bundle.globals.withColumn(
-        "value", F.when(F.col("name") == "control_count", 5.0).otherwise(F.col("value"))
-    )
-    assert cohort.incremental(bundle.with_tables(globals=all_five)).count() == 0
+    bundle = bundle_of(spark, ["crowd"])
+    for count, controls in ((1, {"zeta"}), (3, {"beta", "gamma", "zeta"}), (4, set())):
+        given = bundle.globals.withColumn(
+            "value", F.when(F.col("name") == "control_count", count).otherwise(F.col("value"))
+        )
+        rows = cohort.incremental(bundle.with_tables(globals=given)).collect()
+        assert {r["Treatments"].split(" - ")[1] for r in rows} == controls
+        assert len(rows) == (4 - count) * len(controls)
 
 
 def test_plan_listing(bundle):
-    rows = cohort.plan_listing(bundle).where("scenario_id = 'C'").collect()
+    rows = cohort.plan_listing(bundle).where("scenario_id = 'late'").collect()
     starts = {(r["payment_plan"], r["start"]) for r in rows}
-    assert starts == {(TR, 1), ("For Active tr. later", 2), (COMP, 1)}
-    assert len(rows) == 60
-    paid = {r["time"]: r["payment"] for r in rows if r["payment_plan"] == "For Active tr. later"}
-    assert {t: v for t, v in paid.items() if v} == pytest.approx({2: 10 * 1.1 / 1.03})
+    assert starts == {("delayed", 2), ("upkeep", 1)}
+    assert len(rows) == 24
+    paid = {r["time"]: r["payment"] for r in rows if r["payment_plan"] == "delayed"}
+    expected = {t: 2 * (1.02 / 1.03) ** (t - 1) for t in (2, 3, 4)}
+    assert {t: v for t, v in paid.items() if v} == pytest.approx(expected)
 
 
 def test_series_split(bundle, series):
@@ -173,27 +213,39 @@ def test_series_split(bundle, series):
     assert {r["costben"] for r in health.select("costben").distinct().collect()} == {"QALY"}
 
 
-def test_sweep_with_values_of_the_scenario(spark, bundle):
+def swept_model(name, **cells):
+    """A copy of a model with single cells replaced; cells are named field__row__column."""
+    rows, plans, present, record = MODELS[name]
+    rows, plans, record = list(rows), [dict(p) for p in plans], dict(record)
+    for place, value in cells.items():
+        field, row, column = place.split("__")
+        if field == "payments":
+            next(p for p in plans if p["payment"] == row)[column] = value
+        elif field == "globals":
+            record[row] = value
+        else:
+            arm, state = row.split("_")
+            at = next(i for i, r in enumerate(rows) if r[:2] == (arm, int(state)))
+            rows[at] = (*rows[at][:2], value, *rows[at][3:])
+    return rows, plans, present, record
+
+
+def test_sweep_with_values_of_the_scenario(bundle):
     """Cells may take their values from scenario columns; other models stay as they are."""
     scenarios = bundle.globals.select("scenario_id").distinct().withColumn(
-        "length", F.when(F.col("scenario_id") == "F", 10.0).otherwise(1.0)
+        "length", F.when(F.col("scenario_id") == "halting", 5.0).otherwise(1.0)
     )
     cells = [
-        sweep.Cell("payment_table", "For Active tr. 1", "contract_length", "array(1D, length)"),
-        sweep.Cell("state_table", "Active/1", "p_prog", "array(0D, 0.05D)"),
+        sweep.Cell("payment_table", "bounded", "contract_length", "array(2D, length)"),
+        sweep.Cell("state_table", "gene/1", "p_prog", "array(0D, 0.05D)"),
     ]
-    swept = sweep.sweep(bundle, cells, cohort.incremental, scenarios).where("scenario_id = 'F'")
-    rows = {
-        (r["contract_length"], r["p_prog"]): r["ICER"]
-        for r in swept.where("Treatments = 'Active - Comparison'").collect()
+    swept = sweep.sweep(bundle, cells, cohort.incremental, scenarios).where("scenario_id = 'halting'")
+    rows = {(r["contract_length"], r["p_prog"]): r["ICER"] for r in swept.collect()}
+    expected = {
+        (length, p): brute.incremental(
+            swept_model("halting", payments__bounded__contract_length=length, states__gene_1__p_prog=p)
+        )["gene - usual"][2]
+        for length in (2.0, 5.0)
+        for p in (0.0, 0.05)
     }
-    known = {key[1].split(" - ")[0]: v[2] for key, v in GOLDEN.items() if key[0] == "F"}
-    assert rows == pytest.approx(
-        {
-            (1.0, 0.05): known["Active"],
-            (10.0, 0.05): known["Active 10 yr"],
-            (1.0, 0.0): known["Active cert"],
-            (10.0, 0.0): known["Active cert 10 yr"],
-        },
-        abs=2e-6,
-    )
+    assert rows == pytest.approx(expected, abs=1e-9)

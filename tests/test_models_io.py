@@ -11,7 +11,8 @@ from cohortspan.sources import (
 )
 from cohortspan.sources.bundles import read_optional
 from cohortspan.tables import GLOBAL_COLUMNS, PAYMENT_COLUMNS, STATE_COLUMNS
-from tests.models import GOLDEN, bundle_of
+from tests import brute
+from tests.models import MODELS, bundle_of
 
 
 def same_rows(a, b):
@@ -23,7 +24,7 @@ def same_rows(a, b):
 
 @pytest.mark.parametrize("fmt", ["parquet", "csv"])
 def test_round_trip(spark, tmp_path, fmt):
-    bundle = bundle_of(spark, ["A", "D"])
+    bundle = bundle_of(spark, ["gaps", "halting"])
     path = str(tmp_path / "model")
     write_model(bundle, path, fmt)
     again = read_model(spark, path, fmt)
@@ -34,15 +35,15 @@ def test_round_trip(spark, tmp_path, fmt):
 
 
 def test_partition_folders(spark, tmp_path):
-    bundle = bundle_of(spark, ["A", "E"])
+    bundle = bundle_of(spark, ["gaps", "late"])
     path = str(tmp_path / "model")
     write_model(bundle, path, partition_by=["scenario_id"])
-    assert (tmp_path / "model" / "states" / "scenario_id=A").is_dir()
+    assert (tmp_path / "model" / "states" / "scenario_id=gaps").is_dir()
     same_rows(bundle.states, read_model(spark, path).states)
 
 
 def test_missing_tables_fail_as_one(spark, tmp_path):
-    bundle = bundle_of(spark, ["A"])
+    bundle = bundle_of(spark, ["gaps"])
     (tmp_path / "m").mkdir()
     bundle.states.write.parquet(str(tmp_path / "m" / "states"))
     with pytest.raises(ModelReadError, match="payments.*globals"):
@@ -59,21 +60,20 @@ def test_optional_table(spark, tmp_path):
 def test_hand_written_csv(spark, tmp_path):
     """Blanks around names and values, blank cells and short rows; one model without a key."""
     files = {
-        "states": """treatment,    state,    p_prog,   QoL,  p_death, payment
-Active,         1,        0.05,     1.0,    0.01,   For Active tr.
-Active,         2,        1.00,     0.67,    0.02,   For comparator tr.
-Active,         3,        1.00,     0.33,    0.02,   For comparator tr.
-Active,         4,        0.00,     0.0,    0.00,
-Comparison,   1,        1.00,     1.0,    0.01,   For comparator tr.
-Comparison,   2,        1.00,     0.67,    0.02,   For comparator tr.
-Comparison,   3,        1.00,     0.33,    0.02,   For comparator tr.
-Comparison,   4,        0.00,     0.0,    0.00,
+        "states": """row_id,treatment , state, p_prog ,QoL,p_death,payment
+1, gene,1 ,0.07,0.95,0.015,outright
+2,gene , 2,0.6,   ,0.03, upkeep
+3,gene,5,1,0.4,0.05,upkeep
+4,gene,6,0,0,0
+5,usual,1,0.8,0.9,0.02,upkeep
+6, usual,3.0,0.5,0.45,0.04,upkeep
+7,usual,6,0,0,0,
 """,
-        "payments": """payment,          tot_payment, cont_payment,  contract_length
-For Active tr. ,      15,         0,            10
-For comparator tr., 0,          0.1
+        "payments": """row_id,payment,tot_payment,initial_payment,refund,contract_length,cont_payment
+1,outright ,12,0.4,0.75,6
+2, upkeep,,,,,0.25
 """,
-        "globals": "name, value\ndiscount, 0.0\nfirm_discount, 0.0\ntime_horizon, 20\ncontrol_count, 1\n",
+        "globals": "name,value\ndiscount , 0.02\nfirm_discount,0.05\ntime_horizon,15\n",
     }
     for name, text in files.items():
         (tmp_path / name).mkdir()
@@ -84,7 +84,7 @@ For comparator tr., 0,          0.1
         assert all(kinds[c] == t for c, t in df.dtypes if c in kinds)
     result = cohort.incremental(bundle).first()
     assert (result["QALY"], result["Cost"], result["ICER"]) == pytest.approx(
-        GOLDEN[("A-test", "Active - Comparison")], abs=2e-6
+        brute.incremental(MODELS["gaps"])["gene - usual"], abs=1e-9
     )
 
 
@@ -97,33 +97,33 @@ def test_text_then_typed(spark, tmp_path):
 
 
 def test_known_violations(spark):
-    found = validate.check_model(bundle_of(spark, ["errors-test"])).collect()
+    found = validate.check_model(bundle_of(spark, ["faulty"])).collect()
     rows = {(r["table"], r["column"], r["row"], r["message"]) for r in found}
     assert rows == {
-        ("state", "Pr.prog", 1, "Value -0.05 is below minimum value"),
-        ("state", "QoL", 1, "Value -1.00 is below minimum value"),
-        ("state", "Pr.death", 4, "Value -0.02 is below minimum value"),
-        ("state", "Pr.death", 5, "Value 2.00 is above maximum value"),
-        ("payment", "Periods", 1, "Value 1000.00 is above maximum value"),
+        ("state", "Pr.prog", 1, "Value -0.10 is below minimum value"),
+        ("state", "QoL", 1, "Value -2.00 is below minimum value"),
+        ("state", "Pr.death", 4, "Value -0.30 is below minimum value"),
+        ("state", "Pr.death", 5, "Value 1.50 is above maximum value"),
+        ("payment", "Periods", 1, "Value 250.00 is above maximum value"),
     }
 
 
 def test_good_models_pass(spark):
-    bundle = bundle_of(spark, ["A", "D", "F"])
+    bundle = bundle_of(spark, ["anchor", "halting", "crowd"])
     assert validate.check_model(bundle).count() == 0
     assert validate.check_rules(bundle).count() == 0
 
 
 def test_rules(spark):
-    bundle = bundle_of(spark, ["C"])
+    bundle = bundle_of(spark, ["crowd"])
     states = bundle.states.selectExpr(
-        "scenario_id", "row_id", "treatment", "IF(treatment = 'Active', state + 1, state) AS state",
+        "scenario_id", "row_id", "treatment", "IF(treatment = 'zeta', state + 1, state) AS state",
         "p_prog", "QoL", "p_death",
-        "IF(treatment = 'Active wait' AND state = 3, 'For Active tr.', payment) AS payment",
+        "IF(treatment = 'alpha' AND state = 2, 'seven', payment) AS payment",
     )
     plans = bundle.payments.selectExpr(
         *[
-            "IF(payment = 'For Active tr.', 0D, contract_length) AS contract_length"
+            "IF(payment = 'seven', 0D, contract_length) AS contract_length"
             if c == "contract_length"
             else c
             for c in bundle.payments.columns
@@ -131,7 +131,7 @@ def test_rules(spark):
     )
     found = validate.check_rules(bundle.with_tables(states=states, payments=plans)).collect()
     assert sorted(r["message"] for r in found) == [
-        "Active wait uses several plans with a total",
-        "No instalment to pay the total of: For Active tr.",
-        "States must start at 1 and increase: Active",
+        "No instalment to pay the total of: seven",
+        "States must start at 1 and increase: zeta",
+        "alpha uses several plans with a total",
     ]
