@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from cohortspan.functions import is_number_list, to_number
 from cohortspan.operators.reshape import split_cells
@@ -155,6 +157,31 @@ def vary(
     return bundle.with_tables(keys=(*keys, VARIANT), **tables)
 
 
+def unknown_rows(bundle: ModelBundle | LegacyBundle, cells: Sequence[Cell]) -> DataFrame:
+    """``(keys, table, row, message)`` for each cell whose row a scenario doesn't have."""
+    keys = list(bundle.keys)
+    parts = []
+    for name in dict.fromkeys(cell.table for cell in cells):
+        field, names = TABLES[name]
+        wanted = sorted({cell.row for cell in cells if cell.table == name})
+        label = F.concat_ws("/", *[F.col(n).cast("string") for n in names])
+        has = F.collect_set(F.when(label.isin(wanted), label))
+        lost = F.array_except(F.array(*[F.lit(w) for w in wanted]), has)
+        # A scenario is known by any of its tables; one without rows here lacks them all.
+        rows = getattr(bundle, field).select(*keys, *names)
+        every = bundle.treatments if isinstance(bundle, LegacyBundle) else bundle.states
+        rows = rows.unionByName(every.select(*keys).distinct(), allowMissingColumns=True)
+        parts.append(
+            rows.groupBy(*keys)
+            .agg(lost.alias("lost"))
+            .select(*keys, F.lit(name).alias("table"), F.explode("lost").alias("row"))
+        )
+    found = reduce(DataFrame.unionByName, parts)
+    # Fixed value: the wording of the message.
+    said = F.concat(F.lit("Could not find row: "), F.col("row"), F.lit(" in table: "), F.col("table"))
+    return found.withColumn("message", said)
+
+
 def sweep(
     bundle: ModelBundle | LegacyBundle,
     cells: Sequence[Cell],
@@ -166,7 +193,8 @@ def sweep(
 
     ``scenarios`` gives the scenarios with the columns that cell values refer to; without it the
     values are constants. Labels are column names, with the row's name in front when
-    ``add_row_names`` or when two cells share a column.
+    ``add_row_names`` or when two cells share a column. Scenarios that lack the row of a cell can't
+    be varied: their results are null (``unknown_rows`` names the cells).
     """
     keys = list(bundle.keys)
     names = [c.name for c in cells]
@@ -177,6 +205,11 @@ def sweep(
     grid = None if scenarios is None else variants(scenarios, keys, cells)
     result = analyse(vary(bundle, grid, cells))
     taken = [c for c in result.columns if c not in (*keys, VARIANT)]
+    lost = unknown_rows(bundle, cells).select(*keys, F.lit(True).alias("__lost")).distinct()
+    unvaried = result.join(lost, keys, "left")
+    numbers = {f.name for f in result.schema if isinstance(f.dataType, T.NumericType)} & set(taken)
+    blank = {c: F.when(F.col("__lost").isNull(), F.col(c)) for c in numbers}
+    result = unvaried.withColumns(blank).drop("__lost")
     if grid is None:
         used = [_value_at(cells, at).alias(label) for at, label in enumerate(labels)]
         return result.select(*keys, VARIANT, *used, *taken)

@@ -7,6 +7,7 @@ partition folders (``scenario_id=.../``) where there are few scenarios.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from py4j.java_gateway import JavaObject
 from pyspark.errors import AnalysisException
@@ -56,17 +57,19 @@ def _read_table(
     spark: SparkSession, path: str, fmt: str, columns: dict[str, str], keys: Sequence[str]
 ) -> DataFrame:
     if fmt == "csv":
-        df = typed(read_text_table(spark, path), {**columns, "row_id": "bigint"})
+        present = "present_columns" if columns is PAYMENT_COLUMNS else None
+        df = typed(read_text_table(spark, path, present=present), {**columns, "row_id": "bigint"})
+    elif fmt == "parquet":
+        df = _read_parquet(spark, path, present=columns is PAYMENT_COLUMNS)
     else:
-        reader = spark.read.format(fmt)
-        df = (reader.option("mergeSchema", True) if fmt == "parquet" else reader).load(path)
+        df = spark.read.format(fmt).load(path)
     missing = [k for k in keys if k not in df.columns]
     if missing == [SCENARIO]:
         # A single model without a key column is scenario 0.
         df = df.withColumn(SCENARIO, F.lit(0).cast("bigint"))
     elif missing:
         raise ModelReadError(f"no column {missing} in {path}")
-    if fmt == "csv" and "present_columns" in df.columns:
+    if dict(df.dtypes).get("present_columns") == "string":
         df = df.withColumn("present_columns", F.split("present_columns", ";"))
     if "row_id" not in df.columns and columns is not GLOBAL_COLUMNS:
         # Order in the file; only ever compared within a table.
@@ -74,6 +77,24 @@ def _read_table(
     return df
 
 
+def _read_parquet(spark: SparkSession, path: str, present: bool) -> DataFrame:
+    """Files whose columns may differ. With ``present``, an array column says which ones a row's
+    file has, unless the table has it already: a column that a model lacks isn't a blank one."""
+    merged = spark.read.option("mergeSchema", True).parquet(path)
+    if not present or "present_columns" in merged.columns:
+        return merged
+    groups: dict[tuple[str, ...], list[str]] = {}
+    for file in sorted(merged.inputFiles()):  # plan tables are small: few files, only footers read
+        groups.setdefault(tuple(spark.read.parquet(file).columns), []).append(file)
+    if len(groups) < 2:
+        return merged
+    frames = []
+    for names, files in groups.items():
+        one = spark.read.option("basePath", path).parquet(*files)
+        frames.append(one.withColumn("present_columns", F.array(*[F.lit(n) for n in names])))
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
+
+
 def _read_all(
     spark: SparkSession, path: str, fmt: str, tables: dict[str, dict], keys: Sequence[str]
 ) -> dict[str, DataFrame]:

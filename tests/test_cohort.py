@@ -249,3 +249,18 @@ def test_sweep_with_values_of_the_scenario(bundle):
         for p in (0.0, 0.05)
     }
     assert rows == pytest.approx(expected, abs=1e-9)
+
+
+def test_sweep_over_an_unknown_row(bundle):
+    """A misspelt row gives no numbers under labels that were never applied."""
+    only = bundle.with_tables(
+        **{t: getattr(bundle, t).where("scenario_id IN ('gaps', 'crowd')") for t in ("states", "payments", "globals")}
+    )
+    cells = [sweep.Cell("state_table", "gene/1", "p_prog", "array(0D, 0.5D)")]
+    lost = sweep.unknown_rows(only, cells).collect()
+    assert [(r["scenario_id"], r["message"]) for r in lost] == [
+        ("crowd", "Could not find row: gene/1 in table: state_table")
+    ]
+    rows = sweep.sweep(only, cells, cohort.incremental).collect()
+    assert len(rows) == 2 + 8
+    assert all((r["Cost"] is None) == (r["scenario_id"] == "crowd") for r in rows)

@@ -88,6 +88,27 @@ def test_hand_written_csv(spark, tmp_path):
     )
 
 
+@pytest.mark.parametrize("fmt", ["parquet", "csv"])
+def test_models_with_different_columns(spark, tmp_path, fmt):
+    """Plan tables that lack columns read side by side give what each gives alone."""
+    names = ["anchor", "gaps", "crowd"]
+    path = tmp_path / "all"
+    for name in names:
+        alone = bundle_of(spark, [name])
+        kept = [c for c in PAYMENT_COLUMNS if c == "payment" or c in MODELS[name][2]]
+        plans = alone.payments.select("row_id", *kept[::-1], "scenario_id")
+        for table, df in {"states": alone.states, "payments": plans, "globals": alone.globals}.items():
+            df.coalesce(1).write.mode("append").option("header", True).format(fmt).save(str(path / table))
+    bundle = read_model(spark, str(path), fmt)
+    found = {
+        (r["scenario_id"], r["Treatments"]): r["ICER"] for r in cohort.incremental(bundle).collect()
+    }
+    expected = {
+        (name, pair): v[2] for name in names for pair, v in brute.incremental(MODELS[name]).items()
+    }
+    assert found == pytest.approx(expected, abs=1e-9)
+
+
 def test_text_then_typed(spark, tmp_path):
     (tmp_path / "t.csv").write_text("a; b ;c\n 1.5 ;x; 4.0\nbad; ;oops\n")
     text = read_text_table(spark, str(tmp_path / "t.csv"), separator=";")
