@@ -33,7 +33,7 @@ from cohortspan.llm.shingles import mixed, row_hashes, shingle_set, words_of
 #: with probability (1 - 0.85 ** 4) ** 24 < 3e-8; at 0.8 it is 4e-6.
 SLOTS, BANDS, ROWS = 1 << 20, 24, 4
 #: Members in a part of a bucket.
-PART = 512
+PART = 256
 #: Shingles whose signature values are held at once.
 _BLOCK = 1 << 15
 
@@ -101,7 +101,9 @@ def shingle_table(documents: DataFrame, wanted: DataFrame) -> DataFrame:
             yield pd.DataFrame({"doc_id": batch["doc_id"], "shingles": sets})
 
     rows = documents.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    return rows.join(wanted.distinct(), "doc_id", "left_semi").mapInPandas(run, "doc_id bigint, shingles binary")
+    # the wanted ids grow with the documents: always a sorted merge, never a broadcast
+    some = rows.join(wanted.distinct().hint("merge"), "doc_id", "left_semi")
+    return some.mapInPandas(run, "doc_id bigint, shingles binary")
 
 
 class _Forest:
