@@ -1,6 +1,12 @@
 """Registered queries: each is a Spark query over the given tables and its SQL twin."""
 
-from cohortspan.catalog import cohort_queries, contract_queries, path_queries, table_queries
+from cohortspan.catalog import (
+    cohort_queries,
+    contract_queries,
+    mixed_queries,
+    path_queries,
+    table_queries,
+)
 from cohortspan.catalog.registry import ORACLES, QUERIES
 
 __all__ = [
@@ -8,6 +14,7 @@ __all__ = [
     "QUERIES",
     "cohort_queries",
     "contract_queries",
+    "mixed_queries",
     "path_queries",
     "table_queries",
 ]

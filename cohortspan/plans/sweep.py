@@ -61,19 +61,47 @@ def cells_of(variations: DataFrame) -> list[Cell]:
     ]
 
 
+def scenario_cells(variations: DataFrame, keys: Sequence[str]) -> tuple[list[Cell], DataFrame]:
+    """Cells of a variation table with scenario keys, and the scenarios with each cell's values.
+
+    ``variations`` is ``(keys, table_name, row_name, column_name, value)``. Only the names of cells
+    go to the driver; values stay beside their scenario. A scenario without values for a cell keeps
+    the cell as it is.
+    """
+    names = variations.select("table_name", "row_name", "column_name").distinct()
+    found = names.orderBy("table_name", "row_name", "column_name").collect()
+    cells, columns = [], []
+    for at, (table, row, column) in enumerate(found):
+        mine = (F.col("table_name") == table) & (F.col("row_name") == row)
+        mine = F.when(mine & (F.col("column_name") == column), F.col("value"))
+        columns.append(F.sort_array(F.collect_set(mine)).alias(f"cell{at}"))
+        values = f"IF(size(cell{at}) = 0, array(CAST(NULL AS DOUBLE)), cell{at})"
+        cells.append(Cell(table, row, column, values))
+    return cells, variations.groupBy(*keys).agg(*columns)
+
+
 def variation_rows(
-    text_table: DataFrame, table: str, row: str, skip: Sequence[str] = ()
+    text_table: DataFrame,
+    table: str,
+    row: str,
+    skip: Sequence[str] = (),
+    keys: Sequence[str] = (),
 ) -> DataFrame:
     """Cells holding several values, such as ``"0.0 0.01 0.05"``, as a variation table.
 
     ``text_table`` holds text; a cell that is one number, blank, or no list of numbers is left
-    out.
+    out. ``keys`` are scenario columns to pass on.
     """
-    columns = [c for c in text_table.columns if c not in (row, *skip)]
-    long = text_table.select(row, *columns).unpivot([row], columns, "column_name", "value")
+    columns = [c for c in text_table.columns if c not in (row, *skip, *keys)]
+    ids = [*keys, row]
+    long = text_table.select(*ids, *columns).unpivot(ids, columns, "column_name", "value")
     several = long.where(to_number(F.col("value")).isNull() & is_number_list(F.col("value")))
     return split_cells(several, "value").select(
-        F.lit(table).alias("table_name"), F.col(row).alias("row_name"), "column_name", "value"
+        *keys,
+        F.lit(table).alias("table_name"),
+        F.col(row).alias("row_name"),
+        "column_name",
+        "value",
     ).where("value IS NOT NULL")
 
 
@@ -111,7 +139,7 @@ def _vary(
     mine: Sequence[int],
     names: Sequence[str],
 ) -> DataFrame:
-    """One copy of the table's rows per variant, with the named cells replaced."""
+    """One copy of the table's rows per variant, with the named cells replaced (not by nulls)."""
     copies = _exploded(table, cells) if grid is None else table.join(grid, list(keys))
     label = F.concat_ws("/", *[F.col(n).cast("string") for n in names])
     changed: dict[str, Column] = {}
@@ -119,7 +147,8 @@ def _vary(
         cell = cells[at]
         kept = changed.get(cell.column, F.col(cell.column))
         kind = table.schema[cell.column].dataType
-        changed[cell.column] = F.when(label == cell.row, F.col(f"v{at}").cast(kind)).otherwise(kept)
+        given = (label == cell.row) & F.col(f"v{at}").isNotNull()
+        changed[cell.column] = F.when(given, F.col(f"v{at}").cast(kind)).otherwise(kept)
     return copies.select(
         *keys,
         VARIANT,
