@@ -24,7 +24,7 @@ from cohortspan.operators.expand import expand_states
 from cohortspan.operators.filters import top_by_group
 from cohortspan.operators.schedule import payment_schedule
 from cohortspan.session import spread
-from cohortspan.tables import GLOBAL_DEFAULTS, PAYMENT_DEFAULTS, ModelBundle
+from cohortspan.tables import GLOBAL_DEFAULTS, PAYMENT_DEFAULTS, VARIANT, ModelBundle
 
 REFUND = "Refund"
 QALY = "QALY"
@@ -73,6 +73,50 @@ def _plan_ranges() -> str:
             'pend', array_max(filter(every, r -> r.payment <=> p).high))))[0]"""
 
 
+_KNOT = ["p_prog", "QoL", "p_death", "payment"]
+_SHARES = project_shares(progressive_edges(), "size(states)", "time_horizon")
+
+
+def _chains_and_uses(states: DataFrame, keys: Sequence[str]) -> tuple[DataFrame, DataFrame]:
+    """Each treatment with its states, and the plans that it uses with their spans."""
+    named = [*keys, "treatment"]
+    knots = gather_chains(states, keys, _KNOT)
+    fields = ["p_prog", "p_death", "payment"]
+    chains = knots.select(*named, F.expr(expanded_states(fields)).alias("states"))
+    uses = knots.selectExpr(*named, f"inline_outer({_plan_ranges()}) AS (payment, pstart, pend)")
+    return chains, uses
+
+
+def _shared_chains_and_uses(
+    bundle: ModelBundle, partitions: int | None
+) -> tuple[DataFrame, DataFrame]:
+    """The same for a sweep, with ``shares``: a chain is gathered and projected once, up to the
+    longest horizon of its scenario, for all variants that share it."""
+    keys = [k for k in bundle.keys if k != VARIANT]
+    one = [*keys, "__chain", "treatment"]
+    spread_out = spread(bundle.chains, [*keys, "treatment"], partitions)
+    knots = gather_chains(
+        spread_out, [*keys, "__chain"], _KNOT, extra=[F.first("__variants").alias("__variants")]
+    )
+    longest = global_record(bundle).groupBy(*keys).agg(F.max("time_horizon").alias("time_horizon"))
+    horizon = F.coalesce("time_horizon", F.lit(GLOBAL_DEFAULTS["time_horizon"])).cast("int")
+    states = expanded_states(["p_prog", "p_death", "payment"])
+    projected = (
+        knots.select(*one, "__variants", F.expr(states).alias("states"))
+        .join(longest, keys, "left")
+        .withColumn("time_horizon", horizon)
+        .select(*keys, "treatment", "__variants", "states", F.expr(_SHARES).alias("shares"))
+    )
+    chains = projected.select(
+        *keys, F.explode_outer("__variants").alias(VARIANT), "treatment", "states", "shares"
+    )
+    ranges = knots.selectExpr(*keys, "treatment", "__variants", f"{_plan_ranges()} AS ranges")
+    uses = ranges.select(
+        *keys, F.explode_outer("__variants").alias(VARIANT), "treatment", "ranges"
+    ).selectExpr(*bundle.keys, "treatment", "inline_outer(ranges) AS (payment, pstart, pend)")
+    return chains, uses
+
+
 def cohort_rows(
     bundle: ModelBundle,
     span_scope: str = "model",
@@ -85,17 +129,15 @@ def cohort_rows(
     ``arms`` adds its columns by ``(keys, treatment)`` before the projection, so that a later
     filter on them reaches below it.
 
-    Knots are shuffled once. Only the plans that a treatment uses, not its states, are joined
+    Knots are shuffled once; in a sweep once for all variants that share them. Only the plans that a treatment uses, not its states, are joined
     with their terms and brought back.
     """
     keys = list(bundle.keys)
     named = [*keys, "treatment"]
-    knots = gather_chains(
-        spread(bundle.states, named, partitions), keys, ["p_prog", "QoL", "p_death", "payment"]
-    )
-    fields = ["p_prog", "p_death", "payment"]
-    chains = knots.select(*named, F.expr(expanded_states(fields)).alias("states"))
-    uses = knots.selectExpr(*named, f"inline_outer({_plan_ranges()}) AS (payment, pstart, pend)")
+    if bundle.chains is None:
+        chains, uses = _chains_and_uses(spread(bundle.states, named, partitions), keys)
+    else:
+        chains, uses = _shared_chains_and_uses(bundle, partitions)
     terms = plan_terms(bundle)
     if span_scope == "model":
         spans = uses.groupBy(*keys, "payment").agg(
@@ -135,8 +177,9 @@ def cohort_rows(
     ready = chains.join(offered, named)
     if arms is not None:
         ready = ready.join(arms, named, "left")
-    shares = project_shares(progressive_edges(), "size(states)", "time_horizon")
-    return ready.withColumn("shares", F.expr(shares))
+    if bundle.chains is not None:
+        return ready.withColumn("shares", F.slice("shares", 1, F.col("time_horizon")))
+    return ready.withColumn("shares", F.expr(_SHARES))
 
 
 _SUM = "0D, (total, part) -> total + part"

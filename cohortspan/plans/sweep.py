@@ -12,9 +12,7 @@ from pyspark.sql import types as T
 
 from cohortspan.functions import is_number_list, to_number
 from cohortspan.operators.reshape import split_cells
-from cohortspan.tables import LegacyBundle, ModelBundle
-
-VARIANT = "variant_id"
+from cohortspan.tables import VARIANT, LegacyBundle, ModelBundle
 
 # Table name in a variation row -> (bundle field, columns that name a row, as "a/b").
 TABLES = {
@@ -156,6 +154,38 @@ def _vary(
     )
 
 
+def _chains(
+    states: DataFrame, keys: Sequence[str], cells: Sequence[Cell], mine: Sequence[int]
+) -> DataFrame:
+    """States copied by the cells that address them alone, and only in the treatments these name.
+
+    ``__variants`` lists the variants that share a copy. A chain is projected once for all of them.
+    """
+    named = sorted({cells[at].row.rpartition("/")[0] for at in mine})
+    total = " * ".join(f"size({c.values})" for c in cells)
+    df, chain, same = states.withColumn("__named", F.col("treatment").isin(named)), "0", "true"
+    for at in mine:
+        values = cells[at].values
+        behind = " * ".join([f"size({c.values})" for c in cells[at + 1 :]]) or "1"
+        tried = f"IF(__named, {values}, slice({values}, 1, 1))"
+        df = df.selectExpr("*", f"posexplode({tried}) AS (i{at}, v{at})")
+        chain = f"({chain}) * size({values}) + i{at}"
+        same = f"{same} AND v DIV ({behind}) % size({values}) = i{at}"
+    every = f"sequence(0, {total} - 1)"
+    changed: dict[str, Column] = {}
+    label = F.concat_ws("/", "treatment", F.col("state").cast("string"))
+    for at in mine:
+        column = cells[at].column
+        value = F.col(f"v{at}").cast(states.schema[column].dataType)
+        here = (label == cells[at].row) & F.col(f"v{at}").isNotNull()
+        changed[column] = F.when(here, value).otherwise(changed.get(column, F.col(column)))
+    return df.select(
+        *[changed.get(c, F.col(c)).alias(c) for c in states.columns],
+        F.expr(chain).alias("__chain"),
+        F.expr(f"IF(__named, filter({every}, v -> {same}), {every})").alias("__variants"),
+    )
+
+
 def vary(
     bundle: ModelBundle | LegacyBundle, grid: DataFrame | None, cells: Sequence[Cell]
 ) -> ModelBundle | LegacyBundle:
@@ -183,6 +213,8 @@ def vary(
         )
         for field in data
     }
+    if isinstance(bundle, ModelBundle) and grid is None:
+        tables["chains"] = _chains(bundle.states, keys, cells, by_field.get("states", []))
     return bundle.with_tables(keys=(*keys, VARIANT), **tables)
 
 

@@ -10,7 +10,13 @@ from pyspark.sql import functions as F
 from cohortspan.operators.checks import ERROR_COLUMNS, range_check
 from cohortspan.operators.columns import fill_defaults
 from cohortspan.operators.matching import unmatched
-from cohortspan.tables import PAYMENT_DEFAULTS, LegacyBundle, ModelBundle
+from cohortspan.tables import (
+    GLOBAL_FIELDS,
+    LEGACY_TREATMENT_DEFAULTS,
+    PAYMENT_DEFAULTS,
+    LegacyBundle,
+    ModelBundle,
+)
 
 
 def unmatched_payments(bundle: ModelBundle, table: str, other: str) -> DataFrame:
@@ -47,8 +53,9 @@ def check_model(bundle: ModelBundle) -> DataFrame:
 def check_rules(bundle: ModelBundle) -> DataFrame:
     """Models that the analysis cannot price as they stand.
 
-    A treatment may use one plan with a total only, such a plan needs an instalment, and the
-    states of a treatment start at 1 and rise.
+    A treatment may use one plan with a total only, such a plan needs an instalment and pays nothing
+    continuously, the states of a treatment start at 1, rise, end by the longest horizon, and all but
+    the last have a plan.
     """
     keys = list(bundle.keys)
     named = [*keys, "treatment"]
@@ -94,7 +101,41 @@ def check_rules(bundle: ModelBundle) -> DataFrame:
             ),
         )
     )
-    return several.unionByName(no_length).unionByName(order)
+    both = plans.where("cont_payment > 0").select(
+        *keys,
+        F.lit("payment_table").alias("table"),
+        F.lit("cont_payment").alias("column"),
+        F.col("row_id").alias("row"),
+        F.concat(F.lit("Both a total and a continuous payment: "), F.col("payment")).alias("message"),
+    )
+    # An array of its states stands for a treatment, so no state may lie far out.
+    longest = next(most for name, _, _, _, most, _ in GLOBAL_FIELDS if name == "time_horizon")
+    row = F.struct("state", "row_id", F.col("payment").isNull().alias("free"))
+    far = (
+        bundle.states.groupBy(*named)
+        .agg(F.max(row).alias("last"), F.count_if(F.col("payment").isNull()).alias("free"))
+        .select(
+            *keys,
+            "treatment",
+            "last",
+            (F.col("free") > F.when(F.col("last.free"), 1).otherwise(0)).alias("unpaid"),
+        )
+    )
+    beyond = far.where(F.col("last.state") > longest).select(
+        *keys,
+        F.lit("state_table").alias("table"),
+        F.lit("state").alias("column"),
+        F.col("last.row_id").alias("row"),
+        F.concat(F.lit("States beyond the longest horizon: "), F.col("treatment")).alias("message"),
+    )
+    unpaid = far.where("unpaid").select(
+        *keys,
+        F.lit("state_table").alias("table"),
+        F.lit("payment").alias("column"),
+        F.col("last.row_id").alias("row"),
+        F.concat(F.lit("A state before the last has no plan: "), F.col("treatment")).alias("message"),
+    )
+    return reduce(DataFrame.unionByName, [several, no_length, order, both, beyond, unpaid])
 
 
 def check_contracts(bundle: LegacyBundle) -> DataFrame:
@@ -129,8 +170,12 @@ def check_treatments(bundle: LegacyBundle) -> DataFrame:
     ).when(
         F.col("health_states") <= F.coalesce(F.col("random_state"), F.lit(1)) + 1,
         F.lit("The random_state is too big compared with the number of health_states"),
+    ).when(
+        F.coalesce(F.col("p_HU"), F.lit(1.0)) + F.coalesce(F.col("p_HD"), F.lit(0.0)) > 1,
+        F.lit("Probabilities add up to more than 1"),
     )
-    return bundle.treatments.select(
+    treatments = fill_defaults(bundle.treatments, LEGACY_TREATMENT_DEFAULTS, blank=None)
+    return treatments.select(
         *bundle.keys,
         F.lit("treatments").alias("table"),
         F.lit("health_states").alias("column"),

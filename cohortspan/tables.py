@@ -119,6 +119,8 @@ LEGACY_CONTRACT_DEFAULTS = {
 }
 
 SCENARIO = "scenario_id"
+# Key of the copies of a scenario in a sweep.
+VARIANT = "variant_id"
 
 
 def struct_of(columns: dict[str, str]) -> T.StructType:
@@ -134,7 +136,9 @@ class ModelBundle:
     """The tables of one or many models.
 
     ``keys`` names the scenario columns that every data table carries. Field tables describe
-    columns, hold a row per column and carry no key.
+    columns, hold a row per column and carry no key. ``chains`` belongs to sweeps: the states before
+    they are copied to variants, with the array ``__variants`` that share them and ``__chain`` to
+    tell their versions apart.
     """
 
     states: DataFrame
@@ -144,6 +148,7 @@ class ModelBundle:
     payment_fields: DataFrame | None = None
     global_fields: DataFrame | None = None
     keys: tuple[str, ...] = field(default=(SCENARIO,))
+    chains: DataFrame | None = None
 
     def with_tables(self, **tables) -> ModelBundle:
         return replace(self, **tables)

@@ -1,4 +1,5 @@
 import pytest
+from pyspark.sql import functions as F
 
 from cohortspan.plans import cohort, validate
 from cohortspan.sources import (
@@ -140,19 +141,27 @@ def test_rules(spark):
     states = bundle.states.selectExpr(
         "scenario_id", "row_id", "treatment", "IF(treatment = 'zeta', state + 1, state) AS state",
         "p_prog", "QoL", "p_death",
-        "IF(treatment = 'alpha' AND state = 2, 'seven', payment) AS payment",
+        "CASE WHEN treatment = 'alpha' AND state = 2 THEN 'seven' "
+        "WHEN treatment = 'gamma' AND state = 1 THEN NULL ELSE payment END AS payment",
+    ).withColumn(
+        "state", F.expr("CAST(IF(treatment = 'beta' AND state = 2, 101, state) AS INT)")
     )
     plans = bundle.payments.selectExpr(
         *[
             "IF(payment = 'seven', 0D, contract_length) AS contract_length"
             if c == "contract_length"
+            else "IF(payment = 'three', 1D, cont_payment) AS cont_payment"
+            if c == "cont_payment"
             else c
             for c in bundle.payments.columns
         ]
     )
     found = validate.check_rules(bundle.with_tables(states=states, payments=plans)).collect()
     assert sorted(r["message"] for r in found) == [
+        "A state before the last has no plan: gamma",
+        "Both a total and a continuous payment: three",
         "No instalment to pay the total of: seven",
+        "States beyond the longest horizon: beta",
         "States must start at 1 and increase: zeta",
         "alpha uses several plans with a total",
     ]
