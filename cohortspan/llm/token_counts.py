@@ -60,7 +60,7 @@ class Counter:
     def _count(self, texts: list[str], held: list[int], found: list[int]) -> None:
         encoded = self.tokenizer.encode_batch_fast([texts[i] for i in held], add_special_tokens=False)
         for i, one in zip(held, encoded):
-            found[i] = len(one.ids)
+            found[i] = len(one)
 
     def spliced(self, text: str) -> int:
         """The count of a long text; two neighbouring chunks are held at a time."""
