@@ -526,11 +526,14 @@ def incremental(
 def controls_of(bundle: ModelBundle) -> DataFrame:
     """``(keys, treatment)`` of the controls: the last ``control_count`` names of a scenario."""
     keys = list(bundle.keys)
-    named = (
-        bundle.states.select(*keys, "treatment")
-        .distinct()
-        .join(global_record(bundle).select(*keys, "control_count"), keys, "left")
-    )
+    counts = global_record(bundle).select(*keys, "control_count")
+    if bundle.chains is None:
+        named = bundle.states.select(*keys, "treatment").distinct().join(counts, keys, "left")
+    else:  # variants don't differ in names
+        own = [k for k in keys if k != VARIANT]
+        names = bundle.chains.select(*own, "treatment", "__variants").distinct()
+        names = names.select(*own, "treatment", F.explode_outer("__variants").alias(VARIANT))
+        named = names.join(counts, keys, "left")
     count = F.coalesce(F.col("control_count"), F.lit(1.0))
     return top_by_group(named, keys, "treatment", count).select(*keys, "treatment")
 

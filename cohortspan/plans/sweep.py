@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -221,26 +220,23 @@ def vary(
 def unknown_rows(bundle: ModelBundle | LegacyBundle, cells: Sequence[Cell]) -> DataFrame:
     """``(keys, table, row, message)`` for each cell whose row a scenario doesn't have."""
     keys = list(bundle.keys)
-    parts = []
+    every = bundle.treatments if isinstance(bundle, LegacyBundle) else bundle.states
+    rows = every.select(*keys)
+    wanted = sorted({(cell.table, cell.row) for cell in cells})
     for name in dict.fromkeys(cell.table for cell in cells):
         field, names = TABLES[name]
-        wanted = sorted({cell.row for cell in cells if cell.table == name})
         label = F.concat_ws("/", *[F.col(n).cast("string") for n in names])
-        has = F.collect_set(F.when(label.isin(wanted), label))
-        lost = F.array_except(F.array(*[F.lit(w) for w in wanted]), has)
-        # A scenario is known by any of its tables; one without rows here lacks them all.
-        rows = getattr(bundle, field).select(*keys, *names)
-        every = bundle.treatments if isinstance(bundle, LegacyBundle) else bundle.states
-        rows = rows.unionByName(every.select(*keys).distinct(), allowMissingColumns=True)
-        parts.append(
-            rows.groupBy(*keys)
-            .agg(lost.alias("lost"))
-            .select(*keys, F.lit(name).alias("table"), F.explode("lost").alias("row"))
+        found = F.struct(F.lit(name).alias("table"), label.alias("row"))
+        mine = label.isin([row for table, row in wanted if table == name])
+        rows = rows.unionByName(
+            getattr(bundle, field).where(mine).select(*keys, found.alias("found")),
+            allowMissingColumns=True,
         )
-    found = reduce(DataFrame.unionByName, parts)
+    asked = F.array(*[F.struct(F.lit(t).alias("table"), F.lit(r).alias("row")) for t, r in wanted])
+    lost = rows.groupBy(*keys).agg(F.array_except(asked, F.collect_set("found")).alias("lost"))
     # Fixed value: the wording of the message.
     said = F.concat(F.lit("Could not find row: "), F.col("row"), F.lit(" in table: "), F.col("table"))
-    return found.withColumn("message", said)
+    return lost.select(*keys, F.inline("lost")).withColumn("message", said)
 
 
 def sweep(
