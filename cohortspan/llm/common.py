@@ -6,6 +6,7 @@ import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -41,11 +42,19 @@ def shared_folder(spark: SparkSession) -> str:
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Write a frame as a table in the shared folder and read it back.
 
-    Cuts the lineage: what follows reads files that outlive any executor.
+    Cuts the lineage: what follows reads files that outlive any executor. Shuffles that made the
+    table are of no more use and are removed once it is written.
     """
-    path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    setting = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(setting)
+    spark.conf.set(setting, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(setting, before)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def text_or_empty(name: str = "text") -> Column:
@@ -84,6 +93,18 @@ def beside_documents(documents: DataFrame, lists: DataFrame, how: str) -> DataFr
     return d.join(x, same, how).select("d.*", *listed)
 
 
+def split_join(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
+    """Inner join on ``keys`` that Spark can split where a key is hot.
+
+    A hash of the keys is a join key too. Neither side is laid out by it, so both are exchanged for
+    the join alone, which is when adaptive execution may split a partition.
+    """
+    both = [F.xxhash64(*[F.col(f"{side}.{k}") for k in keys]) for side in "lr"]
+    same = [F.col(f"l.{k}") == F.col(f"r.{k}") for k in keys] + [both[0] == both[1]]
+    more = [F.col(f"r.{c}") for c in right.columns if c not in keys]
+    return left.alias("l").join(right.alias("r"), same).select("l.*", *more)
+
+
 def packed_rows(documents: DataFrame) -> DataFrame:
     """Each row as one struct ``d``, so that names of helper columns cannot clash with any of its own."""
     return documents.select(F.struct(*[F.col(f"`{c}`") for c in documents.columns]).alias("d"))
@@ -116,3 +137,25 @@ def mapped_column(
                 yield pa.RecordBatch.from_arrays([*[place[n] for n in names], result], [*names, made.name])
 
     return documents.mapInArrow(run, schema)
+
+
+def numbered_values(
+    documents: DataFrame, name: str, of: Callable[[str | None], np.ndarray]
+) -> DataFrame:
+    """A row for each 64-bit value that ``of`` finds in a text: the value, doc_id, row, number."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for start in range(0, batch.num_rows, 512):
+                part = batch.slice(start, 512)
+                doc_ids, rows, texts = part.columns
+                values = [of(text.as_py()) for text in texts]
+                sizes = [len(v) for v in values]
+                at = pa.array(np.repeat(np.arange(len(sizes)), sizes))
+                value = np.concatenate([np.zeros(0, np.uint64), *values]).view(np.int64)
+                number = np.concatenate([np.zeros(0, np.int64), *map(np.arange, sizes)]).astype(np.int32)
+                columns = [pa.array(value), doc_ids.take(at), rows.take(at), pa.array(number)]
+                yield pa.RecordBatch.from_arrays(columns, [name, "doc_id", "row", "number"])
+
+    schema = f"{name} bigint, doc_id bigint, row bigint, number int"
+    return keyed_texts(documents).select("doc_id", "row", "text").mapInArrow(run, schema)

@@ -1,6 +1,6 @@
 """Substring dedup over word windows, partitioned by super-k-mers.
 
-Each window of 20 words has a minimiser: the smallest hash among the 5-word grams inside. Consecutive
+Each window of 20 words has a minimiser: the smallest hash among the 4-word grams inside. Consecutive
 windows that share theirs travel as one packed string, to the bucket of the minimiser; equal windows
 always meet there, where sorting finds which is first.
 
@@ -14,57 +14,90 @@ always meet there, where sorting finds which is first.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
+from itertools import chain, compress
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortspan.llm.common import as_text, beside_documents, keyed_texts, partitions, stored, table
+from cohortspan.llm.common import beside_documents, keyed_texts, partitions, split_join, stored, table
 from cohortspan.llm.registry import query
 from cohortspan.llm.shingles import hashes_of, windows_of, words_of
 
 #: Words in a window and in the grams that minimisers are chosen from.
-WINDOW, GRAM = 20, 5
+WINDOW, GRAM = 20, 4
 #: Super-k-mers of one minimiser in one part.
 PART = 4096
-#: Windows that a bucket task sorts at once, whole minimisers together.
-SORTED = 1 << 18
+#: Super-k-mers that a bucket task sorts at once, whole minimisers together.
+SORTED = 1 << 15
 
 
-def super_kmers(hashes: np.ndarray, window: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """First window, window behind the last, and minimiser of each super-k-mer of a document."""
-    grams = windows_of(hashes, gram)
+@dataclass
+class SuperKmers:
+    """The super-k-mers of several documents: which document, first window, window behind the last,
+    minimiser, and number in the document."""
+
+    doc: np.ndarray
+    start: np.ndarray
+    end: np.ndarray
+    minimiser: np.ndarray
+    number: np.ndarray
+
+
+def super_kmers(hashes: np.ndarray, sizes: np.ndarray, window: int, gram: int) -> SuperKmers:
+    """Of documents with ``sizes`` words, whose hashes stand one behind the other."""
     width = window - gram + 1
-    if len(grams) < width:
-        empty = np.zeros(0, np.int64)
-        return empty, empty, np.zeros(0, np.uint64)
-    views = np.lib.stride_tricks.sliding_window_view(grams, width)
-    place = np.arange(len(views)) + views.argmin(axis=1)
-    starts = np.flatnonzero(np.concatenate([[True], place[1:] != place[:-1]]))
-    return starts, np.append(starts[1:], len(views)), grams[place[starts]]
+    grams = windows_of(hashes, gram)
+    begins = np.cumsum(sizes) - sizes
+    counts = np.maximum(sizes - window + 1, 0)
+    doc = np.repeat(np.arange(len(sizes)), counts)
+    start = np.arange(len(doc)) - np.repeat(np.cumsum(counts) - counts, counts)
+    at = begins[doc] + start
+    if not len(at):
+        none = np.zeros(0, np.int64)
+        return SuperKmers(none, none, none, np.zeros(0, np.uint64), none)
+    # windows across two documents are looked at too, and left out by ``at``
+    place = np.lib.stride_tricks.sliding_window_view(grams, width).argmin(axis=1)
+    place = (np.arange(len(place)) + place)[at]
+    first = np.flatnonzero(np.concatenate([[True], (place[1:] != place[:-1]) | (doc[1:] != doc[:-1])]))
+    length = np.diff(np.append(first, len(at)))
+    of = doc[first]
+    numbers = np.arange(len(of)) - np.searchsorted(of, of)
+    return SuperKmers(of, start[first], start[first] + length, grams[place[first]], numbers)
+
+
+def _parts(batch: pa.RecordBatch, rows: int = 512) -> Iterator[pa.RecordBatch]:
+    for at in range(0, batch.num_rows, rows):
+        yield batch.slice(at, rows)
+
+
+def _words(texts: pa.Array) -> tuple[list[bytes], np.ndarray]:
+    """The words of all texts one behind the other, and their number in each."""
+    lists = [words_of(t) for t in texts.to_pylist()]
+    return list(chain.from_iterable(lists)), np.array([len(w) for w in lists], np.int64)
 
 
 def minimisers(documents: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
     """minimiser, doc_id, row, number (of the super-k-mer in its document)."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            values = [super_kmers(hashes_of(words_of(t)), window, gram)[2] for t in batch["text"]]
-            sizes = [len(v) for v in values]
-            yield pd.DataFrame(
-                {
-                    "minimiser": np.concatenate([np.zeros(0, np.uint64), *values]).view(np.int64),
-                    "doc_id": np.repeat(batch["doc_id"].to_numpy(), sizes),
-                    "row": np.repeat(batch["row"].to_numpy(), sizes),
-                    "number": np.concatenate([np.zeros(0, np.int64), *map(np.arange, sizes)]),
-                }
-            )
-
-    made = as_text(keyed_texts(documents), "row", "text").mapInPandas(
-        run, "minimiser bigint, doc_id string, row bigint, number int"
-    )
-    return made.withColumn("doc_id", F.col("doc_id").cast("long"))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in (p for batch in batches for p in _parts(batch)):
+            doc_ids, rows, texts = part.columns
+            words, sizes = _words(texts)
+            found = super_kmers(hashes_of(words), sizes, window, gram)
+            at = pa.array(found.doc)
+            columns = [
+                pa.array(found.minimiser.view(np.int64)),
+                doc_ids.take(at),
+                rows.take(at),
+                pa.array(found.number.astype(np.int32)),
+            ]
+            yield pa.RecordBatch.from_arrays(columns, ["minimiser", "doc_id", "row", "number"])
+
+    texts = keyed_texts(documents).select("doc_id", "row", "text")
+    return texts.mapInArrow(run, "minimiser bigint, doc_id bigint, row bigint, number int")
 
 
 def packed_super_kmers(wanted: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
@@ -73,95 +106,106 @@ def packed_super_kmers(wanted: DataFrame, window: int = WINDOW, gram: int = GRAM
     ``wanted`` has documents with ``numbers`` and, beside each, the ``parts`` of its minimiser.
     """
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            made = []
-            for doc_id, row, text, numbers, parts in zip(*[batch[c] for c in ("doc_id", "row", "text", "numbers", "parts")]):
-                words = words_of(text)
-                starts, ends, values = super_kmers(hashes_of(words), window, gram)
-                for i, n in zip(numbers, parts):
-                    packed = b" ".join(words[starts[i] : ends[i] + window - 1])
-                    made.append((values[i].astype(np.int64), n, doc_id, row, starts[i], packed))
-            yield pd.DataFrame(made, columns=["minimiser", "parts", "doc_id", "row", "start", "words"])
-
-    made = as_text(wanted, "row", "text", "numbers", "parts").mapInPandas(
-        run, "minimiser bigint, parts bigint, doc_id string, row bigint, start int, words binary"
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in (p for batch in batches for p in _parts(batch)):
+            doc_ids, rows, texts, numbers, parts = part.columns
+            words, sizes = _words(texts)
+            found = super_kmers(hashes_of(words), sizes, window, gram)
+            doc = pa.array(np.repeat(np.arange(part.num_rows), numbers.value_lengths().to_numpy()))
+            at = np.searchsorted(found.doc, doc.to_numpy()) + numbers.flatten().to_numpy()
+            first = (np.cumsum(sizes) - sizes)[found.doc[at]] + found.start[at]
+            last = first + found.end[at] - found.start[at] + window - 1
+            joined = b" ".join(words)
+            places = np.cumsum([0] + [len(w) + 1 for w in words])
+            packed = [joined[a:b] for a, b in zip(places[first].tolist(), (places[last] - 1).tolist())]
+            columns = [
+                pa.array(found.minimiser[at].view(np.int64)),
+                parts.flatten(),
+                doc_ids.take(doc),
+                rows.take(doc),
+                pa.array(found.start[at].astype(np.int32)),
+                pa.array(packed, pa.binary()),
+            ]
+            yield pa.RecordBatch.from_arrays(columns, ["minimiser", "parts", "doc_id", "row", "start", "words"])
+
+    return wanted.select("doc_id", "row", "text", "numbers", "parts").mapInArrow(
+        run, "minimiser bigint, parts bigint, doc_id bigint, row bigint, start int, words binary"
     )
-    return made.withColumn("doc_id", F.col("doc_id").cast("long"))
 
 
 FOUND = "first boolean, w1 bigint, w2 bigint, doc_id bigint, row bigint, start int, count int"
 
 
+def _repeats(rows: pa.Table, window: int) -> pa.RecordBatch:
+    """Rows of FOUND from whole minimisers (or parts of one)."""
+    packed = rows.column("words").to_pylist()
+    # all words of all rows at once; windows across two rows are left out
+    hashes = hashes_of(b" ".join(packed).split(b" "))
+    sizes = np.array([p.count(b" ") + 1 for p in packed])
+    counts = sizes - window + 1
+    where = np.repeat(np.arange(len(packed)), counts)
+    inside = np.arange(len(where)) - np.repeat(np.cumsum(counts) - counts, counts)
+    at = (np.cumsum(sizes) - sizes)[where] + inside
+    w1, w2 = windows_of(hashes, window)[at], windows_of(hashes, window, seed=31)[at]
+    starts = rows.column("start").to_numpy()[where] + inside
+    doc_ids = rows.column("doc_id").combine_chunks()
+    # null ids come first, as the smallest
+    doc = doc_ids.fill_null(np.iinfo(np.int64).min).to_numpy()[where]
+    row = rows.column("row").to_numpy()[where]
+    salted = rows.column("parts").to_numpy()[where] > 1
+    order = np.lexsort((starts, row, doc, w2, w1))
+    w1, w2, where, starts, doc, row, salted = (x[order] for x in (w1, w2, where, starts, doc, row, salted))
+    fresh = np.concatenate([[True], (w1[1:] != w1[:-1]) | (w2[1:] != w2[:-1])])
+    first = np.maximum.accumulate(np.where(fresh, np.arange(len(w1)), 0))
+    # the same place read twice, from a repeated row, isn't earlier than itself
+    again = np.flatnonzero((doc != doc[first]) | (row != row[first]) | (starts != starts[first]))
+    again = again[np.lexsort((starts[again], where[again]))]
+    row_of, start_of = where[again], starts[again]
+    begins = np.flatnonzero((np.diff(row_of, prepend=-1) != 0) | (np.diff(start_of, prepend=-2) != 1))
+    lone = np.flatnonzero(fresh & salted)
+    picked = np.concatenate([again[begins], lone])
+    lengths = np.concatenate([np.diff(np.append(begins, len(again))), np.ones(len(lone), np.int64)])
+    columns = [
+        pa.array(np.arange(len(picked)) >= len(begins)),
+        pa.array(w1[picked].view(np.int64)),
+        pa.array(w2[picked].view(np.int64)),
+        doc_ids.take(pa.array(where[picked])),
+        pa.array(row[picked]),
+        pa.array(starts[picked].astype(np.int32)),
+        pa.array(lengths.astype(np.int32)),
+    ]
+    return pa.RecordBatch.from_arrays(columns, [f.split()[0] for f in FOUND.split(", ")])
+
+
 def _sorted_buckets(packed: DataFrame, window: int) -> DataFrame:
     """Runs of repeated windows (first = false), and the first windows of salted parts (first = true).
 
     A row is read with its whole minimiser and part; only as many of these as fit are held.
     """
 
-    def solved(rows: list[tuple]) -> pd.DataFrame:
-        w1, w2, where, starts = [], [], [], []
-        for i, (_, _, _, _, start, words) in enumerate(rows):
-            hashes = hashes_of(words.split(b" "))
-            one = windows_of(hashes, window)
-            w1.append(one)
-            w2.append(windows_of(hashes, window, seed=31))
-            where.append(np.full(len(one), i))
-            starts.append(start + np.arange(len(one)))
-        w1, w2, where, starts = map(np.concatenate, (w1, w2, where, starts))
-        # null ids come first, as the smallest
-        doc = np.array([np.iinfo(np.int64).min if r[2] is None else int(r[2]) for r in rows], np.int64)[where]
-        row = np.array([r[3] for r in rows], np.int64)[where]
-        salted = np.array([r[1] > 1 for r in rows])[where]
-        order = np.lexsort((starts, row, doc, w2, w1))
-        w1, w2, where, starts, doc, row, salted = (x[order] for x in (w1, w2, where, starts, doc, row, salted))
-        fresh = np.concatenate([[True], (w1[1:] != w1[:-1]) | (w2[1:] != w2[:-1])])
-        first = np.maximum.accumulate(np.where(fresh, np.arange(len(w1)), 0))
-        # the same place read twice, from a repeated row, isn't earlier than itself
-        again = (doc != doc[first]) | (row != row[first]) | (starts != starts[first])
-        at = np.flatnonzero(again)
-        at = at[np.lexsort((starts[at], where[at]))]
-        begins = np.concatenate([[True], (where[at][1:] != where[at][:-1]) | (starts[at][1:] != starts[at][:-1] + 1)])
-        begins = np.flatnonzero(begins) if len(at) else np.zeros(0, np.int64)
-        lone = np.flatnonzero(fresh & salted)
-        picked = np.concatenate([at[begins], lone])
-        counts = np.concatenate([np.diff(np.append(begins, len(at))), np.ones(len(lone), np.int64)])
-        return pd.DataFrame(
-            {
-                "first": np.arange(len(picked)) >= len(begins),
-                "w1": w1[picked].view(np.int64),
-                "w2": w2[picked].view(np.int64),
-                "doc_id": [rows[i][2] for i in where[picked]],
-                "row": row[picked],
-                "start": starts[picked],
-                "count": counts,
-            }
-        )
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held, windows, last = [], 0, None
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
         for batch in batches:
-            for r in batch.itertuples(index=False, name=None):
-                if r[:2] != last and windows >= SORTED:
-                    yield solved([(x[0], *x[2:]) for x in held])
-                    held, windows = [], 0
-                last = r[:2]
-                held.append(r)
-                windows += r[-1].count(b" ") + 2 - window
-        if held:
-            yield solved([(x[0], *x[2:]) for x in held])
+            held.append(batch)
+            if sum(b.num_rows for b in held) < SORTED:
+                continue
+            rows = pa.Table.from_batches(held)
+            keys = [rows.column(c).to_numpy() for c in ("minimiser", "salt")]
+            edges = np.flatnonzero((np.diff(keys[0]) != 0) | (np.diff(keys[1]) != 0)) + 1
+            if len(edges):
+                cut = int(edges[-1])
+                yield _repeats(rows.slice(0, cut), window)
+                held = rows.slice(cut).to_batches()
+        if sum(b.num_rows for b in held):
+            yield _repeats(pa.Table.from_batches(held), window)
 
     salt = F.pmod(F.xxhash64("doc_id", "row"), F.col("parts"))
     placed = packed.withColumn("salt", salt).repartition(partitions(packed.sparkSession), "minimiser", "salt")
-    sent = placed.sortWithinPartitions("minimiser", "salt").select(
-        "minimiser", "salt", "parts", F.col("doc_id").cast("string"), "row", "start", "words"
-    )
-    made = sent.mapInPandas(run, FOUND.replace("doc_id bigint", "doc_id string"))
-    return made.withColumn("doc_id", F.col("doc_id").cast("long"))
+    return placed.sortWithinPartitions("minimiser", "salt").mapInArrow(run, FOUND)
 
 
 def repeated_runs(documents: DataFrame, window: int = WINDOW, gram: int = GRAM, part: int = PART) -> DataFrame:
-    """doc_id, row, runs (start, count): windows whose words also start earlier.
+    """doc_id, row, starts, counts: runs of windows whose words also start earlier.
 
     Earlier is a smaller doc_id, or the same document and an earlier word; a null doc_id is smaller
     than any other, and rows that repeat a doc_id with another text are ordered by a hash of the
@@ -173,11 +217,10 @@ def repeated_runs(documents: DataFrame, window: int = WINDOW, gram: int = GRAM,
         narrow.groupBy("minimiser")
         .agg(F.count(F.lit(1)).alias("n"))
         .where("n > 1")
-        .select("minimiser", F.ceil(F.col("n") / part).alias("parts"), F.xxhash64("minimiser").alias("split"))
+        .select("minimiser", F.ceil(F.col("n") / part).alias("parts"))
     )
     numbers = (
-        narrow.withColumn("split", F.xxhash64("minimiser"))
-        .join(common, ["minimiser", "split"])
+        split_join(narrow, common, ["minimiser"])
         .groupBy("doc_id", "row")
         .agg(F.sort_array(F.collect_set(F.struct("number", "parts"))).alias("of"))
         .select("doc_id", "row", F.col("of.number").alias("numbers"), F.col("of.parts").alias("parts"))
@@ -188,38 +231,42 @@ def repeated_runs(documents: DataFrame, window: int = WINDOW, gram: int = GRAM,
     place = F.struct("doc_id", "row", "start")
     least = firsts.groupBy("w1", "w2").agg(F.min(place).alias("least"), F.count(F.lit(1)).alias("n")).where("n > 1")
     late = (
-        firsts.withColumn("split", F.xxhash64("w1", "w2"))
-        .join(least.withColumn("split", F.xxhash64("w1", "w2")), ["w1", "w2", "split"])
+        split_join(firsts, least, ["w1", "w2"])
         .where(~place.eqNullSafe(F.col("least")))
         .select("doc_id", "row", "start", F.lit(1).alias("count"))
     )
     runs = found.where("NOT first").select("doc_id", "row", "start", "count").unionByName(late)
-    return runs.groupBy("doc_id", "row").agg(F.sort_array(F.collect_set(F.struct("start", "count"))).alias("runs"))
+    return (
+        runs.groupBy("doc_id", "row")
+        .agg(F.sort_array(F.collect_set(F.struct("start", "count"))).alias("of"))
+        .select("doc_id", "row", F.col("of.start").alias("starts"), F.col("of.count").alias("counts"))
+    )
 
 
 def without_runs(documents: DataFrame, runs: DataFrame, window: int = WINDOW) -> DataFrame:
     """doc_id, row, n_words, n_removed, text: words that no listed window covers, joined by a space."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            counts, removed, texts = [], [], []
-            for text, listed in zip(batch["text"], batch["runs"]):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in (p for batch in batches for p in _parts(batch)):
+            doc_ids, rows, texts, starts, counts = part.columns
+            sizes, kept = [], []
+            for text, start, count in zip(texts.to_pylist(), starts, counts):
                 words = words_of(text)
-                counts.append(len(words))
-                if listed is not None and len(listed):
+                sizes.append(len(words))
+                if start.is_valid:
+                    start, count = start.values.to_numpy(), count.values.to_numpy()
                     edges = np.zeros(len(words) + 1, np.int64)
-                    at = np.array([(r["start"], r["count"]) for r in listed])
-                    np.add.at(edges, at[:, 0], 1)
-                    np.add.at(edges, at[:, 0] + at[:, 1] + window - 1, -1)
-                    free = np.cumsum(edges[:-1]) == 0
-                    words = [w for w, keep in zip(words, free.tolist()) if keep]
-                removed.append(counts[-1] - len(words))
-                texts.append(b" ".join(words).decode("utf-8", "surrogatepass"))
-            yield batch[["doc_id", "row"]].assign(n_words=counts, n_removed=removed, text=texts)
-
-    both = as_text(beside_documents(documents, runs, "left"), "row", "text", "runs")
-    made = both.mapInPandas(run, "doc_id string, row bigint, n_words bigint, n_removed bigint, text string")
-    return made.withColumn("doc_id", F.col("doc_id").cast("long"))
+                    np.add.at(edges, start, 1)
+                    np.add.at(edges, start + count + window - 1, -1)
+                    words = list(compress(words, (np.cumsum(edges[:-1]) == 0).tolist()))
+                kept.append(words)
+            removed = [n - len(k) for n, k in zip(sizes, kept)]
+            joined = [b" ".join(k).decode("utf-8", "surrogatepass") for k in kept]
+            columns = [doc_ids, rows, pa.array(sizes, pa.int64()), pa.array(removed, pa.int64()), pa.array(joined, pa.string())]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "row", "n_words", "n_removed", "text"])
+
+    both = beside_documents(documents, runs, "left").select("doc_id", "row", "text", "starts", "counts")
+    return both.mapInArrow(run, "doc_id bigint, row bigint, n_words bigint, n_removed bigint, text string")
 
 
 def substring_dedup(documents: DataFrame, window: int = WINDOW) -> DataFrame:
