@@ -26,7 +26,15 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortspan.llm.common import as_text, beside_documents, keyed_texts, partitions, stored, table
+from cohortspan.llm.common import (
+    as_text,
+    beside_documents,
+    numbered_values,
+    partitions,
+    split_join,
+    stored,
+    table,
+)
 from cohortspan.llm.registry import query
 from cohortspan.llm.shingles import mixed
 
@@ -99,24 +107,7 @@ def _bytes_of(text) -> np.ndarray:
 
 def phrase_heads(documents: DataFrame, length: int = LENGTH) -> DataFrame:
     """head, doc_id, row, number (of the place in its document)."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            values = [phrase_places(_bytes_of(t), length)[3] for t in batch["text"]]
-            sizes = [len(v) for v in values]
-            yield pd.DataFrame(
-                {
-                    "head": np.concatenate([np.zeros(0, np.uint64), *values]).view(np.int64),
-                    "doc_id": np.repeat(batch["doc_id"].to_numpy(), sizes),
-                    "row": np.repeat(batch["row"].to_numpy(), sizes),
-                    "number": np.concatenate([np.zeros(0, np.int64), *map(np.arange, sizes)]),
-                }
-            )
-
-    made = as_text(keyed_texts(documents), "row", "text").mapInPandas(
-        run, "head bigint, doc_id string, row bigint, number int"
-    )
-    return made.withColumn("doc_id", F.col("doc_id").cast("long"))
+    return numbered_values(documents, "head", lambda text: phrase_places(_bytes_of(text), length)[3])
 
 
 PACKED = "head bigint, parts bigint, doc_id string, row bigint, starts array<int>, before int, packed binary"
@@ -253,16 +244,15 @@ def repeated_starts(documents: DataFrame, length: int = LENGTH, part: int = PART
     A repeated row is another place. Rows are known by doc_id (which may be null) and text. Texts
     shorter than ``length`` have no strings.
     """
-    narrow = phrase_heads(documents, length)
+    narrow = stored(phrase_heads(documents, length), "phrase-heads")
     common = (
         narrow.groupBy("head")
         .agg(F.count(F.lit(1)).alias("n"))
         .where("n > 1")
-        .select("head", F.ceil(F.col("n") / part).alias("parts"), F.xxhash64("head").alias("split"))
+        .select("head", F.ceil(F.col("n") / part).alias("parts"))
     )
     numbers = (
-        narrow.withColumn("split", F.xxhash64("head"))
-        .join(common, ["head", "split"])
+        split_join(narrow, common, ["head"])
         .groupBy("doc_id", "row")
         .agg(F.sort_array(F.collect_set(F.struct("number", "parts"))).alias("of"))
         .select("doc_id", "row", F.col("of.number").alias("numbers"), F.col("of.parts").alias("parts"))
@@ -272,9 +262,7 @@ def repeated_starts(documents: DataFrame, length: int = LENGTH, part: int = PART
     strings = found.where("part")
     again = strings.groupBy("w1", "w2").agg(F.sum("n").alias("n")).where("n > 1").select("w1", "w2")
     late = (
-        strings.where("n = 1")
-        .withColumn("split", F.xxhash64("w1", "w2"))
-        .join(again.withColumn("split", F.xxhash64("w1", "w2")), ["w1", "w2", "split"])
+        split_join(strings.where("n = 1").drop("n"), again, ["w1", "w2"])
         .select("doc_id", "row", "start", "count")
     )
     runs = found.where("NOT part").select("doc_id", "row", "start", "count").unionByName(late)
