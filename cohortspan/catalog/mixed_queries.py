@@ -166,6 +166,28 @@ def missing_globals(spark, sf_dir):
     return _compared(cohort.incremental(bundle.with_tables(globals=some)))
 
 
+_MIXED_COLUMNS = _PLAIN.replace(
+    "1 + p_size % 10 AS n", "CASE WHEN p_partkey % 2 = 1 THEN 20 ELSE 1 + p_size % 10 END AS n"
+)
+
+
+@query("mixed_plan_columns", _MIXED_COLUMNS + _COMPARED.format("line"))
+def mixed_plan_columns(spark, sf_dir):
+    """Every other scenario's plan table lacks ``contract_length``, which then has its default."""
+    bundle = part_bundle(spark, sf_dir)
+    lacks = F.col("scenario_id") % 2 == 1
+    names = [c for c in bundle.payments.columns if c != "contract_length"]
+    payments = bundle.payments.withColumns(
+        {
+            "contract_length": F.when(~lacks, F.col("contract_length")),
+            "present_columns": F.when(lacks, F.array(*map(F.lit, names))).otherwise(
+                F.array(*map(F.lit, bundle.payments.columns))
+            ),
+        }
+    )
+    return _compared(cohort.incremental(bundle.with_tables(payments=payments)))
+
+
 @query(
     "two_total_plans",
     f"""SELECT scenario_id, Treatments, QALY, CASE WHEN scenario_id % 3 > 0 THEN Cost END AS Cost,
