@@ -123,11 +123,10 @@ RULES = (
 BASE = ("few_words", "repeats")
 
 
-def rejects(rule: Rule, measured: Mapping[str, Column] | None = None, text: Column | None = None) -> Column:
-    """The rule over given measures, or over what it needs measured on ``text``."""
-    if measured is None:
-        measured = {name: MEASURES[name](text) for name in rule.needs}
-    return F.coalesce(rule.fails(measured), F.lit(False))
+def rejects(rule: Rule, measured: Mapping[str, Column], text: Column | None = None) -> Column:
+    """The rule over given measures; those that it needs besides are taken from ``text``."""
+    known = {name: measured[name] if name in measured else MEASURES[name](text) for name in rule.needs}
+    return F.coalesce(rule.fails(known), F.lit(False))
 
 
 def sampled_order(
@@ -144,7 +143,7 @@ def sampled_order(
     scores = []
     for rule in rules:
         begin = time.perf_counter()
-        hits = sample.agg(F.count_if(rejects(rule, text=F.col("text")))).first()[0]
+        hits = sample.agg(F.count_if(rejects(rule, {}, F.col("text")))).first()[0]
         seconds = max(time.perf_counter() - begin, 1e-3)
         scores.append((hits / total / seconds, rule.name))
     sample.unpersist()
@@ -152,9 +151,7 @@ def sampled_order(
     return sorted(rules, key=lambda rule: -rank[rule.name])
 
 
-def first_failure(
-    order: Sequence[Rule], measured: Mapping[str, Column] | None = None, text: Column | None = None
-) -> Column:
+def first_failure(order: Sequence[Rule], measured: Mapping[str, Column], text: Column | None = None) -> Column:
     """Name of the first rule in ``order`` that rejects, null for none; later rules are not run."""
     verdict = F.lit(None).cast("string")
     for rule in reversed(order):
@@ -162,6 +159,11 @@ def first_failure(
     return verdict
 
 
+def first_failure_of(order: Sequence[Rule], text: Column) -> Column:
+    """The same from a text alone. Every rule asks for the words, so these are counted once."""
+    return _let(n_words(text), lambda n: first_failure(order, {"n_words": n}, text))
+
+
 def quality_filter(documents: DataFrame, rules: Sequence[Rule] = RULES, sample_rows: int = 400) -> DataFrame:
     """Documents that no rule rejects; all columns are kept.
 
@@ -169,7 +171,7 @@ def quality_filter(documents: DataFrame, rules: Sequence[Rule] = RULES, sample_r
     null ids change nothing, an empty table gives an empty table.
     """
     order = sampled_order(documents, rules, sample_rows)
-    return documents.where(first_failure(order, text=text_or_empty()).isNull())
+    return documents.where(first_failure_of(order, text_or_empty()).isNull())
 
 
 def measured_verdicts(documents: DataFrame, rules: Sequence[Rule] = RULES, sample_rows: int = 400) -> DataFrame:
