@@ -115,6 +115,13 @@ def unpacked_rows(rows: DataFrame, documents: DataFrame, **replaced: Column) ->
     return rows.select(*[replaced.get(c, F.col(f"d.`{c}`")).alias(c) for c in documents.columns])
 
 
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
+    """Few rows at a time: what they become may be many times as large."""
+    for batch in batches:
+        for start in range(0, batch.num_rows, rows):
+            yield batch.slice(start, rows)
+
+
 def mapped_column(
     documents: DataFrame, source: str, made: T.StructField, kind: pa.DataType, of: Callable[[], Callable]
 ) -> DataFrame:

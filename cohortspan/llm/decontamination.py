@@ -15,11 +15,11 @@ import math
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortspan.llm.common import row_hash, stored, table, without_listed
+from cohortspan.llm.common import row_hash, slices, stored, table, without_listed
 from cohortspan.llm.minhash_dedup import signature
 from cohortspan.llm.registry import query
 from cohortspan.llm.shingles import shingle_set, words_of
@@ -37,20 +37,26 @@ _CHUNK = 32768
 def _sets(rows: DataFrame, key: str, kept=None) -> DataFrame:
     """key, row, n (size of the whole shingle set), shingles: those that ``kept`` lets through."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            made = []
-            for doc_id, row, text in zip(batch[key], batch["row"], batch["text"]):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in slices(batches):
+            ids, of_rows, texts = part.columns
+            at, sizes, found = [], [], []
+            for i, text in enumerate(texts.to_pylist()):
                 shingles = shingle_set(words_of(text, fold=True))
                 some = shingles if kept is None else shingles[kept(shingles)]
                 if len(some):
-                    made.append((doc_id, row, len(shingles), some.view(np.int64)))
-            yield pd.DataFrame(made, columns=[key, "row", "n", "shingles"])
+                    at.append(i)
+                    sizes.append(len(shingles))
+                    found.append(some.view(np.int64))
+            offsets = np.cumsum([0, *map(len, found)]).astype(np.int32)
+            lists = pa.ListArray.from_arrays(offsets, np.concatenate([np.zeros(0, np.int64), *found]))
+            taken = pa.array(at, pa.int64())
+            columns = [ids.take(taken), of_rows.take(taken), pa.array(sizes, pa.int64()), lists]
+            yield pa.RecordBatch.from_arrays(columns, [key, "row", "n", "shingles"])
 
-    # an id travels as text: pandas would turn a nullable number into a float
-    taken = rows.select(F.col(key).cast("string"), row_hash().alias("row"), F.col("text").cast("string"))
-    made = taken.mapInPandas(run, f"{key} string, row bigint, n bigint, shingles array<bigint>")
-    return made.withColumn(key, F.col(key).cast("long")).distinct()
+    texts = rows.select(F.col(key).cast("long"), row_hash().alias("row"), F.col("text").cast("string"))
+    schema = f"{key} bigint, row bigint, n bigint, shingles array<bigint>"
+    return texts.mapInArrow(run, schema).distinct()
 
 
 class _Filter:
@@ -122,27 +128,30 @@ def _emitted(
         found = {e: max([n for (x, _), n in needs.items() if x == e and n], default=0) for e, _ in needs}
         return None in needs.values(), {e: n for e, n in found.items() if n}
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for doc_id, row, shingles in zip(batch[key], batch["row"], batch["shingles"]):
-                plain, needs = wanted(len(shingles))
-                kinds, values = [], []
-                if plain:
-                    kinds.append(np.full(len(shingles), -1))
-                    values.append(np.asarray(shingles, np.int64))
-                if most := max(needs.values(), default=0):
-                    of = signature(np.asarray(shingles, np.int64).view(np.uint64), 1 << (most - 1).bit_length())
-                    for e, n in needs.items():
-                        kinds.append(e * (1 << 24) + np.arange(n))
-                        values.append(of[:n].astype(np.int64))
-                if kinds:
-                    yield pd.DataFrame(
-                        {key: doc_id, "row": row, "kind": np.concatenate(kinds), "value": np.concatenate(values)}
-                    )
-
-    text = sets.select(F.col(key).cast("string"), "row", "shingles")
-    made = text.mapInPandas(run, f"{key} string, row bigint, kind bigint, value bigint")
-    return made.withColumn(key, F.col(key).cast("long"))
+    def looked_up_by(shingles: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        plain, needs = wanted(len(shingles))
+        kinds, values = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        if plain:
+            kinds.append(np.full(len(shingles), -1))
+            values.append(shingles)
+        if most := max(needs.values(), default=0):
+            of = signature(shingles.view(np.uint64), 1 << (most - 1).bit_length())
+            for e, n in needs.items():
+                kinds.append(e * (1 << 24) + np.arange(n))
+                values.append(of[:n].astype(np.int64))
+        return np.concatenate(kinds), np.concatenate(values)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in slices(batches):
+            ids, of_rows, lists = part.columns
+            found = [looked_up_by(x.values.to_numpy()) for x in lists]
+            at = pa.array(np.repeat(np.arange(len(found)), [len(k) for k, _ in found]))
+            kinds, values = (np.concatenate([np.zeros(0, np.int64), *x]) for x in zip(*found))
+            columns = [ids.take(at), of_rows.take(at), pa.array(kinds), pa.array(values)]
+            yield pa.RecordBatch.from_arrays(columns, [key, "row", "kind", "value"])
+
+    schema = f"{key} bigint, row bigint, kind bigint, value bigint"
+    return sets.select(key, "row", "shingles").mapInArrow(run, schema)
 
 
 def contained_items(
