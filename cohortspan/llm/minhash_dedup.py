@@ -20,11 +20,11 @@ from collections.abc import Iterator
 from functools import cache
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortspan.llm.common import partitions, row_hash, stored, table, without_listed
+from cohortspan.llm.common import keyed_texts, partitions, slices, stored, table, without_listed
 from cohortspan.llm.components import connected_components
 from cohortspan.llm.registry import query
 from cohortspan.llm.shingles import mixed, row_hashes, shingle_set, words_of
@@ -71,39 +71,39 @@ def signatures(documents: DataFrame, bands: int = BANDS) -> DataFrame:
     """
     import xxhash
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            made = []
-            for text in batch["text"]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in slices(batches):
+            doc_ids, of_rows, texts = part.columns
+            sizes, digests, keys = [], [], []
+            for text in texts.to_pylist():
                 shingles = shingle_set(words_of(text, fold=True))
                 raw = shingles.tobytes()
-                digest = [np.uint64(xxhash.xxh3_64_intdigest(raw, seed)).astype(np.int64) for seed in (1, 2)]
-                keys = None
+                sizes.append(len(shingles))
+                digests.append([xxhash.xxh3_64_intdigest(raw, seed) for seed in (1, 2)])
+                keys.append(None)
                 if len(shingles):
-                    keys = band_keys(signature(shingles, bands * ROWS)).view(np.int64)
-                made.append((len(shingles), *digest, keys))
-            n, d1, d2, keys = zip(*made) if made else ((), (), (), ())
-            yield pd.DataFrame(
-                {"doc_id": batch["doc_id"], "row": batch["row"], "n_shingles": n, "d1": d1, "d2": d2, "bands": keys}
-            ).astype({"doc_id": "Int64"})
+                    keys[-1] = band_keys(signature(shingles, bands * ROWS)).view(np.int64)
+            d1, d2 = np.array(digests, np.uint64).view(np.int64).T
+            columns = [pa.array(sizes, pa.int64()), pa.array(d1), pa.array(d2), pa.array(keys, pa.list_(pa.int64()))]
+            names = ["doc_id", "row", "n_shingles", "d1", "d2", "bands"]
+            yield pa.RecordBatch.from_arrays([doc_ids, of_rows, *columns], names)
 
-    # null ids would turn numbers into floats on the way
-    rows = documents.select(F.col("doc_id").cast("string"), row_hash().alias("row"), F.col("text").cast("string"))
-    return rows.mapInPandas(run, SIGNATURES)
+    return keyed_texts(documents).select("doc_id", "row", "text").mapInArrow(run, SIGNATURES)
 
 
 def shingle_table(documents: DataFrame, wanted: DataFrame) -> DataFrame:
     """doc_id and shingles (packed 64-bit hashes) of the documents whose id is ``wanted``."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            sets = [shingle_set(words_of(text, fold=True)).tobytes() for text in batch["text"]]
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "shingles": sets})
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in slices(batches):
+            doc_ids, texts = part.columns
+            sets = [shingle_set(words_of(text, fold=True)).tobytes() for text in texts.to_pylist()]
+            yield pa.RecordBatch.from_arrays([doc_ids, pa.array(sets, pa.binary())], ["doc_id", "shingles"])
 
     rows = documents.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     # the wanted ids grow with the documents: always a sorted merge, never a broadcast
     some = rows.join(wanted.distinct().hint("merge"), "doc_id", "left_semi")
-    return some.mapInPandas(run, "doc_id bigint, shingles binary")
+    return some.select("doc_id", "text").mapInArrow(run, "doc_id bigint, shingles binary")
 
 
 class _Forest:
@@ -173,23 +173,27 @@ def _links_in_units(members: DataFrame, percent: int) -> DataFrame:
         ids = np.array([doc_id for doc_id, _ in unit], np.int64)
         return linked(ids, [np.frombuffer(raw, np.uint64) for _, raw in unit], percent)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def links(found: list[tuple[int, int]]) -> pa.RecordBatch:
+        pairs = np.array(found, np.int64).reshape(-1, 2)
+        return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, unit, found = [], None, []
-        for batch in batches:
-            for key, doc_id, raw in zip(batch["unit"], batch["doc_id"], batch["shingles"]):
+        for part in slices(batches):
+            for key, doc_id, raw in zip(*[column.to_pylist() for column in part.columns]):
                 if key != unit:
                     if len(held) > 1:
                         found += solved(held)
                     held, unit = [], key
                 held.append((doc_id, raw))
             if found:
-                yield pd.DataFrame(found, columns=["a", "b"])
+                yield links(found)
                 found = []
-        if len(held) > 1 and (found := solved(held)):
-            yield pd.DataFrame(found, columns=["a", "b"])
+        if len(held) > 1:
+            yield links(solved(held))
 
     sorted_units = members.repartition(partitions(members.sparkSession), "unit").sortWithinPartitions("unit")
-    return sorted_units.select("unit", "doc_id", "shingles").mapInPandas(run, "a bigint, b bigint")
+    return sorted_units.select("unit", "doc_id", "shingles").mapInArrow(run, "a bigint, b bigint")
 
 
 def near_duplicates(
