@@ -5,6 +5,7 @@ from cohortspan.llm import (  # noqa: F401
     chat_format,
     decontamination,
     line_dedup,
+    lm_scoring,
     minhash_dedup,
     quality_rules,
     substring_dedup,
