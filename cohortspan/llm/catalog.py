@@ -3,7 +3,9 @@
 from cohortspan.llm import (  # noqa: F401
     byte_bpe,
     chat_format,
+    collocations,
     decontamination,
+    lexical_search,
     line_dedup,
     lm_scoring,
     minhash_dedup,

@@ -16,6 +16,7 @@ Answers meet the texts of their block again, which adds them up.
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,7 +34,7 @@ BELOW = 2
 #: Bytes of text in a block.
 BLOCK = 32 << 20
 #: Bytes and grams that are worked on at once.
-PIECE, BUNCH = 1 << 20, 1 << 18
+PIECE, BUNCH = 1 << 20, 1 << 17
 
 #: Stands for the end of a text; no word holds it.
 END = b"\n"
@@ -85,7 +86,7 @@ class Grams:
         runs = np.full(2 * len(self.lengths), self.depth)
         runs[::2] = self.lengths
         own = np.repeat(np.arange(len(runs)) % 2 == 0, runs)[:count]
-        owners = np.repeat(np.array(self.owners, np.int64), self.lengths)
+        owners = np.repeat(np.array(self.owners, np.int32), self.lengths)
         self.clear()
         return grams[own], owners
 
@@ -120,24 +121,24 @@ class _Asked:
     def __init__(self, depth: int) -> None:
         self.grams = {flag: Grams(depth) for flag in (True, False)}
         self.counts: dict[bool, list] = {True: [], False: []}
-        self.words: dict[bytes, int] = {}
+        self.words: dict[bool, Counter] = {True: Counter(), False: Counter()}
 
     def add(self, text: str | None, learns: bool) -> None:
-        own, words, step = self.grams[learns], self.words, int(learns)
+        own, words = self.grams[learns], self.words[learns]
         own.start()
         for found in word_lists(text):
             if found:
                 own.add(0, b" ".join(found) + b" ")
-            for word in found:
-                words[word] = words.get(word, 0) + step
-            self.reduce(learns, 4 * PIECE)
+            words.update(found)
+            self.reduce(learns, PIECE)
         own.add(0, END)
-        words[END] = words.get(END, 0) + step
+        words[END] += 1
 
     def reduce(self, learns: bool, least: int) -> None:
         if self.grams[learns].size > least:
             found, _ = self.grams[learns].taken()
-            self.counts[learns].append(np.unique(found, return_counts=True))
+            found, n = np.unique(found, return_counts=True)
+            self.counts[learns].append((found, n.astype(np.int32)))
 
     def rows(self, block: int) -> Iterator[pa.RecordBatch]:
         for flag in (True, False):
@@ -151,7 +152,8 @@ class _Asked:
             of, n = found[a : a + BUNCH].view(np.int64), sums[a : a + BUNCH]
             columns = [pa.array(np.full(len(of), block)), pa.array(of), pa.nulls(len(of), pa.string()), pa.array(n)]
             yield pa.RecordBatch.from_arrays(columns, names)
-        words, n = list(self.words), list(self.words.values())
+        held = self.words[False].keys() - self.words[True].keys()
+        words, n = [*self.words[True], *held], [*self.words[True].values(), *[0] * len(held)]
         for a in range(0, len(words), BUNCH):
             of = pa.array(words[a : a + BUNCH], pa.binary()).cast(pa.string())
             columns = [pa.array(np.full(len(of), block)), pa.nulls(len(of), pa.int64()), of]
@@ -176,6 +178,38 @@ def _asked(blocks: DataFrame, depth: int) -> DataFrame:
     return blocks.mapInArrow(run, "block bigint, gram bigint, word string, n bigint")
 
 
+class GramTable:
+    """Place of a gram among distinct ones, by open addressing; far fewer steps than a binary search."""
+
+    def __init__(self, grams: np.ndarray) -> None:
+        self.grams = grams
+        bits = max(int(2 * len(grams) - 1).bit_length(), 1)
+        self.shift, self.mask = np.uint64(64 - bits), (1 << bits) - 1
+        self.slots = np.full(1 << bits, -1, np.int32)
+        left, at = np.arange(len(grams), dtype=np.int32), self._first(grams)
+        while len(left):
+            free = self.slots[at] < 0
+            self.slots[at[free]] = left[free]
+            put = self.slots[at] == left
+            left, at = left[~put], (at[~put] + 1) & self.mask
+
+    def _first(self, grams: np.ndarray) -> np.ndarray:
+        return ((grams * np.uint64(0x9E3779B97F4A7C15)) >> self.shift).astype(np.int64)
+
+    def places(self, wanted: np.ndarray) -> np.ndarray:
+        """All of ``wanted`` must be in the table."""
+        at = self._first(wanted)
+        found = self.slots[at]
+        left = np.flatnonzero(self.grams[found] != wanted)
+        while len(left):
+            at[left] = (at[left] + 1) & self.mask
+            found[left] = self.slots[at[left]]
+            if (found[left] < 0).any():
+                raise KeyError("a gram that was not asked for")
+            left = left[self.grams[found[left]] != wanted[left]]
+        return found
+
+
 def _log_gamma(x: np.ndarray) -> np.ndarray:
     """By Stirling's series eight places on."""
     y = x + 8
@@ -380,9 +414,7 @@ def scored(documents: DataFrame, learns: Column, depth: int = DEPTH, block_bytes
     def add_up(texts: pa.Table, found: pa.Table) -> pa.Table:
         is_gram = found["gram"].is_valid()
         own, others = found.filter(is_gram), found.filter(pa.compute.invert(is_gram))
-        key = own["gram"].to_numpy().view(np.uint64)
-        order = np.argsort(key)
-        key, value = key[order], own["score"].to_numpy()[order]
+        table, value = GramTable(own["gram"].to_numpy().view(np.uint64)), own["score"].to_numpy()
         of = dict(zip(others["word"].cast(pa.binary()).to_pylist(), others["c"].to_pylist()))
         bottom = np.log10(total + 0.5 * (kinds + 1))
         count = texts.num_rows
@@ -392,7 +424,7 @@ def scored(documents: DataFrame, learns: Column, depth: int = DEPTH, block_bytes
 
         def flush() -> None:
             wanted, owners = grams.taken()
-            sums[:] += np.bincount(owners, value[np.searchsorted(key, wanted)], count)
+            sums[:] += np.bincount(owners, value[table.places(wanted)], count)
 
         def read(i: int, found: list[bytes]) -> None:
             c = np.fromiter(map(of.__getitem__, found), float, len(found))
