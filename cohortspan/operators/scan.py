@@ -134,18 +134,17 @@ def find_cuts(
 ) -> DataFrame:
     """Cut points of each group above a share of the rows: the keys and an array ``__cuts``.
 
-    The sample is the rows with the smallest hashes of keys and order, ``SAMPLED`` for each task, so
-    that it has the same rows whenever and wherever it is drawn. The result is at most a row for
-    each task.
+    The sample is the rows whose hash of keys and order lies in the lowest part of the range, a part
+    that is expected to hold ``SAMPLED`` rows for each task; the number of rows is a scalar subquery of
+    the same plan. So it has the same rows whenever and wherever it is drawn, however the input is
+    partitioned. The result is at most a row for each task.
     """
     if tasks is None:
         tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     columns = list(dict.fromkeys([*keys, *order]))
-    sample = (
-        df.select(*keys, F.struct(*order).alias("__at"), F.xxhash64(*columns).alias("__hash"))
-        .orderBy("__hash")
-        .limit(SAMPLED * tasks)
-    )
+    share = float(SAMPLED * tasks) / df.agg(F.count(F.lit(1)).cast("double")).scalar()
+    at = F.shiftrightunsigned(F.xxhash64(*columns), 11) / F.lit(float(1 << 53))
+    sample = df.select(*keys, F.struct(*order).alias("__at")).where(at < share)
     found = sample.groupBy(*keys).agg(F.array_sort(F.collect_list("__at")).alias("__seen"))
     every = F.filter("__seen", lambda _, i: ((i + 1) % APART == 0) & (i + 1 < F.size("__seen")))
     return found.where(F.size("__seen") >= SAMPLED).select(*keys, every.alias("__cuts"))

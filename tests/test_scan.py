@@ -184,3 +184,27 @@ def test_buckets(spark, options):
     for i, g, u in draws:
         fitting = sorted((b, label) for label, (h, b) in bounds.items() if h == g and u is not None and u <= b)
         assert found[i] == (fitting[0][1] if fitting else None)
+
+
+def test_cut_points_come_from_a_sample_of_bounded_size(spark):
+    """The sample is drawn by hash alone: no single task gathers it, and neither the number of rows
+    nor how they are dealt over tasks changes it much."""
+    sizes = {}
+    for count, dealt in ((20_000, 3), (20_000, 60), (200_000, 60)):
+        df = spark.range(0, count, 1, dealt).select(F.lit(1).alias("key"), "id")
+        cuts = scan.find_cuts(df, ["key"], ["id"], tasks=8)
+        plan = cuts._jdf.queryExecution().executedPlan().toString()
+        assert "TakeOrderedAndProject" not in plan and "Limit" not in plan
+        sizes[count, dealt] = cuts.first()["__cuts"]
+    assert sizes[20_000, 3] == sizes[20_000, 60]
+    expected = 8 * scan.SAMPLED / scan.APART
+    assert all(abs(len(found) - expected) <= expected / 2 for found in sizes.values())
+    blocks = sorted(r["id"] for r in sizes[200_000, 60])
+    assert max(b - a for a, b in zip([0, *blocks], [*blocks, 200_000])) < 200_000 / 4
+
+
+def test_cut_points_of_few_rows(spark):
+    """Fewer rows than would be sampled, and none."""
+    df = spark.range(100).select(F.lit(1).alias("key"), "id")
+    assert len(scan.find_cuts(df, ["key"], ["id"], tasks=8).first()["__cuts"]) == 6
+    assert scan.find_cuts(df.where("id < 0"), ["key"], ["id"], tasks=8).isEmpty()
