@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from cohortspan.catalog.part_model import part_bundle
+from cohortspan.catalog.part_model import part_bundle, read
 from cohortspan.catalog.registry import query
 from cohortspan.operators import columns, reshape
 from cohortspan.operators.chain import transition_edges, transition_table
@@ -17,6 +17,7 @@ from cohortspan.tables import (
     GLOBAL_DEFAULTS,
     PAYMENT_FIELDS,
     STATE_FIELDS,
+    ModelBundle,
     fields_frame,
 )
 
@@ -425,3 +426,66 @@ GRID = [
 )
 def sweep_grid(spark, sf_dir):
     return _compared(sweep.sweep(part_bundle(spark, sf_dir), GRID, cohort.incremental))
+
+
+#: 8 x 4 x 4 x 2 x 4 = 1,024 combinations, of which the treated arm needs 256 and the other one 8.
+WIDE = [
+    sweep.Cell("state_table", "active/1", "p_prog", "transform(sequence(1, 8), i -> i / 20D)"),
+    sweep.Cell("state_table", "active/2", "QoL", "array(0.5D, 0.6D, 0.7D, 0.8D)"),
+    sweep.Cell("payment_table", "fixed", "contract_length", "array(1D, 4D, 8D, 16D)"),
+    sweep.Cell("global_table", "discount", "value", "array(0.02D, 0.04D)"),
+    sweep.Cell("state_table", "control/1", "p_death", "array(0.01D, 0.02D, 0.05D, 0.1D)"),
+]
+
+
+@query(
+    "wide_sweep",
+    """WITH RECURSIVE
+    arm AS (SELECT s_suppkey AS scenario_id, 'active' AS treatment, (s_acctbal + 1000) / 500e0 AS total, n, p, u, q, d,
+                   i AS i1, j AS i2, k AS i3, l AS i4, 0 AS i5
+            FROM supplier, (SELECT i, (i + 1) / 20e0 AS p FROM range(8) t(i)),
+                 (VALUES (0, 0.5e0), (1, 0.6e0), (2, 0.7e0), (3, 0.8e0)) g2(j, q),
+                 (VALUES (0, 1), (1, 4), (2, 8), (3, 16)) g3(k, n), (VALUES (0, 0.02e0), (1, 0.04e0)) g4(l, d),
+                 (VALUES (0.01e0)) g5(u)
+            UNION ALL
+            SELECT s_suppkey, 'control', 0e0, 1, 1e0, u, 0.6e0, d, 0, 0, 0, l, m
+            FROM supplier, (VALUES (0, 0.02e0), (1, 0.04e0)) g4(l, d),
+                 (VALUES (0, 0.01e0), (1, 0.02e0), (2, 0.05e0), (3, 0.1e0)) g5(m, u)),
+    r AS (SELECT *, 1 AS time, 1e0 AS x1, 0e0 AS x2 FROM arm UNION ALL
+          SELECT * EXCLUDE (time, x1, x2), time + 1, x1 * (1 - p) * (1 - u), x1 * p * (1 - u)
+          FROM r WHERE time < 12),
+    t AS (SELECT scenario_id, treatment, i1, i2, i3, i4, i5,
+                 sum(CASE treatment WHEN 'control' THEN x1 * 0.1e0 / power(1 + d, time - 1)
+                     WHEN 'active' THEN CASE WHEN time <= n THEN
+                       x1 * total / n * power(1.1e0 / (1 + d), time - 1) ELSE 0 END END) AS cost,
+                 sum((x1 + q * x2) / power(1 + d, time - 1)) AS qaly
+          FROM r GROUP BY ALL)
+    SELECT a.scenario_id, 'active - control' AS Treatments,
+           (((a.i1 * 4 + a.i2) * 4 + a.i3) * 2 + a.i4) * 4 + c.i5 AS variant_id,
+           (a.i1 + 1) / 20e0 AS p_prog, 0.5e0 + a.i2 / 10e0 AS QoL,
+           [1e0, 4e0, 8e0, 16e0][a.i3 + 1] AS contract_length, 0.02e0 * (a.i4 + 1) AS "value",
+           [0.01e0, 0.02e0, 0.05e0, 0.1e0][c.i5 + 1] AS p_death,
+           round(a.qaly - c.qaly, 6) AS QALY, round(a.cost - c.cost, 6) AS Cost,
+           round((a.cost - c.cost) / nullif(a.qaly - c.qaly, 0), 6) AS ICER
+    FROM t a JOIN t c USING (scenario_id, i4) WHERE a.treatment = 'active' AND c.treatment = 'control'""",
+)
+def wide_sweep(spark, sf_dir):
+    """A model for each supplier over 1,024 combinations: two states alive, then death."""
+    supplier = read(spark, sf_dir, "supplier").selectExpr("s_suppkey AS scenario_id", "s_acctbal")
+    states = supplier.selectExpr(
+        "scenario_id",
+        """stack(6, 'active', 1, 0.1D, 1D, 0.01D, 'fixed', 'active', 2, 1D, 0.6D, 0D, NULL,
+            'active', 3, 0D, 0D, 0D, NULL, 'control', 1, 1D, 1D, 0.01D, 'cont', 'control', 2, 1D, 0.6D, 0D, NULL,
+            'control', 3, 0D, 0D, 0D, NULL) AS (treatment, state, p_prog, QoL, p_death, payment)""",
+    )
+    payments = supplier.selectExpr(
+        "scenario_id",
+        """stack(2, 'fixed', CAST((s_acctbal + 1000) / 500 AS DOUBLE), 0D, 8D, 'cont', 0D, 0.1D, 0D)
+           AS (payment, tot_payment, cont_payment, contract_length)""",
+    )
+    rates = supplier.selectExpr(
+        "scenario_id",
+        """stack(4, 'discount', 0.03D, 'firm_discount', 0.1D, 'time_horizon', 12D, 'control_count', 1D)
+           AS (name, value)""",
+    )
+    return _compared(sweep.sweep(ModelBundle(states, payments, rates), WIDE, cohort.incremental))

@@ -23,32 +23,44 @@ from cohortspan.operators.columns import fill_defaults, parameters, with_paramet
 from cohortspan.operators.expand import expand_states
 from cohortspan.operators.filters import top_by_group
 from cohortspan.operators.schedule import payment_schedule
+from cohortspan.plans.grid import RATES as _RATES
 from cohortspan.session import spread
 from cohortspan.tables import GLOBAL_DEFAULTS, PAYMENT_DEFAULTS, VARIANT, ModelBundle
 
 REFUND = "Refund"
 QALY = "QALY"
 
-_RATES = ["time_horizon", "discount", "firm_discount"]
-
 
 def global_record(bundle: ModelBundle) -> DataFrame:
     """One row of rates, horizon and control count per scenario."""
     return parameters(bundle.globals, bundle.keys, GLOBAL_DEFAULTS)
 
 
+def _rates(bundle: ModelBundle) -> DataFrame:
+    """Rates by scenario; in a sweep by scenario and setting, numbered ``__rates``."""
+    if bundle.grid is None:
+        return global_record(bundle).select(*bundle.keys, *_RATES)
+    varied = bundle.grid.rates(bundle.globals)
+    return parameters(varied, [*bundle.keys, "__rates"], GLOBAL_DEFAULTS).select(*bundle.keys, "__rates", *_RATES)
+
+
 def plan_terms(bundle: ModelBundle) -> DataFrame:
     """One row per plan, and one for "no plan", with terms and the scenario's rates.
 
-    The row without a plan lets states without one receive their rates by the same join.
+    The row without a plan lets states without one receive their rates by the same join. In a sweep
+    there is a row for each setting of the plan's cells and the rates, numbered ``variant_id``.
     """
-    keys = list(bundle.keys)
-    rates = global_record(bundle).select(*keys, *_RATES)
-    plans = fill_defaults(bundle.payments, PAYMENT_DEFAULTS).select(
-        *keys, "payment", *PAYMENT_DEFAULTS
-    )
-    none = rates.select(*keys, F.lit(None).cast("string").alias("payment"))
-    return plans.unionByName(none, allowMissingColumns=True).join(rates, keys, "left")
+    keys, grid, rates = list(bundle.keys), bundle.grid, _rates(bundle)
+    none = rates.withColumn("payment", F.lit(None).cast("string"))
+    if grid is None:
+        plans = fill_defaults(bundle.payments, PAYMENT_DEFAULTS).select(*keys, "payment", *PAYMENT_DEFAULTS)
+        none = none.select(*keys, "payment")
+        return plans.unionByName(none, allowMissingColumns=True).join(rates, keys, "left")
+    plans = fill_defaults(grid.payments(bundle.payments), PAYMENT_DEFAULTS)
+    plans = plans.select(*keys, "__plan", "payment", *PAYMENT_DEFAULTS).join(rates, keys, "left")
+    terms = plans.unionByName(none, allowMissingColumns=True)
+    number = F.expr("coalesce(__plan, 0L) + coalesce(__rates, 0L)")
+    return terms.withColumn(VARIANT, number).drop("__plan", "__rates")
 
 
 def _same_plan(keys: Sequence[str]) -> list[Column]:
@@ -87,36 +99,45 @@ def _chains_and_uses(states: DataFrame, keys: Sequence[str]) -> tuple[DataFrame,
     return chains, uses
 
 
-def _shared_chains_and_uses(
+def _varied_chains_and_uses(
     bundle: ModelBundle, partitions: int | None
 ) -> tuple[DataFrame, DataFrame]:
-    """The same for a sweep, with ``shares``: a chain is gathered and projected once, up to the
-    longest horizon of its scenario, for all variants that share it."""
-    keys = [k for k in bundle.keys if k != VARIANT]
+    """The same for a sweep, with ``shares``: a row for each setting of the cells that touch an arm.
+
+    A version of an arm's states is gathered and projected once, up to the longest horizon of its
+    scenario, for all settings of plans and rates.
+    """
+    keys, grid = list(bundle.keys), bundle.grid
     one = [*keys, "__chain", "treatment"]
-    spread_out = spread(bundle.chains, [*keys, "treatment"], partitions)
-    knots = gather_chains(
-        spread_out, [*keys, "__chain"], _KNOT, extra=[F.first("__variants").alias("__variants")]
-    )
-    longest = global_record(bundle).groupBy(*keys).agg(F.max("time_horizon").alias("time_horizon"))
+    spread_out = spread(grid.states(bundle.states), [*keys, "treatment"], partitions)
+    knots = gather_chains(spread_out, [*keys, "__chain"], _KNOT)
+    knots = knots.withColumn("__touched", F.expr(grid.touched("treatment", "knots.payment")))
+    settings = grid.settings("__chain", "__touched")
+    longest = _rates(bundle).groupBy(*keys).agg(F.max("time_horizon").alias("time_horizon"))
     horizon = F.coalesce("time_horizon", F.lit(GLOBAL_DEFAULTS["time_horizon"])).cast("int")
     states = expanded_states(["p_prog", "p_death", "payment"])
     projected = (
-        knots.select(*one, "__variants", F.expr(states).alias("states"))
+        knots.select(*one, "__touched", F.expr(states).alias("states"))
         .join(longest, keys, "left")
         .withColumn("time_horizon", horizon)
-        .select(*keys, "treatment", "__variants", "states", F.expr(_SHARES).alias("shares"))
+        .select(*one, "__touched", "states", F.expr(_SHARES).alias("shares"))
     )
     chains = projected.select(
-        *keys, F.explode_outer("__variants").alias(VARIANT), "treatment", "states", "shares"
+        *keys, F.explode(F.expr(settings)).alias(VARIANT), "treatment", "__touched", "states", "shares"
     )
-    ranges = knots.selectExpr(*keys, "treatment", "__variants", f"{_plan_ranges()} AS ranges")
+    ranges = knots.selectExpr(*one, "__touched", f"{_plan_ranges()} AS ranges")
     uses = ranges.select(
-        *keys, F.explode_outer("__variants").alias(VARIANT), "treatment", "ranges"
-    ).selectExpr(*bundle.keys, "treatment", "inline_outer(ranges) AS (payment, pstart, pend)")
+        *keys, F.explode(F.expr(settings)).alias(VARIANT), "treatment", "ranges"
+    ).selectExpr(*keys, VARIANT, "treatment", "inline_outer(ranges) AS (payment, pstart, pend)")
     return chains, uses
 
 
+def _arm(bundle: ModelBundle, *passed: str) -> list[str]:
+    """What an arm is known by: in a sweep also its setting and the cells that touch it."""
+    setting = [] if bundle.grid is None else [VARIANT, "__touched"]
+    return [*bundle.keys, *setting, "treatment", *passed]
+
+
 def cohort_rows(
     bundle: ModelBundle,
     span_scope: str = "model",
@@ -129,15 +150,17 @@ def cohort_rows(
     ``arms`` adds its columns by ``(keys, treatment)`` before the projection, so that a later
     filter on them reaches below it.
 
-    Knots are shuffled once; in a sweep once for all variants that share them. Only the plans that a treatment uses, not its states, are joined
-    with their terms and brought back.
+    Knots are shuffled once. Only the plans that a treatment uses, not its states, are joined with
+    their terms and brought back. In a sweep a treatment has a row for each setting of the cells that
+    touch it.
     """
-    keys = list(bundle.keys)
-    named = [*keys, "treatment"]
-    if bundle.chains is None:
+    keys, grid = list(bundle.keys), bundle.grid
+    setting = [] if grid is None else [VARIANT]
+    named = [*keys, *setting, "treatment"]
+    if grid is None:
         chains, uses = _chains_and_uses(spread(bundle.states, named, partitions), keys)
     else:
-        chains, uses = _shared_chains_and_uses(bundle, partitions)
+        chains, uses = _varied_chains_and_uses(bundle, partitions)
     terms = plan_terms(bundle)
     if span_scope == "model":
         spans = uses.groupBy(*keys, "payment").agg(
@@ -146,12 +169,15 @@ def cohort_rows(
         terms = (
             spans.alias("u")
             .join(terms.alias("t"), _same_plan(keys), "left")
-            .select("u.*", *[f"t.{c}" for c in (*PAYMENT_DEFAULTS, *_RATES)])
+            .select("u.*", *[f"t.{c}" for c in (*setting, *PAYMENT_DEFAULTS, *_RATES)])
         )
         uses = uses.drop("pstart", "pend")
+    same = _same_plan(keys)
+    if grid is not None:
+        same.append(F.expr(f"t.{VARIANT} = {grid.terms_of(f'u.{VARIANT}', 'u.payment')}"))
     joined = (
         uses.alias("u")
-        .join(terms.alias("t"), _same_plan(keys), "left")
+        .join(terms.alias("t"), same, "left")
         .select(
             *[f"u.{c}" for c in (*named, "payment")],
             *[F.expr(f"coalesce({c}, 0D) AS {c}") for c in PAYMENT_DEFAULTS],
@@ -176,8 +202,8 @@ def cohort_rows(
     )
     ready = chains.join(offered, named)
     if arms is not None:
-        ready = ready.join(arms, named, "left")
-    if bundle.chains is not None:
+        ready = ready.join(arms, [*keys, "treatment"], "left")
+    if grid is not None:
         return ready.withColumn("shares", F.slice("shares", 1, F.col("time_horizon")))
     return ready.withColumn("shares", F.expr(_SHARES))
 
@@ -253,7 +279,7 @@ def cells(
     """
     keys = list(bundle.keys)
     passed = [] if arms is None else [c for c in arms.columns if c not in (*keys, "treatment")]
-    named = [*keys, "treatment", *passed]
+    named = _arm(bundle, *passed)
     rows = _with_conditions(cohort_rows(bundle, span_scope, partitions, arms))
     terms = ", ".join(f"'{t}', p.{t}" for t in (*PAYMENT_DEFAULTS, "pstart"))
     priced = rows.withColumn(
@@ -315,7 +341,7 @@ def _listed_lines(
     """
     keys = list(bundle.keys)
     passed = [] if arms is None else [c for c in arms.columns if c not in (*keys, "treatment")]
-    named = [*keys, "treatment", *passed]
+    named = _arm(bundle, *passed)
     rows = _with_conditions(cohort_rows(bundle, span_scope, partitions, arms))
 
     def line(kind: str, name: str, terms: str, weights: str, running: str) -> str:
@@ -505,6 +531,37 @@ def compare_arms(arms: DataFrame, keys: Sequence[str], name: str = "treatment")
     return _compared(pairs, keys, name)
 
 
+def compare_settings(arms: DataFrame, bundle: ModelBundle) -> DataFrame:
+    """``compare_arms`` for every combination of a sweep, from arms priced by setting.
+
+    A combination's number leads to the setting of each of the two arms.
+    """
+    keys, grid = list(bundle.keys), bundle.grid
+    prices = F.array_sort(F.collect_list(F.struct(VARIANT, "Cost", "QALY"))).alias("prices")
+    one = arms.groupBy(*keys, "treatment").agg(
+        F.first("is_control").alias("is_control"), F.first("__touched").alias("touched"), prices
+    )
+    every = F.collect_list(F.struct("treatment", "is_control", "touched", "prices"))
+    pairs = (
+        one.groupBy(*keys)
+        .agg(every.alias("arms"))
+        .selectExpr(
+            *keys,
+            "explode(filter(arms, a -> NOT coalesce(a.is_control, false))) AS a",
+            "filter(arms, a -> coalesce(a.is_control, false)) AS controls",
+        )
+        .selectExpr(*keys, "a", "explode(controls) AS c")
+        .selectExpr(*keys, "a", "c", f"explode(sequence(0, CAST({grid.total} AS INT) - 1)) AS {VARIANT}")
+    )
+
+    def priced(arm: str) -> str:
+        found = f"get({arm}.prices, {grid.place(VARIANT, f'{arm}.touched')})"
+        return f"named_struct('treatment', {arm}.treatment, 'Cost', {found}.Cost, 'QALY', {found}.QALY) AS {arm}"
+
+    found = pairs.selectExpr(*keys, VARIANT, priced("a"), priced("c"))
+    return _compared(found, [*keys, VARIANT], "treatment")
+
+
 def incremental(
     bundle: ModelBundle,
     span_scope: str = "model",
@@ -518,6 +575,8 @@ def incremental(
     """
     names = controls_of(bundle).withColumn("is_control", F.lit(True))
     arms = totals(bundle, span_scope, partitions, names)
+    if bundle.grid is not None:
+        return compare_settings(arms, bundle)
     if many_arms:
         return compare(arms.where("is_control IS NULL"), arms.where("is_control"), bundle.keys)
     return compare_arms(arms, bundle.keys)
@@ -527,13 +586,7 @@ def controls_of(bundle: ModelBundle) -> DataFrame:
     """``(keys, treatment)`` of the controls: the last ``control_count`` names of a scenario."""
     keys = list(bundle.keys)
     counts = global_record(bundle).select(*keys, "control_count")
-    if bundle.chains is None:
-        named = bundle.states.select(*keys, "treatment").distinct().join(counts, keys, "left")
-    else:  # variants don't differ in names
-        own = [k for k in keys if k != VARIANT]
-        names = bundle.chains.select(*own, "treatment", "__variants").distinct()
-        names = names.select(*own, "treatment", F.explode_outer("__variants").alias(VARIANT))
-        named = names.join(counts, keys, "left")
+    named = bundle.states.select(*keys, "treatment").distinct().join(counts, keys, "left")
     count = F.coalesce(F.col("control_count"), F.lit(1.0))
     return top_by_group(named, keys, "treatment", count).select(*keys, "treatment")
 

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
-from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -11,6 +10,8 @@ from pyspark.sql import types as T
 
 from cohortspan.functions import is_number_list, to_number
 from cohortspan.operators.reshape import split_cells
+from cohortspan.plans import cohort
+from cohortspan.plans.grid import Cell, Grid
 from cohortspan.tables import VARIANT, LegacyBundle, ModelBundle
 
 # Table name in a variation row -> (bundle field, columns that name a row, as "a/b").
@@ -23,21 +24,6 @@ TABLES = {
 }
 
 
-@dataclass(frozen=True)
-class Cell:
-    """A cell to vary. ``values`` is SQL for an ARRAY<DOUBLE>, constant or over scenario columns."""
-
-    table: str
-    row: str
-    column: str
-    values: str
-    label: str | None = None
-
-    @property
-    def name(self) -> str:
-        return self.label or self.column
-
-
 def cells_of(variations: DataFrame) -> list[Cell]:
     """Cells of a variation table ``(table_name, row_name, column_name, value)``.
 
@@ -122,12 +108,6 @@ def variants(scenarios: DataFrame, keys: Sequence[str], cells: Sequence[Cell]) -
     )
 
 
-def _value_at(cells: Sequence[Cell], at: int) -> Column:
-    """The value that constant cell ``at`` has in a variant, from the variant's number."""
-    behind = " * ".join([f"size({c.values})" for c in cells[at + 1 :]]) or "1"
-    return F.expr(f"{cells[at].values}[{VARIANT} DIV ({behind}) % size({cells[at].values})]")
-
-
 def _vary(
     table: DataFrame,
     grid: DataFrame | None,
@@ -153,36 +133,17 @@ def _vary(
     )
 
 
-def _chains(
-    states: DataFrame, keys: Sequence[str], cells: Sequence[Cell], mine: Sequence[int]
-) -> DataFrame:
-    """States copied by the cells that address them alone, and only in the treatments these name.
-
-    ``__variants`` lists the variants that share a copy. A chain is projected once for all of them.
-    """
-    named = sorted({cells[at].row.rpartition("/")[0] for at in mine})
-    total = " * ".join(f"size({c.values})" for c in cells)
-    df, chain, same = states.withColumn("__named", F.col("treatment").isin(named)), "0", "true"
-    for at in mine:
-        values = cells[at].values
-        behind = " * ".join([f"size({c.values})" for c in cells[at + 1 :]]) or "1"
-        tried = f"IF(__named, {values}, slice({values}, 1, 1))"
-        df = df.selectExpr("*", f"posexplode({tried}) AS (i{at}, v{at})")
-        chain = f"({chain}) * size({values}) + i{at}"
-        same = f"{same} AND v DIV ({behind}) % size({values}) = i{at}"
-    every = f"sequence(0, {total} - 1)"
-    changed: dict[str, Column] = {}
-    label = F.concat_ws("/", "treatment", F.col("state").cast("string"))
-    for at in mine:
-        column = cells[at].column
-        value = F.col(f"v{at}").cast(states.schema[column].dataType)
-        here = (label == cells[at].row) & F.col(f"v{at}").isNotNull()
-        changed[column] = F.when(here, value).otherwise(changed.get(column, F.col(column)))
-    return df.select(
-        *[changed.get(c, F.col(c)).alias(c) for c in states.columns],
-        F.expr(chain).alias("__chain"),
-        F.expr(f"IF(__named, filter({every}, v -> {same}), {every})").alias("__variants"),
-    )
+def _fields(bundle: ModelBundle | LegacyBundle, cells: Sequence[Cell]) -> dict[str, list[int]]:
+    """The cells of each table of the bundle; an error names a table or column that it lacks."""
+    by_field: dict[str, list[int]] = {}
+    for at, cell in enumerate(cells):
+        field, _ = TABLES.get(cell.table, (None, None))
+        if field is None or not hasattr(bundle, field):
+            raise ValueError(f"Could not find table: {cell.table}")
+        if cell.column not in getattr(bundle, field).columns:
+            raise ValueError(f"Could not find column: {cell.column} in table: {cell.table}")
+        by_field.setdefault(field, []).append(at)
+    return by_field
 
 
 def vary(
@@ -194,14 +155,7 @@ def vary(
     which takes no join.
     """
     keys = list(bundle.keys)
-    by_field: dict[str, list[int]] = {}
-    for at, cell in enumerate(cells):
-        field, _ = TABLES.get(cell.table, (None, None))
-        if field is None or not hasattr(bundle, field):
-            raise ValueError(f"Could not find table: {cell.table}")
-        if cell.column not in getattr(bundle, field).columns:
-            raise ValueError(f"Could not find column: {cell.column} in table: {cell.table}")
-        by_field.setdefault(field, []).append(at)
+    by_field = _fields(bundle, cells)
     rows_of = {field: names for field, names in TABLES.values()}
     data = ["treatments", "contracts", "globals"]
     if isinstance(bundle, ModelBundle):
@@ -212,8 +166,6 @@ def vary(
         )
         for field in data
     }
-    if isinstance(bundle, ModelBundle) and grid is None:
-        tables["chains"] = _chains(bundle.states, keys, cells, by_field.get("states", []))
     return bundle.with_tables(keys=(*keys, VARIANT), **tables)
 
 
@@ -248,6 +200,10 @@ def sweep(
 ) -> DataFrame:
     """Run ``analyse`` once over every combination and label its rows with the values used.
 
+    ``cohort.incremental`` over constant values prices each arm once per setting of the cells that
+    touch it and puts the combinations together afterwards; other analyses get a copy of every table
+    row per combination.
+
     ``scenarios`` gives the scenarios with the columns that cell values refer to; without it the
     values are constants. Labels are column names, with the row's name in front when
     ``add_row_names`` or when two cells share a column. Scenarios that lack the row of a cell can't
@@ -259,8 +215,13 @@ def sweep(
         f"{c.row} {c.column}" if add_row_names or names.count(c.name) > 1 else c.name
         for c in cells
     ]
+    digits = Grid(tuple(cells))
     grid = None if scenarios is None else variants(scenarios, keys, cells)
-    result = analyse(vary(bundle, grid, cells))
+    if grid is None and analyse is cohort.incremental and digits.prices_arms():
+        _fields(bundle, cells)
+        result = cohort.incremental(bundle.with_tables(grid=digits))
+    else:
+        result = analyse(vary(bundle, grid, cells))
     taken = [c for c in result.columns if c not in (*keys, VARIANT)]
     lost = unknown_rows(bundle, cells).select(*keys, F.lit(True).alias("__lost")).distinct()
     unvaried = result.join(lost, keys, "left")
@@ -268,7 +229,7 @@ def sweep(
     blank = {c: F.when(F.col("__lost").isNull(), F.col(c)) for c in numbers}
     result = unvaried.withColumns(blank).drop("__lost")
     if grid is None:
-        used = [_value_at(cells, at).alias(label) for at, label in enumerate(labels)]
+        used = [digits.value(at, VARIANT).alias(label) for at, label in enumerate(labels)]
         return result.select(*keys, VARIANT, *used, *taken)
     known = grid.select(
         *keys, VARIANT, *[F.col(f"v{at}").alias(label) for at, label in enumerate(labels)]

@@ -136,9 +136,8 @@ class ModelBundle:
     """The tables of one or many models.
 
     ``keys`` names the scenario columns that every data table carries. Field tables describe
-    columns, hold a row per column and carry no key. ``chains`` belongs to sweeps: the states before
-    they are copied to variants, with the array ``__variants`` that share them and ``__chain`` to
-    tell their versions apart.
+    columns, hold a row per column and carry no key. ``grid`` belongs to sweeps: the combinations of
+    cell values (``plans.grid.Grid``) that the models are analysed for.
     """
 
     states: DataFrame
@@ -148,7 +147,7 @@ class ModelBundle:
     payment_fields: DataFrame | None = None
     global_fields: DataFrame | None = None
     keys: tuple[str, ...] = field(default=(SCENARIO,))
-    chains: DataFrame | None = None
+    grid: object | None = None
 
     def with_tables(self, **tables) -> ModelBundle:
         return replace(self, **tables)

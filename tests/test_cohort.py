@@ -5,6 +5,7 @@ from cohortspan.operators.chain import transition_edges, transition_table
 from cohortspan.operators.columns import parameters
 from cohortspan.operators.expand import expand_states, state_table
 from cohortspan.plans import cohort, sweep, validate
+from cohortspan.plans.grid import Grid
 from cohortspan.tables import GLOBAL_DEFAULTS
 from tests import brute
 from tests.models import MODELS, bundle_of
@@ -264,3 +265,47 @@ def test_sweep_over_an_unknown_row(bundle):
     rows = sweep.sweep(only, cells, cohort.incremental).collect()
     assert len(rows) == 2 + 8
     assert all((r["Cost"] is None) == (r["scenario_id"] == "crowd") for r in rows)
+
+
+def test_arms_are_priced_once_for_each_setting_that_touches_them(bundle):
+    """A thousand combinations, but no more rows per arm than its own cells have settings; and each
+    combination's result is that of the model with its values."""
+    only = bundle.with_tables(
+        **{t: getattr(bundle, t).where("scenario_id = 'halting'") for t in ("states", "payments", "globals")}
+    )
+    cells = [
+        sweep.Cell("state_table", "gene/1", "p_prog", "array(0D, 0.05D)"),
+        sweep.Cell("payment_table", "bounded", "contract_length", "array(2D, 5D)"),
+        sweep.Cell("state_table", "usual/1", "p_death", "transform(sequence(1, 250), i -> i / 500D)"),
+    ]
+    grid = Grid(tuple(cells))
+    assert grid.prices_arms()
+    arms = cohort.totals(only.with_tables(grid=grid)).groupBy("treatment").count().collect()
+    assert {r["treatment"]: r["count"] for r in arms} == {"gene": 4, "usual": 250}
+    swept = sweep.sweep(only, cells, cohort.incremental)
+    assert swept.count() == 1000
+    p_death = F.col("usual/1 p_death") if "usual/1 p_death" in swept.columns else F.col("p_death")
+    for r in swept.where(p_death.isin(0.002, 0.5)).collect():
+        model = swept_model(
+            "halting",
+            payments__bounded__contract_length=r["contract_length"],
+            states__gene_1__p_prog=r["p_prog"],
+        )
+        rows = [(*x[:4], r["p_death"], *x[5:]) if x[:2] == ("usual", 1) else x for x in model[0]]
+        expected = brute.incremental((rows, *model[1:]))["gene - usual"]
+        assert (r["QALY"], r["Cost"], r["ICER"]) == pytest.approx(expected, abs=1e-9)
+
+
+def test_cells_that_change_the_pairs_are_swept_by_copies(bundle):
+    """Who is a control depends on the count, so arms can't be priced apart from the combination."""
+    cells = [
+        sweep.Cell("global_table", "control_count", "value", "array(1D, 2D)"),
+        sweep.Cell("global_table", "discount", "value", "array(0.03D)"),
+    ]
+    assert not Grid(tuple(cells)).prices_arms()
+    only = bundle.with_tables(
+        **{t: getattr(bundle, t).where("scenario_id = 'crowd'") for t in ("states", "payments", "globals")}
+    )
+    rows = sweep.sweep(only, cells, cohort.incremental, add_row_names=True).groupBy("variant_id").count().collect()
+    arms = only.states.select("treatment").distinct().count()
+    assert {r["variant_id"]: r["count"] for r in rows} == {0: arms - 1, 1: 2 * (arms - 2)}
