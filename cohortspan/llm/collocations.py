@@ -36,7 +36,7 @@ TOP = 2000
 #: Bits of the filters of frequent pairs and of expanded phrases.
 FREQUENT_BITS, EXPANDED_BITS = 1 << 26, 1 << 23
 #: Words that a task counts at once.
-HELD = 4 << 20
+HELD = 1 << 20
 #: Bound levels are multiples of this; the first one has so many pairs at or above it for each phrase
 #: that is asked for, later ones four times as many as the one before.
 STEP, FIRST = 1000, 2
