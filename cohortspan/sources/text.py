@@ -10,46 +10,43 @@ from pyspark.sql import functions as F
 
 def read_text_table(
     spark: SparkSession,
-    path: str,
+    path: str | list[str],
     separator: str = ",",
     header: bool = True,
     present: str | None = None,
+    uniform: bool = False,
 ) -> DataFrame:
-    """A delimited file, or a folder of them, with every cell as trimmed text and blanks as null.
+    """A delimited file, or folders of them, with every cell as trimmed text and blanks as null.
 
-    Rows shorter than the header are completed with nulls. Column names are trimmed too. Files of a
-    folder may have different headers: each is read by its own, and columns that it lacks are null.
-    ``present`` then names an array column that says which columns a row's file has. Finding the
-    headers is a pass over the first lines, when the table is read.
+    Rows shorter than the header are completed with nulls. Column names are trimmed too. Files may
+    have different headers: each is read by its own, and columns that it lacks are null. Finding the
+    headers is a pass over the first lines, when the table is read; ``uniform`` promises that there is
+    one header and saves it. ``present`` names an array column that says which columns a row's file
+    has, unless the files have it.
     """
-    if not header:
-        return _read_files(spark, path, [path], separator, header)
-    groups = _files_by_header(spark, path)
+    paths = [path] if isinstance(path, str) else path
+    groups = {} if uniform or not header else _files_by_header(spark, paths)
     if len(groups) < 2:
-        return _read_files(spark, path, [path], separator, header)
+        groups = {"": paths}
     frames = []
     for files in groups.values():
-        one = _read_files(spark, path, files, separator, header)
+        one = _read_files(spark, paths, files, separator, header)
         if present is not None and present not in one.columns:
             one = one.withColumn(present, F.array(*[F.lit(c) for c in one.columns]))
         frames.append(one)
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
 
 
-def _files_by_header(spark: SparkSession, path: str) -> dict[str, list[str]]:
-    """Files of a folder by their first line: as many paths as Spark lists to read them."""
-    lines = spark.read.text(path).select("value", "_metadata.file_path", "_metadata.file_block_start")
-    firsts = (
-        lines.where("file_block_start = 0").groupBy("file_path").agg(F.first("value").alias("header"))
-    )
-    groups: dict[str, list[str]] = {}
-    for row in firsts.orderBy("file_path").collect():
-        groups.setdefault(row["header"], []).append(row["file_path"])
-    return groups
+def _files_by_header(spark: SparkSession, paths: list[str]) -> dict[str, list[str]]:
+    """Files by their first line: a row for each header, with as many paths as Spark lists to read."""
+    lines = spark.read.text(paths).select("value", "_metadata.file_path", "_metadata.file_block_start")
+    firsts = lines.where("file_block_start = 0").groupBy("file_path").agg(F.first("value").alias("header"))
+    headers = firsts.groupBy("header").agg(F.sort_array(F.collect_list("file_path")).alias("files"))
+    return {row["header"]: row["files"] for row in headers.orderBy("header").collect()}
 
 
 def _read_files(
-    spark: SparkSession, path: str, files: list[str], separator: str, header: bool
+    spark: SparkSession, paths: list[str], files: list[str], separator: str, header: bool
 ) -> DataFrame:
     reader = (
         spark.read.option("header", header)
@@ -59,8 +56,8 @@ def _read_files(
         .option("mode", "PERMISSIVE")
         .option("inferSchema", False)
     )
-    if files != [path]:
-        reader = reader.option("basePath", path)  # keeps the columns that folders stand for
+    if files != paths and len(paths) == 1:
+        reader = reader.option("basePath", paths[0])  # keeps the columns that folders stand for
     raw = reader.csv(files)
     blank = F.lit("")
     return raw.select(
