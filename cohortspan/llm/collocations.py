@@ -35,7 +35,7 @@ LEAST, LONGEST, SHARE = 30, 4, 80
 TOP = 2000
 #: Bits of the filters of frequent pairs and of expanded phrases.
 FREQUENT_BITS, EXPANDED_BITS = 1 << 26, 1 << 23
-#: Words that a task counts at once.
+#: Words that a task holds at once, of all languages.
 HELD = 1 << 20
 #: Bound levels are multiples of this; the first one has so many pairs at or above it for each phrase
 #: that is asked for, later ones four times as many as the one before.
@@ -140,14 +140,19 @@ def _pass(documents: DataFrame, count: Count, held_words: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         open_: dict[str, Held] = {}
+        total = 0
         for part in slices(batches):
             for lang, text in zip(*(c.to_pylist() for c in part.columns)):
-                held = open_.setdefault(lang, Held(lang))
                 for words in word_lists(text):
-                    held.add(words)
-                    if held.size >= held_words:
-                        yield from rows(held)
-                        held = open_[lang] = Held(lang, held.tail())
+                    if lang not in open_:
+                        open_[lang] = Held(lang)
+                    open_[lang].add(words)
+                    total += len(words)
+                    if total >= held_words:
+                        full = max(open_.values(), key=lambda held: held.size)
+                        yield from rows(full)
+                        total -= full.size
+                        open_[full.lang] = Held(full.lang, full.tail())
         for held in open_.values():
             yield from rows(held)
 
@@ -255,7 +260,7 @@ def collocations(
 
     A null language counts as ``und``, a null text as empty; repeated rows count each, other columns
     are ignored, and an empty table gives an empty one. A long text is read in bounded pieces, and a
-    task holds ``held_words`` words of a language at once. Ties in score go to the more frequent
+    task holds ``held_words`` words at once. Ties in score go to the more frequent
     phrase, then to the smaller one in byte order.
     """
     counts = _first_counts(documents, least, held_words)
