@@ -538,3 +538,29 @@ def bucket_assign(spark, sf_dir):
     return matching.assign_buckets(draws, buckets, ["c_mktsegment"], "u", "o_orderpriority").select(
         "c_custkey", "o_orderpriority"
     )
+
+
+@query(
+    "bucket_many_labels",
+    """WITH b AS (SELECT o_orderstatus, o_orderkey, sum(w) OVER s / sum(w) OVER (PARTITION BY o_orderstatus) AS upper
+                  FROM (SELECT *, CAST(floor(o_totalprice) AS BIGINT) AS w FROM orders)
+                  WINDOW s AS (PARTITION BY o_orderstatus ORDER BY o_orderkey)),
+    f AS (SELECT o_orderstatus, upper, min(o_orderkey) AS o_orderkey FROM b GROUP BY ALL),
+    d AS (SELECT l_orderkey, l_linenumber, l_linestatus,
+                 (l_orderkey * 7919 + l_linenumber * 104729) % 1000003 / 1000003e0 AS u FROM lineitem)
+    SELECT l_orderkey, l_linenumber, o_orderkey FROM d ASOF LEFT JOIN f ON l_linestatus = o_orderstatus AND u <= upper""",
+)
+def bucket_many_labels(spark, sf_dir):
+    """An order drawn for each line item, by price among the orders of its status: thousands in a group."""
+    orders = read(spark, sf_dir, "orders").selectExpr(
+        "o_orderstatus", "o_orderkey", "CAST(floor(o_totalprice) AS BIGINT) AS w"
+    )
+    draws = read(spark, sf_dir, "lineitem").selectExpr(
+        "l_orderkey",
+        "l_linenumber",
+        "l_linestatus AS o_orderstatus",
+        "(l_orderkey * 7919 + l_linenumber * 104729) % 1000003 / 1000003D AS u",
+    )
+    shares = matching.cumulative_shares(orders, ["o_orderstatus"], "o_orderkey", "w")
+    found = matching.assign_buckets(draws, shares, ["o_orderstatus"], "u", "o_orderkey")
+    return found.select("l_orderkey", "l_linenumber", "o_orderkey")

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cohortspan.operators.scan import next_valid, ordered_scan, running_sum
+from cohortspan.operators.scan import group_total, ordered_scan, position, running_sum
 
 
 def unmatched(left: DataFrame, right: DataFrame, on: Sequence[str]) -> DataFrame:
@@ -22,22 +22,36 @@ def unmatched(left: DataFrame, right: DataFrame, on: Sequence[str]) -> DataFrame
 def cumulative_shares(
     weights: DataFrame, group: Sequence[str], label: str, weight: str, **options
 ) -> DataFrame:
-    """Upper bound of each label's bucket: running weight over the group's total, by label."""
-    from cohortspan.operators.scan import group_total
-
+    """Upper bound of each label's bucket: running weight over the group's total, by label; and the
+    label's ``place`` in that order."""
     summed = ordered_scan(
         weights,
         group,
         [label],
         __run=running_sum(F.col(weight)),
         __all=group_total(F.col(weight)),
+        place=position(),
         **options,
     )
     return summed.select(
-        *group, label, (F.col("__run") / F.col("__all")).alias("upper")
+        *group, label, (F.col("__run") / F.col("__all")).alias("upper"), "place"
     )
 
 
+#: Bounds in one row; a group with more is cut into chunks of this many.
+CHUNK = 4096
+
+
+def _first_reaching(bounds: str, value: str) -> str:
+    """SQL for the place of the first struct of a sorted array whose ``u`` is at least ``value``.
+
+    Lower-bound search in steps of falling powers of two; the array's size if there is none.
+    """
+    steps = f"transform(sequence(length(bin(size({bounds}))) - 1, 0, -1), e -> shiftleft(1, e))"
+    return f"""aggregate({steps}, 0, (at, step) ->
+        IF(coalesce(get({bounds}, at + step - 1).u < {value}, false), at + step, at))"""
+
+
 def assign_buckets(
     draws: DataFrame,
     buckets: DataFrame,
@@ -46,65 +60,33 @@ def assign_buckets(
     label: str,
     upper: str = "upper",
     *,
-    many_labels: bool = False,
+    chunk: int | None = None,
     **options,
 ) -> DataFrame:
     """Give each row the first label of its group whose cumulative share reaches ``draw``.
 
-    A draw above the last bound, or a null one, gets null. The bounds of a group travel as one
-    sorted array, in which each draw finds its own; draws are neither sorted nor paired with bounds.
-    ``many_labels`` is for groups whose labels don't fit one row: bounds and draws are then laid on
-    one axis and each draw takes the next bound at or above it.
+    A draw above the last bound, or a null one, gets null. The bounds of a group are cut into chunks of
+    ``chunk`` along their order (by ``place``, which is counted here where ``buckets`` lacks it). A
+    draw finds its chunk among the chunks' last bounds, then its bound in that chunk, both in sorted
+    arrays by halving. Draws are neither sorted nor paired with bounds.
     """
-    if many_labels:
-        return _assign_along_axis(draws, buckets, group, draw, label, upper, **options)
-    bound = F.struct(F.col(upper).alias("u"), F.col(label).alias("v"))
-    bounds = buckets.groupBy(*group).agg(F.array_sort(F.collect_list(bound)).alias("__bounds"))
-    same = [F.col(f"d.{g}").eqNullSafe(F.col(f"b.{g}")) for g in group]
-    fitting = F.filter("__bounds", lambda b: b["u"] >= F.col(f"d.{draw}"))
+    chunk = chunk or CHUNK
+    if "place" not in buckets.columns:
+        buckets = ordered_scan(buckets, group, [upper, label], place=position(), **options)
+    in_order = [F.col(upper).alias("u"), F.col(label).alias("v")]
+    rows = buckets.select(*group, *in_order, F.expr(f"(place - 1) DIV {chunk}").alias("__chunk"))
+    held = rows.groupBy(*group, "__chunk").agg(F.array_sort(F.collect_list(F.struct("u", "v"))).alias("__bounds"))
+    last = F.struct(F.element_at("__bounds", -1)["u"].alias("u"), F.col("__chunk").alias("chunk"))
+    tops = held.groupBy(*group).agg(F.array_sort(F.collect_list(last)).alias("__tops"))
+    beside = [F.col(f"d.{g}").eqNullSafe(F.col(f"t.{g}")) for g in group]
+    found = F.expr(f"get(__tops, {_first_reaching('__tops', f'd.`{draw}`')}).chunk")
+    found = F.when(F.col(f"d.`{draw}`").isNotNull(), found)
+    sent = draws.alias("d").join(tops.alias("t"), beside, "left").select("d.*", found.alias("__chunk"))
+    inside = [F.col(f"d.{g}").eqNullSafe(F.col(f"b.{g}")) for g in group]
+    inside.append(F.col("d.__chunk") == F.col("b.__chunk"))
+    at = _first_reaching("__bounds", f"d.`{draw}`")
     return (
-        draws.alias("d")
-        .join(bounds.alias("b"), same, "left")
-        .select("d.*", F.get(fitting, F.lit(0))["v"].alias(label))
+        sent.alias("d")
+        .join(held.alias("b"), inside, "left")
+        .select(*[F.col(f"d.`{c}`") for c in draws.columns], F.expr(f"get(__bounds, {at}).v").alias(label))
     )
-
-
-def _assign_along_axis(
-    draws: DataFrame,
-    buckets: DataFrame,
-    group: Sequence[str],
-    draw: str,
-    label: str,
-    upper: str,
-    **options,
-) -> DataFrame:
-    marks = buckets.select(
-        *group,
-        F.col(upper).alias("__axis"),
-        F.lit(1).alias("__kind"),
-        F.struct(F.col(label).alias("v")).alias("__label"),
-        F.lit(None).cast(_row_type(draws)).alias("__row"),
-        F.col(label).cast("string").alias("__tie"),
-    )
-    rows = draws.select(
-        *group,
-        F.col(draw).alias("__axis"),
-        F.lit(0).alias("__kind"),
-        F.lit(None).cast(marks.schema["__label"].dataType).alias("__label"),
-        F.struct(*draws.columns).alias("__row"),
-        # Draws at one place differ by this, so that very many of them can be cut too.
-        F.xxhash64(*draws.columns).cast("string").alias("__tie"),
-    )
-    laid = ordered_scan(
-        rows.unionByName(marks),
-        group,
-        ["__axis", "__kind", "__tie"],
-        __next=next_valid(F.col("__label")),
-        **options,
-    )
-    found = F.when(F.col("__axis").isNotNull(), F.col("__next.v"))
-    return laid.where(F.col("__kind") == 0).select("__row.*", found.alias(label))
-
-
-def _row_type(df: DataFrame):
-    return df.select(F.struct(*df.columns).alias("r")).schema["r"].dataType

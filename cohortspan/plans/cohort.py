@@ -507,28 +507,48 @@ def _compared(pairs: DataFrame, keys: Sequence[str], name: str) -> DataFrame:
     )
 
 
-def compare(
-    arms: DataFrame, controls: DataFrame, keys: Sequence[str], name: str = "treatment"
-) -> DataFrame:
-    """Each active arm against each control of its scenario, by a join."""
-    return _compared(arms.alias("a").join(controls.alias("c"), list(keys)), keys, name)
+#: Arms, and controls, of a scenario that meet in one row.
+ARMS = 64
 
 
-def compare_arms(arms: DataFrame, keys: Sequence[str], name: str = "treatment") -> DataFrame:
-    """The same from one frame whose ``is_control`` is true for controls.
+def _met(arms: DataFrame, keys: Sequence[str], fields: Sequence[str]) -> DataFrame:
+    """Each active arm ``a`` beside each control ``c`` of its scenario.
 
-    The arms of a scenario meet in one row, which suits what a model holds: each arm is computed
-    once, and nothing is joined.
+    Arms and controls are dealt into blocks of about ``ARMS`` by a hash of their names. A row gathers
+    one block of arms and one of controls, so each arm goes to every block of controls and the other
+    way round: a scenario with very many arms is spread over as many rows as it has pairs of blocks, a
+    small one meets in a single row. ``actives`` and ``controls`` tell how many there are at most.
     """
-    every = F.collect_list(F.struct(name, "Cost", "QALY", "is_control"))
-    gathered = arms.groupBy(*keys).agg(every.alias("arms"))
-    control = lambda arm: F.coalesce(arm["is_control"], F.lit(False))
-    pairs = gathered.select(
+
+    def blocks(count: str) -> str:
+        return f"greatest(CAST(ceil({count} / {ARMS}D) AS INT), 1)"
+
+    is_control = "coalesce(is_control, false)"
+    dealt = arms.selectExpr(
         *keys,
-        F.explode(F.filter("arms", lambda arm: ~control(arm))).alias("a"),
-        F.filter("arms", control).alias("controls"),
-    ).select(*keys, "a", F.explode("controls").alias("c"))
-    return _compared(pairs, keys, name)
+        f"struct({', '.join(fields)}) AS arm",
+        f"{is_control} AS is_control",
+        f"pmod(xxhash64({fields[0]}), IF({is_control}, {blocks('controls')}, {blocks('actives')})) AS own",
+        f"explode(sequence(0L, IF({is_control}, {blocks('actives')}, {blocks('controls')}) - 1L)) AS other",
+    )
+    block = [F.expr("IF(is_control, other, own)").alias("__a"), F.expr("IF(is_control, own, other)").alias("__c")]
+    return (
+        dealt.groupBy(*keys, *block)
+        .agg(F.collect_list(F.struct("arm", "is_control")).alias("arms"))
+        .selectExpr(
+            *keys, "explode(filter(arms, x -> NOT x.is_control).arm) AS a", "filter(arms, x -> x.is_control).arm AS controls"
+        )
+        .selectExpr(*keys, "a", "explode(controls) AS c")
+    )
+
+
+def compare_arms(arms: DataFrame, keys: Sequence[str], name: str = "treatment") -> DataFrame:
+    """Each active arm against each control of its scenario, from one frame whose ``is_control`` is
+    true for controls and that says how many ``actives`` and ``controls`` a scenario has.
+
+    Each arm is computed once, and nothing is joined.
+    """
+    return _compared(_met(arms, keys, [name, "Cost", "QALY"]), keys, name)
 
 
 def compare_settings(arms: DataFrame, bundle: ModelBundle) -> DataFrame:
@@ -538,20 +558,10 @@ def compare_settings(arms: DataFrame, bundle: ModelBundle) -> DataFrame:
     """
     keys, grid = list(bundle.keys), bundle.grid
     prices = F.array_sort(F.collect_list(F.struct(VARIANT, "Cost", "QALY"))).alias("prices")
-    one = arms.groupBy(*keys, "treatment").agg(
-        F.first("is_control").alias("is_control"), F.first("__touched").alias("touched"), prices
-    )
-    every = F.collect_list(F.struct("treatment", "is_control", "touched", "prices"))
-    pairs = (
-        one.groupBy(*keys)
-        .agg(every.alias("arms"))
-        .selectExpr(
-            *keys,
-            "explode(filter(arms, a -> NOT coalesce(a.is_control, false))) AS a",
-            "filter(arms, a -> coalesce(a.is_control, false)) AS controls",
-        )
-        .selectExpr(*keys, "a", "explode(controls) AS c")
-        .selectExpr(*keys, "a", "c", f"explode(sequence(0, CAST({grid.total} AS INT) - 1)) AS {VARIANT}")
+    same = [F.first(c).alias(c) for c in ("is_control", "actives", "controls")]
+    one = arms.groupBy(*keys, "treatment").agg(*same, F.first("__touched").alias("touched"), prices)
+    pairs = _met(one, keys, ["treatment", "touched", "prices"]).selectExpr(
+        *keys, "a", "c", f"explode(sequence(0, CAST({grid.total} AS INT) - 1)) AS {VARIANT}"
     )
 
     def priced(arm: str) -> str:
@@ -563,32 +573,49 @@ def compare_settings(arms: DataFrame, bundle: ModelBundle) -> DataFrame:
 
 
 def incremental(
-    bundle: ModelBundle,
-    span_scope: str = "model",
-    partitions: int | None = None,
-    many_arms: bool = False,
+    bundle: ModelBundle, span_scope: str = "model", partitions: int | None = None
 ) -> DataFrame:
     """``Treatments, QALY, Cost, ICER`` of each active treatment against each control.
 
-    Who is a control depends on names alone, so it is settled before the projection. ``many_arms``
-    is for scenarios whose treatments don't fit one row: arms and controls are then joined.
+    Who is a control depends on names alone, so it is settled before the projection.
     """
-    names = controls_of(bundle).withColumn("is_control", F.lit(True))
-    arms = totals(bundle, span_scope, partitions, names)
+    arms = totals(bundle, span_scope, partitions, arms_of(bundle))
     if bundle.grid is not None:
         return compare_settings(arms, bundle)
-    if many_arms:
-        return compare(arms.where("is_control IS NULL"), arms.where("is_control"), bundle.keys)
     return compare_arms(arms, bundle.keys)
 
 
+def _names_and_counts(bundle: ModelBundle) -> tuple[DataFrame, DataFrame]:
+    keys = list(bundle.keys)
+    names = bundle.states.select(*keys, "treatment").distinct()
+    counts = global_record(bundle).select(*keys, "control_count")
+    return names, counts
+
+
 def controls_of(bundle: ModelBundle) -> DataFrame:
     """``(keys, treatment)`` of the controls: the last ``control_count`` names of a scenario."""
     keys = list(bundle.keys)
-    counts = global_record(bundle).select(*keys, "control_count")
-    named = bundle.states.select(*keys, "treatment").distinct().join(counts, keys, "left")
+    names, counts = _names_and_counts(bundle)
     count = F.coalesce(F.col("control_count"), F.lit(1.0))
-    return top_by_group(named, keys, "treatment", count).select(*keys, "treatment")
+    return top_by_group(names.join(counts, keys, "left"), keys, "treatment", count).select(*keys, "treatment")
+
+
+def arms_of(bundle: ModelBundle) -> DataFrame:
+    """``(keys, treatment, is_control, actives, controls)``: the role of each treatment, and how many
+    have it in its scenario."""
+    keys = list(bundle.keys)
+    names, _ = _names_and_counts(bundle)
+    last = controls_of(bundle).groupBy(*keys).agg(
+        F.min("treatment").alias("__first"), F.count(F.lit(1)).alias("controls")
+    )
+    sizes = names.groupBy(*keys).agg(F.count(F.lit(1)).alias("actives")).join(last, keys, "left")
+    return names.join(sizes, keys, "left").select(
+        *keys,
+        "treatment",
+        (F.col("treatment") >= F.col("__first")).alias("is_control"),
+        "actives",
+        F.coalesce("controls", F.lit(0)).alias("controls"),
+    )
 
 
 def plan_listing(bundle: ModelBundle) -> DataFrame:

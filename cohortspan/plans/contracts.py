@@ -277,4 +277,9 @@ def compare_plans(
     active = ~control if active_plans is None else F.col("plan").isin(list(active_plans))
     arms = arm_totals(bundle, partitions).where(active | control)
     sides = F.array_compact(F.array(F.when(active, F.lit(False)), F.when(control, F.lit(True))))
-    return compare_arms(arms.withColumn("is_control", F.explode(sides)), bundle.keys, name="name")
+    keys = list(bundle.keys)
+    counts = bundle.treatments.groupBy(*keys).agg(
+        F.count_if(active).alias("actives"), F.count_if(control).alias("controls")
+    )
+    sized = arms.withColumn("is_control", F.explode(sides)).join(counts, keys, "left")
+    return compare_arms(sized, keys, name="name")

@@ -23,9 +23,10 @@ def series(bundle):
     return cohort.over_time(bundle).collect()
 
 
-@pytest.mark.parametrize("many_arms", [False, True])
-def test_incremental(bundle, many_arms):
-    rows = cohort.incremental(bundle, many_arms=many_arms).collect()
+@pytest.mark.parametrize("arms", [cohort.ARMS, 1])
+def test_incremental(bundle, arms, monkeypatch):
+    monkeypatch.setattr(cohort, "ARMS", arms)
+    rows = cohort.incremental(bundle).collect()
     found = {(r["scenario_id"], r["Treatments"]): (r["QALY"], r["Cost"], r["ICER"]) for r in rows}
     expected = {
         (name, pair): values for name in PRICED for pair, values in brute.incremental(MODELS[name]).items()
@@ -309,3 +310,18 @@ def test_cells_that_change_the_pairs_are_swept_by_copies(bundle):
     rows = sweep.sweep(only, cells, cohort.incremental, add_row_names=True).groupBy("variant_id").count().collect()
     arms = only.states.select("treatment").distinct().count()
     assert {r["variant_id"]: r["count"] for r in rows} == {0: arms - 1, 1: 2 * (arms - 2)}
+
+
+def test_a_scenario_with_very_many_arms_is_spread(spark):
+    """20,000 arms and 10 controls in one scenario: no task makes more than its share of the pairs."""
+    arms = spark.range(20_010).selectExpr(
+        "0 AS scenario_id", "format_string('%05d', id) AS treatment", "CAST(id AS DOUBLE) AS Cost", "id / 7D AS QALY",
+        "id >= 20000 AS is_control", "20010 AS actives", "10 AS controls",
+    )
+    pairs = cohort.compare_arms(arms, ["scenario_id"])
+    sizes = [r["count"] for r in pairs.groupBy(F.spark_partition_id()).count().collect()]
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert sum(sizes) == 200_000
+    assert len(sizes) == tasks and max(sizes) < 1.5 * sum(sizes) / tasks
+    found = pairs.where("Treatments LIKE '%00007 - %' OR Treatments LIKE '00007%'").orderBy("Treatments").collect()
+    assert [(r["Cost"], round(r["QALY"], 9)) for r in found] == [(7.0 - c, round((7 - c) / 7, 9)) for c in range(20_000, 20_010)]

@@ -162,8 +162,9 @@ def test_top_by_group(spark):
     }
 
 
-@pytest.mark.parametrize("options", [{}, {"many_labels": True}, {"many_labels": True, "tasks": 4}])
-def test_buckets(spark, options):
+@pytest.mark.parametrize("options", [{}, {"chunk": 2}, {"chunk": 1, "tasks": 4}])
+@pytest.mark.parametrize("placed", [True, False])
+def test_buckets(spark, options, placed):
     rng = random.Random(2)
     weights = {"x": {"a": 1, "b": 3, "c": 4}, "y": {"d": 2, "e": 2}}
     table = spark.createDataFrame(
@@ -173,6 +174,7 @@ def test_buckets(spark, options):
     draws = [(i, rng.choice("xxxy"), rng.choice([0.125, 0.5, 1.0, rng.random()])) for i in range(200)]
     draws += [(200, "z", 0.5), (201, "x", None)]
     shares = cumulative_shares(table, ["g"], "label", "w")
+    shares = shares if placed else shares.drop("place")
     # The top bound is lowered to see draws beyond the last bucket.
     shares = shares.withColumn("upper", F.when(F.col("label") == "e", 0.9).otherwise(F.col("upper")))
     df = spark.createDataFrame(draws, "i int, g string, u double")
