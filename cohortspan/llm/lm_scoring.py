@@ -8,31 +8,34 @@ tree is then kept fixed and scores every text.
 
 The model is never held in one place. Texts are dealt into blocks of a fixed size; a block asks once
 for each distinct gram (a full context and its byte) and each distinct word that it holds, so a word
-in every text is asked for once a block. Subtrees of contexts with equal last bytes are weighed and
-walked inside one task, where their size is bounded by the alphabet; the levels above are joins.
-Answers meet the texts of their block again, which adds them up.
+in every text is asked for once a block. What is asked for is sorted into buckets, by the last bytes of
+contexts and by a hash of words, and travels packed. A bucket sums up its counts; it weighs and walks
+the subtrees of its contexts, whose size the alphabet bounds; the few levels above are joins. Answers
+meet the texts of their block again, which adds them up.
 """
 
 from __future__ import annotations
 
 import re
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortspan.llm.common import partitions, slices, split_join, stored, table
+from cohortspan.llm.common import partitions, slices, stored, table
 from cohortspan.llm.registry import query
 
 #: Longest context in bytes; at most 7, so that a gram fits 64 bits.
 DEPTH = 5
-#: Levels that are walked inside a task: a group has at most 256 ** (BELOW + 1) grams.
+#: Levels that are walked inside a bucket: a context there has at most 256 ** (BELOW + 1) grams under it.
 BELOW = 2
-#: Bytes of text in a block.
-BLOCK = 32 << 20
+#: Bytes of text in a block, and buckets for each shuffle partition.
+BLOCK, BUCKETS = 16 << 20, 2
 #: Bytes and grams that are worked on at once.
 PIECE, BUNCH = 1 << 20, 1 << 17
 
@@ -91,22 +94,25 @@ class Grams:
         return grams[own], owners
 
 
-def _packed(rows: list[tuple]) -> bytes:
-    """Texts compressed together, which takes about half the room that single rows do."""
-    batch = pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), _KINDS)], ["doc_id", "learns", "text"])
+_NAMES, _KINDS = ["doc_id", "learns", "text"], [pa.int64(), pa.bool_(), pa.string()]
+
+
+def _packed(names: list[str], columns: list[pa.Array]) -> bytes:
+    """Rows compressed together, which takes far less room than single rows do."""
+    batch = pa.RecordBatch.from_arrays(columns, names)
     sink = pa.BufferOutputStream()
     with pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
         out.write_batch(batch)
     return sink.getvalue().to_pybytes()
 
 
-_KINDS = [pa.int64(), pa.bool_(), pa.string()]
+def _opened(packed: pa.Scalar) -> pa.RecordBatch:
+    return pa.ipc.open_stream(packed.as_buffer()).read_next_batch()
 
 
 def _unpacked(texts: pa.Array | pa.ChunkedArray) -> Iterator[tuple[int | None, bool, str | None]]:
     for one in texts:
-        for batch in pa.ipc.open_stream(one.as_buffer()):
-            yield from zip(*(c.to_pylist() for c in batch.columns))
+        yield from zip(*(c.to_pylist() for c in _opened(one).columns))
 
 
 def blocks_of(documents: DataFrame, learns: Column, block_bytes: int = BLOCK) -> DataFrame:
@@ -118,7 +124,8 @@ def blocks_of(documents: DataFrame, learns: Column, block_bytes: int = BLOCK) ->
         block, size, held, room = TaskContext.get().partitionId() << 32, 0, [], 0
 
         def part() -> pa.RecordBatch:
-            columns = [pa.array([block], pa.int64()), pa.array([_packed(held)], pa.binary())]
+            texts = _packed(_NAMES, [pa.array(c, k) for c, k in zip(zip(*held), _KINDS)])
+            columns = [pa.array([block], pa.int64()), pa.array([texts], pa.binary())]
             held.clear()
             return pa.RecordBatch.from_arrays(columns, ["block", "texts"])
 
@@ -142,12 +149,28 @@ def blocks_of(documents: DataFrame, learns: Column, block_bytes: int = BLOCK) ->
     return stored(rows.mapInArrow(run, "block bigint, texts binary"), "scored-texts")
 
 
+def _summed(grams: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct grams, sorted, and the sums of their counts."""
+    found, at = np.unique(np.concatenate([np.zeros(0, np.uint64), *grams]), return_inverse=True)
+    return found, np.bincount(at, np.concatenate([np.zeros(0), *counts]), len(found)).astype(np.int64)
+
+
+def _cut(keys: np.ndarray, buckets: int) -> Iterator[tuple[int, np.ndarray]]:
+    """Buckets that occur with the places of their keys, in order."""
+    order = np.argsort(keys, kind="stable")
+    ends = np.searchsorted(keys[order], np.arange(buckets + 1))
+    for bucket in np.flatnonzero(np.diff(ends)):
+        yield int(bucket), order[ends[bucket] : ends[bucket + 1]]
+
+
 class _Asked:
     """Distinct grams and words of a block with their counts in texts that are learned from."""
 
-    def __init__(self, depth: int) -> None:
+    def __init__(self, depth: int, top: int, buckets: int) -> None:
         self.grams = {flag: Grams(depth) for flag in (True, False)}
-        self.counts: dict[bool, list] = {True: [], False: []}
+        self.mask, self.buckets = np.uint64((1 << 8 * top) - 1), buckets
+        self.found: list[np.ndarray] = []
+        self.counts: list[np.ndarray] = []
         self.words: dict[bool, Counter] = {True: Counter(), False: Counter()}
 
     def add(self, text: str | None, learns: bool) -> None:
@@ -163,47 +186,52 @@ class _Asked:
 
     def reduce(self, learns: bool, least: int) -> None:
         if self.grams[learns].size > least:
-            found, _ = self.grams[learns].taken()
-            found, n = np.unique(found, return_counts=True)
-            self.counts[learns].append((found, n.astype(np.int32)))
+            found, n = np.unique(self.grams[learns].taken()[0], return_counts=True)
+            self.found.append(found)
+            self.counts.append(n if learns else 0 * n)
+            if sum(map(len, self.found[1:])) > PIECE:
+                found, n = _summed(self.found, self.counts)
+                self.found, self.counts = [found], [n]
 
     def rows(self, block: int) -> Iterator[pa.RecordBatch]:
         for flag in (True, False):
             self.reduce(flag, 0)
-        grams = [g for flag in (True, False) for g, _ in self.counts[flag]]
-        counts = [n if flag else 0 * n for flag in (True, False) for _, n in self.counts[flag]]
-        found, at = np.unique(np.concatenate([np.zeros(0, np.uint64), *grams]), return_inverse=True)
-        sums = np.bincount(at, np.concatenate([np.zeros(0), *counts]), len(found)).astype(np.int64)
-        names = ["block", "gram", "word", "n"]
-        for a in range(0, len(found), BUNCH):
-            of, n = found[a : a + BUNCH].view(np.int64), sums[a : a + BUNCH]
-            columns = [pa.array(np.full(len(of), block)), pa.array(of), pa.nulls(len(of), pa.string()), pa.array(n)]
-            yield pa.RecordBatch.from_arrays(columns, names)
+        grams, n = _summed(self.found, self.counts)
+        made = []
+        keys = ((grams >> np.uint64(8)) & self.mask) % np.uint64(self.buckets)
+        for bucket, at in _cut(keys.astype(np.int64), self.buckets):
+            made.append((bucket, True, _packed(["key", "n"], [pa.array(grams[at]), pa.array(n[at])])))
         held = self.words[False].keys() - self.words[True].keys()
-        words, n = [*self.words[True], *held], [*self.words[True].values(), *[0] * len(held)]
-        for a in range(0, len(words), BUNCH):
-            of = pa.array(words[a : a + BUNCH], pa.binary()).cast(pa.string())
-            columns = [pa.array(np.full(len(of), block)), pa.nulls(len(of), pa.int64()), of]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(n[a : a + BUNCH], pa.int64())], names)
-
-
-def _asked(blocks: DataFrame, depth: int) -> DataFrame:
-    """block, gram, word, n: a row for each distinct gram, or word, of a block."""
+        words = pa.array([*self.words[True], *held], pa.binary())
+        n = np.array([*self.words[True].values(), *[0] * len(held)], np.int64)
+        keys = np.fromiter((zlib.crc32(w) % self.buckets for w in words.to_pylist()), np.int64, len(words))
+        for bucket, at in _cut(keys, self.buckets):
+            at = np.sort(at)
+            made.append((bucket, False, _packed(["key", "n"], [words.take(pa.array(at)), pa.array(n[at])])))
+        for a in range(0, len(made), 256):
+            bucket, is_gram, packed = zip(*made[a : a + 256])
+            columns = [pa.array([block] * len(bucket), pa.int64()), pa.array(bucket, pa.int64())]
+            columns += [pa.array(is_gram, pa.bool_()), pa.array(packed, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, ["block", "bucket", "is_gram", "asked"])
+
+
+def _asked(blocks: DataFrame, depth: int, top: int, buckets: int) -> DataFrame:
+    """block, bucket, is_gram, asked: the distinct grams, or words, of a block that a bucket answers."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, asked = None, _Asked(depth)
+        held, asked = None, None
         for batch in batches:
             for i, block in enumerate(batch.column(0).to_pylist()):
                 if block != held:
-                    if held is not None:
+                    if asked is not None:
                         yield from asked.rows(held)
-                    held, asked = block, _Asked(depth)
+                    held, asked = block, _Asked(depth, top, buckets)
                 for _, learns, text in _unpacked(batch.column(1).slice(i, 1)):
                     asked.add(text, learns)
-        if held is not None:
+        if asked is not None:
             yield from asked.rows(held)
 
-    return blocks.mapInArrow(run, "block bigint, gram bigint, word string, n bigint")
+    return blocks.mapInArrow(run, "block bigint, bucket bigint, is_gram boolean, asked binary")
 
 
 class GramTable:
@@ -311,22 +339,18 @@ class Tree:
         return np.log10(np.where(self.bits > 0, ahead, 1 - ahead)).sum(axis=0)
 
 
-def _bunches(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.Table]:
-    """Rows sorted by their first column in tables of about ``size`` rows that split no value."""
-    held: list[pa.RecordBatch] = []
-    rows = 0
-    for batch in batches:
-        keys = batch.column(0).to_numpy()
-        if held and rows >= size and len(keys):
-            first = held[-1].column(0)[-1].as_py()
-            same = int(np.searchsorted(keys, first, "right"))
-            if same < len(keys):
-                yield pa.Table.from_batches([*held, batch.slice(0, same)])
-                held, rows, batch = [], 0, batch.slice(same)
-        held.append(batch)
-        rows += batch.num_rows
-    if rows:
-        yield pa.Table.from_batches(held)
+def _trees(grams: np.ndarray, counts: np.ndarray, depth: int, top: int) -> Iterator[tuple[Tree, np.ndarray]]:
+    """Trees over some whole contexts each, about ``BUNCH`` grams at a time, with their grams' places."""
+    contexts = (grams >> np.uint64(8)) & np.uint64((1 << 8 * top) - 1)
+    order = np.argsort(contexts, kind="stable")
+    starts = np.flatnonzero(np.diff(contexts[order], prepend=contexts[order[:1]] + np.uint64(1)))
+    begin = 0
+    while begin < len(order):
+        later = starts[np.searchsorted(starts, begin + BUNCH) :]
+        end = int(later[0]) if len(later) else len(order)
+        at = order[begin:end]
+        yield Tree(grams[at], counts[at], depth, top), at
+        begin = end
 
 
 def _weighed(level: DataFrame, last: bool) -> DataFrame:
@@ -344,36 +368,33 @@ def _weighed(level: DataFrame, last: bool) -> DataFrame:
     return level.select("ctx", "u", "zeros", "ones", "below").mapInArrow(run, schema)
 
 
-def gram_scores(grams: DataFrame, depth: int = DEPTH, below: int = BELOW) -> DataFrame:
-    """gram, score: the log10 probability of each gram's byte in its context, for all of ``grams``
-    (gram, n), which are asked for or, with n above 0, learned from.
+def _asked_grams(found: pa.Table) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
+    """The grams of each row, and all distinct ones with their counts."""
+    opened = [_opened(one) for one in found["asked"]]
+    own = [one["key"].to_numpy() for one in opened]
+    return own, *_summed(own, [one["n"].to_numpy() for one in opened])
+
 
-    Grams with n = 0 change nothing in the tree. One bottom-up pass weighs the nodes, one top-down
-    pass gives each the mixture along its path.
+def gram_answers(asked: DataFrame, depth: int, top: int, buckets: int) -> DataFrame:
+    """block, is_gram, answer: log10 probabilities of the grams' bytes in their contexts.
+
+    Grams that only texts have that aren't learned from count 0 and change nothing in the tree. One
+    bottom-up pass weighs the nodes, one top-down pass gives each the mixture along its path.
     """
-    spark = grams.sparkSession
-    top = max(depth - below, 0)
-    mask = (1 << 8 * top) - 1
-    grams = stored(
-        grams.select(F.expr(f"shiftrightunsigned(gram, 8) & {mask}L").alias("ctx"), "gram", F.col("n").cast("double")),
-        "grams",
-    )
-    width = partitions(spark)
 
-    def top_nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for found in _bunches(batches, BUNCH):
-            _, gram, n = (c.to_numpy() for c in found.columns)
-            level = Tree(gram.view(np.uint64), n, depth, top).levels[-1]
-            below = np.zeros(len(level.key)) if level.below is None else level.below
+    def top_nodes(found: pa.Table) -> pa.Table:
+        _, grams, counts = _asked_grams(found)
+        columns: list[list[np.ndarray]] = [[] for _ in range(5)]
+        for tree, _ in _trees(grams, counts, depth, top):
+            level = tree.levels[-1]
             key = level.key.view(np.int64)
-            columns = [key >> 8, key & 255, level.zeros, level.ones, below]
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["ctx", "u", "zeros", "ones", "below"])
+            below = np.zeros(len(key)) if level.below is None else level.below
+            for held, column in zip(columns, (key >> 8, key & 255, level.zeros, level.ones, below)):
+                held.append(column)
+        return pa.table([np.concatenate(c) for c in columns], ["ctx", "u", "zeros", "ones", "below"])
 
-    nodes = (
-        grams.repartition(width, "ctx")
-        .sortWithinPartitions("ctx")
-        .mapInArrow(top_nodes, "ctx bigint, u bigint, zeros double, ones double, below double")
-    )
+    schema = "ctx bigint, u bigint, zeros double, ones double, below double"
+    nodes = asked.select("bucket", "asked").groupBy("bucket").applyInArrow(top_nodes, schema)
     levels = [stored(_weighed(nodes, depth == top), "nodes")]
     for length in range(top - 1, -1, -1):
         above = levels[-1].groupBy(F.expr(f"ctx & {(1 << 8 * length) - 1}L").alias("ctx"), "u")
@@ -392,28 +413,56 @@ def gram_scores(grams: DataFrame, depth: int = DEPTH, below: int = BELOW) -> Dat
             (mass * (1 - F.col("n.stops"))).alias("mass"),
             (said + mass * F.col("n.stops") * F.col("n.ahead")).alias("said"),
         )
+    paths = paths.withColumn("bucket", F.expr(f"ctx % {buckets}L"))
 
-    def walked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for found in _bunches(batches, BUNCH):
-            _, gram, n, u, mass, said = found.columns
-            is_gram = np.asarray(gram.is_valid())
-            ctx = found.column(0).to_numpy()
-            own = found.filter(pa.array(is_gram))
-            if not own.num_rows:
-                continue
-            tree = Tree(own.column(1).to_numpy().view(np.uint64), own.column(2).to_numpy(), depth, top)
-            paths = found.filter(pa.array(~is_gram))
-            key = ((paths.column(0).to_numpy() << 8) | paths.column(3).to_numpy()).view(np.uint64)
-            order = np.argsort(key)
-            at = order[np.searchsorted(key[order], tree.levels[-1].key)]
-            scores = tree.scores(paths.column(4).to_numpy()[at], paths.column(5).to_numpy()[at])
-            columns = [own.column(1).combine_chunks(), pa.array(scores)]
-            yield pa.RecordBatch.from_arrays(columns, ["gram", "score"])
-
-    rows = grams.unionByName(paths, allowMissingColumns=True).select("ctx", "gram", "n", "u", "mass", "said")
-    return (
-        rows.repartition(width, "ctx").sortWithinPartitions("ctx").mapInArrow(walked, "gram bigint, score double")
-    )
+    def walked(found: pa.Table, paths: pa.Table) -> pa.Table:
+        own, grams, counts = _asked_grams(found)
+        key = ((paths["ctx"].to_numpy() << 8) | paths["u"].to_numpy()).view(np.uint64)
+        order = np.argsort(key)
+        mass, said = paths["mass"].to_numpy(), paths["said"].to_numpy()
+        scores = np.zeros(len(grams))
+        for tree, at in _trees(grams, counts, depth, top):
+            node = order[np.searchsorted(key[order], tree.levels[-1].key)]
+            scores[at] = tree.scores(mass[node], said[node])
+        answers = [_packed(["key", "value"], [pa.array(g), pa.array(scores[np.searchsorted(grams, g)])]) for g in own]
+        return pa.table([found["block"], pa.array([True] * len(own)), pa.array(answers, pa.binary())], _ANSWER)
+
+    mine = asked.select("bucket", "block", "asked").groupBy("bucket")
+    return mine.cogroup(paths.groupBy("bucket")).applyInArrow(walked, "block bigint, is_gram boolean, answer binary")
+
+
+_ANSWER = ["block", "is_gram", "answer"]
+
+
+def _counted_words(found: pa.Table) -> tuple[list[pa.Array], pa.Table]:
+    """The words of each row, and all distinct ones (key) with their counts (n_sum)."""
+    opened = [_opened(one) for one in found["asked"]]
+    both = pa.Table.from_batches(opened)
+    return [one["key"] for one in opened], both.group_by("key").aggregate([("n", "sum")])
+
+
+def word_totals(asked: DataFrame) -> tuple[int, int]:
+    """Tokens learned from, and how many are distinct."""
+
+    def sums(found: pa.Table) -> pa.Table:
+        n = _counted_words(found)[1]["n_sum"].to_numpy()
+        return pa.table([pa.array([int(n.sum())]), pa.array([int((n > 0).sum())])], ["total", "kinds"])
+
+    each = asked.select("bucket", "asked").groupBy("bucket").applyInArrow(sums, "total bigint, kinds bigint")
+    return tuple(each.agg(F.coalesce(F.sum("total"), F.lit(0)), F.coalesce(F.sum("kinds"), F.lit(0))).first())
+
+
+def word_answers(asked: DataFrame) -> DataFrame:
+    """block, is_gram, answer: how often the words are learned from."""
+
+    def run(found: pa.Table) -> pa.Table:
+        own, counts = _counted_words(found)
+        keys, n = counts["key"].combine_chunks(), counts["n_sum"].combine_chunks()
+        answers = [_packed(["key", "value"], [k, n.take(pa.compute.index_in(k, keys))]) for k in own]
+        return pa.table([found["block"], pa.array([False] * len(own)), pa.array(answers, pa.binary())], _ANSWER)
+
+    mine = asked.select("bucket", "block", "asked").groupBy("bucket")
+    return mine.applyInArrow(run, "block bigint, is_gram boolean, answer binary")
 
 
 def scored(documents: DataFrame, learns: Column, depth: int = DEPTH, block_bytes: int = BLOCK) -> DataFrame:
@@ -426,32 +475,24 @@ def scored(documents: DataFrame, learns: Column, depth: int = DEPTH, block_bytes
     nothing but the counts, further columns are ignored, an empty table gives an empty one. A long
     text is read in bounded pieces.
     """
-    spark = documents.sparkSession
+    top = max(depth - BELOW, 0)
+    buckets = BUCKETS * partitions(documents.sparkSession) + 1
     blocks = blocks_of(documents, learns, block_bytes)
-    asked = stored(_asked(blocks, depth), "asked")
-    grams = asked.where("gram IS NOT NULL").select("block", "gram", "n")
-    words = asked.where("word IS NOT NULL").select("block", "word", "n")
-    counted = stored(words.groupBy("word").agg(F.sum("n").alias("c")), "words")
-    known = counted.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("total"), F.count_if(F.col("c") > 0).alias("kinds"))
-    total, kinds = known.first()
-    scores = gram_scores(grams.groupBy("gram").agg(F.sum("n").alias("n")), depth)
-    # a word that is nowhere else learned from needs no answer
-    elsewhere = split_join(words, counted, ["word"]).where("c != n").drop("n")
-    answers = split_join(grams.select("block", "gram"), scores, ["gram"])
-    answers = answers.unionByName(elsewhere, allowMissingColumns=True)
+    asked = stored(_asked(blocks, depth, top, buckets), "asked")
+    words = asked.where("NOT is_gram")
+    total, kinds = word_totals(words)
+    answers = gram_answers(asked.where("is_gram"), depth, top, buckets).unionByName(word_answers(words))
 
     def add_up(texts: pa.Table, found: pa.Table) -> pa.Table:
-        is_gram = found["gram"].is_valid()
-        own, others = found.filter(is_gram), found.filter(pa.compute.invert(is_gram))
-        table, value = GramTable(own["gram"].to_numpy().view(np.uint64)), own["score"].to_numpy()
-        of: Counter = Counter()
-        for _, learns, text in _unpacked(texts["texts"]):
-            if learns:
-                for words in word_lists(text):
-                    of.update(words)
-                of[END] += 1
-        for word, c in zip(others["word"].cast(pa.binary()).to_pylist(), others["c"].to_pylist()):
-            of[word] = c
+        grams_, scores, of = [], [], {}
+        for is_gram, one in zip(found["is_gram"].to_pylist(), found["answer"]):
+            batch = _opened(one)
+            if is_gram:
+                grams_.append(batch["key"].to_numpy())
+                scores.append(batch["value"].to_numpy())
+            else:
+                of.update(zip(batch["key"].to_pylist(), batch["value"].to_pylist()))
+        table, value = GramTable(np.concatenate(grams_)), np.concatenate(scores)
         bottom = np.log10(total + 0.5 * (kinds + 1))
         made: list[tuple] = []
         sums: list[np.ndarray] = []
@@ -490,7 +531,6 @@ def scored(documents: DataFrame, learns: Column, depth: int = DEPTH, block_bytes
         "doc_id bigint, learns boolean, n_tokens bigint, n_known bigint, train_tokens bigint, "
         "base_score double, score double"
     )
-    answers = answers.select("block", "gram", "score", "word", "c")
     return blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(add_up, schema)
 
 
