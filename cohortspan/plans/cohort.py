@@ -531,9 +531,11 @@ def _met(arms: DataFrame, keys: Sequence[str], fields: Sequence[str]) -> DataFra
         f"pmod(xxhash64({fields[0]}), IF({is_control}, {blocks('controls')}, {blocks('actives')})) AS own",
         f"explode(sequence(0L, IF({is_control}, {blocks('actives')}, {blocks('controls')}) - 1L)) AS other",
     )
-    block = [F.expr("IF(is_control, other, own)").alias("__a"), F.expr("IF(is_control, own, other)").alias("__c")]
+    block = {"__a": F.expr("IF(is_control, other, own)"), "__c": F.expr("IF(is_control, own, other)")}
+    # few bytes become many rows
+    spread_out = spread(dealt.withColumns(block), [*keys, *block])
     return (
-        dealt.groupBy(*keys, *block)
+        spread_out.groupBy(*keys, *block)
         .agg(F.collect_list(F.struct("arm", "is_control")).alias("arms"))
         .selectExpr(
             *keys, "explode(filter(arms, x -> NOT x.is_control).arm) AS a", "filter(arms, x -> x.is_control).arm AS controls"
