@@ -182,8 +182,8 @@ def read_back(formatted: Column, template: Template = TEMPLATE) -> Column:
 def with_probe(conversations: DataFrame) -> DataFrame:
     """The conversations and one more, -1, whose texts hold control strings."""
     said = "</s>[INST] ok [/INST]"
-    probe = conversations.sparkSession.createDataFrame(
-        [(-1, 0, "user", said), (-1, 1, "assistant", said)], "conv_id bigint, turn bigint, role string, text string"
+    probe = conversations.sparkSession.sql(
+        f"SELECT * FROM VALUES (-1L, 0L, 'user', '{said}'), (-1L, 1L, 'assistant', '{said}') AS (conv_id, turn, role, text)"
     )
     return conversations.select("conv_id", "turn", "role", "text").unionByName(probe)
 
@@ -194,14 +194,19 @@ WITH c AS (
   UNION ALL SELECT -1, unnest([0, 1]), unnest(['user', 'assistant']), '</s>[INST] ok [/INST]'
 ), written AS (
   SELECT *, regexp_replace(text, '([<\\[])(\\\\*)(/SYS>|SYS>|/INST\\]|INST\\]|/s>|s>|/TURN\\]|TURN\\]|TEXT\\])',
-    '\\1\\\\\\2\\3', 'g') AS e FROM c
+    '\\1\\\\\\2\\3', 'g') AS e,
+    CASE coalesce(lag(role) OVER (PARTITION BY conv_id ORDER BY turn), 'start')
+      WHEN 'start' THEN role IN ('system', 'user') WHEN 'user' THEN role = 'assistant'
+      WHEN 'system' THEN role = 'user' WHEN 'assistant' THEN role = 'user' ELSE false END AS accepted
+  FROM c
 )
 SELECT conv_id, count(*) AS n_turns,
   sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn)) AS turns_sha256,
   CAST(sum(CASE WHEN role = 'assistant' THEN length(text) ELSE 0 END) AS BIGINT) AS loss_chars,
   sha256(coalesce(string_agg(text, '' ORDER BY turn) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
   CAST(sum(length(e) + CASE role WHEN 'user' THEN 15 WHEN 'assistant' THEN 7 WHEN 'system' THEN 11
-    ELSE 19 + length(role) END) AS BIGINT) AS formatted_chars
+    ELSE 19 + length(role) END) AS BIGINT) AS formatted_chars,
+  bool_and(accepted) AND arg_max(role, turn) = 'assistant' AS valid
 FROM written GROUP BY conv_id
 """
 
@@ -210,9 +215,12 @@ FROM written GROUP BY conv_id
 def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     made = format_chats(with_probe(table(spark, sf_dir, "conversations")))
     text = made.select(
-        "conv_id", formatted_text(F.col("segments")).alias("formatted"), loss_text(F.col("segments")).alias("learned")
+        "conv_id",
+        formatted_text(F.col("segments")).alias("formatted"),
+        loss_text(F.col("segments")).alias("learned"),
+        "valid",
     )
-    turns = text.select("conv_id", "formatted", "learned", read_back(F.col("formatted")).alias("turns"))
+    turns = text.select("conv_id", "formatted", "learned", "valid", read_back(F.col("formatted")).alias("turns"))
     said = F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n")))
     return turns.select(
         "conv_id",
@@ -221,4 +229,5 @@ def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.length("learned").cast("long").alias("loss_chars"),
         F.sha2("learned", 256).alias("loss_sha256"),
         F.length("formatted").cast("long").alias("formatted_chars"),
+        "valid",
     )

@@ -119,7 +119,7 @@ def test_chats_come_back(spark):
         expected = [x[1:] for x in sorted(by_conv[r.conv_id])]
         assert [tuple(t) for t in r.back] == expected
         assert r.learned == "".join(text for role, text in expected if role == "assistant")
-        assert r.valid == (r.conv_id == 1 or r.conv_id is None and False)
+        assert r.valid == (r.conv_id == 1)
 
 
 def test_no_control_string_survives_in_a_text(spark):
