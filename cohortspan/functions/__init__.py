@@ -4,6 +4,7 @@ from cohortspan.functions.finance import (
     hazard,
     linear_ramp,
     linear_ramp_sql,
+    paid_before_sql,
     payment_sql,
     ratio,
 )
@@ -23,6 +24,7 @@ __all__ = [
     "is_number_list",
     "linear_ramp",
     "linear_ramp_sql",
+    "paid_before_sql",
     "payment_sql",
     "plus_zero",
     "ratio",

@@ -44,6 +44,22 @@ def ratio(numerator: Column, denominator: Column) -> Column:
     return F.try_divide(numerator, denominator)
 
 
+def _plan_fields(plan: str, fields: dict[str, str] | None) -> dict[str, str]:
+    names = ("tot_payment", "cont_payment", "cost_trend", "contract_length", "initial_payment")
+    return {name: (fields or {}).get(name, plan + name) for name in names}
+
+
+def geometric_sql(factor: str, first: str, count: str) -> str:
+    """``factor`` to the powers ``first - 1``, ``first``, ..., ``count`` of them, summed up.
+
+    In closed form; the difference quotient stays exact for factors near 1.
+    """
+    many = f"CAST({count} AS DOUBLE)"
+    quotient = f"expm1({many} * log1p({factor} - 1D)) / ({factor} - 1D)"
+    return f"""IF({count} <= 0, 0D, power({factor}, CAST({first} - 1 AS DOUBLE))
+        * IF({factor} = 1D, {many}, {quotient}))"""
+
+
 def payment_sql(
     period: str,
     plan: str = "",
@@ -66,16 +82,7 @@ def payment_sql(
     each period, falling by ``cost_trend``. Totals grow with the firm's rate; continuous plans
     do so only when ``firm_on_continuous``.
     """
-    named = {
-        name: (fields or {}).get(name, plan + name)
-        for name in (
-            "tot_payment",
-            "cont_payment",
-            "cost_trend",
-            "contract_length",
-            "initial_payment",
-        )
-    }
+    named = _plan_fields(plan, fields)
     total, ongoing, trend, length, initial = named.values()
     position = period if start is None else f"({period} - {start} + 1)"
     elapsed = f"CAST({period} - 1 AS DOUBLE)"
@@ -93,3 +100,33 @@ def payment_sql(
             * CASE WHEN {trend} = 0 THEN 1D ELSE power(1D + {trend}, -{elapsed}) END
             * {grown if firm_on_continuous else shrunk}
         END"""
+
+
+def paid_before_sql(
+    period: str,
+    plan: str = "",
+    *,
+    fields: dict[str, str] | None = None,
+    discount: str = "discount",
+    firm_discount: str = "firm_discount",
+    start: str | None = None,
+    firm_on_continuous: bool = False,
+) -> str:
+    """What ``payment_sql`` asks for in all periods before a 1-based ``period``.
+
+    Instalments and continuous payments are geometric series, so no period has to be looked at.
+    """
+    total, ongoing, trend, length, initial = _plan_fields(plan, fields).values()
+    begin = start or "1"
+    grown = f"((1D + {firm_discount}) / (1D + {discount}))"
+    shrunk = grown if firm_on_continuous else f"(1D / (1D + {discount}))"
+    falling = f"({shrunk} / IF({trend} = 0, 1D, 1D + {trend}))"
+    paid = f"greatest(least({period} - {begin}, coalesce(CAST(floor({length}) AS INT), 0)), 0)"
+    first = f"IF({paid} >= 1, {total} * {initial} * power({grown}, CAST({begin} - 1 AS DOUBLE)), 0D)"
+    rest = f"{total} * (1D - {initial}) / greatest({length} - 1D, 1D)"
+    return f"""
+        CASE WHEN {total} > 0 THEN
+            CASE WHEN {initial} > 0
+                 THEN {first} + {rest} * {geometric_sql(grown, f"({begin} + 1)", f"({paid} - 1)")}
+                 ELSE {total} / greatest({length}, 1D) * {geometric_sql(grown, begin, paid)} END
+        ELSE {ongoing} * {geometric_sql(falling, "1", f"({period} - 1)")} END"""

@@ -12,7 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cohortspan.functions import arm_label, discount_factor_sql, payment_sql, ratio
+from cohortspan.functions import arm_label, discount_factor_sql, paid_before_sql, payment_sql, ratio
 from cohortspan.operators.chain import (
     expanded_states,
     gather_chains,
@@ -253,12 +253,11 @@ def _with_conditions(rows: DataFrame) -> DataFrame:
     # Moving on from the state before death and dying there end in the same state.
     leaving = """(get(states, plan.pend - 1).p_prog * (1D - get(states, plan.pend - 1).p_death)
         + IF(plan.pend + 1 = size(states), get(states, plan.pend - 1).p_death, 0D))"""
-    before = f"""aggregate(sequence(1, size(shares)), array(0D), (done, past) -> array_append(
-        done, element_at(done, -1) + {payment_sql("past", "plan.", start="plan.pstart")}))"""
+    before = paid_before_sql("(i + 1)", "plan.", start="plan.pstart")
     counted = """i > 0
         AND (i + 1 <= plan.contract_length OR plan.contract_length >= time_horizon)"""
-    paid_back = f"""transform(array({before}), paid -> transform(shares, (x, i) -> IF({counted},
-        coalesce(-(get(x, plan.pend - 1) * {leaving} * plan.refund * get(paid, i)), 0D), 0D)))[0]"""
+    paid_back = f"""transform(shares, (x, i) -> IF({counted},
+        coalesce(-(get(x, plan.pend - 1) * {leaving} * plan.refund * {before}), 0D), 0D))"""
     return claimed.withColumn(
         "refunds",
         F.expr(f"""CASE WHEN clawback IS NOT NULL THEN {turned}

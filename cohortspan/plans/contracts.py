@@ -11,7 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cohortspan.functions import discount_factor, discount_factor_sql, linear_ramp_sql, payment_sql
+from cohortspan.functions import discount_factor, discount_factor_sql, linear_ramp_sql, paid_before_sql, payment_sql
 from cohortspan.operators.chain import project_shares
 from cohortspan.operators.columns import fill_defaults, parameters, with_parameters
 from cohortspan.operators.schedule import payment_schedule
@@ -151,14 +151,8 @@ def projected_treatments(bundle: LegacyBundle, partitions: int | None = None) ->
     )
 
 
-def contract_series(bundle: LegacyBundle, partitions: int | None = None) -> DataFrame:
-    """One row per treatment, matching contract and period.
-
-    ``failing`` is the share in the contract's end state. Payment is due for the states from
-    start to before end (state 1 alone when the contract ends in state 2), less the refund to the
-    failing of what was paid before; with an aggregate rule everybody pays until the failing
-    shares sum up to its level.
-    """
+def _matched(bundle: LegacyBundle, partitions: int | None) -> DataFrame:
+    """One row per treatment and matching contract with its terms, shares and QALY by period."""
     keys = list(bundle.keys)
     # A plan has as few contracts as a model lists.
     numbered = ordered_scan(
@@ -167,55 +161,46 @@ def contract_series(bundle: LegacyBundle, partitions: int | None = None) -> Data
     contracts = numbered.select(
         *keys, "plan", F.col("name").alias("contract"), "nth", *LEGACY_CONTRACT_DEFAULTS
     )
-    pairs = projected_treatments(bundle, partitions).join(contracts, [*keys, "plan"])
-    due = payment_sql("(i + 1)", firm_on_continuous=True)
-    # What was summed up before each period, and, at the end, in all.
-    running = """aggregate({0}, array(0D), (done, v) ->
-        array_append(done, element_at(done, -1) + v))"""
-    listed = pairs.selectExpr(
-        *keys,
-        "plan",
-        "name",
-        "contract",
-        "nth",
-        "refund",
-        "aggregate_failure",
-        "start",
-        "`end`",
-        "contract_length",
-        "time_horizon",
-        "shares",
-        "health",
-        f"transform(shares, (x, i) -> {due}) AS due",
-        "transform(shares, x -> coalesce(get(x, `end` - 1), 0D)) AS fails",
-    )
-    summed = listed.selectExpr(
-        "*", f"{running.format('due')} AS due_before", f"{running.format('fails')} AS fails_before"
-    )
-    periods = summed.selectExpr("*", "posexplode_outer(shares) AS (i, x)").selectExpr(
-        *keys,
-        "plan",
-        "name",
-        "contract",
-        "nth",
+    return projected_treatments(bundle, partitions).join(contracts, [*keys, "plan"])
+
+
+#: Figures of a matched row in the period with shares ``x`` and 0-based number ``i``.
+_COSTS = payment_sql("(i + 1)", firm_on_continuous=True)
+_CUMCOSTS = f"""IF(i = 0 OR (i + 1 > contract_length AND contract_length < time_horizon), 0D,
+    {paid_before_sql("(i + 1)", firm_on_continuous=True)})"""
+_FAILING = "coalesce(get(x, `end` - 1), 0D)"
+_CUMFAIL = """aggregate(slice(shares, 1, i + 1), 0D,
+    (total, s) -> total + coalesce(get(s, `end` - 1), 0D))"""
+_PAYING = """IF(`end` = 2, x[0], aggregate(slice(x, start, greatest(`end` - start, 0)), 0D,
+    (total, part) -> total + part))"""
+_PAYMENT = f"""IF(aggregate_failure > 0, IF({_CUMFAIL} < aggregate_failure, {_COSTS}, 0D),
+    {_PAYING} * ({_COSTS}) - {_FAILING} * refund * {_CUMCOSTS})"""
+
+
+def contract_series(bundle: LegacyBundle, partitions: int | None = None) -> DataFrame:
+    """One row per treatment, matching contract and period.
+
+    ``failing`` is the share in the contract's end state. Payment is due for the states from
+    start to before end (state 1 alone when the contract ends in state 2), less the refund to the
+    failing of what was paid before; with an aggregate rule everybody pays until the failing
+    shares sum up to its level.
+    """
+    named = [*bundle.keys, "plan", "name", "contract", "nth"]
+    periods = _matched(bundle, partitions).selectExpr("*", "posexplode_outer(shares) AS (i, x)")
+    figures = periods.selectExpr(
+        *named,
         "refund",
         "aggregate_failure",
         "i + 1 AS time",
         "get(health, i) AS QALY",
-        "get(fails, i) AS failing",
-        "get(due, i) AS costs",
-        """IF(i = 0 OR (i + 1 > contract_length AND contract_length < time_horizon), 0D,
-            get(due_before, i)) AS cumcosts""",
-        "get(fails_before, i + 1) AS cumfail",
-        """IF(`end` = 2, x[0], aggregate(slice(x, start, greatest(`end` - start, 0)), 0D,
-            (total, part) -> total + part)) AS paying""",
+        f"{_FAILING} AS failing",
+        f"{_COSTS} AS costs",
+        f"{_CUMCOSTS} AS cumcosts",
+        f"{_CUMFAIL} AS cumfail",
+        f"{_PAYING} AS paying",
     )
-    return periods.selectExpr(
-        *keys,
-        "plan",
-        "name",
-        "contract",
-        "nth",
+    return figures.selectExpr(
+        *named,
         "time",
         "QALY",
         "failing",
@@ -229,22 +214,39 @@ def contract_series(bundle: LegacyBundle, partitions: int | None = None) -> Data
     )
 
 
-def _first_only(series: DataFrame) -> DataFrame:
-    """A treatment's QALY stands on its first contract, so that sums count it once."""
-    return series.withColumn("QALY", F.expr("IF(nth = 1, QALY, NULL)"))
+def over_time(bundle: LegacyBundle, partitions: int | None = None) -> DataFrame:
+    """``name, plan, contract, time, QALY, Cost``.
 
+    A treatment's QALY stands on its first contract, so that sums count it once.
+    """
+    once = F.expr("IF(nth = 1, QALY, NULL)").alias("QALY")
+    series = contract_series(bundle, partitions)
+    return series.select(*bundle.keys, "name", "plan", "contract", "time", once, F.col("payment").alias("Cost"))
 
-def over_time(bundle: LegacyBundle, partitions: int | None = None) -> DataFrame:
-    """``name, plan, contract, time, QALY, Cost``."""
-    return _first_only(contract_series(bundle, partitions)).select(
-        *bundle.keys, "name", "plan", "contract", "time", "QALY", F.col("payment").alias("Cost")
+
+def _folded(bundle: LegacyBundle, partitions: int | None) -> DataFrame:
+    """``name, plan, contract, QALY, Cost`` of each match, its periods summed up inside the row; null
+    where no period has a value."""
+
+    def whole(values: str) -> str:
+        given = f"filter({values}, v -> v IS NOT NULL)"
+        total = "aggregate(given, 0D, (total, v) -> total + v)"
+        return f"transform(array({given}), given -> IF(size(given) = 0, NULL, {total}))[0]"
+
+    return _matched(bundle, partitions).selectExpr(
+        *bundle.keys,
+        "name",
+        "plan",
+        "contract",
+        f"IF(nth = 1, {whole('health')}, NULL) AS QALY",
+        f"{whole(f'transform(shares, (x, i) -> {_PAYMENT})')} AS Cost",
     )
 
 
 def details(bundle: LegacyBundle, partitions: int | None = None) -> DataFrame:
-    """``name, plan, contract, QALY, Cost`` totals over the horizon."""
+    """``name, plan, contract, QALY, Cost`` totals over the horizon; contracts of one name together."""
     return (
-        over_time(bundle, partitions)
+        _folded(bundle, partitions)
         .groupBy(*bundle.keys, "name", "plan", "contract")
         .agg(F.sum("QALY").alias("QALY"), F.sum("Cost").alias("Cost"))
     )
@@ -253,7 +255,7 @@ def details(bundle: LegacyBundle, partitions: int | None = None) -> DataFrame:
 def arm_totals(bundle: LegacyBundle, partitions: int | None = None) -> DataFrame:
     """``name, plan, QALY, Cost`` summed over contracts, blanks counting as nothing."""
     return (
-        over_time(bundle, partitions)
+        _folded(bundle, partitions)
         .groupBy(*bundle.keys, "name", "plan")
         .agg(
             F.expr("coalesce(sum(QALY), 0D)").alias("QALY"),

@@ -107,3 +107,24 @@ def test_continuous_schedule_by_mode(spark):
     assert [r["payment"] for r in old] == pytest.approx(
         [0.5 * 1.05**-k * (1.1 / 1.03) ** k for k in range(3)]
     )
+
+
+def test_paid_before_is_the_sum_of_payments(spark):
+    """Closed form against adding up, with equal rates, near-equal ones, and plans of all kinds."""
+    plans = [
+        (total, ongoing, trend, length, initial, discount, firm, start)
+        for total, ongoing in ((9.0, 0.0), (0.0, 0.4))
+        for trend in (0.0, 0.06, -0.02)
+        for length in (0.0, 1.0, 4.5, 40.0)
+        for initial in (0.0, 0.25, 1.0)
+        for discount, firm in ((0.03, 0.1), (0.05, 0.05), (0.03, 0.03 + 1e-12), (0.0, 0.0), (0.0, 0.02))
+        for start in (1, 3)
+    ]
+    names = "tot_payment, cont_payment, cost_trend, contract_length, initial_payment, discount, firm_discount, start"
+    df = spark.createDataFrame(plans, names.split(", ")).selectExpr("*", "explode(sequence(1, 30)) AS t")
+    for continuous in (False, True):
+        one = cf.payment_sql("s", start="start", firm_on_continuous=continuous)
+        slow = f"aggregate(transform(IF(t > 1, sequence(1L, t - 1), array()), s -> {one}), 0D, (a, v) -> a + v)"
+        fast = cf.paid_before_sql("t", start="start", firm_on_continuous=continuous)
+        worst = df.selectExpr(f"max(abs({slow} - ({fast}))) AS off", f"max({slow}) AS most").first()
+        assert worst["most"] > 5 and worst["off"] < 1e-11
