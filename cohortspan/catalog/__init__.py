@@ -3,6 +3,7 @@
 from cohortspan.catalog import (
     cohort_queries,
     contract_queries,
+    io_queries,
     mixed_queries,
     path_queries,
     table_queries,
@@ -14,6 +15,7 @@ __all__ = [
     "QUERIES",
     "cohort_queries",
     "contract_queries",
+    "io_queries",
     "mixed_queries",
     "path_queries",
     "table_queries",

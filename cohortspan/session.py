@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -36,3 +38,16 @@ def spread(df: DataFrame, keys: Sequence[str], partitions: int | None = None) ->
     if partitions is None:
         partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return df.repartition(partitions, *keys)
+
+
+def scratch_folder(spark: SparkSession, name: str) -> str:
+    """A new folder for tables of a query, inside ``spark.checkpoint.dir``, which all executors share.
+
+    Where that is unset, Spark must be local, and the folder is a temporary one.
+    """
+    root = spark.conf.get("spark.checkpoint.dir", "")
+    if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        root = "file://" + tempfile.gettempdir()
+    return f"{root}/{name}-{uuid.uuid4().hex}"

@@ -49,6 +49,10 @@ _LEGACY = {
 }
 
 
+#: Types that text is read back as.
+_TYPED = ("int", "bigint", "double", "float", "boolean", "date", "timestamp")
+
+
 class ModelReadError(Exception):
     """A model could not be read; no part of it is returned."""
 
@@ -69,7 +73,8 @@ def _read_table(
         frames += [_read_folders(spark, one, fmt, known, present) for one in some]
     df = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
     if fmt == "csv":
-        df = typed(df, {**columns, "row_id": "bigint"})
+        written = {c: t for part in parts for c, t in zip(part.columns or (), part.types or ()) if t in _TYPED}
+        df = typed(df, {**written, **columns, "row_id": "bigint"})
     missing = [k for k in keys if k not in df.columns]
     if missing == [SCENARIO]:
         # A single model without a key column is scenario 0.
@@ -247,8 +252,9 @@ def write_model(
         if fmt == "csv" and "present_columns" in df.columns:
             df = df.withColumn("present_columns", F.concat_ws(";", "present_columns"))
         _write(df, f"{path}/{place}{name}", fmt, partition_by if name not in _FIELDS else ())
-        columns = tuple(c for c in df.columns if c not in partition_by)
-        tables[name] = [*(tables.get(name, []) if mode == "append" else []), Part(f"{place}{name}", columns)]
+        kinds = {c: t for c, t in df.dtypes if c not in partition_by}
+        part = Part(f"{place}{name}", tuple(kinds), tuple(kinds.values()))
+        tables[name] = [*(tables.get(name, []) if mode == "append" else []), part]
     manifest.publish(spark, path, Manifest(1 if before is None else before.version + 1, fmt, tables))
 
 

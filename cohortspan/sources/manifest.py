@@ -27,10 +27,12 @@ class VersionConflict(Exception):
 
 @dataclass(frozen=True)
 class Part:
-    """A folder, relative to the bundle's, and the columns of its files in order (None: not known)."""
+    """A folder, relative to the bundle's, and the columns of its files in order with their types
+    (None: not known)."""
 
     folder: str
     columns: tuple[str, ...] | None = None
+    types: tuple[str, ...] | None = None
 
 
 @dataclass(frozen=True)
@@ -120,8 +122,9 @@ def read_version(spark: SparkSession, path: str, version: int | None = None) ->
     if not versions or (version is not None and version not in versions):
         return None
     found = json.loads(store.read(MANIFESTS, _name(versions[-1] if version is None else version)))
+    listed = lambda names: None if names is None else tuple(names)
     tables = {
-        table: [Part(p["folder"], None if p["columns"] is None else tuple(p["columns"])) for p in parts]
+        table: [Part(p["folder"], listed(p["columns"]), listed(p["types"])) for p in parts]
         for table, parts in found["tables"].items()
     }
     return Manifest(found["version"], found["fmt"], tables)
