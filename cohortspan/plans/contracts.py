@@ -128,15 +128,27 @@ def rates(bundle: LegacyBundle) -> DataFrame:
     return parameters(bundle.globals, bundle.keys, LEGACY_GLOBALS)
 
 
+#: Treatments of a plan that are matched with its contracts in one place.
+MATCHED = 1024
+
+
+def _plan_blocks(bundle: LegacyBundle) -> DataFrame:
+    """``plan, blocks``: how many places the treatments of each plan are dealt to."""
+    count = F.ceil(F.count(F.lit(1)) / F.lit(MATCHED)).cast("int")
+    return bundle.treatments.groupBy(*bundle.keys, "plan").agg(count.alias("blocks"))
+
+
 def projected_treatments(bundle: LegacyBundle, partitions: int | None = None) -> DataFrame:
-    """One row per treatment with rates, QALY by period and projected shares."""
+    """One row per treatment with rates, QALY by period and projected shares.
+
+    Treatments of a plan that has very many are dealt into blocks by a hash of their names, numbered
+    ``block``, so that a plan doesn't have to fit one task.
+    """
     keys = list(bundle.keys)
+    treatments = complete_treatments(bundle.treatments).join(_plan_blocks(bundle), [*keys, "plan"], "left")
+    dealt = treatments.withColumn("block", F.expr("pmod(xxhash64(name), coalesce(blocks, 1))"))
     rows = spread(
-        with_parameters(
-            complete_treatments(bundle.treatments), rates(bundle), keys, LEGACY_GLOBALS
-        ),
-        [*keys, "plan"],
-        partitions,
+        with_parameters(dealt, rates(bundle), keys, LEGACY_GLOBALS), [*keys, "plan", "block"], partitions
     )
     shares = project_shares(
         treatment_edges(), "health_states", "CAST(time_horizon AS INT)"
@@ -147,21 +159,29 @@ def projected_treatments(bundle: LegacyBundle, partitions: int | None = None) ->
     return (
         rows.withColumn("shares", F.expr(shares))
         .withColumn("weights", F.expr(quality_ramp()))
-        .select(*keys, "plan", "name", *LEGACY_GLOBALS, "shares", F.expr(weighed).alias("health"))
+        .select(*keys, "plan", "block", "name", *LEGACY_GLOBALS, "shares", F.expr(weighed).alias("health"))
     )
 
 
 def _matched(bundle: LegacyBundle, partitions: int | None) -> DataFrame:
-    """One row per treatment and matching contract with its terms, shares and QALY by period."""
+    """One row per treatment and matching contract with its terms, shares and QALY by period.
+
+    Contracts go to each block of their plan's treatments.
+    """
     keys = list(bundle.keys)
     # A plan has as few contracts as a model lists.
     numbered = ordered_scan(
         complete_contracts(bundle.contracts), [*keys, "plan"], ["row_id"], cuts=None, nth=position()
     )
-    contracts = numbered.select(
-        *keys, "plan", F.col("name").alias("contract"), "nth", *LEGACY_CONTRACT_DEFAULTS
+    contracts = numbered.join(_plan_blocks(bundle), [*keys, "plan"]).select(
+        *keys,
+        "plan",
+        F.expr("explode(sequence(0L, blocks - 1L)) AS block"),
+        F.col("name").alias("contract"),
+        "nth",
+        *LEGACY_CONTRACT_DEFAULTS,
     )
-    return projected_treatments(bundle, partitions).join(contracts, [*keys, "plan"])
+    return projected_treatments(bundle, partitions).join(contracts, [*keys, "plan", "block"])
 
 
 #: Figures of a matched row in the period with shares ``x`` and 0-based number ``i``.

@@ -1,6 +1,7 @@
 """The older model form against a plain calculation."""
 
 import pytest
+from pyspark.sql import functions as F
 
 from cohortspan.plans import contracts, sweep, validate
 from cohortspan.tables import LegacyBundle
@@ -249,3 +250,18 @@ def test_sweep_names_what_is_missing(bundle):
         sweep.vary(bundle, None, [sweep.Cell("no_table", "a", "b", "array(1D)")])
     with pytest.raises(ValueError, match="Could not find column: b"):
         sweep.vary(bundle, None, [sweep.Cell("global_table", "a", "b", "array(1D)")])
+
+
+def test_a_plan_with_very_many_treatments_is_spread(spark, bundle, monkeypatch):
+    """4,000 treatments on one plan are no single partition, and each gets what it gets alone."""
+    monkeypatch.setattr(contracts, "MATCHED", 50)
+    copies = bundle.treatments.where("plan = 1").selectExpr(
+        "scenario_id", "explode(sequence(1L, 4000L)) AS row_id", "plan", "p_HU", "p_HD", "p_UD", "health_states",
+        "QoL_start", "QoL_end", "random_state", "random_state2", "p_HU2",
+    ).selectExpr("*", "concat('Early ', row_id) AS name")
+    hot = bundle.with_tables(treatments=copies)
+    sizes = [r["count"] for r in contracts._matched(hot, 8).groupBy(F.spark_partition_id()).count().collect()]
+    assert sum(sizes) == 8000 and len(sizes) == 8 and max(sizes) < 2.5 * sum(sizes) / 8
+    alone = {tuple(r[1:]) for r in contracts.details(bundle).where("plan = 1").drop("name").collect()}
+    found = {(r["plan"], r["contract"], r["QALY"], r["Cost"]) for r in contracts.details(hot).collect()}
+    assert found == alone
