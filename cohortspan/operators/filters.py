@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cohortspan.operators.scan import ordered_scan, position
+from cohortspan.operators.scan import group_size, ordered_scan, position
 
 
 def choice_predicate(df: DataFrame, choices: dict[str, Sequence]) -> Column:
@@ -77,23 +77,12 @@ def rows_between(
 
 
 def top_by_group(
-    df: DataFrame, keys: Sequence[str], by: str, count: Column, salts: int | None = None
+    df: DataFrame, keys: Sequence[str], by: str, count: Column, tasks: int | None = None
 ) -> DataFrame:
     """The last ``count`` rows of each group in order of ``by``; ``count`` is a column.
 
-    Ranked twice: inside a salted part of the group first, then among the survivors, so that no
-    task sees more of a group than its part. Parts are as many as shuffle partitions by default.
+    A row is among them by its place from the end. Groups above a task's share are cut along their
+    order and their blocks counted, so neither a large group nor a large ``count`` meets in one task.
     """
-    if salts is None:
-        salts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    salt = F.pmod(F.xxhash64(by), F.lit(salts))
-    part = Window.partitionBy(*keys, "__salt").orderBy(F.desc(by))
-    whole = Window.partitionBy(*keys).orderBy(F.desc(by))
-    return (
-        df.withColumn("__salt", salt)
-        .withColumn("__at", F.row_number().over(part))
-        .where(F.col("__at") <= count)
-        .withColumn("__at", F.row_number().over(whole))
-        .where(F.col("__at") <= count)
-        .drop("__salt", "__at")
-    )
+    placed = ordered_scan(df, keys, [by], tasks=tasks, __at=position(), __size=group_size())
+    return placed.where(F.col("__size") - F.col("__at") < count).drop("__at", "__size")

@@ -154,9 +154,10 @@ def test_rows_between(rows):
     assert {r["id"] for r in rest.collect()} == expected
 
 
-def test_top_by_group(spark):
+@pytest.mark.parametrize("tasks", [None, 4])
+def test_top_by_group(spark, tasks):
     df = spark.createDataFrame([(k, i, k + 1.0) for k in range(3) for i in range(50)], "k int, i int, n double")
-    kept = top_by_group(df, ["k"], "i", F.col("n"), salts=4).collect()
+    kept = top_by_group(df, ["k"], "i", F.col("n"), tasks=tasks).collect()
     assert {(r["k"], r["i"]) for r in kept} == {
         (0, 49), (1, 49), (1, 48), (2, 49), (2, 48), (2, 47),
     }
@@ -210,3 +211,17 @@ def test_cut_points_of_few_rows(spark):
     df = spark.range(100).select(F.lit(1).alias("key"), "id")
     assert len(scan.find_cuts(df, ["key"], ["id"], tasks=8).first()["__cuts"]) == 6
     assert scan.find_cuts(df.where("id < 0"), ["key"], ["id"], tasks=8).isEmpty()
+
+
+def test_top_of_a_large_group_is_spread(spark):
+    """100,000 of 300,000 rows of one group, found and kept in all tasks."""
+    df = spark.range(0, 300_000, 1, 6).select(F.lit("g").alias("key"), F.expr("id * 7919 % 300000").alias("name"))
+    kept = top_by_group(df, ["key"], "name", F.lit(100_000), tasks=8)
+    merged = "spark.sql.adaptive.coalescePartitions.enabled"  # few bytes, which would be put together
+    spark.conf.set(merged, False)
+    try:
+        sizes = [r["count"] for r in kept.groupBy(F.spark_partition_id()).count().collect()]
+    finally:
+        spark.conf.unset(merged)
+    assert sum(sizes) == 100_000 and len(sizes) > 2 and max(sizes) < 60_000
+    assert kept.agg(F.min("name")).first()[0] == 200_000
