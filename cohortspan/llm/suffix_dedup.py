@@ -306,7 +306,36 @@ def suffix_dedup(documents: DataFrame, length: int = LENGTH) -> DataFrame:
     return without_strings(documents, repeated_starts(documents, length), length)
 
 
-@query("op9_suffix_dedup")
+SQL = """
+WITH docs AS (
+  SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents
+), windows AS (
+  SELECT doc_id, i, md5(substr(h, 2 * i + 1, 800)) AS w
+  FROM (SELECT doc_id, h, unnest(range(0, length(h) // 2 - 399)) AS i FROM docs)
+), twice AS (
+  SELECT doc_id, i, lag(i) OVER (PARTITION BY doc_id ORDER BY i) AS before
+  FROM (SELECT *, count(*) OVER (PARTITION BY w) AS n FROM windows) WHERE n > 1
+), spans AS (
+  SELECT doc_id, min(i) AS a, max(i) + 400 AS b
+  FROM (SELECT *, count(*) FILTER (WHERE before IS NULL OR i - before > 400)
+          OVER (PARTITION BY doc_id ORDER BY i) AS span FROM twice)
+  GROUP BY doc_id, span
+), removed AS (
+  SELECT doc_id, sum(b - a) AS n, count(*) AS spans, max(b) AS last,
+    string_agg(kept, '' ORDER BY a) AS kept
+  FROM (SELECT s.*, substr(h, 2 * start + 1, 2 * (a - start)) AS kept
+        FROM (SELECT *, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS start FROM spans) s
+        JOIN docs USING (doc_id))
+  GROUP BY doc_id
+)
+SELECT doc_id, CAST(length(h) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(n, 0) AS BIGINT) AS n_removed,
+  CAST(coalesce(spans, 0) AS BIGINT) AS n_spans,
+  sha256(unhex(coalesce(kept, '') || substr(h, 2 * coalesce(last, 0) + 1))) AS kept_sha256
+FROM docs LEFT JOIN removed USING (doc_id)
+"""
+
+
+@query("op9_suffix_dedup", SQL)
 def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents").select("doc_id", "text")
     return suffix_dedup(documents).select(

@@ -59,3 +59,24 @@ def test_empty_tables(spark):
     none = odd.documents(spark, [])
     assert windows.substring_dedup(none).collect() == []
     assert strings.suffix_dedup(none).collect() == []
+
+
+def test_passages_below_and_above_the_length(spark):
+    """Planted passages of over 50 words: those of 400 bytes and more go, shorter ones stay, a hot one
+    in every fourth document included; the rest is left alone."""
+    rng = random.Random(9)
+    word = lambda n: "".join(rng.choice("abcdefghij") for _ in range(n))
+    passages = {"short": [" ".join(word(5) for _ in range(52)) for _ in range(4)]}
+    passages["long"] = [" ".join(word(8) for _ in range(52)) for _ in range(4)]
+    passages["hot"] = [" ".join(word(9) for _ in range(55))]
+    assert all(len(p) < 400 for p in passages["short"]) and all(len(p) > 400 for p in passages["long"])
+    rows, held = [], {}
+    for i in range(160):
+        kind = ["hot", "short", "long", None][i % 4]
+        held[i] = kind
+        body = [" ".join(word(7) for _ in range(60)) for _ in range(2)]
+        rows.append((i, f" {rng.choice(passages[kind]) if kind else word(300)} ".join(body)))
+    out = {r.doc_id: r for r in strings.suffix_dedup(odd.documents(spark, rows)).collect()}
+    for (i, _), expected in zip(rows, odd.without_strings(rows, 400)):
+        assert (out[i].n_bytes, out[i].n_removed, out[i].n_spans) == expected[:3]
+        assert (out[i].n_removed > 0) == (held[i] in ("long", "hot"))
