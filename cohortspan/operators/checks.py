@@ -89,6 +89,35 @@ def range_check(
     return found
 
 
+def range_violations(
+    df: DataFrame, fields: DataFrame | dict[str, tuple], table: str, row: str, *, keys: Sequence[str] = ()
+) -> Column:
+    """The same as one expression: an array of (table, column, row, message) for each row of ``df``."""
+    numbers = numeric_columns(df, (*keys, row))
+    limits = fields if isinstance(fields, dict) else limits_of(fields, numbers)
+    found = []
+    for name in numbers:
+        title, low, high = limits.get(name, (None, None, None))
+        value = F.col(name).cast("double")
+        under = F.lit(False) if low is None else F.coalesce(value < low, F.lit(False))
+        over = F.lit(False) if high is None else F.coalesce(value > high, F.lit(False))
+        if low is not None or high is not None:
+            message = range_message(value, under)
+            found.append(F.when(under | over, violation(table, F.lit(title), F.col(row), message)))
+    return violations(found)
+
+
+def violation(table: str, column: Column, row: Column, message: Column) -> Column:
+    values = (F.lit(table), column.cast("string"), row.cast("long"), message)
+    return F.struct(*[value.alias(name) for name, value in zip(ERROR_COLUMNS, values)])
+
+
+def violations(found: Sequence[Column]) -> Column:
+    """Those of ``found`` that aren't null, as an array."""
+    none = F.lit(None).cast("struct<table: string, column: string, row: bigint, message: string>")
+    return F.array_compact(F.array(none, *found))
+
+
 def range_message(value: Column, under: Column) -> Column:
     side = F.when(under, F.lit("below minimum value")).otherwise(
         F.lit("above maximum value")

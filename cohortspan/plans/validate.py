@@ -4,12 +4,11 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cohortspan.operators.checks import ERROR_COLUMNS, range_check
+from cohortspan.operators.checks import range_violations, violation, violations
 from cohortspan.operators.columns import fill_defaults
-from cohortspan.operators.matching import unmatched
 from cohortspan.tables import (
     GLOBAL_FIELDS,
     LEGACY_TREATMENT_DEFAULTS,
@@ -19,35 +18,121 @@ from cohortspan.tables import (
 )
 
 
-def unmatched_payments(bundle: ModelBundle, table: str, other: str) -> DataFrame:
-    """Rows of one table (``states`` or ``payments``) whose plan is missing in the other."""
-    frames = {"states": bundle.states, "payments": bundle.payments}
-    labels = {"states": "state_table", "payments": "payment_table"}
+def _lost(keys: list[str], table: str, other: str) -> Column:
+    """A violation where a plan is named that the other table lacks (``known`` is null)."""
+    message = F.concat(F.lit("The payment plan: '"), F.col("payment"), F.lit(f"' cannot be found in: {other}"))
+    given = F.col("payment").isNotNull() & F.col("known").isNull()
+    for key in keys:
+        given = given & F.col(key).isNotNull()
+    return F.when(given, violation(table, F.lit("payment"), F.col("row_id"), message))
+
+
+def _state_rows(bundle: ModelBundle) -> DataFrame:
+    """States beside what is known of their plan: ``known``, and ``total``, whether it has one."""
     keys = list(bundle.keys)
-    lost = unmatched(frames[table].where("payment IS NOT NULL"), frames[other], [*keys, "payment"])
-    message = F.concat(
-        F.lit("The payment plan: '"),
-        F.col("payment"),
-        F.lit(f"' cannot be found in: {labels[other]}"),
-    )
-    return lost.select(
-        *keys,
-        F.lit(labels[table]).alias("table"),
-        F.lit("payment").alias("column"),
-        F.col("row_id").cast("long").alias("row"),
-        message.alias("message"),
+    plans = fill_defaults(bundle.payments, PAYMENT_DEFAULTS).groupBy(*keys, "payment")
+    facts = plans.agg(F.lit(True).alias("known"), F.max(F.col("tot_payment") > 0).alias("total"))
+    return bundle.states.join(facts, [*keys, "payment"], "left")
+
+
+def _state_errors(bundle: ModelBundle) -> Column:
+    """Violations of a row of ``_state_rows``."""
+    limits = range_violations(bundle.states, bundle.state_fields, "state", "row_id", keys=bundle.keys)
+    return F.concat(limits, violations([_lost(list(bundle.keys), "state_table", "payment_table")]))
+
+
+def _plan_errors(bundle: ModelBundle, limits: bool, rules: bool) -> DataFrame:
+    """Violations of plans, all from one reading of them beside the plans that states use."""
+    keys, found = list(bundle.keys), []
+    rows = bundle.payments
+    if limits:
+        used = bundle.states.select(*keys, "payment").distinct().withColumn("known", F.lit(True))
+        rows = rows.join(used, [*keys, "payment"], "left")
+        found.append(range_violations(bundle.payments, bundle.payment_fields, "payment", "row_id", keys=keys))
+        found.append(violations([_lost(keys, "payment_table", "state_table")]))
+    if rules:
+        # filled cells stay beside those given, which the limits are for
+        own = fill_defaults(rows.withColumn("__row", F.struct(*[F.col(c) for c in rows.columns])), PAYMENT_DEFAULTS)
+        rows = own.select("__row.*", F.struct(*PAYMENT_DEFAULTS).alias("__filled"))
+        filled = {name: F.col(f"__filled.{name}") for name in PAYMENT_DEFAULTS}
+        total = filled["tot_payment"] > 0
+        no_length = F.concat(F.lit("No instalment to pay the total of: "), F.col("payment"))
+        both = F.concat(F.lit("Both a total and a continuous payment: "), F.col("payment"))
+        broken = {
+            "contract_length": (filled["contract_length"] < 1, no_length),
+            "cont_payment": (filled["cont_payment"] > 0, both),
+        }
+        found.append(
+            violations(
+                [
+                    F.when(total & is_broken, violation("payment_table", F.lit(column), F.col("row_id"), message))
+                    for column, (is_broken, message) in broken.items()
+                ]
+            )
+        )
+    return rows.select(*keys, F.concat(*found).alias("found"))
+
+
+def _treatment_errors(bundle: ModelBundle, limits: bool) -> DataFrame:
+    """Violations of treatments, and of their states with ``limits``, from one grouping of the states.
+
+    A treatment's states fit one row, as they do in the analysis.
+    """
+    keys = list(bundle.keys)
+    row = F.struct("state", "row_id", F.col("payment").isNull().alias("free"))
+    facts = {
+        "first": F.min("state"),
+        "n": F.count("state"),
+        "kinds": F.size(F.collect_set("state")),
+        "row": F.min("row_id"),
+        "totals": F.size(F.collect_set(F.when(F.col("total"), F.col("payment")))),
+        "total_row": F.min(F.when(F.col("total"), F.col("row_id"))),
+        "last": F.max(row),
+        "free": F.count_if(F.col("payment").isNull()),
+    }
+    if limits:
+        facts["rows"] = F.flatten(F.collect_list("found"))
+    rows = _state_rows(bundle)
+    if limits:
+        rows = rows.withColumn("found", _state_errors(bundle))
+    grouped = rows.groupBy(*keys, "treatment").agg(*[value.alias(name) for name, value in facts.items()])
+    # An array of its states stands for a treatment, so no state may lie far out.
+    longest = next(most for name, _, _, _, most, _ in GLOBAL_FIELDS if name == "time_horizon")
+    name = F.col("treatment")
+    broken = [
+        (F.col("totals") > 1, "payment", "total_row", F.concat(name, F.lit(" uses several plans with a total"))),
+        (
+            (F.col("first") != 1) | (F.col("n") != F.col("kinds")),
+            "state",
+            "row",
+            F.concat(F.lit("States must start at 1 and increase: "), name),
+        ),
+        (F.col("last.state") > longest, "state", "last.row_id", F.concat(F.lit("States beyond the longest horizon: "), name)),
+        (
+            F.col("free") > F.when(F.col("last.free"), 1).otherwise(0),
+            "payment",
+            "last.row_id",
+            F.concat(F.lit("A state before the last has no plan: "), name),
+        ),
+    ]
+    own = violations(
+        [
+            F.when(is_broken, violation("state_table", F.lit(column), F.col(at), message))
+            for is_broken, column, at, message in broken
+        ]
     )
+    return grouped.select(*keys, F.concat(own, F.col("rows")).alias("found") if limits else own.alias("found"))
+
+
+def _listed(bundle: ModelBundle, parts: list[DataFrame]) -> DataFrame:
+    return reduce(DataFrame.unionByName, parts).select(*bundle.keys, F.inline("found"))
 
 
 def check_model(bundle: ModelBundle) -> DataFrame:
-    """All violations of a model as ``(keys, table, column, row, message)``."""
-    parts = [
-        range_check(bundle.states, bundle.state_fields, "state", "row_id", keys=bundle.keys),
-        range_check(bundle.payments, bundle.payment_fields, "payment", "row_id", keys=bundle.keys),
-        unmatched_payments(bundle, "states", "payments"),
-        unmatched_payments(bundle, "payments", "states"),
-    ]
-    return reduce(DataFrame.unionByName, parts).select(*bundle.keys, *ERROR_COLUMNS)
+    """All violations of a model as ``(keys, table, column, row, message)``: values beyond their limits
+    and plans that only one of the two tables has."""
+    states = _state_rows(bundle).select(*bundle.keys, _state_errors(bundle).alias("found"))
+    return _listed(bundle, [states, _plan_errors(bundle, limits=True, rules=False)])
 
 
 def check_rules(bundle: ModelBundle) -> DataFrame:
@@ -57,85 +142,13 @@ def check_rules(bundle: ModelBundle) -> DataFrame:
     continuously, the states of a treatment start at 1, rise, end by the longest horizon, and all but
     the last have a plan.
     """
-    keys = list(bundle.keys)
-    named = [*keys, "treatment"]
-    plans = fill_defaults(bundle.payments, PAYMENT_DEFAULTS).where("tot_payment > 0")
-    several = (
-        bundle.states.join(plans.select(*keys, "payment"), [*keys, "payment"])
-        .groupBy(*named)
-        .agg(F.countDistinct("payment").alias("n"), F.min("row_id").alias("row"))
-        .where("n > 1")
-        .select(
-            *keys,
-            F.lit("state_table").alias("table"),
-            F.lit("payment").alias("column"),
-            "row",
-            F.concat(F.col("treatment"), F.lit(" uses several plans with a total")).alias(
-                "message"
-            ),
-        )
-    )
-    no_length = plans.where("contract_length < 1").select(
-        *keys,
-        F.lit("payment_table").alias("table"),
-        F.lit("contract_length").alias("column"),
-        F.col("row_id").alias("row"),
-        F.concat(F.lit("No instalment to pay the total of: "), F.col("payment")).alias("message"),
-    )
-    order = (
-        bundle.states.groupBy(*named)
-        .agg(
-            F.min("state").alias("first"),
-            F.count("state").alias("n"),
-            F.countDistinct("state").alias("kinds"),
-            F.min("row_id").alias("row"),
-        )
-        .where("first != 1 OR n != kinds")
-        .select(
-            *keys,
-            F.lit("state_table").alias("table"),
-            F.lit("state").alias("column"),
-            "row",
-            F.concat(F.lit("States must start at 1 and increase: "), F.col("treatment")).alias(
-                "message"
-            ),
-        )
-    )
-    both = plans.where("cont_payment > 0").select(
-        *keys,
-        F.lit("payment_table").alias("table"),
-        F.lit("cont_payment").alias("column"),
-        F.col("row_id").alias("row"),
-        F.concat(F.lit("Both a total and a continuous payment: "), F.col("payment")).alias("message"),
-    )
-    # An array of its states stands for a treatment, so no state may lie far out.
-    longest = next(most for name, _, _, _, most, _ in GLOBAL_FIELDS if name == "time_horizon")
-    row = F.struct("state", "row_id", F.col("payment").isNull().alias("free"))
-    far = (
-        bundle.states.groupBy(*named)
-        .agg(F.max(row).alias("last"), F.count_if(F.col("payment").isNull()).alias("free"))
-        .select(
-            *keys,
-            "treatment",
-            "last",
-            (F.col("free") > F.when(F.col("last.free"), 1).otherwise(0)).alias("unpaid"),
-        )
-    )
-    beyond = far.where(F.col("last.state") > longest).select(
-        *keys,
-        F.lit("state_table").alias("table"),
-        F.lit("state").alias("column"),
-        F.col("last.row_id").alias("row"),
-        F.concat(F.lit("States beyond the longest horizon: "), F.col("treatment")).alias("message"),
-    )
-    unpaid = far.where("unpaid").select(
-        *keys,
-        F.lit("state_table").alias("table"),
-        F.lit("payment").alias("column"),
-        F.col("last.row_id").alias("row"),
-        F.concat(F.lit("A state before the last has no plan: "), F.col("treatment")).alias("message"),
-    )
-    return reduce(DataFrame.unionByName, [several, no_length, order, both, beyond, unpaid])
+    return _listed(bundle, [_treatment_errors(bundle, limits=False), _plan_errors(bundle, limits=False, rules=True)])
+
+
+def check(bundle: ModelBundle) -> DataFrame:
+    """``check_model`` and ``check_rules`` together, in one pass over each table (and one over the
+    names of plans in the other)."""
+    return _listed(bundle, [_treatment_errors(bundle, limits=True), _plan_errors(bundle, limits=True, rules=True)])
 
 
 def check_contracts(bundle: LegacyBundle) -> DataFrame:

@@ -165,3 +165,18 @@ def test_rules(spark):
         "States must start at 1 and increase: zeta",
         "alpha uses several plans with a total",
     ]
+
+
+def test_both_checks_at_once(spark):
+    """One pass gives what the two checks give; each table is read at most twice."""
+    bundle = bundle_of(spark, ["faulty", "crowd", "gaps"])
+    states = bundle.states.withColumn(
+        "payment", F.expr("CASE WHEN treatment = 'alpha' AND state = 2 THEN 'seven' WHEN row_id = 3 THEN 'none' ELSE payment END")
+    )
+    broken = bundle.with_tables(states=states, payments=bundle.payments.withColumn("contract_length", F.expr("contract_length - 5")))
+    found = validate.check(broken)
+    same_rows(found, validate.check_model(broken).unionByName(validate.check_rules(broken)))
+    kinds = {r["message"].split(":")[0] for r in found.collect()}
+    assert len(kinds) > 4
+    scans = found._jdf.queryExecution().optimizedPlan().toString()
+    assert scans.count("LogicalRDD") + scans.count("LocalRelation") <= 4
