@@ -21,7 +21,7 @@ from cohortspan.operators.chain import (
 )
 from cohortspan.operators.columns import fill_defaults, parameters, with_parameters
 from cohortspan.operators.expand import expand_states
-from cohortspan.operators.filters import top_by_group
+from cohortspan.operators.scan import group_size, ordered_scan, position
 from cohortspan.operators.schedule import payment_schedule
 from cohortspan.plans.grid import RATES as _RATES
 from cohortspan.session import spread
@@ -586,39 +586,28 @@ def incremental(
     return compare_arms(arms, bundle.keys)
 
 
-def _names_and_counts(bundle: ModelBundle) -> tuple[DataFrame, DataFrame]:
+def arms_of(bundle: ModelBundle) -> DataFrame:
+    """``(keys, treatment, is_control, actives, controls)``: the role of each treatment, and how many
+    there are at most in its scenario. The last ``control_count`` names of a scenario are controls."""
     keys = list(bundle.keys)
     names = bundle.states.select(*keys, "treatment").distinct()
+    placed = ordered_scan(names, keys, ["treatment"], __at=position(), actives=group_size())
     counts = global_record(bundle).select(*keys, "control_count")
-    return names, counts
-
-
-def controls_of(bundle: ModelBundle) -> DataFrame:
-    """``(keys, treatment)`` of the controls: the last ``control_count`` names of a scenario."""
-    keys = list(bundle.keys)
-    names, counts = _names_and_counts(bundle)
     count = F.coalesce(F.col("control_count"), F.lit(1.0))
-    return top_by_group(names.join(counts, keys, "left"), keys, "treatment", count).select(*keys, "treatment")
-
-
-def arms_of(bundle: ModelBundle) -> DataFrame:
-    """``(keys, treatment, is_control, actives, controls)``: the role of each treatment, and how many
-    have it in its scenario."""
-    keys = list(bundle.keys)
-    names, _ = _names_and_counts(bundle)
-    last = controls_of(bundle).groupBy(*keys).agg(
-        F.min("treatment").alias("__first"), F.count(F.lit(1)).alias("controls")
-    )
-    sizes = names.groupBy(*keys).agg(F.count(F.lit(1)).alias("actives")).join(last, keys, "left")
-    return names.join(sizes, keys, "left").select(
+    return placed.join(counts, keys, "left").select(
         *keys,
         "treatment",
-        (F.col("treatment") >= F.col("__first")).alias("is_control"),
+        (F.col("actives") - F.col("__at") < count).alias("is_control"),
         "actives",
-        F.coalesce("controls", F.lit(0)).alias("controls"),
+        F.least(F.col("actives").cast("double"), count).alias("controls"),
     )
 
 
+def controls_of(bundle: ModelBundle) -> DataFrame:
+    """``(keys, treatment)`` of the controls."""
+    return arms_of(bundle).where("is_control").select(*bundle.keys, "treatment")
+
+
 def plan_listing(bundle: ModelBundle) -> DataFrame:
     """Schedule of every plan from each state where it starts: ``payment_plan, start, time``.
 
