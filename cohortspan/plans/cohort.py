@@ -99,37 +99,55 @@ def _chains_and_uses(states: DataFrame, keys: Sequence[str]) -> tuple[DataFrame,
     return chains, uses
 
 
-def _varied_chains_and_uses(
-    bundle: ModelBundle, partitions: int | None
-) -> tuple[DataFrame, DataFrame]:
-    """The same for a sweep, with ``shares``: a row for each setting of the cells that touch an arm.
+def _varied_rows(
+    bundle: ModelBundle, span_scope: str, partitions: int | None, arms: DataFrame | None
+) -> DataFrame:
+    """``cohort_rows`` for a sweep: a row for each setting of the cells that touch an arm.
 
     A version of an arm's states is gathered and projected once, up to the longest horizon of its
-    scenario, for all settings of plans and rates.
+    scenario. A plan's terms travel as one array of all their settings, so joins take a row per arm and
+    plan; settings are told apart after the last of them, inside the row.
     """
     keys, grid = list(bundle.keys), bundle.grid
-    one = [*keys, "__chain", "treatment"]
-    spread_out = spread(grid.states(bundle.states), [*keys, "treatment"], partitions)
-    knots = gather_chains(spread_out, [*keys, "__chain"], _KNOT)
+    named = [*keys, "treatment"]
+    knots = gather_chains(spread(grid.states(bundle.states), named, partitions), [*keys, "__chain"], _KNOT)
     knots = knots.withColumn("__touched", F.expr(grid.touched("treatment", "knots.payment")))
-    settings = grid.settings("__chain", "__touched")
     longest = _rates(bundle).groupBy(*keys).agg(F.max("time_horizon").alias("time_horizon"))
     horizon = F.coalesce("time_horizon", F.lit(GLOBAL_DEFAULTS["time_horizon"])).cast("int")
     states = expanded_states(["p_prog", "p_death", "payment"])
-    projected = (
-        knots.select(*one, "__touched", F.expr(states).alias("states"))
+    chains = (
+        knots.select(*named, "__chain", "__touched", F.expr(states).alias("states"))
         .join(longest, keys, "left")
         .withColumn("time_horizon", horizon)
-        .select(*one, "__touched", "states", F.expr(_SHARES).alias("shares"))
+        .select(*named, "__chain", "__touched", "states", F.expr(_SHARES).alias("shares"))
     )
-    chains = projected.select(
-        *keys, F.explode(F.expr(settings)).alias(VARIANT), "treatment", "__touched", "states", "shares"
+    # all versions of an arm use the same plans in the same states
+    uses = knots.where("__chain = 0").selectExpr(*named, f"inline_outer({_plan_ranges()}) AS (payment, pstart, pend)")
+    setting = F.struct(F.col(VARIANT).alias("number"), *PAYMENT_DEFAULTS, *_RATES)
+    terms = plan_terms(bundle).groupBy(*keys, "payment").agg(F.collect_list(setting).alias("settings"))
+    if span_scope == "model":
+        spans = uses.groupBy(*keys, "payment").agg(F.min("pstart").alias("pstart"), F.max("pend").alias("pend"))
+        terms = spans.alias("u").join(terms.alias("t"), _same_plan(keys), "left").select("u.*", "t.settings")
+        uses = uses.drop("pstart", "pend")
+    joined = uses.alias("u").join(terms.alias("t"), _same_plan(keys), "left")
+    joined = joined.select(*[f"u.{c}" for c in (*named, "payment")], "pstart", "pend", "settings")
+    plan = F.struct("pstart", "payment", "pend", "settings")
+    offered = spread(joined, named, partitions).groupBy(*named).agg(F.array_sort(F.collect_list(plan)).alias("offered"))
+    ready = chains.join(offered, named)
+    if arms is not None:
+        ready = ready.join(arms, named, "left")
+    number = F.explode(F.expr(grid.settings("__chain", "__touched"))).alias(VARIANT)
+    mine = f"get(filter(o.settings, t -> t.number = {grid.terms_of(VARIANT, 'o.payment')}), 0)"
+    filled = ", ".join(f"'{c}', coalesce(x.t.{c}, 0D)" for c in PAYMENT_DEFAULTS)
+    told = ready.select("*", number).withColumn("__told", F.expr(f"transform(offered, o -> struct(o, {mine} AS t))"))
+    rates = {name: F.coalesce(F.array_max(F.col(f"__told.t.{name}")), F.lit(GLOBAL_DEFAULTS[name])) for name in _RATES}
+    priced = told.withColumns({**rates, "time_horizon": rates["time_horizon"].cast("int")}).withColumn(
+        "plans",
+        F.expr(f"""transform(__told, x -> named_struct('pstart', x.o.pstart, 'payment', x.o.payment,
+            'pend', x.o.pend, {filled}))"""),
     )
-    ranges = knots.selectExpr(*one, "__touched", f"{_plan_ranges()} AS ranges")
-    uses = ranges.select(
-        *keys, F.explode(F.expr(settings)).alias(VARIANT), "treatment", "ranges"
-    ).selectExpr(*keys, VARIANT, "treatment", "inline_outer(ranges) AS (payment, pstart, pend)")
-    return chains, uses
+    kept = priced.drop("__told", "offered", "__chain")
+    return kept.withColumn("shares", F.slice("shares", 1, F.col("time_horizon")))
 
 
 def _arm(bundle: ModelBundle, *passed: str) -> list[str]:
@@ -154,13 +172,11 @@ def cohort_rows(
     their terms and brought back. In a sweep a treatment has a row for each setting of the cells that
     touch it.
     """
-    keys, grid = list(bundle.keys), bundle.grid
-    setting = [] if grid is None else [VARIANT]
-    named = [*keys, *setting, "treatment"]
-    if grid is None:
-        chains, uses = _chains_and_uses(spread(bundle.states, named, partitions), keys)
-    else:
-        chains, uses = _varied_chains_and_uses(bundle, partitions)
+    if bundle.grid is not None:
+        return _varied_rows(bundle, span_scope, partitions, arms)
+    keys = list(bundle.keys)
+    named = [*keys, "treatment"]
+    chains, uses = _chains_and_uses(spread(bundle.states, named, partitions), keys)
     terms = plan_terms(bundle)
     if span_scope == "model":
         spans = uses.groupBy(*keys, "payment").agg(
@@ -169,15 +185,12 @@ def cohort_rows(
         terms = (
             spans.alias("u")
             .join(terms.alias("t"), _same_plan(keys), "left")
-            .select("u.*", *[f"t.{c}" for c in (*setting, *PAYMENT_DEFAULTS, *_RATES)])
+            .select("u.*", *[f"t.{c}" for c in (*PAYMENT_DEFAULTS, *_RATES)])
         )
         uses = uses.drop("pstart", "pend")
-    same = _same_plan(keys)
-    if grid is not None:
-        same.append(F.expr(f"t.{VARIANT} = {grid.terms_of(f'u.{VARIANT}', 'u.payment')}"))
     joined = (
         uses.alias("u")
-        .join(terms.alias("t"), same, "left")
+        .join(terms.alias("t"), _same_plan(keys), "left")
         .select(
             *[f"u.{c}" for c in (*named, "payment")],
             *[F.expr(f"coalesce({c}, 0D) AS {c}") for c in PAYMENT_DEFAULTS],
@@ -202,9 +215,7 @@ def cohort_rows(
     )
     ready = chains.join(offered, named)
     if arms is not None:
-        ready = ready.join(arms, [*keys, "treatment"], "left")
-    if grid is not None:
-        return ready.withColumn("shares", F.slice("shares", 1, F.col("time_horizon")))
+        ready = ready.join(arms, named, "left")
     return ready.withColumn("shares", F.expr(_SHARES))
 
 
