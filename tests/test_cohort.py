@@ -315,7 +315,7 @@ def test_cells_that_change_the_pairs_are_swept_by_copies(bundle):
 def test_a_scenario_with_very_many_arms_is_spread(spark):
     """20,000 arms and 10 controls in one scenario: no task makes more than its share of the pairs."""
     arms = spark.range(20_010).selectExpr(
-        "0 AS scenario_id", "format_string('%05d', id) AS treatment", "CAST(id AS DOUBLE) AS Cost", "id / 7D AS QALY",
+        "id DIV 1000000 AS scenario_id", "format_string('%05d', id) AS treatment", "CAST(id AS DOUBLE) AS Cost", "id / 7D AS QALY",
         "id >= 20000 AS is_control", "20010 AS actives", "10 AS controls",
     )
     pairs = cohort.compare_arms(arms, ["scenario_id"])
