@@ -93,8 +93,8 @@ def beside_documents(documents: DataFrame, lists: DataFrame, how: str) -> DataFr
     return d.join(x, same, how).select("d.*", *listed)
 
 
-def split_join(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
-    """Inner join on ``keys`` that Spark can split where a key is hot.
+def split_join(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """Join on ``keys`` that Spark can split where a key is hot.
 
     A hash of the keys is a join key too. Neither side is laid out by it, so both are exchanged for
     the join alone, which is when adaptive execution may split a partition.
@@ -102,7 +102,7 @@ def split_join(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
     both = [F.xxhash64(*[F.col(f"{side}.{k}") for k in keys]) for side in "lr"]
     same = [F.col(f"l.{k}") == F.col(f"r.{k}") for k in keys] + [both[0] == both[1]]
     more = [F.col(f"r.{c}") for c in right.columns if c not in keys]
-    return left.alias("l").join(right.alias("r"), same).select("l.*", *more)
+    return left.alias("l").join(right.alias("r"), same, how).select("l.*", *more)
 
 
 def packed_rows(documents: DataFrame) -> DataFrame:

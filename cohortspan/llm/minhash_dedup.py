@@ -9,9 +9,12 @@ confirmed on the full shingle sets.
    for it (pre-aggregated, so a set in a third of all rows costs one row by partition).
 2. Class representatives meet in buckets by band. Buckets with the same members, which is what most
    bands of a group give, are counted once: by size, smallest id, and two sums over members.
-3. A bucket is cut into parts of bounded size; each pair of parts is one unit of work, which holds
-   at most two parts. It links its members exactly and returns a spanning forest, never all pairs.
-4. Components of these links, by rounds of joins.
+3. A bucket is cut into parts of bounded size. A unit of work holds a part and a few pivots, members
+   that go to every part of their bucket. It links its members exactly and returns a spanning forest,
+   never all pairs. These links give first components, by rounds of joins.
+4. Members of a bucket that a component already joins need no comparison with each other. What lies
+   outside the bucket's largest component is cut into parts again and held against all members, so
+   every pair that is not connected yet is compared: a bucket of n with u such members costs n * u.
 """
 
 from __future__ import annotations
@@ -24,7 +27,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortspan.llm.common import keyed_texts, partitions, slices, stored, table, without_listed
+from cohortspan.llm.common import (
+    keyed_texts,
+    partitions,
+    slices,
+    split_join,
+    stored,
+    table,
+    without_listed,
+)
 from cohortspan.llm.components import connected_components
 from cohortspan.llm.registry import query
 from cohortspan.llm.shingles import mixed, row_hashes, shingle_set, words_of
@@ -32,8 +43,8 @@ from cohortspan.llm.shingles import mixed, row_hashes, shingle_set, words_of
 #: Slots of the ring, bands, and coordinates in a band. At similarity 0.85 a pair misses all bands
 #: with probability (1 - 0.85 ** 4) ** 24 < 3e-8; at 0.8 it is 4e-6.
 SLOTS, BANDS, ROWS = 1 << 20, 24, 4
-#: Members in a part of a bucket.
-PART = 256
+#: Members in a part of a bucket, and members that go to each of its parts.
+PART, PIVOTS = 256, 4
 #: Shingles whose signature values are held at once.
 _BLOCK = 1 << 15
 
@@ -92,13 +103,24 @@ def signatures(documents: DataFrame, bands: int = BANDS) -> DataFrame:
 
 
 def shingle_table(documents: DataFrame, wanted: DataFrame) -> DataFrame:
-    """doc_id and shingles (packed 64-bit hashes) of the documents whose id is ``wanted``."""
+    """doc_id and shingles (packed 64-bit hashes) of the documents whose id is ``wanted``.
+
+    Rows come sorted by id, so a row repeated many times is one set.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, seen = None, set()
         for part in slices(batches):
-            doc_ids, texts = part.columns
-            sets = [shingle_set(words_of(text, fold=True)).tobytes() for text in texts.to_pylist()]
-            yield pa.RecordBatch.from_arrays([doc_ids, pa.array(sets, pa.binary())], ["doc_id", "shingles"])
+            ids, sets = [], []
+            for doc_id, text in zip(*[column.to_pylist() for column in part.columns]):
+                if doc_id != last:
+                    last, seen = doc_id, set()
+                if text not in seen:
+                    seen.add(text)
+                    ids.append(doc_id)
+                    sets.append(shingle_set(words_of(text, fold=True)).tobytes())
+            columns = [pa.array(ids, pa.int64()), pa.array(sets, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "shingles"])
 
     rows = documents.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     # the wanted ids grow with the documents: always a sorted merge, never a broadcast
@@ -196,25 +218,13 @@ def _links_in_units(members: DataFrame, percent: int) -> DataFrame:
     return sorted_units.select("unit", "doc_id", "shingles").mapInArrow(run, "a bigint, b bigint")
 
 
-def near_duplicates(
-    documents: DataFrame, percent: int = 80, bands: int = BANDS, part: int = PART
-) -> DataFrame:
-    """doc_id, row, n_shingles, component_id, kept for every row of ``documents``.
+def bucket_members(classes: DataFrame, part: int = PART) -> DataFrame:
+    """bucket, doc_id, parts (of the bucket), mine (its part), pivot, for buckets of two and more.
 
-    Documents are linked where 100 * common >= percent * union of their shingle sets. component_id
-    is the smallest doc_id reachable, kept says that it is the row's own. Empty sets are linked with
-    nothing. Repeated rows share a class. Rows that repeat a doc_id with another text go by their own
-    text; where that id stands for both classes these are one node. Rows without a doc_id are linked
-    with nothing, have no component_id and are kept. Other columns play no part.
+    ``classes`` has rep and bands. Pivots are the members with the least of ``PIVOTS`` hashes.
     """
-    rows = stored(signatures(documents, bands), "signatures")
-    known = rows.where(F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0))
-    classes = stored(
-        known.groupBy("d1", "d2").agg(F.min(F.struct("doc_id", "bands")).alias("of"))
-        .select("d1", "d2", F.col("of.doc_id").alias("rep"), F.col("of.bands").alias("bands")),
-        "classes",
-    )
     in_bands = classes.select("rep", F.posexplode("bands").alias("band", "key"))
+    tries = [F.xxhash64(F.lit(f"pivot {i}"), "rep") for i in range(PIVOTS)]
     buckets = (
         in_bands.groupBy("band", "key")
         .agg(
@@ -222,29 +232,106 @@ def near_duplicates(
             F.min("rep").alias("least"),
             F.sum(F.xxhash64("rep").cast("decimal(20,0)")).alias("sum"),
             F.bit_xor(F.xxhash64(F.lit("xor"), "rep")).alias("xor"),
+            *[F.min(of).alias(f"pivot{i}") for i, of in enumerate(tries)],
         )
         .where("size > 1")
-        .groupBy("size", "least", "sum", "xor")
+        .groupBy("size", "least", "sum", "xor", *[f"pivot{i}" for i in range(PIVOTS)])
         .agg(F.min(F.struct("band", "key")).alias("bucket"))
-        .select("bucket.band", "bucket.key", F.ceil(F.col("size") / part).alias("parts"))
+        .select(
+            "bucket.band",
+            "bucket.key",
+            F.ceil(F.col("size") / part).alias("parts"),
+            F.array(*[f"pivot{i}" for i in range(PIVOTS)]).alias("pivots"),
+        )
         .withColumn("split", F.xxhash64("band", "key"))
     )
-    members = (
+    return (
         in_bands.withColumn("split", F.xxhash64("band", "key"))
         .join(buckets, ["band", "key", "split"])
-        .select("band", "key", "parts", F.col("rep").alias("doc_id"))
-        .withColumn("mine", F.pmod(F.xxhash64("doc_id", "band"), F.col("parts")))
+        .select(
+            F.xxhash64("band", "key").alias("bucket"),
+            F.col("rep").alias("doc_id"),
+            "parts",
+            F.pmod(F.xxhash64("rep", "band"), F.col("parts")).alias("mine"),
+            F.arrays_overlap(F.array(*tries), "pivots").alias("pivot"),
+        )
+    )
+
+
+def first_units(members: DataFrame) -> DataFrame:
+    """unit, doc_id: each part of a bucket with the bucket's pivots. A bucket of n is n rows, and
+    ``PIVOTS`` for each part."""
+    to = F.when(F.col("pivot"), F.expr("sequence(0L, parts - 1)")).otherwise(F.array("mine"))
+    placed = members.select("bucket", "doc_id", F.explode(to).alias("part"))
+    return placed.select(F.xxhash64("bucket", "part").alias("unit"), "doc_id")
+
+
+def later_units(members: DataFrame, components: DataFrame, part: int = PART) -> DataFrame:
+    """unit, doc_id: what ``components`` (node, component) leaves to compare in buckets of many parts.
+
+    Members outside the largest component of their bucket, in parts, against all parts of the bucket.
+    """
+    nodes = components.select(F.col("node").alias("doc_id"), "component")
+    big = split_join(members.where("parts > 1"), nodes, ["doc_id"], "left").select(
+        "bucket", "doc_id", "parts", "mine", F.coalesce("component", "doc_id").alias("component")
+    )
+    big = stored(big, "large-buckets")
+    open_buckets = (
+        big.groupBy("bucket", "component")
+        .agg(F.count(F.lit(1)).alias("n"))
+        .groupBy("bucket")
+        .agg(F.max(F.struct("n", "component")).alias("most"), F.sum("n").alias("all"))
+        .select("bucket", F.col("most.component").alias("main"), (F.col("all") - F.col("most.n")).alias("rest"))
+        .where("rest > 0")
+        .select("bucket", "main", F.ceil(F.col("rest") / part).alias("rests"))
+    )
+    both = split_join(big, open_buckets, ["bucket"])
+    every = both.select(
+        "bucket", "doc_id", F.col("mine").alias("part"), F.explode(F.expr("sequence(0L, rests - 1)")).alias("rest")
+    )
+    rest = (
+        both.where("component <> main")
+        .withColumn("rest", F.pmod(F.xxhash64(F.lit("rest"), "doc_id"), F.col("rests")))
+        .select("bucket", "doc_id", F.explode(F.expr("sequence(0L, parts - 1)")).alias("part"), "rest")
     )
-    others = F.expr("sequence(0L, parts - 1)")
-    members = stored(
-        members.withColumn("other", F.explode(others)).select(
-            F.xxhash64("band", "key", F.least("mine", "other"), F.greatest("mine", "other")).alias("unit"), "doc_id"
-        ),
-        "members",
+    return every.unionByName(rest).select(F.xxhash64("bucket", "part", "rest").alias("unit"), "doc_id")
+
+
+def similar_classes(documents: DataFrame, classes: DataFrame, percent: int, part: int = PART) -> DataFrame:
+    """node, component of the linked ``classes`` (rep, bands)."""
+    members = stored(bucket_members(classes, part), "members")
+    sets = stored(shingle_table(documents, members.select("doc_id")), "shingle-sets")
+
+    def links(units: DataFrame) -> DataFrame:
+        return _links_in_units(split_join(units, sets, ["doc_id"]), percent)
+
+    found = connected_components(links(first_units(members)))
+    later = stored(links(later_units(members, found, part)), "later-links")
+    if later.isEmpty():
+        return found
+    return connected_components(later.unionByName(found.select(F.col("node").alias("a"), F.col("component").alias("b"))))
+
+
+def near_duplicates(
+    documents: DataFrame, percent: int = 80, bands: int = BANDS, part: int = PART
+) -> DataFrame:
+    """doc_id, row, n_shingles, component_id, kept for every row of ``documents``.
+
+    Documents are linked where 100 * common >= percent * union of their shingle sets. component_id
+    is the smallest doc_id reachable, kept says that it is the row's own. Empty sets are linked with
+    nothing. Repeated rows share a class. Rows that repeat a doc_id with another text go by their own
+    text; where that id stands for both classes these are one node. Rows without a doc_id are linked
+    with nothing, have no component_id and are kept. Other columns play no part. A text is held whole
+    in a task, and a unit of work holds the sets, 8 bytes a shingle, of two parts at most.
+    """
+    rows = stored(signatures(documents, bands), "signatures")
+    known = rows.where(F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0))
+    classes = stored(
+        known.groupBy("d1", "d2").agg(F.min(F.struct("doc_id", "bands")).alias("of"))
+        .select("d1", "d2", F.col("of.doc_id").alias("rep"), F.col("of.bands").alias("bands")),
+        "classes",
     )
-    sets = shingle_table(documents, members.select("doc_id")).withColumn("split", F.xxhash64("doc_id"))
-    with_sets = members.withColumn("split", F.xxhash64("doc_id")).join(sets, ["doc_id", "split"])
-    found = connected_components(_links_in_units(with_sets, percent))
+    found = similar_classes(documents, classes.select("rep", "bands"), percent, part)
 
     by_class = classes.select("d1", "d2", "rep").join(found, F.col("rep") == F.col("node"), "left")
     by_class = by_class.select("d1", "d2", F.coalesce("component", "rep").alias("component"))

@@ -1,5 +1,7 @@
 """Near-dedup, components and decontamination against plain Python."""
 
+import itertools
+
 import numpy as np
 import pytest
 
@@ -37,6 +39,58 @@ def test_hot_group_in_several_parts(spark):
     assert len(set(found.values())) > 1
 
 
+def test_links_between_what_pivots_leave_apart(spark):
+    """Copies whose edits add up: a copy is like the next ones only, so a bucket has several trees."""
+    base = [f"b{i}" for i in range(150)]
+    rows = [(500 - i, " ".join([f"e{k}" if k < i else base[k] for k in range(150)])) for i in range(1, 90)]
+    rows += [(i, " ".join(base[:149] + [f"tail{i}"])) for i in range(60)]
+    found = odd.components(rows, 85)
+    out = near.near_duplicates(odd.documents(spark, rows), 85, part=4).collect()
+    assert {r.doc_id: r.component_id for r in out} == found
+
+
+def classes_of(spark, n):
+    """One bucket of n, and one of n that holds a band of its own for each tenth."""
+    rows = [(i, [7, 1000 + i % 10]) for i in range(n)]
+    return spark.createDataFrame(rows, "rep bigint, bands array<bigint>")
+
+
+def test_units_grow_with_the_bucket(spark):
+    sizes = {}
+    for n in (2_000, 8_000):
+        members = near.bucket_members(classes_of(spark, n), part=20).cache()
+        first = near.first_units(members)
+        star = spark.createDataFrame([(i, 0) for i in range(n - 15)], "node bigint, component bigint")
+        later = near.later_units(members, star, part=20)
+        sizes[n] = first.count(), later.count()
+        largest = first.groupBy("unit").count().agg({"count": "max"}).first()[0]
+        assert largest < 20 * 3
+        members.unpersist()
+    for few, many in zip(sizes[2_000], sizes[8_000]):
+        assert many < 4.5 * few
+    assert sizes[8_000][0] < 2 * 8_000 * (1 + 2 * near.PIVOTS / 20)
+
+
+def test_every_open_pair_meets_in_a_later_unit(spark):
+    members = near.bucket_members(classes_of(spark, 120), part=8)
+    label = {i: (0 if i < 70 else 70 if i < 90 else i) for i in range(120)}
+    tree = spark.createDataFrame(list(label.items()), "node bigint, component bigint")
+    units = {}
+    for r in near.later_units(members, tree, part=8).collect():
+        units.setdefault(r.unit, set()).add(r.doc_id)
+    met = {frozenset(p) for u in units.values() for p in itertools.combinations(sorted(u), 2)}
+    assert all(frozenset((a, b)) in met for a in range(120) for b in range(a) if label[a] != label[b])
+
+
+def test_a_row_repeated_many_times_is_one_set(spark):
+    rows = [(1, odd.sentence(1))] * 3_000 + [(2, odd.sentence(1) + " more"), (1, odd.sentence(1))]
+    docs = odd.documents(spark, rows)
+    wanted = spark.createDataFrame([(1,), (2,)], "doc_id bigint")
+    assert sorted(r.doc_id for r in near.shingle_table(docs, wanted).collect()) == [1, 2]
+    out = near.near_duplicates(docs).collect()
+    assert len(out) == len(rows) and {r.component_id for r in out} == {1}
+
+
 def test_near_dedup_keeps_the_first(spark):
     docs = odd.documents(spark)
     out = near.near_dedup(docs)
