@@ -60,3 +60,23 @@ def test_empty_tables(spark):
     assert lines.line_dedup(none).collect() == []
     assert rules.quality_filter(none).collect() == []
     assert rules.measured_verdicts(none).collect() == []
+
+
+def test_order_follows_rejections_per_second(spark):
+    """A dear rule that rejects as much as a cheap one comes behind it, one that rejects nothing last."""
+    docs = odd.documents(spark, [(i, odd.sentence(i, 400)) for i in range(300)])
+    every = lambda m: m["n_words"] > 0
+    dear = rules.Rule("dear", ("n_repeat_words", "n_words"), lambda m: (m["n_repeat_words"] >= 0) & every(m))
+    own = (rules.Rule("never", ("n_words",), lambda m: m["n_words"] < 0), dear, rules.Rule("cheap", ("n_words",), every))
+    for _ in range(3):
+        assert [r.name for r in rules.sampled_order(docs, own, 100)] == ["cheap", "dear", "never"]
+
+
+def test_sample_comes_from_the_whole_table(spark):
+    ids = spark.range(20_000, numPartitions=8)
+    docs = ids.select(F.col("id").alias("doc_id"), F.col("id").cast("string").alias("text"))
+    drawn = [int(r.text) for r in rules.text_sample(docs, 400).collect()]
+    assert 300 < len(drawn) < 500
+    assert all(sum(part * 2_500 <= i < (part + 1) * 2_500 for i in drawn) > 20 for part in range(8))
+    assert rules.text_sample(docs.limit(0), 400).count() == 0
+    assert len(rules.sampled_order(docs.limit(0))) == len(rules.RULES)
