@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from cohortspan.session import meet
+
 
 def with_titles(df: DataFrame, fields: DataFrame) -> DataFrame:
     """Rename columns to their titles. Only described columns present in ``df`` change.
@@ -59,10 +61,13 @@ def parameters(
 
 
 def with_parameters(
-    df: DataFrame, records: DataFrame, keys: Sequence[str], defaults: dict[str, float]
+    df: DataFrame, records: DataFrame, keys: Sequence[str], defaults: dict[str, float], name: str
 ) -> DataFrame:
-    """``df`` with the record of its scenario, or the defaults where it has none."""
-    joined = df.join(records, list(keys), "left")
+    """``df`` with the record of its scenario, or the defaults where it has none.
+
+    ``name`` is a column that tells the rows of a scenario apart.
+    """
+    joined = meet(df, records, keys, deal=name)
     return joined.withColumns({n: F.coalesce(F.col(n), F.lit(v)) for n, v in defaults.items()})
 
 

@@ -24,7 +24,7 @@ from cohortspan.operators.expand import expand_states
 from cohortspan.operators.scan import group_size, ordered_scan, position
 from cohortspan.operators.schedule import payment_schedule
 from cohortspan.plans.grid import RATES as _RATES
-from cohortspan.session import spread
+from cohortspan.session import meet, spread
 from cohortspan.tables import GLOBAL_DEFAULTS, PAYMENT_DEFAULTS, VARIANT, ModelBundle
 
 REFUND = "Refund"
@@ -55,19 +55,19 @@ def plan_terms(bundle: ModelBundle) -> DataFrame:
     if grid is None:
         plans = fill_defaults(bundle.payments, PAYMENT_DEFAULTS).select(*keys, "payment", *PAYMENT_DEFAULTS)
         none = none.select(*keys, "payment")
-        return plans.unionByName(none, allowMissingColumns=True).join(rates, keys, "left")
+        return meet(plans.unionByName(none, allowMissingColumns=True), rates, keys, deal="payment")
     plans = fill_defaults(grid.payments(bundle.payments), PAYMENT_DEFAULTS)
-    plans = plans.select(*keys, "__plan", "payment", *PAYMENT_DEFAULTS).join(rates, keys, "left")
+    plans = meet(plans.select(*keys, "__plan", "payment", *PAYMENT_DEFAULTS), rates, keys, deal="payment")
     terms = plans.unionByName(none, allowMissingColumns=True)
     number = F.expr("coalesce(__plan, 0L) + coalesce(__rates, 0L)")
     return terms.withColumn(VARIANT, number).drop("__plan", "__rates")
 
 
-def _same_plan(keys: Sequence[str]) -> list[Column]:
-    return [
-        *[F.col(f"u.{k}") == F.col(f"t.{k}") for k in keys],
-        F.col("u.payment").eqNullSafe(F.col("t.payment")),
-    ]
+def _with_terms(bundle: ModelBundle, uses: DataFrame, terms: DataFrame, partitions: int | None) -> DataFrame:
+    """The plans that treatments use beside their terms. States tell how often a plan is used at most."""
+    return meet(
+        uses, terms, bundle.keys, safe=["payment"], deal="treatment", counted=bundle.states, partitions=partitions
+    )
 
 
 def _plan_ranges() -> str:
@@ -117,7 +117,7 @@ def _varied_rows(
     states = expanded_states(["p_prog", "p_death", "payment"])
     chains = (
         knots.select(*named, "__chain", "__touched", F.expr(states).alias("states"))
-        .join(longest, keys, "left")
+        .transform(lambda made: meet(made, longest, keys, deal="treatment", counted=bundle.states, partitions=partitions))
         .withColumn("time_horizon", horizon)
         .select(*named, "__chain", "__touched", "states", F.expr(_SHARES).alias("shares"))
     )
@@ -127,15 +127,14 @@ def _varied_rows(
     terms = plan_terms(bundle).groupBy(*keys, "payment").agg(F.collect_list(setting).alias("settings"))
     if span_scope == "model":
         spans = uses.groupBy(*keys, "payment").agg(F.min("pstart").alias("pstart"), F.max("pend").alias("pend"))
-        terms = spans.alias("u").join(terms.alias("t"), _same_plan(keys), "left").select("u.*", "t.settings")
+        terms = meet(spans, terms, keys, safe=["payment"], partitions=partitions)
         uses = uses.drop("pstart", "pend")
-    joined = uses.alias("u").join(terms.alias("t"), _same_plan(keys), "left")
-    joined = joined.select(*[f"u.{c}" for c in (*named, "payment")], "pstart", "pend", "settings")
+    joined = _with_terms(bundle, uses, terms, partitions).select(*named, "payment", "pstart", "pend", "settings")
     plan = F.struct("pstart", "payment", "pend", "settings")
     offered = spread(joined, named, partitions).groupBy(*named).agg(F.array_sort(F.collect_list(plan)).alias("offered"))
-    ready = chains.join(offered, named)
+    ready = chains.join(offered.hint("merge"), named)
     if arms is not None:
-        ready = ready.join(arms, named, "left")
+        ready = ready.join(spread(arms, named, partitions).hint("merge"), named, "left")
     number = F.explode(F.expr(grid.settings("__chain", "__touched"))).alias(VARIANT)
     mine = f"get(filter(o.settings, t -> t.number = {grid.terms_of(VARIANT, 'o.payment')}), 0)"
     filled = ", ".join(f"'{c}', coalesce(x.t.{c}, 0D)" for c in PAYMENT_DEFAULTS)
@@ -182,22 +181,15 @@ def cohort_rows(
         spans = uses.groupBy(*keys, "payment").agg(
             F.min("pstart").alias("pstart"), F.max("pend").alias("pend")
         )
-        terms = (
-            spans.alias("u")
-            .join(terms.alias("t"), _same_plan(keys), "left")
-            .select("u.*", *[f"t.{c}" for c in (*PAYMENT_DEFAULTS, *_RATES)])
-        )
+        terms = meet(spans, terms, keys, safe=["payment"], partitions=partitions)
         uses = uses.drop("pstart", "pend")
-    joined = (
-        uses.alias("u")
-        .join(terms.alias("t"), _same_plan(keys), "left")
-        .select(
-            *[f"u.{c}" for c in (*named, "payment")],
-            *[F.expr(f"coalesce({c}, 0D) AS {c}") for c in PAYMENT_DEFAULTS],
-            "pstart",
-            "pend",
-            *_RATES,
-        )
+    joined = _with_terms(bundle, uses, terms, partitions).select(
+        *named,
+        "payment",
+        *[F.expr(f"coalesce({c}, 0D) AS {c}") for c in PAYMENT_DEFAULTS],
+        "pstart",
+        "pend",
+        *_RATES,
     )
     # Spread like the knots, so that whichever side is streamed keeps its partitions.
     offered = spread(joined, named, partitions).groupBy(*named).agg(
@@ -213,9 +205,9 @@ def cohort_rows(
             for c in ("discount", "firm_discount")
         ],
     )
-    ready = chains.join(offered, named)
+    ready = chains.join(offered.hint("merge"), named)
     if arms is not None:
-        ready = ready.join(arms, named, "left")
+        ready = ready.join(spread(arms, named, partitions).hint("merge"), named, "left")
     return ready.withColumn("shares", F.expr(_SHARES))
 
 
@@ -601,11 +593,12 @@ def arms_of(bundle: ModelBundle) -> DataFrame:
     """``(keys, treatment, is_control, actives, controls)``: the role of each treatment, and how many
     there are at most in its scenario. The last ``control_count`` names of a scenario are controls."""
     keys = list(bundle.keys)
-    names = bundle.states.select(*keys, "treatment").distinct()
+    named = [*keys, "treatment"]
+    names = spread(bundle.states.select(*named), named).distinct()
     placed = ordered_scan(names, keys, ["treatment"], __at=position(), actives=group_size())
     counts = global_record(bundle).select(*keys, "control_count")
     count = F.coalesce(F.col("control_count"), F.lit(1.0))
-    return placed.join(counts, keys, "left").select(
+    return meet(placed, counts, keys, deal="treatment", counted=bundle.states).select(
         *keys,
         "treatment",
         (F.col("actives") - F.col("__at") < count).alias("is_control"),
@@ -631,12 +624,12 @@ def plan_listing(bundle: ModelBundle) -> DataFrame:
         *keys, "payment", F.col("state").alias("start")
     ).distinct()
     starts = (
-        plans.join(used, [*keys, "payment"], "left")
+        meet(plans, used, [*keys, "payment"])
         .withColumn("start", F.when(F.col("tot_payment") > 0, F.col("start")).otherwise(F.lit(1)))
         .distinct()
         .withColumnRenamed("payment", "payment_plan")
     )
-    starts = with_parameters(starts, global_record(bundle), keys, GLOBAL_DEFAULTS)
+    starts = with_parameters(starts, global_record(bundle), keys, GLOBAL_DEFAULTS, "payment_plan")
     return payment_schedule(
         starts,
         "time_horizon",

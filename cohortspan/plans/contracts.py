@@ -12,12 +12,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cohortspan.functions import discount_factor, discount_factor_sql, linear_ramp_sql, paid_before_sql, payment_sql
-from cohortspan.operators.chain import project_shares
+from cohortspan.operators.chain import project_shares, transition_table
 from cohortspan.operators.columns import fill_defaults, parameters, with_parameters
 from cohortspan.operators.schedule import payment_schedule
 from cohortspan.operators.scan import ordered_scan, position
 from cohortspan.plans.cohort import compare_arms
-from cohortspan.session import spread
+from cohortspan.session import meet, spread
 from cohortspan.tables import LEGACY_CONTRACT_DEFAULTS, LEGACY_TREATMENT_DEFAULTS, LegacyBundle
 
 LEGACY_GLOBALS = {"discount": 0.0, "firm_discount": 0.0, "time_horizon": 20.0}
@@ -86,6 +86,15 @@ def treatment_transitions(bundle: LegacyBundle) -> DataFrame:
     )
 
 
+def treatment_table(bundle: LegacyBundle, count: int, partitions: int | None = None) -> DataFrame:
+    """Transition matrix of each treatment of ``count`` states, a row per state.
+
+    Treatments are spread before they become many edges, so that no task sums up more than its part.
+    """
+    spread_out = bundle.with_tables(treatments=spread(bundle.treatments, [*bundle.keys, "name"], partitions))
+    return transition_table(treatment_transitions(spread_out), bundle.keys, count, legacy=True)
+
+
 def contract_payments(contracts: DataFrame) -> DataFrame:
     """Undiscounted instalments of each contract, over its length."""
     return payment_schedule(
@@ -96,7 +105,7 @@ def contract_payments(contracts: DataFrame) -> DataFrame:
 def payment_plans(bundle: LegacyBundle) -> DataFrame:
     """``payment_plan, time, payment`` of each contract over the horizon."""
     keys = list(bundle.keys)
-    plans = with_parameters(complete_contracts(bundle.contracts), rates(bundle), keys, LEGACY_GLOBALS)
+    plans = with_parameters(complete_contracts(bundle.contracts), rates(bundle), keys, LEGACY_GLOBALS, "name")
     named = plans.withColumnRenamed("name", "payment_plan")
     return payment_schedule(
         named,
@@ -133,9 +142,13 @@ MATCHED = 1024
 
 
 def _plan_blocks(bundle: LegacyBundle) -> DataFrame:
-    """``plan, blocks``: how many places the treatments of each plan are dealt to."""
+    """``plan, blocks``: how many places the treatments of a plan are dealt to, for plans with several.
+
+    There is one such plan for ``MATCHED`` treatments at most, so these can be sent to all tasks.
+    """
     count = F.ceil(F.count(F.lit(1)) / F.lit(MATCHED)).cast("int")
-    return bundle.treatments.groupBy(*bundle.keys, "plan").agg(count.alias("blocks"))
+    counted = bundle.treatments.groupBy(*bundle.keys, "plan").agg(count.alias("blocks"))
+    return F.broadcast(counted.where("blocks > 1"))
 
 
 def projected_treatments(bundle: LegacyBundle, partitions: int | None = None) -> DataFrame:
@@ -148,7 +161,7 @@ def projected_treatments(bundle: LegacyBundle, partitions: int | None = None) ->
     treatments = complete_treatments(bundle.treatments).join(_plan_blocks(bundle), [*keys, "plan"], "left")
     dealt = treatments.withColumn("block", F.expr("pmod(xxhash64(name), coalesce(blocks, 1))"))
     rows = spread(
-        with_parameters(dealt, rates(bundle), keys, LEGACY_GLOBALS), [*keys, "plan", "block"], partitions
+        with_parameters(dealt, rates(bundle), keys, LEGACY_GLOBALS, "name"), [*keys, "plan", "block"], partitions
     )
     shares = project_shares(
         treatment_edges(), "health_states", "CAST(time_horizon AS INT)"
@@ -173,15 +186,16 @@ def _matched(bundle: LegacyBundle, partitions: int | None) -> DataFrame:
     numbered = ordered_scan(
         complete_contracts(bundle.contracts), [*keys, "plan"], ["row_id"], cuts=None, nth=position()
     )
-    contracts = numbered.join(_plan_blocks(bundle), [*keys, "plan"]).select(
+    contracts = numbered.join(_plan_blocks(bundle), [*keys, "plan"], "left").select(
         *keys,
         "plan",
-        F.expr("explode(sequence(0L, blocks - 1L)) AS block"),
+        F.expr("explode(sequence(0L, coalesce(blocks, 1) - 1L)) AS block"),
         F.col("name").alias("contract"),
         "nth",
         *LEGACY_CONTRACT_DEFAULTS,
     )
-    return projected_treatments(bundle, partitions).join(contracts, [*keys, "plan", "block"])
+    matching = [*keys, "plan", "block"]
+    return projected_treatments(bundle, partitions).join(spread(contracts, matching, partitions).hint("merge"), matching)
 
 
 #: Figures of a matched row in the period with shares ``x`` and 0-based number ``i``.
@@ -303,5 +317,6 @@ def compare_plans(
     counts = bundle.treatments.groupBy(*keys).agg(
         F.count_if(active).alias("actives"), F.count_if(control).alias("controls")
     )
-    sized = arms.withColumn("is_control", F.explode(sides)).join(counts, keys, "left")
+    sided = arms.withColumn("is_control", F.explode(sides))
+    sized = meet(sided, counts, keys, deal="name", counted=bundle.treatments, partitions=partitions)
     return compare_arms(sized, keys, name="name")

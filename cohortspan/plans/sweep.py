@@ -12,6 +12,7 @@ from cohortspan.functions import is_number_list, to_number
 from cohortspan.operators.reshape import split_cells
 from cohortspan.plans import cohort
 from cohortspan.plans.grid import Cell, Grid
+from cohortspan.session import meet
 from cohortspan.tables import VARIANT, LegacyBundle, ModelBundle
 
 # Table name in a variation row -> (bundle field, columns that name a row, as "a/b").
@@ -117,7 +118,7 @@ def _vary(
     names: Sequence[str],
 ) -> DataFrame:
     """One copy of the table's rows per variant, with the named cells replaced (not by nulls)."""
-    copies = _exploded(table, cells) if grid is None else table.join(grid, list(keys))
+    copies = _exploded(table, cells) if grid is None else meet(table, grid, keys, how="inner", deal=names[0])
     label = F.concat_ws("/", *[F.col(n).cast("string") for n in names])
     changed: dict[str, Column] = {}
     for at in mine:
@@ -224,7 +225,8 @@ def sweep(
         result = analyse(vary(bundle, grid, cells))
     taken = [c for c in result.columns if c not in (*keys, VARIANT)]
     lost = unknown_rows(bundle, cells).select(*keys, F.lit(True).alias("__lost")).distinct()
-    unvaried = result.join(lost, keys, "left")
+    every = bundle.treatments if isinstance(bundle, LegacyBundle) else bundle.states
+    unvaried = meet(result, lost, keys, deal=VARIANT, counted=every)
     numbers = {f.name for f in result.schema if isinstance(f.dataType, T.NumericType)} & set(taken)
     blank = {c: F.when(F.col("__lost").isNull(), F.col(c)) for c in numbers}
     result = unvaried.withColumns(blank).drop("__lost")
@@ -234,4 +236,4 @@ def sweep(
     known = grid.select(
         *keys, VARIANT, *[F.col(f"v{at}").alias(label) for at, label in enumerate(labels)]
     )
-    return known.join(result, [*keys, VARIANT]).select(*keys, VARIANT, *labels, *taken)
+    return meet(known, result, [*keys, VARIANT], how="inner").select(*keys, VARIANT, *labels, *taken)

@@ -7,6 +7,7 @@ import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def local_session(cores: int | str = 8, name: str = "cohortspan", **conf) -> SparkSession:
@@ -40,6 +41,52 @@ def spread(df: DataFrame, keys: Sequence[str], partitions: int | None = None) ->
     return df.repartition(partitions, *keys)
 
 
+#: Rows of a key that meet in one place; a key with more is dealt into blocks.
+MET = 1024
+
+
+def meet(
+    left: DataFrame,
+    right: DataFrame,
+    on: Sequence[str],
+    *,
+    how: str = "left",
+    safe: Sequence[str] = (),
+    deal: str | None = None,
+    counted: DataFrame | None = None,
+    partitions: int | None = None,
+) -> DataFrame:
+    """``left`` joined with ``right`` where both grow with the number of scenarios.
+
+    Model rows compress so well that a table of millions passes for a small one and would be sent
+    whole to the driver. So neither side is broadcast: both are spread and merged. ``safe`` names
+    further columns to join on, in which nulls are equal.
+
+    With ``deal``, a key that has very many rows in ``left`` (or in ``counted``, a cheaper table) is
+    dealt into blocks by a hash of that column, and its rows of ``right`` go to each. Only such keys,
+    one in ``MET`` rows at most, are broadcast.
+    """
+    names = [*on, *safe]
+    if deal is not None:
+        blocks = F.ceil(F.count(F.lit(1)) / F.lit(MET)).cast("long")
+        large = (left if counted is None else counted).groupBy(*names).agg(blocks.alias("__blocks"))
+        large = F.broadcast(large.where("__blocks > 1")).alias("h")
+
+        def with_blocks(df: DataFrame) -> DataFrame:
+            same = [F.col(f"d.{c}").eqNullSafe(F.col(f"h.{c}")) for c in names]
+            count = F.coalesce("h.__blocks", F.lit(1).cast("long")).alias("__blocks")
+            return df.alias("d").join(large, same, "left").select("d.*", count)
+
+        left = with_blocks(left).withColumn("__met", F.expr(f"pmod(xxhash64(`{deal}`), __blocks)"))
+        right = with_blocks(right).withColumn("__met", F.expr("explode(sequence(0L, __blocks - 1L))"))
+        left, right, on = left.drop("__blocks"), right.drop("__blocks"), [*on, "__met"]
+    # structs of nulls are equal
+    held = {f"__{c}": F.struct(c) for c in safe}
+    left, right, at = left.withColumns(held), right.withColumns(held).drop(*safe), [*on, *held]
+    found = spread(left, at, partitions).join(spread(right, at, partitions).hint("merge"), at, how)
+    return found.drop("__met", *held)
+
+
 def scratch_folder(spark: SparkSession, name: str) -> str:
     """A new folder for tables of a query, inside ``spark.checkpoint.dir``, which all executors share.
 
