@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from cohortspan.catalog.registry import query
-from cohortspan.operators.chain import transition_table
 from cohortspan.plans import contracts, sweep, validate
 from cohortspan.tables import LegacyBundle
 
@@ -163,8 +162,7 @@ def legacy_transitions(spark, sf_dir):
             (VALUES (1), (2), (3), (4)) s(f)""",
 )
 def legacy_matrix(spark, sf_dir):
-    edges = contracts.treatment_transitions(part_contracts(spark, sf_dir))
-    table = transition_table(edges, ["scenario_id"], 4, legacy=True)
+    table = contracts.treatment_table(part_contracts(spark, sf_dir), 4)
     return table.withColumns({c: F.round(c, 6) for c in ("PF", "P1", "P2", "D")})
 
 
