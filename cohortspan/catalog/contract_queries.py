@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from cohortspan.catalog.registry import query
 from cohortspan.plans import contracts, sweep, validate
+from cohortspan.session import meet
 from cohortspan.tables import LegacyBundle
 
 _TREATMENT = "named_struct('plan', {0}, 'row_id', {0} + 1L, 'name', '{1}', 'p_HU', {2}, 'p_HD', 0.01D, 'p_UD', 0.02D, 'health_states', 4, 'QoL_start', 1D, 'QoL_end', 0.7D)"  # noqa: E501
@@ -222,7 +223,7 @@ def contract_errors(spark, sf_dir):
     sizes = spark.read.parquet(f"{sf_dir}/part.parquet").selectExpr(
         "p_partkey AS scenario_id", "p_size"
     )
-    shifted = bundle.contracts.join(sizes, "scenario_id").selectExpr(
+    shifted = meet(bundle.contracts, sizes, ["scenario_id"], how="inner").selectExpr(
         "scenario_id", "plan", "row_id", "start", "`end` + p_size % 5 - 2 AS `end`"
     )
     return validate.check_contracts(bundle.with_tables(contracts=shifted))

@@ -14,6 +14,7 @@ from cohortspan.catalog.contract_queries import part_contracts
 from cohortspan.catalog.part_model import part_bundle, read
 from cohortspan.catalog.registry import query
 from cohortspan.plans import cohort, sweep, validate
+from cohortspan.session import meet
 from cohortspan.sources import typed
 from cohortspan.tables import ModelBundle
 
@@ -301,7 +302,7 @@ def rule_errors(spark, sf_dir):
 def treatment_errors(spark, sf_dir):
     bundle = part_contracts(spark, sf_dir)
     sizes = read(spark, sf_dir, "part").selectExpr("p_partkey AS scenario_id", "p_size")
-    treatments = bundle.treatments.join(sizes, "scenario_id").withColumns(
+    treatments = meet(bundle.treatments, sizes, ["scenario_id"], how="inner").withColumns(
         {"health_states": F.expr("1 + p_size % 4"), "random_state": F.expr("1 + p_size % 3")}
     )
     return validate.check_treatments(bundle.with_tables(treatments=treatments))

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from cohortspan.operators.checks import range_violations, violation, violations
 from cohortspan.operators.columns import fill_defaults
+from cohortspan.session import meet
 from cohortspan.tables import (
     GLOBAL_FIELDS,
     LEGACY_TREATMENT_DEFAULTS,
@@ -161,7 +162,7 @@ def check_contracts(bundle: LegacyBundle) -> DataFrame:
         F.lit("end is set greater than number of health states"),
     ).when(F.col("end") <= start, F.lit("end has to be later than start"))
     return (
-        bundle.contracts.join(states, [*keys, "plan"], "left")
+        meet(bundle.contracts, states, [*keys, "plan"])
         .select(
             *keys,
             F.lit("contracts").alias("table"),
