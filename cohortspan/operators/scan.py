@@ -155,10 +155,18 @@ def _with_block(
 ) -> DataFrame:
     same = [F.col(f"d.{k}").eqNullSafe(F.col(f"k.{k}")) for k in keys]
     at = F.struct(*[F.col(f"d.{c}") for c in order])
-    block = F.when(F.col("__cuts").isNotNull(), F.size(F.filter("__cuts", lambda cut: cut < at)))
+    # Cuts are sorted: those below a row are counted by halving, in steps of falling powers of two.
+    steps = F.expr("transform(sequence(length(bin(size(__cuts))) - 1, 0, -1), e -> shiftleft(1, e))")
+    stepped = cuts.withColumn("__steps", steps)
+
+    def further(found: Column, step: Column) -> Column:
+        below = F.get("__cuts", found + step - 1) < at
+        return F.when(below, found + step).otherwise(found)
+
+    block = F.when(F.col("__cuts").isNotNull(), F.aggregate("__steps", F.lit(0), further))
     return (
         df.alias("d")
-        .join(F.broadcast(cuts).alias("k"), same, "left")
+        .join(F.broadcast(stepped).alias("k"), same, "left")
         .select(*[F.col(f"d.`{c}`") for c in df.columns], block.alias(_BLOCK))
     )
 

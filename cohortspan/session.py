@@ -54,6 +54,7 @@ def meet(
     safe: Sequence[str] = (),
     deal: str | None = None,
     counted: DataFrame | None = None,
+    most: int = MET,
     partitions: int | None = None,
 ) -> DataFrame:
     """``left`` joined with ``right`` where both grow with the number of scenarios.
@@ -64,11 +65,11 @@ def meet(
 
     With ``deal``, a key that has very many rows in ``left`` (or in ``counted``, a cheaper table) is
     dealt into blocks by a hash of that column, and its rows of ``right`` go to each. Only such keys,
-    one in ``MET`` rows at most, are broadcast.
+    one in ``most`` rows at most, are broadcast.
     """
     names = [*on, *safe]
     if deal is not None:
-        blocks = F.ceil(F.count(F.lit(1)) / F.lit(MET)).cast("long")
+        blocks = F.ceil(F.count(F.lit(1)) / F.lit(most)).cast("long")
         large = (left if counted is None else counted).groupBy(*names).agg(blocks.alias("__blocks"))
         large = F.broadcast(large.where("__blocks > 1")).alias("h")
 

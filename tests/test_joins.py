@@ -5,6 +5,7 @@ import re
 import pytest
 
 from cohortspan.catalog import QUERIES
+from cohortspan.operators import matching
 from cohortspan.session import meet
 
 SMALL = "/root/testdata/sf0.001"
@@ -40,3 +41,23 @@ def test_meet_takes_nulls_and_large_keys(spark):
         key = lambda row: (row[2], row[3] or 0.0)
         got = [tuple(r) for r in found.select("k", "s", "i", "v").collect()]
         assert sorted(got, key=key) == sorted(wanted, key=key)
+
+
+def test_draws_of_a_large_group_are_dealt_and_looked_up_in_short_rows(spark, monkeypatch):
+    """Three levels of chunks; a group's draws are in several blocks and not in one hash partition."""
+    monkeypatch.setattr(matching, "DRAWN", 50, raising=False)
+    bounds = [("a", i, (i + 1) / 400) for i in range(400)] + [(None, i, (i + 1) / 7) for i in range(7)]
+    draws = [(g, n, None if n % 97 == 0 else n / 1000) for g in ("a", None, "none") for n in range(1, 1100)]
+    found = matching.assign_buckets(
+        spark.createDataFrame(draws, "g string, n int, u double"),
+        spark.createDataFrame(bounds, "g string, label int, upper double"),
+        ["g"], "u", "label", chunk=2,
+    )
+    wanted = set()
+    for g, n, u in draws:
+        over = [] if u is None else [label for h, label, upper in bounds if h == g and upper >= u]
+        wanted.add((g, n, u, min(over) if over else None))
+    got = [tuple(r) for r in found.collect()]
+    assert len(got) == len(draws) and set(got) == wanted
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "__met" in plan and "__part" in plan
