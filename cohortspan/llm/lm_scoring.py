@@ -353,19 +353,21 @@ def _trees(grams: np.ndarray, counts: np.ndarray, depth: int, top: int) -> Itera
         begin = end
 
 
-def _weighed(level: DataFrame, last: bool) -> DataFrame:
+_NODE = ["ctx", "u", "zeros", "ones", "weight", "stops", "ahead"]
+_NODES = "ctx bigint, u bigint, zeros double, ones double, weight double, stops double, ahead double"
+
+
+def _weighed(level: DataFrame) -> DataFrame:
     """ctx, u, zeros, ones, weight, stops, ahead of nodes (ctx, u, zeros, ones, below)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ctx, u, zeros, ones, below = (c.to_numpy() for c in batch.columns)
-            of = Level(ctx, zeros, ones, None if last else below)
+            of = Level(ctx, zeros, ones, below)
             columns = [ctx, u, zeros, ones, of.weight, of.stops(), of.ahead]
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names)
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], _NODE)
 
-    names = ["ctx", "u", "zeros", "ones", "weight", "stops", "ahead"]
-    schema = "ctx bigint, u bigint, zeros double, ones double, weight double, stops double, ahead double"
-    return level.select("ctx", "u", "zeros", "ones", "below").mapInArrow(run, schema)
+    return level.select("ctx", "u", "zeros", "ones", "below").mapInArrow(run, _NODES)
 
 
 def _asked_grams(found: pa.Table) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
@@ -384,22 +386,21 @@ def gram_answers(asked: DataFrame, depth: int, top: int, buckets: int) -> DataFr
 
     def top_nodes(found: pa.Table) -> pa.Table:
         _, grams, counts = _asked_grams(found)
-        columns: list[list[np.ndarray]] = [[] for _ in range(5)]
+        columns: list[list[np.ndarray]] = [[] for _ in _NODE]
         for tree, _ in _trees(grams, counts, depth, top):
             level = tree.levels[-1]
             key = level.key.view(np.int64)
-            below = np.zeros(len(key)) if level.below is None else level.below
-            for held, column in zip(columns, (key >> 8, key & 255, level.zeros, level.ones, below)):
+            node = (key >> 8, key & 255, level.zeros, level.ones, level.weight, level.stops(), level.ahead)
+            for held, column in zip(columns, node):
                 held.append(column)
-        return pa.table([np.concatenate(c) for c in columns], ["ctx", "u", "zeros", "ones", "below"])
+        return pa.table([np.concatenate(c) for c in columns], _NODE)
 
-    schema = "ctx bigint, u bigint, zeros double, ones double, below double"
-    nodes = asked.select("bucket", "asked").groupBy("bucket").applyInArrow(top_nodes, schema)
-    levels = [stored(_weighed(nodes, depth == top), "nodes")]
+    # Weighed where they are made: a second step in Python would give each task a second worker.
+    levels = [stored(asked.select("bucket", "asked").groupBy("bucket").applyInArrow(top_nodes, _NODES), "nodes")]
     for length in range(top - 1, -1, -1):
         above = levels[-1].groupBy(F.expr(f"ctx & {(1 << 8 * length) - 1}L").alias("ctx"), "u")
         sums = above.agg(F.sum("zeros").alias("zeros"), F.sum("ones").alias("ones"), F.sum("weight").alias("below"))
-        levels.append(stored(_weighed(sums, False), "nodes"))
+        levels.append(stored(_weighed(sums), "nodes"))
     paths = None
     for length, level in enumerate(reversed(levels)):
         mass, said, node = F.lit(1.0), F.lit(0.0), level.alias("n")
@@ -493,6 +494,7 @@ def scored(documents: DataFrame, learns: Column, depth: int = DEPTH, block_bytes
             else:
                 of.update(zip(batch["key"].to_pylist(), batch["value"].to_pylist()))
         table, value = GramTable(np.concatenate(grams_)), np.concatenate(scores)
+        grams_.clear(), scores.clear()
         bottom = np.log10(total + 0.5 * (kinds + 1))
         made: list[tuple] = []
         sums: list[np.ndarray] = []

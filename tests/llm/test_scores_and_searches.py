@@ -9,6 +9,7 @@ import zlib
 import pytest
 from pyspark.sql import functions as F
 
+from cohortspan.llm import lm_scoring
 from cohortspan.llm.collocations import collocations
 from cohortspan.llm.lexical_search import Lists, nearest, search
 from cohortspan.llm.lm_scoring import learned_from, log_estimate, scored
@@ -255,3 +256,16 @@ def test_held_out_texts_are_predicted_better_than_by_even_odds(spark):
     for r in found:
         text = odd.sentence(r["doc_id"] % 40, 60)
         assert -r["score"] / (len(text) + 2) < 0.35 * 8 * math.log10(2)
+
+
+def test_no_task_of_the_tree_needs_two_python_workers(spark, monkeypatch):
+    plans, write = [], lm_scoring.stored
+
+    def seen(df, name):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return write(df, name)
+
+    monkeypatch.setattr(lm_scoring, "stored", seen)
+    scored(odd.documents(spark, [(1, "a b a"), (2, "b c")]), learned_from())
+    assert any("FlatMapGroupsInArrow" in plan for plan in plans)
+    assert all(len(re.findall(r"(?:MapInArrow|InArrow) ", plan)) <= 1 for plan in plans)
