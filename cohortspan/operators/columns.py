@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cohortspan.session import meet
+from cohortspan.session import meet, spread
 
 
 def with_titles(df: DataFrame, fields: DataFrame) -> DataFrame:
@@ -54,20 +54,27 @@ def parameters(
             return F.max(F.when(given, F.col("value")))
         return F.min_by("value", F.when(given, F.col(order)))
 
-    wide = rows.groupBy(*keys).agg(*[picked(name).alias(name) for name in defaults])
+    # A scenario has few rows and they are small, so by bytes a task would get very many scenarios.
+    wide = (spread(rows, keys) if keys else rows).groupBy(*keys).agg(*[picked(name).alias(name) for name in defaults])
     return wide.select(
         *keys, *[F.coalesce(F.col(n), F.lit(v)).alias(n) for n, v in defaults.items()]
     )
 
 
 def with_parameters(
-    df: DataFrame, records: DataFrame, keys: Sequence[str], defaults: dict[str, float], name: str
+    df: DataFrame,
+    records: DataFrame,
+    keys: Sequence[str],
+    defaults: dict[str, float],
+    name: str,
+    counted: DataFrame | None = None,
 ) -> DataFrame:
     """``df`` with the record of its scenario, or the defaults where it has none.
 
-    ``name`` is a column that tells the rows of a scenario apart.
+    ``name`` is a column that tells the rows of a scenario apart; ``counted`` a cheaper table with as
+    many rows for each scenario.
     """
-    joined = meet(df, records, keys, deal=name)
+    joined = meet(df, records, keys, deal=name, counted=counted)
     return joined.withColumns({n: F.coalesce(F.col(n), F.lit(v)) for n, v in defaults.items()})
 
 

@@ -43,6 +43,22 @@ def spread(df: DataFrame, keys: Sequence[str], partitions: int | None = None) ->
 
 #: Rows of a key that meet in one place; a key with more is dealt into blocks.
 MET = 1024
+#: Places where the rows of one key are counted.
+COUNTED = 8
+
+
+def large_keys(rows: DataFrame, names: Sequence[str], deal: str, most: int = MET, partitions: int | None = None) -> DataFrame:
+    """``names, __blocks``: how many blocks a key with over ``most`` rows is dealt into, for all tasks.
+
+    Rows are spread before they are counted, in ``COUNTED`` places for each key: where they lie, or by
+    bytes, a task would hold as many keys as their compressed rows have room for.
+    """
+    names = list(names)
+    place = F.expr(f"pmod(xxhash64(`{deal}`), {COUNTED})") if deal in rows.columns else F.lit(0)
+    placed = spread(rows.select(*names, place.alias("__place")), [*names, "__place"], partitions)
+    parts = placed.groupBy(*names, "__place").agg(F.count(F.lit(1)).alias("__rows"))
+    counted = spread(parts.drop("__place"), names, partitions).groupBy(*names).agg(F.sum("__rows").alias("__rows"))
+    return F.broadcast(counted.where(f"__rows > {most}").selectExpr(*names, f"CAST(ceil(__rows / {most}) AS BIGINT) AS __blocks"))
 
 
 def meet(
@@ -63,15 +79,15 @@ def meet(
     whole to the driver. So neither side is broadcast: both are spread and merged. ``safe`` names
     further columns to join on, in which nulls are equal.
 
-    With ``deal``, a key that has very many rows in ``left`` (or in ``counted``, a cheaper table) is
-    dealt into blocks by a hash of that column, and its rows of ``right`` go to each. Only such keys,
-    one in ``most`` rows at most, are broadcast.
+    With ``deal``, a key that has very many rows in ``left`` (or in ``counted``, a cheaper table, which
+    may lack some of the key's columns) is dealt into blocks by a hash of that column, and its rows of
+    ``right`` go to each. Only such keys, one in ``most`` rows at most, are broadcast.
     """
     names = [*on, *safe]
     if deal is not None:
-        blocks = F.ceil(F.count(F.lit(1)) / F.lit(most)).cast("long")
-        large = (left if counted is None else counted).groupBy(*names).agg(blocks.alias("__blocks"))
-        large = F.broadcast(large.where("__blocks > 1")).alias("h")
+        rows = left if counted is None else counted
+        names = [c for c in names if c in rows.columns]
+        large = large_keys(rows, names, deal, most, partitions).alias("h")
 
         def with_blocks(df: DataFrame) -> DataFrame:
             same = [F.col(f"d.{c}").eqNullSafe(F.col(f"h.{c}")) for c in names]
