@@ -21,7 +21,7 @@ from cohortspan.operators.chain import (
 )
 from cohortspan.operators.columns import fill_defaults, parameters, with_parameters
 from cohortspan.operators.expand import expand_states
-from cohortspan.operators.scan import group_size, ordered_scan, position
+from cohortspan.operators.scan import find_cuts, group_size, ordered_scan, position
 from cohortspan.operators.schedule import payment_schedule
 from cohortspan.plans.grid import RATES as _RATES
 from cohortspan.session import meet, spread
@@ -55,7 +55,8 @@ def plan_terms(bundle: ModelBundle) -> DataFrame:
     if grid is None:
         plans = fill_defaults(bundle.payments, PAYMENT_DEFAULTS).select(*keys, "payment", *PAYMENT_DEFAULTS)
         none = none.select(*keys, "payment")
-        return meet(plans.unionByName(none, allowMissingColumns=True), rates, keys, deal="payment")
+        every = plans.unionByName(none, allowMissingColumns=True)
+        return meet(every, rates, keys, deal="payment", counted=bundle.plain.payments)
     plans = fill_defaults(grid.payments(bundle.payments), PAYMENT_DEFAULTS)
     plans = meet(plans.select(*keys, "__plan", "payment", *PAYMENT_DEFAULTS), rates, keys, deal="payment")
     terms = plans.unionByName(none, allowMissingColumns=True)
@@ -65,9 +66,8 @@ def plan_terms(bundle: ModelBundle) -> DataFrame:
 
 def _with_terms(bundle: ModelBundle, uses: DataFrame, terms: DataFrame, partitions: int | None) -> DataFrame:
     """The plans that treatments use beside their terms. States tell how often a plan is used at most."""
-    return meet(
-        uses, terms, bundle.keys, safe=["payment"], deal="treatment", counted=bundle.states, partitions=partitions
-    )
+    counted = bundle.plain.states
+    return meet(uses, terms, bundle.keys, safe=["payment"], deal="treatment", counted=counted, partitions=partitions)
 
 
 def _plan_ranges() -> str:
@@ -595,10 +595,15 @@ def arms_of(bundle: ModelBundle) -> DataFrame:
     keys = list(bundle.keys)
     named = [*keys, "treatment"]
     names = spread(bundle.states.select(*named), named).distinct()
-    placed = ordered_scan(names, keys, ["treatment"], __at=position(), actives=group_size())
+    plain = bundle.plain
+    every = plain.states.select(*plain.keys, "treatment")
+    cuts = find_cuts(spread(every, [*plain.keys, "treatment"]).distinct(), plain.keys, ["treatment"])
+    placed = ordered_scan(
+        names, keys, ["treatment"], cuts=cuts, cut_keys=plain.keys, __at=position(), actives=group_size()
+    )
     counts = global_record(bundle).select(*keys, "control_count")
     count = F.coalesce(F.col("control_count"), F.lit(1.0))
-    return meet(placed, counts, keys, deal="treatment", counted=bundle.states).select(
+    return meet(placed, counts, keys, deal="treatment", counted=plain.states).select(
         *keys,
         "treatment",
         (F.col("actives") - F.col("__at") < count).alias("is_control"),

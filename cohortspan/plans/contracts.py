@@ -17,7 +17,7 @@ from cohortspan.operators.columns import fill_defaults, parameters, with_paramet
 from cohortspan.operators.schedule import payment_schedule
 from cohortspan.operators.scan import ordered_scan, position
 from cohortspan.plans.cohort import compare_arms
-from cohortspan.session import meet, spread
+from cohortspan.session import large_keys, meet, spread
 from cohortspan.tables import LEGACY_CONTRACT_DEFAULTS, LEGACY_TREATMENT_DEFAULTS, LegacyBundle
 
 LEGACY_GLOBALS = {"discount": 0.0, "firm_discount": 0.0, "time_horizon": 20.0}
@@ -146,9 +146,9 @@ def _plan_blocks(bundle: LegacyBundle) -> DataFrame:
 
     There is one such plan for ``MATCHED`` treatments at most, so these can be sent to all tasks.
     """
-    count = F.ceil(F.count(F.lit(1)) / F.lit(MATCHED)).cast("int")
-    counted = bundle.treatments.groupBy(*bundle.keys, "plan").agg(count.alias("blocks"))
-    return F.broadcast(counted.where("blocks > 1"))
+    plain = bundle.plain
+    large = large_keys(plain.treatments, [*plain.keys, "plan"], "name", MATCHED)
+    return large.withColumnRenamed("__blocks", "blocks")
 
 
 def projected_treatments(bundle: LegacyBundle, partitions: int | None = None) -> DataFrame:
@@ -158,11 +158,12 @@ def projected_treatments(bundle: LegacyBundle, partitions: int | None = None) ->
     ``block``, so that a plan doesn't have to fit one task.
     """
     keys = list(bundle.keys)
-    treatments = complete_treatments(bundle.treatments).join(_plan_blocks(bundle), [*keys, "plan"], "left")
-    dealt = treatments.withColumn("block", F.expr("pmod(xxhash64(name), coalesce(blocks, 1))"))
-    rows = spread(
-        with_parameters(dealt, rates(bundle), keys, LEGACY_GLOBALS, "name"), [*keys, "plan", "block"], partitions
+    treatments = complete_treatments(bundle.treatments).join(
+        F.broadcast(_plan_blocks(bundle)), [*bundle.plain.keys, "plan"], "left"
     )
+    dealt = treatments.withColumn("block", F.expr("pmod(xxhash64(name), coalesce(blocks, 1))"))
+    rated = with_parameters(dealt, rates(bundle), keys, LEGACY_GLOBALS, "name", bundle.plain.treatments)
+    rows = spread(rated, [*keys, "plan", "block"], partitions)
     shares = project_shares(
         treatment_edges(), "health_states", "CAST(time_horizon AS INT)"
     )
@@ -186,7 +187,7 @@ def _matched(bundle: LegacyBundle, partitions: int | None) -> DataFrame:
     numbered = ordered_scan(
         complete_contracts(bundle.contracts), [*keys, "plan"], ["row_id"], cuts=None, nth=position()
     )
-    contracts = numbered.join(_plan_blocks(bundle), [*keys, "plan"], "left").select(
+    contracts = numbered.join(F.broadcast(_plan_blocks(bundle)), [*bundle.plain.keys, "plan"], "left").select(
         *keys,
         "plan",
         F.expr("explode(sequence(0L, coalesce(blocks, 1) - 1L)) AS block"),
@@ -318,5 +319,5 @@ def compare_plans(
         F.count_if(active).alias("actives"), F.count_if(control).alias("controls")
     )
     sided = arms.withColumn("is_control", F.explode(sides))
-    sized = meet(sided, counts, keys, deal="name", counted=bundle.treatments, partitions=partitions)
+    sized = meet(sided, counts, keys, deal="name", counted=bundle.plain.treatments, partitions=partitions)
     return compare_arms(sized, keys, name="name")

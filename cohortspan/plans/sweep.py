@@ -167,7 +167,7 @@ def vary(
         )
         for field in data
     }
-    return bundle.with_tables(keys=(*keys, VARIANT), **tables)
+    return bundle.with_tables(keys=(*keys, VARIANT), base=bundle.plain, **tables)
 
 
 def unknown_rows(bundle: ModelBundle | LegacyBundle, cells: Sequence[Cell]) -> DataFrame:

@@ -137,7 +137,8 @@ class ModelBundle:
 
     ``keys`` names the scenario columns that every data table carries. Field tables describe
     columns, hold a row per column and carry no key. ``grid`` belongs to sweeps: the combinations of
-    cell values (``plans.grid.Grid``) that the models are analysed for.
+    cell values (``plans.grid.Grid``) that the models are analysed for. ``base`` is the bundle that
+    these tables are copies of, one for each combination.
     """
 
     states: DataFrame
@@ -148,19 +149,31 @@ class ModelBundle:
     global_fields: DataFrame | None = None
     keys: tuple[str, ...] = field(default=(SCENARIO,))
     grid: object | None = None
+    base: ModelBundle | None = None
+
+    @property
+    def plain(self) -> ModelBundle:
+        """The bundle whose scenarios have as many rows, at the least cost."""
+        return self if self.base is None else self.base
 
     def with_tables(self, **tables) -> ModelBundle:
-        return replace(self, **tables)
+        return replace(self, **{"base": None, **tables})
 
 
 @dataclass(frozen=True)
 class LegacyBundle:
-    """Plan-matched treatments and contracts of one or many models."""
+    """Plan-matched treatments and contracts of one or many models; ``base`` as in ``ModelBundle``."""
 
     treatments: DataFrame
     contracts: DataFrame
     globals: DataFrame
     keys: tuple[str, ...] = field(default=(SCENARIO,))
+    base: LegacyBundle | None = None
+
+    @property
+    def plain(self) -> LegacyBundle:
+        """The bundle whose scenarios have as many rows, at the least cost."""
+        return self if self.base is None else self.base
 
     def with_tables(self, **tables) -> LegacyBundle:
-        return replace(self, **tables)
+        return replace(self, **{"base": None, **tables})

@@ -6,6 +6,7 @@ import pytest
 
 from cohortspan.catalog import QUERIES
 from cohortspan.operators import matching
+from cohortspan.operators.columns import parameters
 from cohortspan.session import meet
 
 SMALL = "/root/testdata/sf0.001"
@@ -61,3 +62,38 @@ def test_draws_of_a_large_group_are_dealt_and_looked_up_in_short_rows(spark, mon
     assert len(got) == len(draws) and set(got) == wanted
     plan = found._jdf.queryExecution().executedPlan().toString()
     assert "__met" in plan and "__part" in plan
+
+
+@pytest.mark.parametrize("name", ["legacy_details", "legacy_series", "detail_mixed"])
+def test_scenarios_are_spread_before_they_are_counted(spark, name):
+    """A partial aggregate above a scan holds as many scenarios as compressed bytes have room for."""
+    plan = QUERIES[name](spark, SMALL)._jdf.queryExecution().executedPlan().toString()
+    lines = plan.split("\n")
+    early = [x for x in lines if "Aggregate(keys=" in x and re.search(r"partial_(count|max)\(", x)]
+    assert early
+    for at, line in enumerate(lines):
+        if line in early:
+            below = next(x for x in lines[at + 1 :] if re.search("Exchange|FileScan", x))
+            assert "REPARTITION_BY_NUM" in below, line
+
+
+def test_parameters_are_spread_by_scenario(spark):
+    rows = [(i % 3 if i % 7 else None, name, float(i)) for i in range(40) for name in ("a", "b")]
+    found = parameters(spark.createDataFrame(rows, "k int, name string, value double"), ["k"], {"a": 1.0, "c": 2.0})
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "REPARTITION_BY_NUM" in plan and "ENSURE_REQUIREMENTS" not in plan
+    assert {tuple(r) for r in found.collect()} == {(0, 39.0, 2.0), (1, 37.0, 2.0), (2, 38.0, 2.0), (None, 35.0, 2.0)}
+
+
+def test_combinations_are_not_joined_again_to_be_counted(spark):
+    plan = QUERIES["multi_value_sweep"](spark, SMALL)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan") <= 60
+
+
+def test_meet_counts_by_the_columns_of_a_cheaper_table(spark):
+    left = spark.createDataFrame([(k, v, i) for k in (0, None, 2) for v in (0, 1) for i in range(30)], "k int, v int, i int")
+    right = spark.createDataFrame([(0, 0, "a"), (0, 1, "b"), (2, 1, "c"), (2, 1, "d"), (None, 0, "e")], "k int, v int, s string")
+    base = left.where("v = 0").drop("v")
+    found = meet(left, right, ["k", "v"], how="inner", deal="i", counted=base, most=7)
+    wanted = [(k, v, i, s) for k, v, s in [(0, 0, "a"), (0, 1, "b"), (2, 1, "c"), (2, 1, "d")] for i in range(30)]
+    assert sorted(tuple(r) for r in found.select("k", "v", "i", "s").collect()) == sorted(wanted)
